@@ -121,11 +121,12 @@ def clean_text(value: Column) -> Column:
 def fold(value: Column) -> Column:
     """Lower case without accents, whitespace collapsed; NULL becomes the empty string."""
     source, target, expanded = _folding_tables()
-    text = F.coalesce(value.cast("string"), F.lit(""))
+    base = text = F.coalesce(value.cast("string"), F.lit(""))
     table = F.create_map(*[F.lit(part) for pair in expanded.items() for part in pair])
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     text = F.when(text.rlike("[" + "".join(expanded) + "]"), spelled).otherwise(text)
-    plain = F.translate(text, source, target)
+    # most texts are plain ASCII and skip the tables
+    plain = F.when(base.rlike(r"[^\x00-\x7f]"), F.translate(text, source, target)).otherwise(base)
     return F.lower(F.trim(F.regexp_replace(plain, _BLANKS, " ")))
 
 

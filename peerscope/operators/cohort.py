@@ -30,7 +30,7 @@ STAGES = (
 HOURS_TOLERANCE = 0.25
 POOL_KEYS = ["reporting_year", "operation_category", "level_key"]
 POOL_LIMIT = 1_000_000
-PEER_BINS = 18
+BATCH_PEERS = 2_000_000  # peers answered together; bounds the memory of a task
 
 RESULT_SCHEMA = (
     "entity_key string, reporting_year int, peer_stage int, peer_count long, eui_percentile double, "
@@ -163,10 +163,9 @@ def choose_stage(counts: np.ndarray) -> np.ndarray:
     return stage
 
 
-def _statistics(area_rows: pd.DataFrame, targets: pd.DataFrame, left, right, own) -> dict[str, np.ndarray]:
-    eui = area_rows["eui"].to_numpy()
+def _statistics(eui, ghg, value, own_ghg, left, right, own) -> dict[str, np.ndarray]:
+    """Statistics of several targets; ``eui`` and ``ghg`` list the peers in area order."""
     cohort = Cohorts(RangeRanks(eui), left, right, own)
-    value = targets["eui"].to_numpy()
     median = cohort.quantile(0.5)
     mad = cohort.median_deviation(median)
     z = np.full(len(value), np.nan)
@@ -183,13 +182,11 @@ def _statistics(area_rows: pd.DataFrame, targets: pd.DataFrame, left, right, own
         with np.errstate(divide="ignore", invalid="ignore"):
             z[i] = np.where(others > 0, off / (MEAN_AD_SCALE * mean_ad), np.where(off == 0, 0.0, np.nan))
     # peers that report emissions form a shorter sequence in the same area order
-    ghg = area_rows["ghg_intensity"].to_numpy()
     known = ~np.isnan(ghg)
-    shift = np.concatenate([[0], np.cumsum(known)])
     percentile = np.full(len(value), np.nan)
-    own_ghg = targets["ghg_intensity"].to_numpy()
     if known.any():
-        reports = known[np.clip(own, 0, len(known) - 1)] & (own >= 0)
+        shift = np.concatenate([[0], np.cumsum(known)])
+        reports = (own >= 0) & known[np.clip(own, 0, None)]
         emitters = Cohorts(RangeRanks(ghg[known]), shift[left], shift[right], np.where(reports, shift[np.clip(own, 0, None)], -1))
         enough = ~np.isnan(own_ghg) & (emitters.size >= MIN_PEERS)
         percentile = np.where(enough, emitters.percentile_rank(np.nan_to_num(own_ghg)), np.nan)
@@ -204,54 +201,93 @@ def _statistics(area_rows: pd.DataFrame, targets: pd.DataFrame, left, right, own
     }
 
 
-def benchmark_pool(rows: pd.DataFrame) -> pd.DataFrame:
-    """Stage and statistics for every target of one pool of bounded size."""
-    rows = rows.sort_values(["floor_area_m2", "entity_key"], kind="stable").reset_index(drop=True)
-    peers = rows[rows["is_peer"]].reset_index(drop=True)
-    targets = rows[rows["is_target"]].reset_index(drop=True)
+class _Batch:
+    """Peer groups from several sub-sequences of a pool, laid end to end and answered together."""
+
+    def __init__(self) -> None:
+        self.length, self.indices, self.parts = 0, [], []
+
+    def add(self, peers: np.ndarray, targets: np.ndarray, left, right, own) -> None:
+        """``peers`` indexes the pool; positions are relative to it."""
+        self.parts.append((targets, left + self.length, right + self.length, np.where(own >= 0, own + self.length, -1)))
+        self.indices.append(peers)
+        self.length += len(peers)
+
+    def take(self):
+        parts = [np.concatenate(column) for column in zip(*self.parts)]
+        return np.concatenate(self.indices), *parts
+
+
+def cohort_batches(peers: pd.DataFrame, targets: pd.DataFrame, own: np.ndarray):
+    """(stage per target, iterator over batches of targets that have a peer group)."""
     n, m = len(peers), len(targets)
-    position = np.cumsum(rows["is_peer"].to_numpy()) - 1
-    own = np.where(rows["is_peer"], position, -1)[rows["is_target"].to_numpy()]
     area, size = peers["floor_area_m2"].to_numpy(), targets["floor_area_m2"].to_numpy()
     hours, wanted = peers["weekly_hours"].to_numpy(), targets["weekly_hours"].to_numpy()
-    bounds = [None if r is None else _area_bounds(area, size, *r) for _, r, _ in STAGES]
+    bounds = [None if span is None else _area_bounds(area, size, *span) for _, span, _ in STAGES]
     bounds[-1] = (np.zeros(m, dtype=np.int64), np.full(m, n, dtype=np.int64))
     counts = np.zeros((len(STAGES), m), dtype=np.int64)
     for s, (left, right) in enumerate(bounds):
         counts[s] = right - left - ((own >= left) & (own < right))
     # the hours stage looks at the sub-sequence with compatible hours, once per distinct hours value
     counts[0] = 0
-    by_hours = {}
-    for value in np.unique(wanted[wanted > 0]):
+
+    def compatible(value: float):
         with np.errstate(invalid="ignore"):
             fits = np.abs(hours - value) / value <= HOURS_TOLERANCE
-        shift = np.concatenate([[0], np.cumsum(fits)])
         group = np.flatnonzero(wanted == value)
-        left, right = shift[bounds[0][0][group]], shift[bounds[0][1][group]]
+        shift = np.concatenate([[0], np.cumsum(fits)])
         mine = np.where(own[group] >= 0, shift[np.clip(own[group], 0, None)], -1)
+        return fits, group, shift[bounds[0][0][group]], shift[bounds[0][1][group]], mine
+
+    values = np.unique(wanted[wanted > 0])
+    for value in values:
+        _, group, left, right, mine = compatible(value)
         counts[0][group] = right - left - ((mine >= left) & (mine < right))
-        by_hours[value] = (fits, group, left, right, mine)
     stage = choose_stage(counts)
-    result = targets[["entity_key", "reporting_year"]].copy()
-    result["peer_stage"] = stage
-    for column in ("eui_percentile", "ghg_percentile", "peer_q25_eui", "peer_median_eui", "peer_q75_eui", "eui_robust_z"):
-        result[column] = np.nan
-    result["peer_count"] = 0
-
-    def fill(where: np.ndarray, sequence: pd.DataFrame, left, right, mine) -> None:
-        if len(where):
-            for column, values in _statistics(sequence, targets.iloc[where], left, right, mine).items():
-                result.loc[where, column] = values
-
-    for fits, group, left, right, mine in by_hours.values():
-        use = stage[group] == 0
-        fill(group[use], peers[fits], left[use], right[use], mine[use])
-    later = np.flatnonzero(stage >= 1)
-    if len(later):
-        left = np.choose(stage[later] - 1, [b[0][later] for b in bounds[1:]])
-        right = np.choose(stage[later] - 1, [b[1][later] for b in bounds[1:]])
-        fill(later, peers, left, right, own[later])
-    return result[[c.split()[0] for c in RESULT_SCHEMA.split(", ")]]
+
+    def batches():
+        batch = _Batch()
+        for value in values:
+            fits, group, left, right, mine = compatible(value)
+            use = stage[group] == 0
+            if use.any():
+                batch.add(np.flatnonzero(fits), group[use], left[use], right[use], mine[use])
+            if batch.length > BATCH_PEERS:
+                yield batch.take()
+                batch = _Batch()
+        later = np.flatnonzero(stage >= 1)
+        if len(later):
+            left = np.choose(stage[later] - 1, [b[0][later] for b in bounds[1:]])
+            right = np.choose(stage[later] - 1, [b[1][later] for b in bounds[1:]])
+            batch.add(np.arange(n), later, left, right, own[later])
+        if batch.parts:
+            yield batch.take()
+
+    return stage, batches()
+
+
+def split_pool(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+    """Peers in area order, targets, and each target's own position among the peers (-1 if none)."""
+    rows = rows.sort_values(["floor_area_m2", "entity_key"], kind="stable").reset_index(drop=True)
+    is_peer, is_target = rows["is_peer"].to_numpy(), rows["is_target"].to_numpy()
+    own = np.where(is_peer, np.cumsum(is_peer) - 1, -1)[is_target]
+    return rows[is_peer].reset_index(drop=True), rows[is_target].reset_index(drop=True), own
+
+
+def benchmark_pool(rows: pd.DataFrame) -> pd.DataFrame:
+    """Stage and statistics for every target of one pool of bounded size."""
+    peers, targets, own = split_pool(rows)
+    stage, batches = cohort_batches(peers, targets, own)
+    eui, ghg = peers["eui"].to_numpy(), peers["ghg_intensity"].to_numpy()
+    value, own_ghg = targets["eui"].to_numpy(), targets["ghg_intensity"].to_numpy()
+    columns = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
+    result = {c: np.full(len(targets), np.nan) for c in columns[4:]}
+    result["peer_count"] = np.zeros(len(targets), dtype=np.int64)
+    for at, where, left, right, mine in batches:
+        for column, found in _statistics(eui[at], ghg[at], value[where], own_ghg[where], left, right, mine).items():
+            result[column][where] = found
+    keys = {"entity_key": targets["entity_key"], "reporting_year": targets["reporting_year"], "peer_stage": stage}
+    return pd.DataFrame({**keys, **result})[columns]
 
 
 def pool_rows(entities: DataFrame, usable: Column) -> DataFrame:
