@@ -7,7 +7,7 @@ read is always kept beside them.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -114,20 +114,30 @@ def _folding_tables() -> tuple[str, str, dict[str, str]]:
 
 def clean_text(value: Column) -> Column:
     """Collapse whitespace and trim; blank becomes NULL."""
-    text = F.trim(F.regexp_replace(value, _BLANKS, " "))
-    return F.when(text != "", text)
+    return F.nullif(F.trim(F.regexp_replace(value, _BLANKS, " ")), F.lit(""))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def fold(value: Column) -> Column:
     """Lower case without accents, whitespace collapsed; NULL becomes the empty string."""
     source, target, expanded = _folding_tables()
-    base = text = F.coalesce(value.cast("string"), F.lit(""))
     table = F.create_map(*[F.lit(part) for pair in expanded.items() for part in pair])
-    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    text = F.when(text.rlike("[" + "".join(expanded) + "]"), spelled).otherwise(text)
-    # most texts are plain ASCII and skip the tables
-    plain = F.when(base.rlike(r"[^\x00-\x7f]"), F.translate(text, source, target)).otherwise(base)
-    return F.lower(F.trim(F.regexp_replace(plain, _BLANKS, " ")))
+
+    def spelled(text: Column) -> Column:
+        letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
+        return F.when(text.rlike("[" + "".join(expanded) + "]"), F.array_join(letters, "")).otherwise(text)
+
+    def plain(text: Column) -> Column:
+        # most texts are plain ASCII and skip the tables
+        ascii_only = ~text.rlike(r"[^\x00-\x7f]")
+        return F.when(ascii_only, text).otherwise(F.translate(spelled(text), source, target))
+
+    folded = let(F.coalesce(value.cast("string"), F.lit("")), plain)
+    return F.lower(F.trim(F.regexp_replace(folded, _BLANKS, " ")))
 
 
 def tokens(folded: Column) -> Column:
@@ -171,7 +181,7 @@ def normalize_address(value: Column) -> Column:
 def normalize_postal_code(value: Column) -> Column:
     """A9A9A9 in capitals, or NULL."""
     compact = F.upper(F.regexp_replace(fold(value), "[^A-Za-z0-9]", ""))
-    return F.when(compact.rlike("^[A-Z][0-9][A-Z][0-9][A-Z][0-9]$"), compact)
+    return let(compact, lambda c: F.when(c.rlike("^[A-Z][0-9][A-Z][0-9][A-Z][0-9]$"), c))
 
 
 def postal_code_or_text(value: Column) -> Column:
@@ -188,21 +198,23 @@ def stable_hash(*parts: Column) -> Column:
 
 
 def normalize_school_level(value: Column) -> Column:
-    words = tokens(fold(value))
-    elementary = F.arrays_overlap(words, F.array(*map(F.lit, ("elem", "elementary", "elementaire"))))
-    secondary = F.arrays_overlap(words, F.array(*map(F.lit, ("sec", "secondary", "secondaire"))))
-    return (
-        F.when(elementary & secondary, "combined").when(elementary, "elementary").when(secondary, "secondary")
-    )
+    def level(words: Column) -> Column:
+        elementary = F.arrays_overlap(words, F.array(*map(F.lit, ("elem", "elementary", "elementaire"))))
+        secondary = F.arrays_overlap(words, F.array(*map(F.lit, ("sec", "secondary", "secondaire"))))
+        return F.when(elementary & secondary, "combined").when(elementary, "elementary").when(secondary, "secondary")
+
+    return let(tokens(fold(value)), level)
 
 
 def operation_category(value: Column) -> Column:
-    label = fold(value)
-    return (
-        F.when(label.isin("school", "schools", "ecole", "k-12 school"), "school")
-        .when(label.rlike("admin|office|bureau"), "administrative")
-        .otherwise("other")
-    )
+    def category(label: Column) -> Column:
+        return (
+            F.when(label.isin("school", "schools", "ecole", "k-12 school"), "school")
+            .when(label.rlike("admin|office|bureau"), "administrative")
+            .otherwise("other")
+        )
+
+    return let(fold(value), category)
 
 
 def filter_fold(value: Column) -> Column:
@@ -219,7 +231,7 @@ def normalize_query(value: Column) -> Column:
 def year_in(value: Column) -> Column:
     """The one distinct 20xx year in a text, else NULL."""
     years = F.array_distinct(F.regexp_extract_all(value, F.lit(r"(?<!\d)(20\d{2})(?!\d)"), F.lit(1)))
-    return F.when(F.size(years) == 1, F.try_element_at(years, F.lit(1)).cast("int"))
+    return let(years, lambda y: F.when(F.size(y) == 1, F.try_element_at(y, F.lit(1)).cast("int")))
 
 
 def parse_year(value: Column, file_year: Column) -> Column:
@@ -239,7 +251,10 @@ def reporting_period(year_ending: Column) -> Column:
 
 
 def contains_any(text: Column, markers: Iterable[str]) -> Column:
-    found = F.lit(False)
-    for marker in markers:
-        found = found | F.contains(text, F.lit(marker))
-    return found
+    def found(value: Column) -> Column:
+        hit = F.lit(False)
+        for marker in markers:
+            hit = hit | F.contains(value, F.lit(marker))
+        return hit
+
+    return let(text, found)

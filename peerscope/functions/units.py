@@ -10,7 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from peerscope.functions.text import normalize_header
+from peerscope.functions.text import let, normalize_header
 
 # --- fixed values: exact conversions and unit labels ----------------------------------------------
 GJ_PER_KWH = 0.0036
@@ -66,31 +66,41 @@ def finite(value: Column) -> Column:
 def to_float(value: Column) -> Column:
     """Parse "1,234.5", "$1,234"; text, blanks and non-finite numbers become NULL."""
     text = F.regexp_replace(value.cast("string"), r"(?U)[,\s$]", "")
-    return F.when(text.rlike(_NUMBER), finite(text.try_cast("double")))
+    return let(F.when(text.rlike(_NUMBER), text).try_cast("double"), finite)
 
 
 def convert_quantity(quantity: Column, unit: Column, factors: Mapping[str, float]) -> Column:
     """STRUCT(value, recognized). Zero needs no unit; an unknown unit gives (NULL, false)."""
-    amount = to_float(quantity)
     table = F.create_map(*[F.lit(part) for pair in factors.items() for part in pair])
+
+    def converted(q: Column) -> Column:
+        amount, factor = q["amount"], q["factor"]
+        return F.struct(
+            F.when(amount == 0, F.lit(0.0)).otherwise(amount * factor).alias("value"),
+            (amount.isNull() | (amount == 0) | factor.isNotNull()).alias("recognized"),
+        )
+
     factor = F.try_element_at(table, normalize_header(unit))
-    value = F.when(amount == 0, F.lit(0.0)).when(amount.isNotNull(), amount * factor)
-    return F.struct(value.alias("value"), (amount.isNull() | (amount == 0) | factor.isNotNull()).alias("recognized"))
+    return let(F.struct(to_float(quantity).alias("amount"), factor.alias("factor")), converted)
 
 
 def gas_quantities(reported_gj: Column, quantity: Column, unit: Column) -> Column:
     """STRUCT(m3, gj, recognized): gas is GJ only as reported, never converted from volume."""
-    amount, label = to_float(quantity), normalize_header(unit)
-    applies = reported_gj.isNull() & amount.isNotNull()
-    volume = (amount == 0) | label.isin(*GAS_TO_M3)
     table = F.create_map(*[F.lit(part) for pair in GAS_TO_M3.items() for part in pair])
-    factor = F.coalesce(F.try_element_at(table, label), F.lit(1.0))
-    in_gj = label.isin(*GAS_IN_GJ)
-    return F.struct(
-        F.when(applies & volume, amount * factor).alias("m3"),
-        F.when(applies & ~volume & in_gj, amount).otherwise(reported_gj).alias("gj"),
-        (~applies | volume | in_gj).alias("recognized"),
-    )
+
+    def measured(q: Column) -> Column:
+        applies = q["gj"].isNull() & q["amount"].isNotNull()
+        volume = (q["amount"] == 0) | q["unit"].isin(*GAS_TO_M3)
+        factor = F.coalesce(F.try_element_at(table, q["unit"]), F.lit(1.0))
+        in_gj = q["unit"].isin(*GAS_IN_GJ)
+        return F.struct(
+            F.when(applies & volume, q["amount"] * factor).alias("m3"),
+            F.when(applies & ~volume & in_gj, q["amount"]).otherwise(q["gj"]).alias("gj"),
+            (~applies | volume | in_gj).alias("recognized"),
+        )
+
+    cell = F.struct(reported_gj.alias("gj"), to_float(quantity).alias("amount"), normalize_header(unit).alias("unit"))
+    return let(cell, measured)
 
 
 def reported_sum(parts: Sequence[Column]) -> Column:

@@ -14,8 +14,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from peerscope.functions.text import board_key, fold, normalize_address, normalize_school_name
+from peerscope.session import materialize
 
 # --- fixed values: thresholds and tier confidences ------------------------------------------------
 SIMILAR_MIN = 0.9
@@ -25,7 +27,7 @@ FUZZY_CANDIDATES = 3
 CONFIDENCE = {"override": 1.0, "exact_name_board": 1.0, "address_board": 0.95, "name_city_board": 0.85, "fuzzy": 0.5}
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of token-sorted texts; argument order is facility, then school."""
     def key(text: str) -> str:
@@ -250,10 +252,11 @@ def match_facilities(facilities: DataFrame, schools: DataFrame, overrides: DataF
     match_method, match_confidence, school_number, candidate_group and candidate_count; candidates
     list the schools of every ambiguous group once, however many facilities share the group.
     """
-    directory = linkage_keys(schools, "name")
-    keyed = linkage_keys(facilities, "facility_name")
+    # keys are costly to compute and every tier reads them
+    directory = materialize(linkage_keys(schools, "name"))
+    keyed = materialize(linkage_keys(facilities, "facility_name"))
     profile_keys = ["board_number", "_name", "_address", "_city"]
-    profiles = keyed.filter("board_number is not null").select(*profile_keys).distinct()
+    profiles = materialize(keyed.filter("board_number is not null").select(*profile_keys).distinct())
 
     name_keys, address_keys = ["board_number", "_name"], ["board_number", "_address", "_city"]
     by_name = _exact(profiles, directory, name_keys, "exact_name_board")
@@ -261,10 +264,11 @@ def match_facilities(facilities: DataFrame, schools: DataFrame, overrides: DataF
     placed = directory.filter("_address <> ''")
     by_address = _exact(left.filter("_address <> ''"), placed, address_keys, "address_board")
     left = left.join(by_address, profile_keys, "left_anti")
-    near = similar_in_city(left, directory)
+    left = materialize(left)
+    near = materialize(similar_in_city(left, directory))
     by_similar = _from_ranked(left, near, ["board_number", "_city"], "name_city_board")
     left = left.join(by_similar, profile_keys, "left_anti")
-    loose = fuzzy_in_board(left, directory)
+    loose = materialize(fuzzy_in_board(materialize(left), directory))
     by_fuzzy = _from_ranked(left, loose, ["board_number"], "fuzzy")
     found = by_name.unionByName(by_address).unionByName(by_similar).unionByName(by_fuzzy)
 

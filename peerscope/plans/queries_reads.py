@@ -433,6 +433,6 @@ def _(t):
     return K.orphans(schools, boards, ["board_number"]).select("school_id")
 
 
-@query("ck3_duplicates", VW + " SELECT facility_id, reporting_year, 2 AS copies FROM energy WHERE facility_id % 70 = 3".replace("2 AS", "CAST(2 AS BIGINT) AS"))
+@query("ck3_duplicates", VW + " SELECT facility_id, reporting_year, CAST(2 AS BIGINT) AS copies FROM energy WHERE facility_id % 70 = 3")
 def _(t):
     return K.duplicates(_broken(t)[3], ["facility_id", "reporting_year"])

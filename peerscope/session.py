@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,13 @@ def materialize(df: DataFrame) -> DataFrame:
             folder = os.path.join(tempfile.gettempdir(), f"peerscope-checkpoints-{os.getuid()}")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables: beside the cluster's checkpoints, or temporary in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = os.path.join(tempfile.gettempdir(), f"peerscope-checkpoints-{os.getuid()}")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"

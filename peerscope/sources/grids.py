@@ -14,15 +14,26 @@ HEADER_SCAN_ROWS = 15
 
 
 def _encodings(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """Files per encoding: UTF-8 unless a line is not valid UTF-8, then Windows-1252."""
+    """Files per charset: UTF-8 unless a line is not valid UTF-8, then one byte per character."""
     lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), "value")
     files = lines.groupBy("file").agg(F.max(~F.is_valid_utf8("value")).alias("broken")).collect()  # one row per file
     groups: dict[str, list[str]] = {}
     for row in files:
-        groups.setdefault("windows-1252" if row["broken"] else "UTF-8", []).append(row["file"])
+        groups.setdefault("ISO-8859-1" if row["broken"] else "UTF-8", []).append(row["file"])
     return groups
 
 
+def _windows_1252(text: Column) -> Column:
+    """Latin-1 text with the printable characters Windows puts in place of the C1 controls."""
+    pairs = []
+    for code in range(0x80, 0xA0):
+        try:
+            pairs.append((chr(code), bytes([code]).decode("cp1252")))
+        except UnicodeDecodeError:  # five codes are unassigned
+            continue
+    return F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+
+
 def read_grids(spark: SparkSession, paths: Sequence[str], sheets_in_folders: bool = False, width: int = 256) -> DataFrame:
     """(source, sheet, row_no, cells) of CSV files; blank rows are skipped and not numbered.
 
@@ -35,7 +46,9 @@ def read_grids(spark: SparkSession, paths: Sequence[str], sheets_in_folders: boo
     parts = []
     for encoding, files in sorted(_encodings(spark, paths).items()):
         raw = spark.read.csv(files, schema=schema, header=False, multiLine=True, encoding=encoding, quote='"', escape='"')
-        cells = [F.regexp_replace("c0", "^﻿", "")] + [F.col(f"c{i}") for i in range(1, width - 1)]
+        cells = [F.regexp_replace("c0", "^\ufeff", "")] + [F.col(f"c{i}") for i in range(1, width - 1)]
+        if encoding != "UTF-8":
+            cells = [_windows_1252(c) for c in cells]
         edge = F.when(F.col(f"c{width - 1}").isNotNull(), F.raise_error(F.lit(f"a row has {width} cells or more"))).cast("string")
         parts.append(raw.select(F.col("_metadata.file_path").alias("path"), F.array(*cells, edge).alias("cells")))
     rows = parts[0]
