@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.functions.stats import MAD_SCALE, MEAN_AD_SCALE, MIN_PEERS, PREFERRED_PEERS
+from peerscope.session import spread
 
 # --- fixed values: relaxation stages, strictest first: label, area ratio range, hours matched -----
 STAGES = (
@@ -325,7 +326,7 @@ def peer_statistics(entities: DataFrame, usable: Column, pool_limit: int = POOL_
     hot = [tuple(r) for r in sizes.filter(F.col("_n") > pool_limit).select(*POOL_KEYS).collect()]  # at most rows / limit
     sized = rows.join(sizes.select(*POOL_KEYS, "_n"), POOL_KEYS)
     bounded = sized.filter(F.col("_n") <= pool_limit).drop("_n")
-    result = bounded.groupBy(*POOL_KEYS).applyInPandas(benchmark_pool, RESULT_SCHEMA)
+    result = spread(bounded, *POOL_KEYS).groupBy(*POOL_KEYS).applyInPandas(benchmark_pool, RESULT_SCHEMA)
     for year, category, level in hot:
         one = rows.filter((F.col("reporting_year") == year) & (F.col("operation_category") == category) & (F.col("level_key") == level))
         result = result.unionByName(hot_pool_statistics(one, pool_limit))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peerscope.functions.text import board_key, fold, normalize_address, normalize_school_name
-from peerscope.session import materialize
+from peerscope.session import materialize, spread
 
 # --- fixed values: thresholds and tier confidences ------------------------------------------------
 SIMILAR_MIN = 0.9
@@ -27,13 +27,28 @@ FUZZY_CANDIDATES = 3
 CONFIDENCE = {"override": 1.0, "exact_name_board": 1.0, "address_board": 0.95, "name_city_board": 0.85, "fuzzy": 0.5}
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of token-sorted texts; argument order is facility, then school."""
-    def key(text: str) -> str:
-        return " ".join(sorted(text.split()))
+def similarity(left: Column, right: Column, at_least: float = 0.0) -> Column:
+    """Ratcliff-Obershelp ratio of token-sorted texts; argument order is facility, then school.
 
-    return pd.Series([SequenceMatcher(None, key(x), key(y)).ratio() for x, y in zip(a, b)], dtype="float64")
+    Ratios below ``at_least`` come back as 0: two cheap upper bounds of the ratio are tried first.
+    """
+
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        matchers: dict[str, SequenceMatcher] = {}
+        found = []
+        for one, two in zip(a, b):
+            matcher = matchers.get(two)
+            if matcher is None:  # the matcher indexes its second text once
+                matcher = matchers[two] = SequenceMatcher(None, "", two)
+            matcher.set_seq1(one)
+            possible = matcher.real_quick_ratio() >= at_least and matcher.quick_ratio() >= at_least
+            found.append(matcher.ratio() if possible else 0.0)
+        return pd.Series(found, dtype="float64")
+
+    # marked non-deterministic so that a filter on the score is not moved below the distinct of the
+    # pairs, where each pair would be scored once per shared token
+    scored = F.pandas_udf(score, T.DoubleType()).asNondeterministic()
+    return scored(sorted_words(left), sorted_words(right))
 
 
 def sorted_words(name: Column) -> Column:
@@ -118,9 +133,9 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float) -> D
         .join(prefixes["right"], ["block", "route", "token"])
         .filter((shortest >= total * threshold - 1e-9) & F.when(F.col("route") == "char", total < split).otherwise(total >= split))
         .select("block", "left_name", "right_name")
-        .distinct()
     )
-    return met.withColumn("score", similarity("left_name", "right_name")).filter(F.col("score") >= threshold)
+    met = spread(met, "block", "left_name", "right_name").distinct()
+    return met.withColumn("score", similarity(F.col("left_name"), F.col("right_name"), threshold)).filter(F.col("score") >= threshold)
 
 
 def board_lookup(boards: DataFrame) -> DataFrame:

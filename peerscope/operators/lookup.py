@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peerscope.functions.text import normalize_query
+from peerscope.functions.text import let, normalize_query
+from peerscope.session import materialize, spread
 
 FUZZY_THRESHOLD = 0.6
 PER_KIND = 6
@@ -61,21 +62,30 @@ def dice(left: Column, right: Column) -> Column:
     return F.size(F.array_intersect(left, right)) * 2.0 / (F.size(left) + F.size(right))
 
 
-def score_document(query: Column, folded: Column, words: Column) -> Column:
-    """100 prefix, 80 every query word starts a word, 60 substring, 40 x mean similarity from 0.6 on."""
-    asked = F.split(query, " ")
+def with_bigrams(words: Column) -> Column:
+    """ARRAY<STRUCT<w, g>>: words with their bigram sets, computed once per text."""
+    return F.transform(words, lambda w: F.struct(w.alias("w"), bigrams(w).alias("g")))
+
+
+def score_document(query: Column, asked: Column, folded: Column, words: Column) -> Column:
+    """100 prefix, 80 every query word starts a word, 60 substring, 40 x mean similarity from 0.6 on.
+
+    ``asked`` and ``words`` are the words of query and document ``with_bigrams``.
+    """
 
     def best(q: Column) -> Column:
-        return F.array_max(F.transform(words, lambda w: F.when(w.startswith(q), F.lit(1.0)).otherwise(dice(bigrams(q), bigrams(w)))))
+        near = F.transform(words, lambda w: F.when(w["w"].startswith(q["w"]), F.lit(1.0)).otherwise(dice(q["g"], w["g"])))
+        return F.coalesce(F.array_max(near), F.lit(0.0))
 
-    starts = F.forall(asked, lambda q: F.exists(words, lambda w: w.startswith(q)))
-    mean = F.aggregate(F.transform(asked, lambda q: F.coalesce(best(q), F.lit(0.0))), F.lit(0.0), lambda a, s: a + s) / F.size(asked)
+    starts = F.forall(asked, lambda q: F.exists(words, lambda w: w["w"].startswith(q["w"])))
+    mean = F.aggregate(asked, F.lit(0.0), lambda a, q: a + best(q)) / F.size(asked)
+    fuzzy = let(mean, lambda m: F.when(m >= FUZZY_THRESHOLD, m * 40).otherwise(0.0))
     return (
         F.when(query == "", F.lit(0.0))
         .when(folded.startswith(query), F.lit(100.0))
         .when(starts, F.lit(80.0))
         .when(F.contains(folded, query), F.lit(60.0))
-        .otherwise(F.when(mean >= FUZZY_THRESHOLD, mean * 40).otherwise(0.0))
+        .otherwise(fuzzy)
     )
 
 
@@ -112,9 +122,11 @@ def similar_words(asked: DataFrame, known: DataFrame, threshold: float = FUZZY_T
 def lookup_scores(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """(query, document columns, score) for every document with a positive score."""
     asked = queries.select(normalize_query(F.col("text")).alias("query")).distinct().filter(F.length("query") >= 2)
-    texts = documents.select("folded", "words").distinct()
-    query_words = asked.select("query", F.explode(F.split("query", " ")).alias("asked"))
-    text_words = texts.select("folded", F.explode("words").alias("word")).distinct()
+    asked = materialize(asked.withColumn("asked", with_bigrams(F.split("query", " "))))
+    # equal texts are scored once; the grams are read by three joins
+    texts = materialize(documents.groupBy("folded").agg(with_bigrams(F.first("words")).alias("words")))
+    query_words = asked.select("query", F.explode("asked.w").alias("asked"))
+    text_words = texts.select("folded", F.explode("words.w").alias("word")).distinct()
     couples = similar_words(query_words.select("asked").distinct(), text_words.select("word").distinct())
     by_word = query_words.join(couples, "asked").select("query", "word").distinct().join(text_words, "word").select("query", "folded")
 
@@ -127,10 +139,11 @@ def lookup_scores(queries: DataFrame, documents: DataFrame) -> DataFrame:
         .agg(F.min_by("gram", F.struct(F.coalesce("_f", F.lit(0)), F.col("gram"))).alias("gram"))
     )
     by_text = rarest.join(postings, "gram").filter(F.contains("folded", F.col("query"))).select("query", "folded")
-    candidates = by_word.union(by_text).distinct()
+    candidates = spread(by_word.union(by_text), "query", "folded").distinct()
     scored = (
         candidates.join(texts, "folded")
-        .withColumn("score", score_document(F.col("query"), F.col("folded"), F.col("words")))
+        .join(asked, "query")
+        .withColumn("score", score_document(F.col("query"), F.col("asked"), F.col("folded"), F.col("words")))
         .filter("score > 0")
         .select("query", "folded", "score")
     )

@@ -26,6 +26,16 @@ def build_session(app: str = "peerscope", cores: int | str = 8, driver_memory: s
     return spark
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by keys with the session's full number of partitions.
+
+    Adaptive execution merges shuffle partitions by their bytes; steps whose cost is computation per
+    row or group (peer statistics, pair scoring) must keep theirs. A grouping on the same keys
+    right after reuses this partitioning, so it costs no second shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint.
 

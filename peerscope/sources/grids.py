@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peerscope.functions.text import clean_text, normalize_header
+from peerscope.session import materialize
 
 HEADER_SCAN_ROWS = 15
 
@@ -46,17 +47,19 @@ def read_grids(spark: SparkSession, paths: Sequence[str], sheets_in_folders: boo
     parts = []
     for encoding, files in sorted(_encodings(spark, paths).items()):
         raw = spark.read.csv(files, schema=schema, header=False, multiLine=True, encoding=encoding, quote='"', escape='"')
-        cells = [F.regexp_replace("c0", "^\ufeff", "")] + [F.col(f"c{i}") for i in range(1, width - 1)]
-        if encoding != "UTF-8":
-            cells = [_windows_1252(c) for c in cells]
         edge = F.when(F.col(f"c{width - 1}").isNotNull(), F.raise_error(F.lit(f"a row has {width} cells or more"))).cast("string")
-        parts.append(raw.select(F.col("_metadata.file_path").alias("path"), F.array(*cells, edge).alias("cells")))
+        cells = F.array(*[F.col(f"c{i}") for i in range(width - 1)], edge)
+        text = F.transform(cells, _windows_1252) if encoding != "UTF-8" else cells
+        parts.append(raw.select(F.col("_metadata.file_path").alias("path"), text.alias("cells")))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
+    last = F.array_max(F.transform("cells", lambda c, i: F.when(c != "", i + 1)))
     rows = (
-        rows.withColumn("cells", F.transform("cells", lambda c: F.when(c != "", c)))
-        .filter(F.exists("cells", lambda c: c.isNotNull()))
+        rows.withColumn("_last", last)
+        .filter("_last is not null")
+        .withColumn("cells", F.transform(F.slice("cells", F.lit(1), F.col("_last")), lambda c: F.nullif(F.translate(c, "\ufeff", ""), F.lit(""))))
+        .drop("_last")
         .withColumn("_id", F.monotonically_increasing_id())
     )
     first = rows.groupBy("path").agg(F.min("_id").alias("_first"))
@@ -89,6 +92,7 @@ def detect_headers(grids: DataFrame, table: DataFrame) -> DataFrame:
     Of several sheets the one with the best header is kept. Names are unique: a blank one becomes
     unnamed_<position>, a repeated one gets a numbered suffix.
     """
+    widths = grids.groupBy("source", "sheet").agg(F.max(F.size("cells")).alias("_w"))
     early = grids.filter(F.col("row_no") < HEADER_SCAN_ROWS)
     hits = _alias_hits(early, table, ["source", "sheet", "row_no"])
     scores = hits.groupBy("source", "sheet", "row_no").agg(F.count_distinct("canonical").alias("score"))
@@ -115,7 +119,8 @@ def detect_headers(grids: DataFrame, table: DataFrame) -> DataFrame:
     )
     return (
         pick.select("source", "_s.sheet", "_s._h.*")
-        .withColumnRenamed("cells", "_c")
+        .join(widths, ["source", "sheet"])
+        .withColumn("_c", F.transform(F.sequence(F.lit(0), F.col("_w") - 1), lambda i: F.get("cells", i)))
         .withColumn("_n", names)
         .withColumn("names", numbered)
         .select("source", "sheet", "header_row", "score", F.col("_c").alias("header"), "names")
@@ -159,10 +164,8 @@ def records(grids: DataFrame, headers: DataFrame, mapping: DataFrame, fields: Se
     def cell(field: str) -> Column:
         return F.get(F.col("cells"), F.try_element_at(F.col("_at"), F.lit(field)))
 
-    used = F.array_max(
-        F.transform("names", lambda n, i: F.when(~n.rlike("^unnamed_[0-9]+$") | F.get(F.col("cells"), i).isNotNull(), i + 1).otherwise(0))
-    )
-    raw = F.map_from_arrays(F.slice("names", F.lit(1), used), F.slice("cells", F.lit(1), used))
+    padded = F.transform("names", lambda n, i: F.get(F.col("cells"), i))
+    raw = F.map_from_arrays("names", padded)
     return body.select(
         "source",
         (F.col("row_no") - F.col("header_row")).alias("data_row"),
@@ -179,9 +182,9 @@ def read_records(
     required: Sequence[str],
     sheets_in_folders: bool = False,
 ) -> DataFrame:
-    grids = read_grids(spark, paths, sheets_in_folders)
+    grids = materialize(read_grids(spark, paths, sheets_in_folders))  # parsed once, read three times
     table = alias_table(spark, aliases)
-    headers = detect_headers(grids, table)
+    headers = materialize(detect_headers(grids, table))
     mapping = map_columns(headers, table)
     require_columns(headers, mapping, required)
     return records(grids, headers, mapping, list(aliases))
