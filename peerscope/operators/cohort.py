@@ -291,6 +291,86 @@ def benchmark_pool(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({**keys, **result})[columns]
 
 
+HISTOGRAM_SCHEMA = "entity_key string, reporting_year int, bin int, `from` double, `to` double, count long, open_ended boolean"
+HISTOGRAM_BINS = 18
+CLIP = 0.99
+
+
+def clipped_position(size: np.ndarray) -> np.ndarray:
+    """Position of the histogram ceiling among the peers and the target, in ascending order."""
+    return np.floor(CLIP * size).astype(np.int64)
+
+
+def bin_thresholds(ceiling: np.ndarray) -> np.ndarray:
+    """(targets, bins - 1): the smallest value that falls into bin 1, 2, ... by value / width."""
+    width = ceiling[:, None] / HISTOGRAM_BINS
+    number = np.arange(1, HISTOGRAM_BINS)[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        edge = number * width
+        for _ in range(3):
+            down = np.nextafter(edge, -np.inf)
+            edge = np.where(down / width >= number, down, edge)
+        for _ in range(3):
+            edge = np.where(edge / width < number, np.nextafter(edge, np.inf), edge)
+    return edge
+
+
+def histogram_rows(keys: pd.DataFrame, value, size, ceiling, top, below, upto) -> pd.DataFrame:
+    """Bins of peers around each target.
+
+    ``below`` counts the peers under each threshold and ``upto`` those up to the ceiling. The
+    histogram covers the peers and the target; the target is then taken out of the closed bin, or
+    the open bin, whose shown limits contain it.
+    """
+    m, bins = len(value), HISTOGRAM_BINS
+    width = ceiling / bins
+    cumulative = np.column_stack([np.zeros(m, dtype=np.int64), below, upto, size])
+    counts = np.diff(cumulative, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = np.where(value > ceiling, bins, np.minimum(bins - 1, np.floor(np.nan_to_num(value / width)))).astype(np.int64)
+    counts[np.arange(m), own] += 1
+    overflow = counts[:, bins] > 0
+    number = np.arange(bins + 1)[None, :]
+    low = np.where(number == bins, ceiling[:, None], number * width[:, None])
+    high = np.where(number == bins, top[:, None], (number + 1) * width[:, None])
+    is_open = np.broadcast_to(number == bins, counts.shape)
+    holds = (value[:, None] >= low) & ((value[:, None] < high) | is_open)
+    flat = ceiling == 0  # everything is zero: one bin, limits 0 to 0
+    shown = np.where(flat[:, None], number == 0, ~is_open | overflow[:, None])
+    counts = np.where(flat[:, None], (size + 1)[:, None], counts - holds)
+    at, index = np.nonzero(shown)
+    return pd.DataFrame(
+        {
+            "entity_key": keys["entity_key"].to_numpy()[at],
+            "reporting_year": keys["reporting_year"].to_numpy()[at],
+            "bin": index,
+            "from": low[at, index],
+            "to": high[at, index],
+            "count": counts[at, index],
+            "open_ended": is_open[at, index] & ~flat[at],
+        }
+    )
+
+
+def histogram_pool(rows: pd.DataFrame) -> pd.DataFrame:
+    """Histogram bins for every target of one pool of bounded size."""
+    peers, targets, own = split_pool(rows)
+    _, batches = cohort_batches(peers, targets, own)
+    eui, value = peers["eui"].to_numpy(), targets["eui"].to_numpy()
+    parts = []
+    for at, where, left, right, mine in batches:
+        cohort, v = Cohorts(RangeRanks(eui[at]), left, right, mine), value[where]
+        position, (smaller, _) = clipped_position(cohort.size), cohort.counts(v)
+        ceiling = np.where(position == smaller, v, cohort.value_at(position - (position > smaller)))
+        top = np.maximum(v, cohort.value_at(cohort.size - 1))
+        edges = bin_thresholds(ceiling)
+        below = np.column_stack([cohort.counts(edges[:, j])[0] for j in range(edges.shape[1])])
+        under, equal = cohort.counts(ceiling)
+        parts.append(histogram_rows(targets.iloc[where], v, cohort.size, ceiling, top, below, under + equal))
+    columns = ["entity_key", "reporting_year", "bin", "from", "to", "count", "open_ended"]
+    return pd.concat(parts) if parts else pd.DataFrame(columns=columns)
+
+
 def pool_rows(entities: DataFrame, usable: Column) -> DataFrame:
     """Place entity-years into pools.
 
@@ -316,23 +396,35 @@ def pool_rows(entities: DataFrame, usable: Column) -> DataFrame:
     )
 
 
-def peer_statistics(entities: DataFrame, usable: Column, pool_limit: int = POOL_LIMIT) -> DataFrame:
-    """Chosen stage, peer count, quantiles, percentiles and robust z for every entity-year with an EUI."""
-    from peerscope.operators.hot_pools import hot_pool_statistics
-
+def _per_pool(entities: DataFrame, usable: Column, pool_limit: int, bounded_pool, schema: str, hot_pool) -> DataFrame:
+    """Answer pools of a checked size in one task each and larger ones by ``hot_pool``."""
     rows = pool_rows(entities, usable)
     # pools nobody is compared in (for example '*' where every target has a level) are dropped
     sizes = rows.groupBy(*POOL_KEYS).agg(F.count("*").alias("_n"), F.max("is_target").alias("_used")).filter("_used")
     hot = [tuple(r) for r in sizes.filter(F.col("_n") > pool_limit).select(*POOL_KEYS).collect()]  # at most rows / limit
     sized = rows.join(sizes.select(*POOL_KEYS, "_n"), POOL_KEYS)
     bounded = sized.filter(F.col("_n") <= pool_limit).drop("_n")
-    result = spread(bounded, *POOL_KEYS).groupBy(*POOL_KEYS).applyInPandas(benchmark_pool, RESULT_SCHEMA)
+    result = spread(bounded, *POOL_KEYS).groupBy(*POOL_KEYS).applyInPandas(bounded_pool, schema)
     for year, category, level in hot:
         one = rows.filter((F.col("reporting_year") == year) & (F.col("operation_category") == category) & (F.col("level_key") == level))
-        result = result.unionByName(hot_pool_statistics(one, pool_limit))
+        result = result.unionByName(hot_pool(one, pool_limit))
     return result
 
 
+def peer_statistics(entities: DataFrame, usable: Column, pool_limit: int = POOL_LIMIT) -> DataFrame:
+    """Chosen stage, peer count, quantiles, percentiles and robust z for every entity-year with an EUI."""
+    from peerscope.operators.hot_pools import hot_pool_statistics
+
+    return _per_pool(entities, usable, pool_limit, benchmark_pool, RESULT_SCHEMA, hot_pool_statistics)
+
+
+def peer_histograms(entities: DataFrame, usable: Column, pool_limit: int = POOL_LIMIT) -> DataFrame:
+    """EUI bins of each target's peers, the target itself taken out; none without a peer group."""
+    from peerscope.operators.hot_pools import hot_pool_histograms
+
+    return _per_pool(entities, usable, pool_limit, histogram_pool, HISTOGRAM_SCHEMA, hot_pool_histograms)
+
+
 def stage_label(stage: Column) -> Column:
     label = F.lit(None).cast("string")
     for index, (text, _, _) in enumerate(STAGES):

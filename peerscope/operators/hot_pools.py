@@ -9,13 +9,27 @@ median until no double lies between its bounds. Nothing is sampled and no peer p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerscope.functions.stats import MEAN_AD_SCALE, MAD_SCALE, MIN_PEERS, PREFERRED_PEERS
-from peerscope.operators.cohort import HOURS_TOLERANCE, STAGES, Cohorts, RangeRanks, _area_bounds
+from peerscope.operators.cohort import (
+    CLIP,
+    HISTOGRAM_BINS,
+    HISTOGRAM_SCHEMA,
+    HOURS_TOLERANCE,
+    STAGES,
+    Cohorts,
+    RangeRanks,
+    _area_bounds,
+    bin_thresholds,
+    histogram_rows,
+)
 from peerscope.operators.ranking import running_sum
 from peerscope.session import materialize
 
@@ -185,21 +199,31 @@ def _first_stage(size: list[Column], hours: Column) -> Column:
     return stage
 
 
-def hot_pool_statistics(rows: DataFrame, limit: int) -> DataFrame:
-    """The same result rows as ``cohort.benchmark_pool`` for one pool of any size."""
-    target = ["entity_key", "reporting_year", "floor_area_m2", "weekly_hours", "eui", "ghg_intensity"]
+@dataclass
+class _Staged:
+    """A sliced pool whose targets have their stage."""
+
+    slices: _Slices
+    edges: DataFrame  # smallest and largest EUI per slice
+    targets: DataFrame  # every target with stage, peer_count, below, eui_percentile, ghg_percentile
+    spread: DataFrame  # per target with peers and slice: how many of them it holds, and up to there
+    number: int
+
+
+def _stage(rows: DataFrame, limit: int) -> _Staged:
     ranked = running_sum(
         rows.filter("is_peer").select("entity_key", "floor_area_m2", "weekly_hours", "eui", "ghg_intensity", F.lit(1).alias("one")),
         [], ["eui", "entity_key"], "one", "position",
-    )
+    )
     peers = materialize(
         ranked.withColumn("slice", F.floor((F.col("position") - 1) / limit)).select(*[c.split()[0] for c in _PEER.split(", ")])
     )
-    targets = materialize(rows.filter("is_target").select(*target))
+    targets = materialize(
+        rows.filter("is_target").select("entity_key", "reporting_year", "floor_area_m2", "weekly_hours", "eui", "ghg_intensity")
+    )
     edges = peers.groupBy("slice").agg(F.min("eui").alias("smallest"), F.max("eui").alias("largest"))
     number = targets.count()
     slices = _Slices(peers, limit)
-
     last = ranked.agg(F.max("position")).first()[0] or 1
     every = targets.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit((last - 1) // limit)).cast("array<long>")))
     counted = materialize(slices.ask(every, _count, "entity_key string, slice long, counts array<long>", number))
@@ -217,59 +241,62 @@ def hot_pool_statistics(rows: DataFrame, limit: int) -> DataFrame:
 
     staged = materialize(
         staged.withColumn("peer_count", F.coalesce(measure(0), F.lit(0)))
+        .withColumn("below", measure(1))
         .withColumn("eui_percentile", rank(0))
-        .withColumn(
-            "ghg_percentile", F.when((measure(3) >= MIN_PEERS) & F.col("ghg_intensity").isNotNull(), rank(3))
-        )
+        .withColumn("ghg_percentile", F.when((measure(3) >= MIN_PEERS) & F.col("ghg_intensity").isNotNull(), rank(3)))
         .drop("all")
     )
-    chosen = staged.filter("stage >= 0")
     order = Window.partitionBy("entity_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
     spread = materialize(
-        counted.join(chosen, "entity_key")
+        counted.join(staged.filter("stage >= 0"), "entity_key")
         .withColumn("here", F.get(F.col("counts"), F.col("stage") * _MEASURES))
         .drop("counts")
         .withColumn("upto", F.sum("here").over(order))
         .filter("here > 0")
     )
-    wanted = [(name, q, up) for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)) for up in (False, True)]
-    positions = F.array(
-        *[
-            F.struct(
-                F.lit(f"{name}{'b' if up else 'a'}").alias("name"),
-                (F.ceil if up else F.floor)((F.col("peer_count") - 1) * q).cast("long").alias("at"),
-            )
-            for name, q, up in wanted
-        ]
-    )
+    return _Staged(slices, edges, staged, spread, number)
+
+
+def _values_at(pool: _Staged, positions: dict[str, Column]) -> DataFrame:
+    """(entity_key, one column per name): the peer value at each position; NULL positions are skipped."""
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), at.cast("long").alias("at")) for name, at in positions.items()])
+    here = F.filter(wanted, lambda p: (p["at"] < F.col("upto")) & (p["at"] >= F.col("upto") - F.col("here")))
     asked = (
-        spread.withColumn("_w", F.explode(F.filter(positions, lambda p: (p["at"] < F.col("upto")) & (p["at"] >= F.col("upto") - F.col("here")))))
+        pool.spread.withColumn("_w", F.explode(here))
         .withColumn("name", F.col("_w.name"))
         .withColumn("k", F.col("_w.at") - (F.col("upto") - F.col("here")))
         .drop("_w")
     )
-    found = slices.ask(asked, _select, "entity_key string, name string, found double", number * len(wanted))
-    by_name = found.groupBy("entity_key").agg(
-        *[F.max(F.when(F.col("name") == f"{n}{s}", F.col("found"))).alias(f"{n}{s}") for n in ("q25", "q50", "q75") for s in "ab"]
+    found = pool.slices.ask(asked, _select, "entity_key string, name string, found double", pool.number * len(positions))
+    return found.groupBy("entity_key").agg(
+        *[F.max(F.when(F.col("name") == name, F.col("found"))).alias(name) for name in positions]
     )
 
-    def interpolated(name: str, q: float) -> Column:
-        position = (F.col("peer_count") - 1) * q
-        return F.col(f"{name}a") + (F.col(f"{name}b") - F.col(f"{name}a")) * (position - F.floor(position))
 
-    quartiles = materialize(
-        chosen.join(by_name, "entity_key").select(
+def hot_pool_statistics(rows: DataFrame, limit: int) -> DataFrame:
+    """The same result rows as ``cohort.benchmark_pool`` for one pool of any size."""
+    pool = _stage(rows, limit)
+    quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    position = {name: (F.col("peer_count") - 1) * q for name, q in quartiles.items()}
+    ends = {f"{n}a": F.floor(p) for n, p in position.items()} | {f"{n}b": F.ceil(p) for n, p in position.items()}
+    by_name = _values_at(pool, ends)
+
+    def interpolated(name: str) -> Column:
+        return F.col(f"{name}a") + (F.col(f"{name}b") - F.col(f"{name}a")) * (position[name] - F.floor(position[name]))
+
+    found = materialize(
+        pool.targets.filter("stage >= 0").join(by_name, "entity_key").select(
             "entity_key",
-            interpolated("q25", 0.25).alias("peer_q25_eui"),
-            interpolated("q50", 0.5).alias("median"),
-            interpolated("q75", 0.75).alias("peer_q75_eui"),
+            interpolated("q25").alias("peer_q25_eui"),
+            interpolated("q50").alias("median"),
+            interpolated("q75").alias("peer_q75_eui"),
         )
     )
-    about = spread.join(edges, "slice").join(quartiles.select("entity_key", "median"), "entity_key")
-    mad = _median_deviation(slices, materialize(about), number)
+    about = materialize(pool.spread.join(pool.edges, "slice").join(found.select("entity_key", "median"), "entity_key"))
+    mad = _median_deviation(pool.slices, about, pool.number)
     flat = about.join(mad.filter("mad = 0").select("entity_key"), "entity_key")
     sums = (
-        slices.ask(flat, _deviation_sum, "entity_key string, total double, nonzero long", number)
+        pool.slices.ask(flat, _deviation_sum, "entity_key string, total double, nonzero long", pool.number)
         .groupBy("entity_key")
         .agg(F.sum("total").alias("total"), F.sum("nonzero").alias("nonzero"))
     )
@@ -280,14 +307,62 @@ def hot_pool_statistics(rows: DataFrame, limit: int) -> DataFrame:
         .when(off == 0, F.lit(0.0))
     )
     return (
-        staged.join(quartiles, "entity_key", "left")
+        pool.targets.join(found, "entity_key", "left")
         .join(mad, "entity_key", "left")
         .join(sums, "entity_key", "left")
         .select(
             "entity_key", "reporting_year", F.col("stage").alias("peer_stage"), "peer_count", "eui_percentile",
             "ghg_percentile", "peer_q25_eui", F.col("median").alias("peer_median_eui"), "peer_q75_eui", z.alias("eui_robust_z"),
         )
+    )
+
+
+def _under_edges(key, peers: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """Peers below each bin threshold, and up to the ceiling, in one slice."""
+    peers = _ordered(peers)
+    counts = np.zeros((len(asked), HISTOGRAM_BINS), dtype=np.int64)
+    for stage in asked["stage"].unique():
+        part = np.flatnonzero(asked["stage"] == stage)
+        questions = asked.iloc[part].reset_index(drop=True)
+        for group, rows, left, right, own in _in_slice(peers, questions, int(stage)):
+            if not len(rows):
+                continue
+            cohort = Cohorts(RangeRanks(rows["eui"].to_numpy()), left, right, own)
+            ceiling = questions["ceiling"].to_numpy()[group]
+            edges = bin_thresholds(ceiling)
+            for j in range(HISTOGRAM_BINS - 1):
+                counts[part[group], j] = cohort.counts(edges[:, j])[0]
+            counts[part[group], HISTOGRAM_BINS - 1] = sum(cohort.counts(ceiling))
+    return pd.DataFrame({"entity_key": asked["entity_key"], "under": pd.Series(list(counts), dtype=object)})
+
+
+def _bins_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        if len(rows):
+            under = np.stack(rows["under"].to_numpy())
+            value, ceiling, top = (rows[c].to_numpy() for c in ("eui", "ceiling", "top"))
+            yield histogram_rows(rows, value, rows["peer_count"].to_numpy(), ceiling, top, under[:, :-1], under[:, -1])
+
+
+def hot_pool_histograms(rows: DataFrame, limit: int) -> DataFrame:
+    """The same result rows as ``cohort.histogram_pool`` for one pool of any size."""
+    pool = _stage(rows, limit)
+    at = F.floor(F.col("peer_count") * CLIP)
+    position = F.when(at < F.col("below"), at).when(at > F.col("below"), at - 1)
+    ends = _values_at(pool, {"ceiling": position, "largest": F.col("peer_count") - 1})
+    limits = materialize(
+        pool.targets.filter("stage >= 0").join(ends, "entity_key", "left").select(
+            "entity_key", F.coalesce("ceiling", "eui").alias("ceiling"), F.greatest("largest", "eui").alias("top")
+        )
+    )
+    asked = pool.spread.join(limits, "entity_key")
+    under = (
+        pool.slices.ask(asked, _under_edges, "entity_key string, under array<long>", pool.number)
+        .groupBy("entity_key")
+        .agg(F.array(*[F.sum(F.col("under")[i]) for i in range(HISTOGRAM_BINS)]).alias("under"))
     )
+    ready = pool.targets.join(limits, "entity_key").join(under, "entity_key")
+    return ready.select("entity_key", "reporting_year", "eui", "peer_count", "ceiling", "top", "under").mapInPandas(_bins_of, HISTOGRAM_SCHEMA)
 
 
 def _median_deviation(slices: _Slices, about: DataFrame, number: int) -> DataFrame:

@@ -522,6 +522,21 @@ def _(t):
     return W.json_safe(t.orders.select("o_orderkey", price.alias("price"), F.col("o_orderdate").cast("date").alias("day")))
 
 
+@query(
+    "snk5_export_and_rebuild",
+    VW + " SELECT reporting_year, count(*) AS entities, count(eui) AS with_eui FROM entity_years GROUP BY ALL",
+)
+def _(t):
+    from peerscope.plans.benchmark import peer_metrics
+
+    path = scratch_path(t.spark, "export")
+    records = V.facility_years(t).drop("reporting_period_end")
+    W.write_json(records, path)
+    loaded = t.spark.read.schema(records.schema).json(path)
+    metrics = peer_metrics(loaded, V.DISRUPTED_YEARS)
+    return metrics.groupBy("reporting_year").agg(F.count("*").alias("entities"), F.count("eui").alias("with_eui"))
+
+
 @query("snk6_file_hashes")
 def _(t):
     hashes = FI.file_hashes(t.spark, [f"{t.folder}/*.parquet"])

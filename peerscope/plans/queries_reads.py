@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from peerscope.functions import units as U
 from peerscope.operators import checks as K
 from peerscope.operators import entities as E
-from peerscope.operators.cohort import peer_statistics, pool_rows, stage_label, STAGES
+from peerscope.operators.cohort import STAGES, peer_histograms, peer_statistics, pool_rows, stage_label
 from peerscope.plans import benchmark as B
 from peerscope.plans import profile as P
 from peerscope.plans import reads as D
@@ -67,6 +67,28 @@ def _(t):
     )
 
 
+@query(
+    "ag16_peer_histograms",
+    PM + """, u AS (SELECT entity_key, reporting_year, peer_eui AS v, own FROM peers JOIN (SELECT entity_key, reporting_year, eui AS own FROM entity_years) USING (entity_key, reporting_year)
+        UNION ALL SELECT c.entity_key, c.reporting_year, e.eui, e.eui FROM chosen c JOIN entity_years e USING (entity_key, reporting_year)),
+      s AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY entity_key, reporting_year) AS n, max(v) OVER (PARTITION BY entity_key, reporting_year) AS m FROM u WINDOW w AS (PARTITION BY entity_key, reporting_year ORDER BY v)),
+      c AS (SELECT entity_key, reporting_year, max(v) AS ceiling, any_value(m) AS m, any_value(own) AS own, any_value(n) AS n FROM s WHERE i = floor(0.99::DOUBLE * (n - 1)) GROUP BY ALL),
+      b AS (SELECT entity_key, reporting_year, CASE WHEN v > ceiling THEN 18 WHEN ceiling = 0 THEN 0 ELSE least(17, CAST(floor(v / (ceiling / 18)) AS BIGINT)) END AS bin, count(*) AS k
+        FROM u JOIN c USING (entity_key, reporting_year) GROUP BY ALL),
+      g AS (SELECT c.*, CAST(range AS BIGINT) AS bin, CASE WHEN range = 18 THEN ceiling ELSE range * (ceiling / 18) END AS lo, CASE WHEN range = 18 THEN m ELSE (range + 1) * (ceiling / 18) END AS hi FROM c, range(19))
+      SELECT entity_key, reporting_year, bin, round(lo, 9) AS "from", round(hi, 9) AS "to", CASE WHEN ceiling = 0 THEN n ELSE coalesce(k, 0) - CASE WHEN own >= lo AND (own < hi OR bin = 18) THEN 1 ELSE 0 END END AS count,
+        bin = 18 AS open_ended FROM g LEFT JOIN b USING (entity_key, reporting_year, bin) WHERE CASE WHEN ceiling = 0 THEN bin = 0 ELSE bin < 18 OR k > 0 END""",
+)
+def _(t):
+    bins = peer_histograms(E.combine_entity_years(V.facility_years(t)), U.usable_as_peer(F.col("quality_flags")))
+    return bins.withColumn("from", r("from", 9)).withColumn("to", r("to", 9))
+
+
+@query("fl7_map_predicate", VW + " SELECT slug FROM schools WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND school_level IS NOT NULL")
+def _(t):
+    return V.schools(t).dropna(subset=["latitude", "longitude", "school_level"]).select("slug")
+
+
 _SC4 = """ SELECT entity_key, school_id, facility_id, reporting_year, facility_count, category AS operation_category, school_level, round(eui, 9) AS eui,
     round(ghg_intensity, 9) AS ghg_intensity, round(electricity_intensity, 9) AS electricity_intensity, {stage} AS peer_stage, peer_count, round(eui_percentile, 6) AS eui_percentile, round(ghg_percentile, 6) AS ghg_percentile,
     round(med, 9) AS peer_median_eui, round(energy_gap_gj, 4) AS energy_gap_gj, round(z, 6) AS eui_robust_z, anomaly_label,

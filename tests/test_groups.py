@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peerscope.functions.units import usable_as_peer
 from peerscope.operators import cohort, ranking
 from peerscope.plans.benchmark import peer_metrics
 
@@ -143,6 +142,11 @@ def test_hot_pool_equals_bounded_pool(spark):
     import pandas as pd
 
     pd.testing.assert_frame_equal(bounded, sliced, check_dtype=False)
+    order = ["entity_key", "bin"]
+    whole = cohort.peer_histograms(df, F.col("ok")).toPandas().sort_values(order).reset_index(drop=True)
+    parts = cohort.peer_histograms(df, F.col("ok"), pool_limit=45).toPandas().sort_values(order).reset_index(drop=True)
+    pd.testing.assert_frame_equal(whole, parts, check_dtype=False)
+    assert (whole["count"] >= 0).all()
 
 
 def record(facility, school=None, year=2023, **change):
@@ -191,4 +195,3 @@ def test_entity_combination(spark):
     assert got["s8"]["floor_area_m2"] is None
     assert {"f5", "f6"} <= set(got)
     assert got["f5"]["facility_id"] == 5 and got["f5"]["school_id"] is None
-    assert usable_as_peer is not None

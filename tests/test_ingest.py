@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from peerscope.functions import text as X
 from peerscope.operators import linkage as L
 from peerscope.operators import lookup as S
 from peerscope.plans import ingest as I
@@ -198,4 +197,3 @@ def test_file_rules_and_hashes(spark, folder):
     hashes = files.file_hashes(spark, [str(folder / "schools.csv")])
     assert hashes.first()["sha256"] == hashlib.sha256(DIRECTORY.encode()).hexdigest()
     assert len(files.source_hash(hashes).first()["source_hash"]) == 64
-    assert X.stable_hash is not None
