@@ -83,7 +83,8 @@ STREET_WORDS = {
 FILTER_ACCENTS = "àâäáãéèêëíìîïóòôöõúùûüçñ’"
 FILTER_PLAIN = "aaaaaeeeeiiiiooooouuuucn'"
 
-_BLANKS = r"(?U)[\s\x1c-\x1f]+"
+# runs of whitespace other than a lone space, which may stay as it is
+_BLANKS = r"(?U)(?: [\s\x1c-\x1f]+|[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*)"
 
 
 @lru_cache(maxsize=1)
@@ -127,14 +128,16 @@ def fold(value: Column) -> Column:
     source, target, expanded = _folding_tables()
     table = F.create_map(*[F.lit(part) for pair in expanded.items() for part in pair])
 
+    def is_ascii(text: Column) -> Column:
+        return ~text.rlike(r"[^\x00-\x7f]")
+
     def spelled(text: Column) -> Column:
         letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
-        return F.when(text.rlike("[" + "".join(expanded) + "]"), F.array_join(letters, "")).otherwise(text)
+        return F.when(is_ascii(text), text).otherwise(F.array_join(letters, ""))
 
     def plain(text: Column) -> Column:
-        # most texts are plain ASCII and skip the tables
-        ascii_only = ~text.rlike(r"[^\x00-\x7f]")
-        return F.when(ascii_only, text).otherwise(F.translate(spelled(text), source, target))
+        # most texts are ASCII at once, nearly all others after the one-to-one table
+        return F.when(is_ascii(text), text).otherwise(let(F.translate(text, source, target), spelled))
 
     folded = let(F.coalesce(value.cast("string"), F.lit("")), plain)
     return F.lower(F.trim(F.regexp_replace(folded, _BLANKS, " ")))
@@ -214,7 +217,8 @@ def operation_category(value: Column) -> Column:
             .otherwise("other")
         )
 
-    return let(fold(value), category)
+    # the usual spellings need no folding
+    return F.when(F.lower(value).isin("school", "k-12 school"), "school").otherwise(let(fold(value), category))
 
 
 def filter_fold(value: Column) -> Column:

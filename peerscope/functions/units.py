@@ -80,7 +80,8 @@ def convert_quantity(quantity: Column, unit: Column, factors: Mapping[str, float
             (amount.isNull() | (amount == 0) | factor.isNotNull()).alias("recognized"),
         )
 
-    factor = F.try_element_at(table, normalize_header(unit))
+    # usual labels are keys as they stand, so most rows skip the normalisation
+    factor = F.coalesce(F.try_element_at(table, F.lower(unit)), F.try_element_at(table, normalize_header(unit)))
     return let(F.struct(to_float(quantity).alias("amount"), factor.alias("factor")), converted)
 
 

@@ -36,31 +36,29 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables: in the cluster's shared checkpoint folder.
 
-    Used where two branches of a plan must see the same rows (for example offsets computed from a
-    sorted layout and the rows of that layout), so that a lost executor cannot make them disagree.
-    The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is chosen only when the
-    session names none (tests, local runs).
+    The folder is the session's ``spark.checkpoint.dir``; a temporary one is used only in local mode
+    when the session names none. Tables stay until the owner of that folder expires them.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = os.path.join(tempfile.gettempdir(), f"peerscope-checkpoints-{os.getuid()}")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder for written tables: beside the cluster's checkpoints, or temporary in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"peerscope-checkpoints-{os.getuid()}")
     return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing the rows as a table and reading it back.
+
+    Used where several steps read the same costly rows, or must see the very same rows (offsets
+    computed from a sorted layout and the rows of that layout), so that a lost executor cannot make
+    them disagree. A written table is computed once, where a reliable checkpoint without a cache
+    computes its rows twice, and later steps read only the columns they need.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
