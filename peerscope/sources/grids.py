@@ -14,13 +14,20 @@ from peerscope.session import materialize
 HEADER_SCAN_ROWS = 15
 
 
-def _encodings(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """Files per charset: UTF-8 unless a line is not valid UTF-8, then one byte per character."""
+def _formats(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, int], list[str]]:
+    """Files per (charset, width).
+
+    UTF-8 unless a line is not valid UTF-8, then one byte per character. The width is the largest
+    number of separators outside quotes on a line, rounded up to a power of two with room to spare:
+    a schema much wider than the file would dominate the cost of reading it.
+    """
     lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), "value")
-    files = lines.groupBy("file").agg(F.max(~F.is_valid_utf8("value")).alias("broken")).collect()  # one row per file
-    groups: dict[str, list[str]] = {}
-    for row in files:
-        groups.setdefault("ISO-8859-1" if row["broken"] else "UTF-8", []).append(row["file"])
+    separators = F.size(F.split(F.regexp_replace("value", '"[^"]*"', ""), ","))
+    files = lines.groupBy("file").agg(F.max(~F.is_valid_utf8("value")).alias("broken"), F.max(separators).alias("cells"))
+    groups: dict[tuple[str, int], list[str]] = {}
+    for row in files.collect():  # one row per file
+        width = 1 << max(3, int(row["cells"]).bit_length())
+        groups.setdefault(("ISO-8859-1" if row["broken"] else "UTF-8", width), []).append(row["file"])
     return groups
 
 
@@ -35,17 +42,17 @@ def _windows_1252(text: Column) -> Column:
     return F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
 
 
-def read_grids(spark: SparkSession, paths: Sequence[str], sheets_in_folders: bool = False, width: int = 256) -> DataFrame:
+def read_grids(spark: SparkSession, paths: Sequence[str], sheets_in_folders: bool = False) -> DataFrame:
     """(source, sheet, row_no, cells) of CSV files; blank rows are skipped and not numbered.
 
-    Every cell is text and empty cells are NULL; short rows are padded, a row that fills the whole
-    width is an error rather than a silent cut. With ``sheets_in_folders`` the folder is the source
+    Every cell is text and empty cells are NULL; trailing ones are left out. A row that fills the
+    whole schema is an error rather than a silent cut. With ``sheets_in_folders`` the folder is the source
     and its files are sheets. A quoted cell may span lines, so one task reads a file from start to
     end and the row id grows in file order; ids of a file start at its smallest one.
     """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     parts = []
-    for encoding, files in sorted(_encodings(spark, paths).items()):
+    for (encoding, width), files in sorted(_formats(spark, paths).items()):
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
         raw = spark.read.csv(files, schema=schema, header=False, multiLine=True, encoding=encoding, quote='"', escape='"')
         edge = F.when(F.col(f"c{width - 1}").isNotNull(), F.raise_error(F.lit(f"a row has {width} cells or more"))).cast("string")
         cells = F.array(*[F.col(f"c{i}") for i in range(width - 1)], edge)
