@@ -275,13 +275,19 @@ def split_pool(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarr
     return rows[is_peer].reset_index(drop=True), rows[is_target].reset_index(drop=True), own
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0].strip("`") for c in schema.split(", ")]
+
+
 def benchmark_pool(rows: pd.DataFrame) -> pd.DataFrame:
     """Stage and statistics for every target of one pool of bounded size."""
     peers, targets, own = split_pool(rows)
+    if not len(targets):  # nobody compares with this pool
+        return pd.DataFrame(columns=_names(RESULT_SCHEMA))
     stage, batches = cohort_batches(peers, targets, own)
     eui, ghg = peers["eui"].to_numpy(), peers["ghg_intensity"].to_numpy()
     value, own_ghg = targets["eui"].to_numpy(), targets["ghg_intensity"].to_numpy()
-    columns = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
+    columns = _names(RESULT_SCHEMA)
     result = {c: np.full(len(targets), np.nan) for c in columns[4:]}
     result["peer_count"] = np.zeros(len(targets), dtype=np.int64)
     for at, where, left, right, mine in batches:
@@ -355,6 +361,8 @@ def histogram_rows(keys: pd.DataFrame, value, size, ceiling, top, below, upto) -
 def histogram_pool(rows: pd.DataFrame) -> pd.DataFrame:
     """Histogram bins for every target of one pool of bounded size."""
     peers, targets, own = split_pool(rows)
+    if not len(targets):
+        return pd.DataFrame(columns=_names(HISTOGRAM_SCHEMA))
     _, batches = cohort_batches(peers, targets, own)
     eui, value = peers["eui"].to_numpy(), targets["eui"].to_numpy()
     parts = []
@@ -367,8 +375,7 @@ def histogram_pool(rows: pd.DataFrame) -> pd.DataFrame:
         below = np.column_stack([cohort.counts(edges[:, j])[0] for j in range(edges.shape[1])])
         under, equal = cohort.counts(ceiling)
         parts.append(histogram_rows(targets.iloc[where], v, cohort.size, ceiling, top, below, under + equal))
-    columns = ["entity_key", "reporting_year", "bin", "from", "to", "count", "open_ended"]
-    return pd.concat(parts) if parts else pd.DataFrame(columns=columns)
+    return pd.concat(parts) if parts else pd.DataFrame(columns=_names(HISTOGRAM_SCHEMA))
 
 
 def pool_rows(entities: DataFrame, usable: Column) -> DataFrame:
@@ -399,13 +406,12 @@ def pool_rows(entities: DataFrame, usable: Column) -> DataFrame:
 def _per_pool(entities: DataFrame, usable: Column, pool_limit: int, bounded_pool, schema: str, hot_pool) -> DataFrame:
     """Answer pools of a checked size in one task each and larger ones by ``hot_pool``."""
     rows = pool_rows(entities, usable)
-    # pools nobody is compared in (for example '*' where every target has a level) are dropped
-    sizes = rows.groupBy(*POOL_KEYS).agg(F.count("*").alias("_n"), F.max("is_target").alias("_used")).filter("_used")
-    hot = [tuple(r) for r in sizes.filter(F.col("_n") > pool_limit).select(*POOL_KEYS).collect()]  # at most rows / limit
-    sized = rows.join(sizes.select(*POOL_KEYS, "_n"), POOL_KEYS)
-    bounded = sized.filter(F.col("_n") <= pool_limit).drop("_n")
+    sizes = rows.groupBy(*POOL_KEYS).agg(F.count("*").alias("_n"), F.max("is_target").alias("_used"))
+    oversized = sizes.filter(F.col("_n") > pool_limit)
+    listed = oversized.collect()  # at most rows / limit
+    bounded = rows.join(F.broadcast(oversized.select(*POOL_KEYS)), POOL_KEYS, "left_anti") if listed else rows
     result = spread(bounded, *POOL_KEYS).groupBy(*POOL_KEYS).applyInPandas(bounded_pool, schema)
-    for year, category, level in hot:
+    for year, category, level in [tuple(p)[:3] for p in listed if p["_used"]]:
         one = rows.filter((F.col("reporting_year") == year) & (F.col("operation_category") == category) & (F.col("level_key") == level))
         result = result.unionByName(hot_pool(one, pool_limit))
     return result

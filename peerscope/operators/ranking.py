@@ -53,16 +53,10 @@ def exact_quantiles(
     step = 3.0 / accuracy
     points = sorted({max(0.0, q - step) for _, q in qs} | {min(1.0, q + step) for _, q in qs})
     keys = list(keys)
-    counted = (
-        df.select(*keys, finite(value).alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    )
-    sketch = (
-        df.select(*keys, finite(value).alias("_v"))
-        .filter("_v is not null")
-        .groupBy(*keys)
-        .agg(F.count("*").alias("n"), F.percentile_approx("_v", points, accuracy).alias("_s"))
-    )
-    joined = join_null_safe(counted, sketch, keys) if keys else counted.join(sketch, F.lit(True))
+    rows = df.select(*keys, finite(value).alias("_v")).filter("_v is not null")
+    sketch = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", points, accuracy).alias("_s"))
+    # one row per key: broadcast when small, else adaptive execution splits the hot keys of the join
+    joined = join_null_safe(rows, sketch, keys) if keys else rows.join(sketch, F.lit(True))
 
     def edge(q: float) -> Column:
         return F.when(F.col("n") > accuracy, F.col("_s")[points.index(q)])
@@ -73,14 +67,14 @@ def exact_quantiles(
             for name, q in qs
         ]
     )
-    wanted = joined.select(*keys, "n", "_v", "_c", F.explode(brackets).alias("_b")).filter(
+    wanted = joined.select(*keys, "n", "_v", F.explode(brackets).alias("_b")).filter(
         "_b.hi is null or _v <= _b.hi"
     )
     below = F.coalesce(F.col("_v") < F.col("_b.lo"), F.lit(False))
     # one row for all values below the bracket, one per value inside it
     reduced = (
         wanted.groupBy(*keys, "n", F.col("_b.name").alias("_name"), F.col("_b.q").alias("_q"), F.when(~below, F.col("_v")).alias("_v"))
-        .agg(F.sum("_c").alias("_c"))
+        .agg(F.count("*").alias("_c"))
     )
     order = Window.partitionBy(*keys, "_name").orderBy(F.col("_v").asc_nulls_first())
     cumulative = reduced.withColumn("_to", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))

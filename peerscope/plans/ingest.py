@@ -367,7 +367,10 @@ def apply_decisions(overrides: DataFrame, decisions: DataFrame, review: DataFram
     full = F.length("prefix") == 64
     keys = review.select("facility_key").distinct()
     short = decisions.filter(~full).select("prefix").distinct()
-    hits = short.join(keys, F.col("facility_key").startswith(F.col("prefix")), "left")
+    # the few prefix lengths in use turn the search into an equi-join
+    lengths = [r[0] for r in short.select(F.length("prefix")).distinct().collect()]  # at most 64
+    starts = F.array(*[F.substr("facility_key", F.lit(1), F.lit(n)) for n in lengths]).cast("array<string>")
+    hits = short.join(keys.withColumn("prefix", F.explode(starts)), "prefix", "left")
     resolved = hits.groupBy("prefix").agg(F.count("facility_key").alias("n"), F.min("facility_key").alias("facility_key"))
     bad = resolved.filter("n <> 1").limit(5).collect()
     if bad:

@@ -134,7 +134,7 @@ def _(t):
 
 @query(
     "ag7_yearly_totals",
-    VW + """ SELECT reporting_year AS year, count(*) AS facilities, round(sum(total_site_energy_gj) FILTER (NOT list_contains(flags, 'implausible_intensity')), 2) AS energy,
+    VW + """ SELECT reporting_year AS year, count(*) AS facilities, round(sum(total_site_energy_gj) FILTER (NOT list_contains(flags, 'implausible_intensity')), 4) AS energy,
       round(sum(ghg_kg_co2e) FILTER (NOT list_contains(flags, 'implausible_intensity')), 2) AS ghg,
       count(*) FILTER (list_contains(flags, 'implausible_intensity')) AS excluded FROM energy GROUP BY ALL""",
 )
@@ -142,7 +142,7 @@ def _(t):
     from peerscope.plans.reads import yearly_totals
 
     return yearly_totals(V.energy_records(t)).select(
-        "year", "facilities", r("total_energy_gj", 2).alias("energy"), r("total_ghg_kg", 2).alias("ghg"), F.col("excluded_implausible").alias("excluded")
+        "year", "facilities", r("total_energy_gj", 4).alias("energy"), r("total_ghg_kg", 2).alias("ghg"), F.col("excluded_implausible").alias("excluded")
     )
 
 

@@ -212,13 +212,13 @@ def _(t):
 
 @query(
     "jn16_slot_merge",
-    VW + """ SELECT t.year, t.energy, m.median_eui FROM (SELECT reporting_year AS year, round(sum(total_site_energy_gj), 2) AS energy FROM energy GROUP BY ALL) t
+    VW + """ SELECT t.year, t.energy, m.median_eui FROM (SELECT reporting_year AS year, round(sum(total_site_energy_gj), 4) AS energy FROM energy GROUP BY ALL) t
       LEFT JOIN (SELECT reporting_year AS year, round(median(eui), 9) AS median_eui FROM entity_years WHERE reporting_year > 1996 GROUP BY ALL) m USING (year)""",
 )
 def _(t):
     from peerscope.operators.ranking import exact_quantiles
 
-    totals = V.energy_records(t).groupBy(F.col("reporting_year").alias("year")).agg(r(F.sum("total_site_energy_gj"), 2).alias("energy"))
+    totals = V.energy_records(t).groupBy(F.col("reporting_year").alias("year")).agg(r(F.sum("total_site_energy_gj"), 4).alias("energy"))
     e = E.combine_entity_years(V.facility_years(t).filter("reporting_year > 1996")).withColumn("year", F.col("reporting_year"))
     medians = exact_quantiles(e, ["year"], F.col("eui"), {"median_eui": 0.5}).drop("n").withColumn("median_eui", r("median_eui", 9))
     return totals.join(medians, "year", "left")

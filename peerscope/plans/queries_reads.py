@@ -270,25 +270,25 @@ def _(t):
     "rp5_home_stats",
     PM + """, b AS (SELECT count(*) AS benchmarked_schools, count(DISTINCT s.board_number) AS boards, round(median(eui), 9) AS median_eui FROM peer_metrics p JOIN schools s USING (school_id)
         WHERE reporting_year = (SELECT max(reporting_year) FROM peer_metrics) AND eui IS NOT NULL),
-      e AS (SELECT count(*) FILTER (reporting_year = m) AS reporting_facilities, round(sum(total_site_energy_gj) FILTER (reporting_year = m AND NOT list_contains(flags, 'implausible_intensity')), 2) AS total_energy_gj,
+      e AS (SELECT count(*) FILTER (reporting_year = m) AS reporting_facilities, round(sum(total_site_energy_gj) FILTER (reporting_year = m AND NOT list_contains(flags, 'implausible_intensity')), 4) AS total_energy_gj,
         min(reporting_year) AS first_year, count(DISTINCT reporting_year) AS years_of_data, any_value(m) AS latest_year FROM energy, (SELECT max(reporting_year) AS m FROM energy))
       SELECT latest_year, benchmarked_schools, boards, median_eui, reporting_facilities, total_energy_gj, first_year, years_of_data FROM b, e""",
 )
 def _(t):
     home = D.home_stats(V.schools(t), V.energy_records(t), _metrics(t))
-    return home.withColumn("median_eui", r("median_eui", 9)).withColumn("total_energy_gj", r("total_energy_gj", 2))
+    return home.withColumn("median_eui", r("median_eui", 9)).withColumn("total_energy_gj", r("total_energy_gj", 4))
 
 
 @query(
     "rp6_overview_by_year",
     VW + """, m AS (SELECT reporting_year, count(*) AS schools, median(eui) AS med FROM entity_years WHERE school_id IS NOT NULL AND category = 'school' AND eui IS NOT NULL GROUP BY ALL)
-      SELECT e.reporting_year AS year, count(*) AS facilities, round(sum(total_site_energy_gj) FILTER (NOT list_contains(flags, 'implausible_intensity')), 2) AS energy,
+      SELECT e.reporting_year AS year, count(*) AS facilities, round(sum(total_site_energy_gj) FILTER (NOT list_contains(flags, 'implausible_intensity')), 4) AS energy,
         count(*) FILTER (list_contains(flags, 'implausible_intensity')) AS excluded, any_value(schools) AS schools, round(any_value(med), 9) AS median_eui
       FROM energy e LEFT JOIN m ON e.reporting_year = m.reporting_year GROUP BY e.reporting_year""",
 )
 def _(t):
     o = D.overview_by_year(V.energy_records(t), E.combine_entity_years(V.facility_years(t)))
-    return o.select("year", "facilities", r("total_energy_gj", 2).alias("energy"), F.col("excluded_implausible").alias("excluded"), "schools", r("median_eui", 9).alias("median_eui"))
+    return o.select("year", "facilities", r("total_energy_gj", 4).alias("energy"), F.col("excluded_implausible").alias("excluded"), "schools", r("median_eui", 9).alias("median_eui"))
 
 
 @query(
@@ -352,13 +352,13 @@ def _(t):
 
 @query(
     "rp8_board_yearly",
-    VW + """ SELECT board_number, reporting_year AS year, count(*) AS facilities, round(sum(total_site_energy_gj) FILTER (NOT list_contains(flags, 'implausible_intensity')), 2) AS energy,
+    VW + """ SELECT board_number, reporting_year AS year, count(*) AS facilities, round(sum(total_site_energy_gj) FILTER (NOT list_contains(flags, 'implausible_intensity')), 4) AS energy,
       round(sum(ghg_kg_co2e) FILTER (NOT list_contains(flags, 'implausible_intensity')), 2) AS ghg, count(*) FILTER (list_contains(flags, 'implausible_intensity')) AS excluded
       FROM energy JOIN facilities USING (facility_id) GROUP BY ALL""",
 )
 def _(t):
     y = D.board_yearly(V.energy_records(t), V.facilities(t))
-    return y.select("board_number", "year", "facilities", r("total_energy_gj", 2).alias("energy"), r("total_ghg_kg", 2).alias("ghg"), F.col("excluded_implausible").alias("excluded"))
+    return y.select("board_number", "year", "facilities", r("total_energy_gj", 4).alias("energy"), r("total_ghg_kg", 2).alias("ghg"), F.col("excluded_implausible").alias("excluded"))
 
 
 @query(

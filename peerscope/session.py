@@ -43,6 +43,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     when the session names none. Tables stay until the owner of that folder expires them.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = known.get() if known.isDefined() else None
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
