@@ -11,6 +11,7 @@ from peerscope.operators import ranking as R
 from peerscope.operators.trend import trend_as_known, trend_per_entity
 from peerscope.plans import views as V
 from peerscope.plans.registry import joined, query, r
+from peerscope.session import materialize
 
 VW = V.VIEWS_SQL
 
@@ -19,6 +20,11 @@ def _entities(t):
     return E.combine_entity_years(V.facility_years(t))
 
 
+def _stored_entities(t):
+    """Entity-years as a written table, for statistics that scan their input more than once."""
+    return materialize(_entities(t))
+
+
 _FIRST_SQL = """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
      row_number() OVER (PARTITION BY l_partkey, year(l_shipdate) ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) AS rn,
      count(*) OVER (PARTITION BY l_partkey, year(l_shipdate)) AS copies, year(l_shipdate) AS y FROM lineitem)"""
@@ -163,7 +169,7 @@ def _(t):
     VW + " SELECT reporting_year, category AS operation_category, count(eui) AS n, round(median(eui), 9) AS median_eui FROM entity_years GROUP BY ALL",
 )
 def _(t):
-    q = R.exact_quantiles(_entities(t), ["reporting_year", "operation_category"], F.col("eui"), {"m": 0.5})
+    q = R.exact_quantiles(_stored_entities(t), ["reporting_year", "operation_category"], F.col("eui"), {"m": 0.5})
     return q.select("reporting_year", "operation_category", "n", r("m", 9).alias("median_eui"))
 
 
@@ -183,7 +189,7 @@ def _(t):
     VW + " SELECT school_level, reporting_year, count(*) AS schools, round(median(eui), 9) AS median_eui FROM entity_years WHERE school_id IS NOT NULL AND eui IS NOT NULL GROUP BY ALL",
 )
 def _(t):
-    rows = _entities(t).filter("school_id is not null and eui is not null")
+    rows = _stored_entities(t).filter("school_id is not null and eui is not null")
     q = R.exact_quantiles(rows, ["school_level", "reporting_year"], F.col("eui"), {"m": 0.5})
     return q.select("school_level", "reporting_year", F.col("n").alias("schools"), r("m", 9).alias("median_eui"))
 
@@ -249,7 +255,7 @@ def histogram_sql(source: str, bins: int) -> str:
 
 @query("ag15_histogram", VW + ", " + histogram_sql("SELECT eui AS v FROM entity_years", 24))
 def _(t):
-    bins = R.equal_width_bins(_entities(t), [], F.col("eui"))
+    bins = R.equal_width_bins(_stored_entities(t), [], F.col("eui"))
     return bins.withColumn("from", r("from")).withColumn("to", r("to"))
 
 
@@ -307,7 +313,7 @@ def _(t):
 )
 def _(t):
     keys = ["reporting_year", "operation_category"]
-    rows = _entities(t).filter("eui is not null")
+    rows = _stored_entities(t).filter("eui is not null")
     ranks = R.group_percentile_ranks(rows, keys, F.col("eui")).withColumnRenamed("value", "eui")
     return rows.join(ranks, [*keys, "eui"]).select("entity_key", "reporting_year", r("percentile").alias("percentile"))
 
@@ -370,7 +376,7 @@ def _(t):
 def _(t):
     from peerscope.plans.reads import bands
 
-    got = bands(_entities(t), "eui", F.col("eui"))
+    got = bands(_stored_entities(t), "eui", F.col("eui"))
     return got.select("tone", r("min").alias("min"), r("max").alias("max"))
 
 

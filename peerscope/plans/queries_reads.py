@@ -14,6 +14,7 @@ from peerscope.plans import reads as D
 from peerscope.plans import views as V
 from peerscope.plans.queries_groups import YEARLY_SQL
 from peerscope.plans.registry import joined, query, r
+from peerscope.session import materialize
 
 VW, PM = V.VIEWS_SQL, V.PEERS_SQL
 YEAR = 2001
@@ -21,13 +22,16 @@ STAGE_SQL = "CASE stage " + " ".join(f"WHEN {i} THEN '{label}'" for i, (label, _
 
 
 def _metrics(t):
-    return B.peer_metrics(V.facility_years(t), V.DISRUPTED_YEARS)
+    """The result table as production keeps it: written once, then read by the read models."""
+    return materialize(B.peer_metrics(V.facility_years(t), V.DISRUPTED_YEARS))
 
 
-def _statistics(t):
-    from peerscope.session import materialize
+def _stored_entities(t):
+    return materialize(E.combine_entity_years(V.facility_years(t)))
+
 
-    entities = materialize(E.combine_entity_years(V.facility_years(t)))
+def _statistics(t):
+    entities = _stored_entities(t)
     return entities, peer_statistics(entities, U.usable_as_peer(F.col("quality_flags")))
 
 
@@ -80,7 +84,7 @@ def _(t):
         bin = 18 AS open_ended FROM g LEFT JOIN b USING (entity_key, reporting_year, bin) WHERE CASE WHEN ceiling = 0 THEN bin = 0 ELSE bin < 18 OR k > 0 END""",
 )
 def _(t):
-    bins = peer_histograms(E.combine_entity_years(V.facility_years(t)), U.usable_as_peer(F.col("quality_flags")))
+    bins = peer_histograms(_stored_entities(t), U.usable_as_peer(F.col("quality_flags")))
     return bins.withColumn("from", r("from", 9)).withColumn("to", r("to", 9))
 
 
@@ -104,7 +108,7 @@ _SC4 = """ SELECT entity_key, school_id, facility_id, reporting_year, facility_c
 
 @query("sc4_peer_metrics", PM + _SC4.format(stage=STAGE_SQL))
 def _(t):
-    m = _metrics(t)
+    m = B.peer_metrics(V.facility_years(t), V.DISRUPTED_YEARS)
     return m.select(
         "entity_key", "school_id", "facility_id", "reporting_year", "facility_count", "operation_category", "school_level", r("eui", 9).alias("eui"),
         r("ghg_intensity", 9).alias("ghg_intensity"), r("electricity_intensity", 9).alias("electricity_intensity"), "peer_stage", "peer_count",
@@ -287,7 +291,7 @@ def _(t):
       FROM energy e LEFT JOIN m ON e.reporting_year = m.reporting_year GROUP BY e.reporting_year""",
 )
 def _(t):
-    o = D.overview_by_year(V.energy_records(t), E.combine_entity_years(V.facility_years(t)))
+    o = D.overview_by_year(V.energy_records(t), _stored_entities(t))
     return o.select("year", "facilities", r("total_energy_gj", 4).alias("energy"), F.col("excluded_implausible").alias("excluded"), "schools", r("median_eui", 9).alias("median_eui"))
 
 
@@ -297,7 +301,7 @@ def _(t):
       WHERE category = 'school' AND eui IS NOT NULL AND reporting_year = {YEAR} GROUP BY ALL""",
 )
 def _(t):
-    got = D.overview_by(E.combine_entity_years(V.facility_years(t)), YEAR, ["region"], V.schools(t))
+    got = D.overview_by(_stored_entities(t), YEAR, ["region"], V.schools(t))
     return got.select("region", "schools", r("median_eui", 9).alias("median_eui"))
 
 
@@ -307,7 +311,7 @@ def _(t):
       WHERE category = 'school' AND eui IS NOT NULL AND reporting_year = {YEAR} GROUP BY ALL""",
 )
 def _(t):
-    got = D.overview_by(E.combine_entity_years(V.facility_years(t)), YEAR, ["board_name", "board_slug"], V.schools(t), V.boards(t))
+    got = D.overview_by(_stored_entities(t), YEAR, ["board_name", "board_slug"], V.schools(t), V.boards(t))
     return got.select("board_name", "board_slug", "schools", r("median_eui", 9).alias("median_eui"))
 
 
@@ -402,7 +406,7 @@ def _(t):
       FROM entity_years WHERE school_id IS NOT NULL AND category = 'school' AND eui IS NOT NULL AND reporting_year = {YEAR} GROUP BY ALL""",
 )
 def _(t):
-    q = D.distribution_quantiles(E.combine_entity_years(V.facility_years(t)), YEAR)
+    q = D.distribution_quantiles(_stored_entities(t), YEAR)
     return q.select("reporting_year", "n", *[r(c, 9).alias(c) for c in ("q25", "q50", "q75", "q95")])
 
 
