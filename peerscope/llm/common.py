@@ -46,6 +46,17 @@ class WordHashes:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+#: Odd multipliers of splitmix64 (fixed values).
+STEP, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Well mixed 64-bit numbers, one for each number."""
+    x = (x ^ (x >> np.uint64(30))) * MIX1
+    x = (x ^ (x >> np.uint64(27))) * MIX2
+    return x ^ (x >> np.uint64(31))
+
+
 def crc32_of(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
 

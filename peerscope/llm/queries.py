@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from peerscope.llm import common, exact_dedup, packing, token_files
+from peerscope.llm import common, exact_dedup, language, packing, piece_counts, sampled_pieces, token_files
 from peerscope.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,14 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.documents_in(token_files.read_token_files(spark, path))
 
 
+@query
+def op2_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sampled_pieces.encode_sampled(common.documents(spark, folder), model)
+    texts = sampled_pieces.decode(encoded.withColumn("n_pieces", F.size("ids").cast("long")), model)
+    return texts.select("doc_id", "n_pieces", "ids_crc32", (F.crc32("text") == F.col("text_crc32")).alias("lossless"))
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(common.documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
@@ -36,6 +45,18 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(common.documents(spark, folder))
 
 
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.documents(spark, folder)
+    found = language.identify(docs, language.train(docs, ~common.held_out("doc_id", 4)))
+    return found.select("doc_id", common.held_out("doc_id", 4).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_piece_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_counts.piece_counts(common.documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 ORACLES["op6_exact_dedup"] = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
