@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerscope.llm import common, exact_dedup, language, packing, piece_counts, sampled_pieces, token_files
+from peerscope.llm import common, exact_dedup, language, language_model, packing, piece_counts, sampled_pieces, token_files
 from peerscope.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,12 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", common.held_out("doc_id", 4).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    found = language_model.score(common.documents(spark, folder), ~common.held_out("doc_id", 7))
+    return found.select("doc_id", common.held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op10_piece_counts(spark: SparkSession, folder: str) -> DataFrame:
     return piece_counts.piece_counts(common.documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
