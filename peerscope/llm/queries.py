@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerscope.llm import common, exact_dedup, language, language_model, packing, piece_counts, sampled_pieces, token_files
+from peerscope.llm import common, exact_dedup, language, language_model, packing, piece_counts, sampled_pieces, substring_dedup, token_files
 from peerscope.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(common.documents(spark, folder))
 
 
+@query
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeated_spans(common.documents(spark, folder))
+
+
 @query
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.documents(spark, folder)
