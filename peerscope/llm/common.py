@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 #: White space between words, as the contracts define it.
 BLANKS = "\\x20\\x09-\\x0D"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,9 +25,9 @@ def held_out(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % parts == 2
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words of a text with A-Z in lower case; none for null."""
-    return WORD.findall(text.translate(LOWER) if not text.isascii() else text.lower()) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text with A-Z in lower case, in UTF-8; none for null. Bytes split and fold by ASCII rules alone."""
+    return text.encode().lower().split() if text else []
 
 
 class WordHashes:
@@ -37,12 +36,12 @@ class WordHashes:
     def __init__(self, limit: int = 400_000):
         self.limit, self.known = limit, {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.known
         if len(known) > self.limit:
             known.clear()
         for word in set(words).difference(known):
-            known[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+            known[word] = xxhash.xxh3_64_intdigest(word)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
