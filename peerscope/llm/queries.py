@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerscope.llm import common, exact_dedup, language, language_model, ngram_join, packing, piece_counts, sampled_pieces, substring_dedup, token_files
+from peerscope.llm import common, exact_dedup, language, language_model, nearest, ngram_join, packing, piece_counts, sampled_pieces, substring_dedup, token_files
 from peerscope.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_components(common.documents(spark, folder))
 
 
+@query
+def op4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(common.documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
