@@ -128,3 +128,16 @@ def identify(docs: DataFrame, filters: Filters, doc_id: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, filters: Filters, least: float, text: str = "text") -> DataFrame:
+    """The documents whose text is in a learned language with a score of ``least`` at least, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.predict(body.as_py()) for body in batch.column(at)]
+            yield batch.filter(pa.array([name != "und" and score >= least for name, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
