@@ -113,7 +113,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     for start, length in sorted(spans):
         end, blanks = start + length, [i for i in range(start, start + length) if data[i] in b" \t\n\v\f\r"]
         if start > 0 and data[start - 1] not in b" \t\n\v\f\r":
-            start = blanks[0] if blanks else end
+            start = blanks[0] + 1 if blanks else end
         if end < len(data) and data[end] not in b" \t\n\v\f\r":
             end = blanks[-1] + 1 if blanks else start
         if max(start, at) < end:
