@@ -1,12 +1,11 @@
 """Exact order statistics and running sums that never hold one group in one task.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer and a window over a
-group sorts it in one task; both fail when one group holds a third of a large table. Here:
-
-* quantiles: a bounded sketch brackets each wanted position, everything below the bracket collapses
-  to one count on the map side, and only the few values inside the bracket are ordered;
-* running sums: rows are laid out by a range partitioning over (group, order), summed inside each
-  partition, and shifted by the totals of the partitions before.
+group sorts it in one task; both fail when one group holds a third of a large table. Here equal values
+are counted on the map side, the counted values are laid out by a range partitioning over (group,
+value), counts are summed inside each partition and shifted by the totals of the partitions
+before. Quantiles, ranks, deviations and histograms are read from that one stored table, so the
+input is read once.
 """
 
 from __future__ import annotations
@@ -19,8 +18,6 @@ from pyspark.sql import functions as F
 from peerscope.functions.units import finite
 from peerscope.session import materialize
 
-SKETCH_ACCURACY = 10_000
-
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     condition = F.lit(True)
@@ -35,74 +32,63 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, _same(left, renamed, keys), how).drop(*[f"_{k}" for k in keys])
 
 
+def _per_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join a table with one row per key; without keys that is a single row."""
+    return join_null_safe(left, right, keys) if keys else left.join(right, F.lit(True))
+
+
+def ranked_values(df: DataFrame, keys: Sequence[str], value: Column, weight: Column | None = None) -> DataFrame:
+    """Distinct finite values per key: keys, ``_v``, ``_c`` (rows with it), ``_to`` (rows up to it)."""
+    rows = df.select(*keys, finite(value).alias("_v"), (F.lit(1) if weight is None else weight).alias("_w")).filter("_v is not null")
+    counted = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"))
+    return running_sum(counted, keys, ["_v"], "_c", "_to")
+
+
+def quantiles_of(ranked: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float], interpolate: bool = True) -> DataFrame:
+    """``exact_quantiles`` of a table of ``ranked_values``."""
+    keys = list(keys)
+    placed = _per_key(ranked, ranked.groupBy(*keys).agg(F.max("_to").alias("n")), keys)
+    picks = []
+    for name, q in quantiles.items():
+        position = (F.col("n") - 1) * F.lit(float(q))
+        low, high = F.floor(position), F.ceil(position)
+        for end, index in (("lo", low), ("hi", high)):
+            picks.append(F.max(F.when((F.col("_to") - F.col("_c") <= index) & (F.col("_to") > index), F.col("_v"))).alias(f"{name}_{end}"))
+    picked = placed.groupBy(*keys).agg(F.max("n").alias("n"), *picks).filter("n is not null")
+
+    def result(name: str, q: float) -> Column:
+        position = (F.col("n") - 1) * F.lit(float(q))
+        low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        return (low + (high - low) * (position - F.floor(position)) if interpolate else low).alias(name)
+
+    return picked.select(*keys, "n", *[result(name, q) for name, q in quantiles.items()])
+
+
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: Column,
-    quantiles: Mapping[str, float],
-    interpolate: bool = True,
-    accuracy: int = SKETCH_ACCURACY,
+    df: DataFrame, keys: Sequence[str], value: Column, quantiles: Mapping[str, float], interpolate: bool = True
 ) -> DataFrame:
     """One row per key: ``n`` finite values and each named quantile.
 
     ``interpolate`` gives type-7 quantiles; without it the value at floor(q (n - 1)) is returned.
-    The sketch guarantees a rank error of at most n / accuracy, so a bracket of three such steps
-    on both sides contains the wanted positions; groups up to ``accuracy`` rows use their full range.
     """
-    qs = list(quantiles.items())
-    step = 3.0 / accuracy
-    points = sorted({max(0.0, q - step) for _, q in qs} | {min(1.0, q + step) for _, q in qs})
-    keys = list(keys)
-    rows = df.select(*keys, finite(value).alias("_v")).filter("_v is not null")
-    sketch = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", points, accuracy).alias("_s"))
-    # one row per key: broadcast when small, else adaptive execution splits the hot keys of the join
-    joined = join_null_safe(rows, sketch, keys) if keys else rows.join(sketch, F.lit(True))
-
-    def edge(q: float) -> Column:
-        return F.when(F.col("n") > accuracy, F.col("_s")[points.index(q)])
-
-    brackets = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q"), edge(max(0.0, q - step)).alias("lo"), edge(min(1.0, q + step)).alias("hi"))
-            for name, q in qs
-        ]
-    )
-    wanted = joined.select(*keys, "n", "_v", F.explode(brackets).alias("_b")).filter(
-        "_b.hi is null or _v <= _b.hi"
-    )
-    below = F.coalesce(F.col("_v") < F.col("_b.lo"), F.lit(False))
-    # one row for all values below the bracket, one per value inside it
-    reduced = (
-        wanted.groupBy(*keys, "n", F.col("_b.name").alias("_name"), F.col("_b.q").alias("_q"), F.when(~below, F.col("_v")).alias("_v"))
-        .agg(F.count("*").alias("_c"))
-    )
-    order = Window.partitionBy(*keys, "_name").orderBy(F.col("_v").asc_nulls_first())
-    cumulative = reduced.withColumn("_to", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    position = (F.col("n") - 1) * F.col("_q")
-    low, high = F.floor(position), F.ceil(position)
-
-    def at(index: Column) -> Column:
-        return F.max(F.when((F.col("_to") - F.col("_c") <= index) & (F.col("_to") > index), F.col("_v")))
-
-    picked = cumulative.groupBy(*keys, "_name").agg(
-        F.first("n").alias("n"), at(low).alias("_lo"), at(high).alias("_hi"), F.first(position - low).alias("_f")
-    )
-    result = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f") if interpolate else F.col("_lo")
-    return picked.groupBy(*keys).agg(
-        F.first("n").alias("n"), *[F.max(F.when(F.col("_name") == name, result)).alias(name) for name, _ in qs]
-    )
+    return quantiles_of(ranked_values(df, keys, value), keys, quantiles, interpolate)
 
 
 def exact_mad(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     """Median, median absolute deviation and mean absolute deviation per key."""
     keys = list(keys)
-    rows = df.select(*keys, finite(value).alias("_x")).filter("_x is not null")
-    centers = exact_quantiles(rows, keys, F.col("_x"), {"median": 0.5}).drop("n")
-    centered = join_null_safe(rows, centers, keys) if keys else rows.join(centers, F.lit(True))
-    spread = centered.withColumn("_d", F.abs(F.col("_x") - F.col("median")))
-    mads = exact_quantiles(spread, [*keys, "median"], F.col("_d"), {"mad": 0.5})
-    means = spread.groupBy(*keys).agg(F.avg("_d").alias("mean_ad"))
-    return join_null_safe(mads, means, keys) if keys else mads.join(means, F.lit(True))
+    ranked = ranked_values(df, keys, value)
+    centers = quantiles_of(ranked, keys, {"median": 0.5})
+    distance = _per_key(ranked.select(*keys, "_v", "_c"), centers, keys).withColumn("_d", F.abs(F.col("_v") - F.col("median")))
+    mads = exact_deviations(distance, keys)
+    return _per_key(centers, mads, keys)
+
+
+def exact_deviations(distance: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Median and mean of weighted distances (``_d`` with ``_c`` rows each) per key."""
+    ranked = ranked_values(distance, keys, F.col("_d"), F.col("_c"))
+    means = ranked.groupBy(*keys).agg((F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean_ad"))
+    return _per_key(quantiles_of(ranked, keys, {"mad": 0.5}).drop("n"), means, keys)
 
 
 def running_sum(
@@ -160,12 +146,10 @@ def equal_width_bins(
     a single bin; empty bins are listed with count 0.
     """
     keys = list(keys)
-    rows = df.select(*keys, finite(value).alias("_v")).filter("_v >= 0")
-    ceilings = exact_quantiles(rows, keys, F.col("_v"), {"_ceiling": clip}, interpolate=False)
-    ranges = join_null_safe(ceilings, rows.groupBy(*keys).agg(F.max("_v").alias("_max")), keys) if keys else ceilings.join(
-        rows.agg(F.max("_v").alias("_max")), F.lit(True)
-    )
-    placed = join_null_safe(rows, ranges, keys) if keys else rows.join(ranges, F.lit(True))
+    ranked = ranked_values(df.filter(finite(value) >= 0), keys, value)
+    ceilings = quantiles_of(ranked, keys, {"_ceiling": clip}, interpolate=False)
+    ranges = _per_key(ceilings, ranked.groupBy(*keys).agg(F.max("_v").alias("_max")), keys)
+    placed = _per_key(ranked, ranges, keys)
     width = F.col("_ceiling") / bins
     slot = (
         F.when(F.col("_ceiling") == 0, F.lit(0))
@@ -173,7 +157,7 @@ def equal_width_bins(
         .otherwise(F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("_v"), width)).cast("int")))
     )
     # a zero ceiling keeps everything in one closed bin, larger values included
-    counts = placed.groupBy(*keys, slot.alias("bin")).agg(F.count("*").alias("count"))
+    counts = placed.groupBy(*keys, slot.alias("bin")).agg(F.sum("_c").alias("count"))
     grid = ranges.select(
         *keys, "_ceiling", "_max", F.explode(F.when(F.col("_ceiling") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(bins)))).alias("bin")
     )

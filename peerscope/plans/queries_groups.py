@@ -299,8 +299,7 @@ def _(t):
 
 @query("st2_median", "SELECT p_brand, count(*) AS n, round(median(l_extendedprice), 4) AS median FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
 def _(t):
-    # a small accuracy makes every brand use its bracket, as a large group would
-    q = R.exact_quantiles(_prices(t), ["p_brand"], F.col("l_extendedprice"), {"median": 0.5}, accuracy=200)
+    q = R.exact_quantiles(_prices(t), ["p_brand"], F.col("l_extendedprice"), {"median": 0.5})
     return q.select("p_brand", "n", r("median", 4).alias("median"))
 
 

@@ -163,9 +163,10 @@ def _(t):
     return I.attach_coordinates(schools, points, manual, "official")
 
 
-@query("jn13_orphans", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("jn13_orphans", "SELECT DISTINCT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON c_custkey = o_custkey")
 def _(t):
-    return K.orphans(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    finished = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return K.orphans(t.customer.select("c_custkey"), finished, ["c_custkey"]).distinct()
 
 
 def _overrides(t):
@@ -212,16 +213,19 @@ def _(t):
 
 @query(
     "jn16_slot_merge",
-    VW + """ SELECT t.year, t.energy, m.median_eui FROM (SELECT reporting_year AS year, round(sum(total_site_energy_gj), 4) AS energy FROM energy GROUP BY ALL) t
-      LEFT JOIN (SELECT reporting_year AS year, round(median(eui), 9) AS median_eui FROM entity_years WHERE reporting_year > 1996 GROUP BY ALL) m USING (year)""",
+    VW + """ SELECT s.year, t.energy, m.median_eui FROM (SELECT DISTINCT reporting_year AS year FROM energy UNION SELECT 1900) s
+      LEFT JOIN (SELECT reporting_year AS year, round(sum(total_site_energy_gj), 4) AS energy FROM energy GROUP BY ALL) t USING (year)
+      LEFT JOIN (SELECT reporting_year AS year, round(median(eui), 9) AS median_eui FROM entity_years GROUP BY ALL) m USING (year)""",
 )
 def _(t):
     from peerscope.operators.ranking import exact_quantiles
 
     totals = V.energy_records(t).groupBy(F.col("reporting_year").alias("year")).agg(r(F.sum("total_site_energy_gj"), 4).alias("energy"))
-    e = E.combine_entity_years(V.facility_years(t).filter("reporting_year > 1996")).withColumn("year", F.col("reporting_year"))
+    e = E.combine_entity_years(V.facility_years(t)).withColumn("year", F.col("reporting_year"))
     medians = exact_quantiles(e, ["year"], F.col("eui"), {"median_eui": 0.5}).drop("n").withColumn("median_eui", r("median_eui", 9))
-    return totals.join(medians, "year", "left")
+    # a slot for a year that nobody reports stays empty
+    slots = totals.select("year").union(t.spark.sql("SELECT 1900 AS year")).distinct()
+    return slots.join(totals, "year", "left").join(medians, "year", "left")
 
 
 # ---- review lists, decisions --------------------------------------------------------------------
@@ -440,10 +444,10 @@ def _(t):
     return G.unify(parts, ["a", "b"])
 
 
-@query("se4_missing_names", "SELECT p_type AS name FROM part EXCEPT SELECT p_type FROM part WHERE p_size < 3")
+@query("se4_missing_names", "SELECT p_name AS name FROM part EXCEPT SELECT p_name FROM part WHERE p_size < 5")
 def _(t):
-    names = t.part.select(F.col("p_type").alias("name"))
-    return names.distinct().join(t.part.filter("p_size < 3").select(F.col("p_type").alias("name")), "name", "left_anti")
+    names = t.part.select(F.col("p_name").alias("name"))
+    return names.distinct().join(t.part.filter("p_size < 5").select(F.col("p_name").alias("name")), "name", "left_anti")
 
 
 @query(
@@ -508,7 +512,8 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "replace")
     rows = t.orders.select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("reporting_year"))
-    W.replace_table(rows.filter("o_orderkey < 0"), path, ["reporting_year"])
+    # what a full replace must remove: other years and other keys
+    W.replace_table(rows.withColumn("reporting_year", F.col("reporting_year") - F.col("o_orderkey") % 9).withColumn("o_custkey", F.lit(1).cast("long")), path, ["reporting_year"])
     W.replace_table(rows, path, ["reporting_year"])
     return t.spark.read.parquet(path).groupBy("reporting_year").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys"))
 

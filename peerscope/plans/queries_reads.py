@@ -206,9 +206,9 @@ def _(t):
     return _list(t, D.school_filters(active=True)).agg(F.count("*").alias("total"), F.count("eui").alias("reported"))
 
 
-@query("lm3_client_sort", LIST_SQL + f" SELECT {_SHOWN} FROM l WHERE board_number = '3' ORDER BY latest_year DESC NULLS LAST, name, slug LIMIT 1000")
+@query("lm3_client_sort", LIST_SQL + f" SELECT {_SHOWN} FROM l WHERE board_number = '3' ORDER BY latest_year DESC NULLS LAST, name, slug")
 def _(t):
-    return _shown(D.page(_list(t, F.col("board_number") == "3"), "year", True, 1, 1000))
+    return _shown(D.in_order(_list(t, F.col("board_number") == "3"), "year", True))
 
 
 @query("lm5_latest_run", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")

@@ -85,14 +85,16 @@ def school_list(schools: DataFrame, boards: DataFrame, metrics: DataFrame, year:
     return rows if condition is None else rows.filter(condition)
 
 
-def page(rows: DataFrame, sort: str = "name", descending: bool = False, number: int = 1, size: int = 25) -> DataFrame:
-    """One page; missing values come last in both directions, ties by name, then slug.
-
-    Spark keeps only offset + limit rows per task, so no task sorts the whole list.
-    """
+def in_order(rows: DataFrame, sort: str = "name", descending: bool = False) -> DataFrame:
+    """The whole list in order; missing values come last in both directions, ties by name, then slug."""
     column = F.col(SORTS[sort])
     order = column.desc_nulls_last() if descending else column.asc_nulls_last()
-    return rows.orderBy(order, F.col("name"), F.col("slug")).offset((number - 1) * size).limit(size)
+    return rows.orderBy(order, F.col("name"), F.col("slug"))
+
+
+def page(rows: DataFrame, sort: str = "name", descending: bool = False, number: int = 1, size: int = 25) -> DataFrame:
+    """One page of the ordered list. Spark keeps only offset + limit rows per task, so no task sorts the whole list."""
+    return in_order(rows, sort, descending).offset((number - 1) * size).limit(size)
 
 
 def _excluded() -> Column:
