@@ -87,30 +87,42 @@ FILTER_PLAIN = "aaaaaeeeeiiiiooooouuuucn'"
 _BLANKS = r"(?U)(?: [\s\x1c-\x1f]+|[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*)"
 
 
+def _ranges(codes: list[int]) -> str:
+    """A regular-expression class of code points, neighbours joined."""
+    starts = [c for i, c in enumerate(codes) if i == 0 or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i == len(codes) - 1 or codes[i + 1] != c + 1]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
+
+
 @lru_cache(maxsize=1)
-def _folding_tables() -> tuple[str, str, dict[str, str]]:
-    """(from, to) for translate, and the characters that expand to several.
+def _folding_tables() -> tuple[str, str, str, str]:
+    """(from, to) for translate, the table of characters that expand to several, and a pattern of these.
 
-    Derived from the Unicode database: compatibility decomposition without combining marks.
-    Marks themselves are deleted, which translate does for a source without a counterpart.
-    Hangul and CJK compatibility blocks stay as they are.
+    Derived from the whole Unicode database: compatibility decomposition without combining marks.
+    Marks themselves are deleted, which translate does for a source without a counterpart. Hangul
+    syllables are left to arithmetic.
     """
-    blocks = (range(0x80, 0x2E80), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F), range(0x1D400, 0x1D800))
-    source, target, deleted, expanded = [], [], [], {}
-    for block in blocks:
-        for code in block:
-            char = chr(code)
-            plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-            if plain == char:
-                continue
-            if plain == "":
-                deleted.append(char)
-            elif len(plain) == 1:
-                source.append(char)
-                target.append(plain)
-            else:
-                expanded[char] = plain
-    return "".join(source + deleted), "".join(target), expanded
+    source, target, deleted, expanded, several = [], [], [], [], []
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
+        char = chr(code)
+        if HANGUL <= code < HANGUL + 11172 or char == (full := unicodedata.normalize("NFKD", char)) and not unicodedata.combining(char):
+            continue
+        plain = "".join(c for c in full if not unicodedata.combining(c))
+        if plain == "":
+            deleted.append(char)
+        elif len(plain) == 1:
+            source.append(char)
+            target.append(plain)
+        else:
+            several.append(code)
+            expanded.append(f"\x01{char}\x02{plain}")
+    pattern = f"[{_ranges(several)}\\x{{{HANGUL:X}}}-\\x{{{HANGUL + 11171:X}}}]"
+    return "".join(source + deleted), "".join(target), "".join(expanded) + "\x01", pattern
+
+
+# Hangul syllables decompose by arithmetic over 19 leading, 21 middle and 28 closing parts (Unicode, section 3.12)
+HANGUL = 0xAC00
+LEADING, MIDDLE, CLOSING = ("".join(map(chr, range(start, start + n))) for start, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 
 
 def clean_text(value: Column) -> Column:
@@ -125,18 +137,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def fold(value: Column) -> Column:
     """Lower case without accents, whitespace collapsed; NULL becomes the empty string."""
-    source, target, expanded = _folding_tables()
-    table = F.create_map(*[F.lit(part) for pair in expanded.items() for part in pair])
+    source, target, expanded, pattern = _folding_tables()
 
     def is_ascii(text: Column) -> Column:
         return ~text.rlike(r"[^\x00-\x7f]")
 
+    def letter(c: Column) -> Column:
+        at = F.instr(F.lit(expanded), F.concat(F.lit("\x01"), c, F.lit("\x02")))
+        number = F.ascii(c) - HANGUL
+        parts = [(LEADING, F.floor(number / 588)), (MIDDLE, F.floor(number % 588 / 28)), (CLOSING, number % 28 - 1)]
+        syllable = F.concat(*[F.when(k >= 0, F.substr(F.lit(x), (k + 1).cast("int"), F.lit(1))).otherwise("") for x, k in parts])
+        return F.when(at > 0, F.substring_index(F.substr(F.lit(expanded), at + 3), "\x01", 1)).when(number.between(0, 11171), syllable).otherwise(c)
+
     def spelled(text: Column) -> Column:
-        letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
-        return F.when(is_ascii(text), text).otherwise(F.array_join(letters, ""))
+        # few texts hold characters that expand
+        return F.when(text.rlike(pattern), F.array_join(F.transform(F.split(text, ""), letter), "")).otherwise(text)
 
     def plain(text: Column) -> Column:
-        # most texts are ASCII at once, nearly all others after the one-to-one table
+        # most texts are ASCII at once
         return F.when(is_ascii(text), text).otherwise(let(F.translate(text, source, target), spelled))
 
     folded = let(F.coalesce(value.cast("string"), F.lit("")), plain)
