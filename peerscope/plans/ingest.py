@@ -320,30 +320,27 @@ def run_summary(
     return rows.unionByName(unresolved.select(F.lit("unresolved organization").alias("section"), F.col("organization_name").alias("label"), F.lit(1).cast("long").alias("n")))
 
 
-def review_list(facilities: DataFrame, candidates: DataFrame, listed: int = 3) -> DataFrame:
-    """Facilities awaiting a decision, newest first, with their first candidates as text.
-
-    Ambiguous groups may list very many schools; the text shows the first ones and the count, the
-    whole list is in ``candidates``.
-    """
-    order = Window.partitionBy("candidate_group").orderBy("school_number")
-    shown = (
-        candidates.withColumn("_at", F.row_number().over(order))
-        .filter(F.col("_at") <= listed)
-        .groupBy("candidate_group")
-        .agg(F.array_sort(F.collect_list(F.concat_ws(" ", "school_number", "school_name"))).alias("_c"))
-    )
+def review_list(facilities: DataFrame) -> DataFrame:
+    """Facilities awaiting a decision, newest first; ``candidate_group`` leads to the group's candidates."""
     return (
         facilities.filter(F.col("match_status").isin("ambiguous", "unmatched"))
-        .join(shown, "candidate_group", "left")
         .select(
             "facility_key", F.col("match_status").alias("status"), "organization_name", "facility_name", "operation_type", "street",
-            "city", "board_number", "latest_year", "candidate_count", F.coalesce(F.array_join("_c", "; "), F.lit("")).alias("candidates"),
+            "city", "board_number", "latest_year", "candidate_count", "candidate_group",
         )
         .orderBy(F.desc("latest_year"), "facility_key")
     )
 
 
+def review_candidates(review: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Every candidate of the groups under review, one row per (candidate_group, school).
+
+    Facilities of a group share its rows, so nothing is listed once per facility, and no group is cut.
+    """
+    groups = review.select("candidate_group").filter("candidate_group is not null").distinct()
+    return candidates.join(groups, "candidate_group", "left_semi").select("candidate_group", "school_number", "school_name").distinct()
+
+
 def list_unresolved(
     review: DataFrame, status: str | None = None, board: str | None = None, all_years: bool = False, limit: int = 50
 ) -> DataFrame:

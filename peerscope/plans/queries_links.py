@@ -237,20 +237,26 @@ def _review(t):
         "facility_name", "operation_type", "street", "city", "board_number", (F.lit(2000) + F.col("facility_id") % 3).alias("latest_year"),
         F.when(F.col("match_status") == "ambiguous", F.col("board_number")).alias("candidate_group"), F.lit(2).alias("candidate_count"),
     )
-    candidates = V.schools(t).select(F.col("board_number").alias("candidate_group"), "school_number", F.col("name").alias("school_name"))
-    return I.review_list(facilities, candidates)
+    return I.review_list(facilities)
 
 
 @query(
     "lm4_review_list",
-    VW + """, c AS (SELECT board_number, array_to_string(list_sort(list(t)), '; ') AS candidates FROM (SELECT board_number, school_number || ' ' || name AS t,
-        row_number() OVER (PARTITION BY board_number ORDER BY school_number) AS rn FROM schools) WHERE rn <= 3 GROUP BY ALL),
-      v AS (SELECT sha256(CAST(facility_id AS VARCHAR)) AS facility_key, match_status AS status, f.board_number, 2000 + facility_id % 3 AS latest_year,
-        CASE WHEN match_status = 'ambiguous' THEN coalesce(candidates, '') ELSE '' END AS candidates FROM facilities f LEFT JOIN c USING (board_number) WHERE match_status IN ('ambiguous', 'unmatched'))
-      SELECT * FROM v WHERE latest_year = 2002 ORDER BY facility_key LIMIT 50""",
+    VW + """ SELECT sha256(CAST(facility_id AS VARCHAR)) AS facility_key, match_status AS status, board_number, 2000 + facility_id % 3 AS latest_year,
+        CASE WHEN match_status = 'ambiguous' THEN board_number END AS candidate_group
+      FROM facilities WHERE match_status IN ('ambiguous', 'unmatched') AND facility_id % 3 = 2 ORDER BY facility_key LIMIT 50""",
 )
 def _(t):
-    return I.list_unresolved(_review(t)).select("facility_key", "status", "board_number", "latest_year", "candidates")
+    return I.list_unresolved(_review(t)).select("facility_key", "status", "board_number", "latest_year", "candidate_group")
+
+
+@query(
+    "lm4_review_candidates",
+    VW + " SELECT DISTINCT board_number AS candidate_group, school_number, name AS school_name FROM schools WHERE board_number IN (SELECT board_number FROM facilities WHERE match_status = 'ambiguous')",
+)
+def _(t):
+    candidates = V.schools(t).select(F.col("board_number").alias("candidate_group"), "school_number", F.col("name").alias("school_name"))
+    return I.review_candidates(_review(t), candidates)
 
 
 @query(
