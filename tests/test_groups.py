@@ -18,11 +18,10 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "k string, v double").repartition(8)
 
 
-@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
-def test_exact_quantiles(skewed, accuracy):
+def test_exact_quantiles(skewed):
     rows, df = skewed
     qs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.99, "e": 1.0}
-    got = {r["k"]: r for r in ranking.exact_quantiles(df, ["k"], F.col("v"), qs, accuracy=accuracy).collect()}
+    got = {r["k"]: r for r in ranking.exact_quantiles(df, ["k"], F.col("v"), qs).collect()}
     groups = {}
     for k, v in rows:
         if v == v:
@@ -49,37 +48,40 @@ def test_group_percentile_ranks(skewed):
         assert r["percentile"] == pytest.approx((below + equal / 2) / (len(values) - 1) * 100)
 
 
-def test_histogram(spark):
-    values = [i / 100 for i in range(99)] + [50.0]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    bins = ranking.equal_width_bins(df, [], F.col("v"), bins=10).orderBy("bin").collect()
-    assert (bins[-1]["count"], bins[-1]["open_ended"]) == (1, True)
-    assert sum(b["count"] for b in bins) == 100
-    zero = ranking.equal_width_bins(spark.createDataFrame([(0.0,), (0.0,)], "v double"), [], F.col("v")).collect()
-    assert [(z["from"], z["to"], z["count"], z["open_ended"]) for z in zero] == [(0.0, 0.0, 2, False)]
-
+def test_quantiles_of_one_global_group_and_a_hot_key(spark):
+    rng = random.Random(31)
+    rows = [("hot" if i % 100 else "rare", rng.choice([float(rng.randrange(40)), rng.gauss(0, 5)])) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    qs = {"low": 0.013, "mid": 0.5, "top": 0.999}
+    whole = ranking.exact_quantiles(df, [], F.col("v"), qs).first()
+    values = [v for _, v in rows]
+    assert whole["n"] == len(values) and [whole[name] for name in qs] == [pytest.approx(np.quantile(values, q)) for q in qs.values()]
+    for r in ranking.exact_mad(df, ["k"], F.col("v")).collect():
+        own = np.array([v for k, v in rows if k == r["k"]])
+        away = np.abs(own - np.median(own))
+        assert (r["median"], r["mad"], r["mean_ad"]) == (pytest.approx(np.median(own)), pytest.approx(np.median(away)), pytest.approx(away.mean()))
+    floors = ranking.exact_quantiles(df.filter("v > 1e9"), ["k"], F.col("v"), qs).collect()
+    assert floors == []
 
-def candidates(count, start=1, area=10000.0, hours=60.0, category="school", level="secondary"):
-    return [(f"s{start + i}", 2020, category, level, area, hours, 0.5 + i * 0.01, None, True) for i in range(count)]
 
-
-SCHEMA = "entity_key string, reporting_year int, operation_category string, school_level string, floor_area_m2 double, weekly_hours double, eui double, ghg_intensity double, ok boolean"
+def test_deviations_read_their_input_once(spark, tmp_path):
+    spark.range(500).selectExpr("id % 7 AS k", "cast(id * id % 101 AS double) AS v").write.parquet(str(tmp_path / "in"))
+    plan = ranking.exact_mad(spark.read.parquet(str(tmp_path / "in")), ["k"], F.col("v"))._jdf.queryExecution().toString()
+    assert str(tmp_path) not in plan  # what is left reads the stored counts
 
 
-def select(spark, peers, hours=60.0):
-    target = ("s0", 2020, "school", "secondary", 10000.0, hours, 0.8, None, True)
-    df = spark.createDataFrame([target, *peers], SCHEMA)
-    return cohort.peer_statistics(df, F.col("ok")).filter("entity_key = 's0'").first()
+def test_histogram(spark):
+    rng = random.Random(12)
+    for bins, clip in ((24, 0.99), (7, 0.8)):
+        values = [rng.expovariate(0.4) for _ in range(700)]
+        rows = ranking.equal_width_bins(spark.createDataFrame([(v,) for v in values + [-3.0]], "v double"), [], F.col("v"), bins=bins, clip=clip).orderBy("bin").collect()
+        top = sorted(values)[int(clip * (len(values) - 1))]
+        want = [sum(1 for v in values if v <= top and min(bins - 1, int(v / (top / bins))) == b) for b in range(bins)] + [sum(v > top for v in values)]
+        assert [r["count"] for r in rows] == want and [r["open_ended"] for r in rows] == [False] * bins + [True]
+        assert rows[-1]["from"] == top and rows[-1]["to"] == max(values)
 
 
-def test_stage_selection(spark):
-    assert tuple(select(spark, candidates(25))[2:4]) == (0, 25)
-    mixed = candidates(20) + candidates(5, 100, category="other") + candidates(5, 200, level="elementary")
-    assert tuple(select(spark, mixed)[2:4]) == (0, 20)
-    assert tuple(select(spark, candidates(12) + candidates(10, 100, area=18000.0))[2:4]) == (2, 22)
-    assert select(spark, candidates(20), hours=None)["peer_stage"] == 1
-    assert tuple(select(spark, candidates(12))[2:4]) == (0, 12)
-    assert tuple(select(spark, candidates(9))[2:4]) == (-1, 0)
+SCHEMA = "entity_key string, reporting_year int, operation_category string, school_level string, floor_area_m2 double, weekly_hours double, eui double, ghg_intensity double, ok boolean"
 
 
 def random_entities(n, seed):
@@ -149,49 +151,65 @@ def test_hot_pool_equals_bounded_pool(spark):
     assert (whole["count"] >= 0).all()
 
 
-def record(facility, school=None, year=2023, **change):
-    base = dict(
-        facility_id=facility, school_id=school, reporting_year=year, operation_type="K-12 School", school_level="elementary", match_confidence=1.0,
-        total_site_energy_gj=5000.0, floor_area_m2=5000.0, ghg_kg_co2e=100000.0, electricity_kwh=400000.0, weekly_hours=50.0, quality_flags=[],
-    )
-    return {**base, **change}
-
-
 RECORD = (
     "facility_id long, school_id long, reporting_year int, operation_type string, school_level string, match_confidence double, "
     "total_site_energy_gj double, floor_area_m2 double, ghg_kg_co2e double, electricity_kwh double, weekly_hours double, quality_flags array<string>"
 )
 
 
-def metrics(spark, records):
-    rows = peer_metrics(spark.createDataFrame(records, RECORD)).collect()
-    return {(r["school_id"], r["reporting_year"]): r for r in rows}
-
-
-def test_benchmark_of_thirty_schools(spark):
-    years = [2017, 2018, 2019, 2022, 2023]
-    records = [record(100 + i, 100 + i, y, total_site_energy_gj=5000 * (0.5 + i * 0.02)) for y in years for i in range(30)]
-    records += [record(1, 1, floor_area_m2=None), record(2, 2, total_site_energy_gj=999999.0, quality_flags=["negative_energy_value"])]
-    records += [record(200 + i, 200 + i, school_level="secondary") for i in range(5)]
-    got = metrics(spark, records)
-    top, bottom = got[(129, 2023)], got[(100, 2023)]
-    assert (top["peer_count"], top["eui_percentile"]) == (29, 100) and top["energy_gap_gj"] > 0
-    assert (bottom["eui_percentile"], bottom["energy_gap_gj"]) == (0, 0)
-    assert got[(110, 2023)]["trend_years"] == years and got[(110, 2018)]["trend_years"] == []
-    assert got[(1, 2023)]["opportunity_score"] is None and "floor area" in got[(1, 2023)]["score_reasons"][0]
-    assert got[(2, 2023)]["opportunity_score"] is None and got[(2, 2023)]["eui_percentile"] == 100
-    assert got[(200, 2023)]["peer_count"] == 0
+def records(seed=19):
+    rng = random.Random(seed)
+    out = []
+    for school in range(1, 46):
+        for year in (2014, 2015, 2016, 2019):
+            area = rng.uniform(900, 4000)
+            flags = ["negative_energy_value"] if school == 7 and year == 2019 else []
+            out.append((1000 + school, school, year, "School", rng.choice(["elementary", "elementary", "secondary"]) if school % 9 else None, 1.0,
+                        area * rng.uniform(0.2, 2.0), None if school == 5 else area, area * rng.uniform(5, 60), area * 80.0, 44.0, flags))
+    return out
+
+
+def test_benchmark_equals_brute_force(spark):
+    rows = records()
+    got = {(r["school_id"], r["reporting_year"]): r for r in peer_metrics(spark.createDataFrame(rows, RECORD)).collect()}
+    assert set(got) == {(r[1], r[2]) for r in rows}
+    entities = [(f"s{r[1]}", r[2], "school", r[4], r[7], r[10], r[6] / r[7], r[8] / r[7], not r[11]) for r in rows if r[7]]
+    for year in (2014, 2015, 2016, 2019):
+        now = [e for e in entities if e[1] == year]
+        for t in now:
+            stage, peers = brute([e for e in now if e[8] or e[0] == t[0]], t)
+            r = got[int(t[0][1:]), year]
+            assert r["peer_count"] == len(peers)
+            if len(peers) < 10:
+                assert r["opportunity_score"] is None
+                continue
+            euis = np.array([p[6] for p in peers])
+            assert r["eui_percentile"] == pytest.approx(100 * ((euis < t[6]).sum() + (euis == t[6]).sum() / 2) / len(peers))
+            area = next(x[7] for x in rows if (x[1], x[2]) == (int(t[0][1:]), year))
+            assert r["energy_gap_gj"] == pytest.approx(max(0, t[6] - np.median(euis)) * area)
+            assert (r["opportunity_score"] is None) == (not t[8])
+    assert all(got[5, y]["opportunity_score"] is None and got[5, y]["eui"] is None for y in (2014, 2019))
+    assert got[3, 2019]["trend_years"] == [2014, 2015, 2016, 2019] and got[3, 2015]["trend_years"] == []
 
 
 def test_entity_combination(spark):
     from peerscope.operators.entities import combine_entity_years
 
-    rows = [record(1, 9, total_site_energy_gj=3000.0, floor_area_m2=4000.0), record(2, 9, total_site_energy_gj=1000.0, floor_area_m2=1000.0, match_confidence=0.95)]
-    rows += [record(3, 8), record(4, 8, floor_area_m2=None), record(5), record(6)]
+    rng = random.Random(23)
+    rows = []
+    for facility in range(1, 31):
+        school = rng.choice([None, 1, 2, 3, 4, 5, 6])
+        rows.append((facility, school, 2017, "School", "secondary", rng.choice([1.0, 0.9]), rng.choice([None, rng.uniform(10, 900)]), rng.choice([None, *[rng.uniform(100, 900)] * 4]), 1.0, 2.0, 40.0, []))
     got = {r["entity_key"]: r for r in combine_entity_years(spark.createDataFrame(rows, RECORD)).collect()}
-    s = got["s9"]
-    assert (s["facility_count"], s["total_site_energy_gj"], s["floor_area_m2"], s["match_confidence"], s["weekly_hours"]) == (2, 4000, 5000, 0.95, None)
-    assert "multiple_facilities_combined" in s["quality_flags"]
-    assert got["s8"]["floor_area_m2"] is None
-    assert {"f5", "f6"} <= set(got)
-    assert got["f5"]["facility_id"] == 5 and got["f5"]["school_id"] is None
+    groups = {}
+    for r in rows:
+        groups.setdefault(f"f{r[0]}" if r[1] is None else f"s{r[1]}", []).append(r)
+    assert set(got) == set(groups)
+    for key, members in groups.items():
+        r = got[key]
+        assert r["facility_count"] == len(members) and r["match_confidence"] == min(m[5] for m in members)
+        for column, at in (("total_site_energy_gj", 6), ("floor_area_m2", 7)):
+            parts = [m[at] for m in members]
+            assert r[column] == (None if None in parts else pytest.approx(sum(parts)))
+        assert ("multiple_facilities_combined" in r["quality_flags"]) == (len(members) > 1)
+        assert (r["school_id"] is None) == (members[0][1] is None)
