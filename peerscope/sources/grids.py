@@ -12,23 +12,13 @@ from peerscope.functions.text import clean_text, normalize_header
 from peerscope.session import materialize
 
 HEADER_SCAN_ROWS = 15
+CELL = r',("(?:[^"]++|"")*+"|[^,]*+)'
+BYTE_ORDER_MARK = "\u00ef\u00bb\u00bf"  # UTF-8's, as three characters of one byte
 
 
-def _formats(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, int], list[str]]:
-    """Files per (charset, width).
-
-    UTF-8 unless a line is not valid UTF-8, then one byte per character. The width is the largest
-    number of separators outside quotes on a line, rounded up to a power of two with room to spare:
-    a schema much wider than the file would dominate the cost of reading it.
-    """
-    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), "value")
-    separators = F.size(F.split(F.regexp_replace("value", '"[^"]*"', ""), ","))
-    files = lines.groupBy("file").agg(F.max(~F.is_valid_utf8("value")).alias("broken"), F.max(separators).alias("cells"))
-    groups: dict[tuple[str, int], list[str]] = {}
-    for row in files.collect():  # one row per file
-        width = 1 << max(3, int(row["cells"]).bit_length())
-        groups.setdefault(("ISO-8859-1" if row["broken"] else "UTF-8", width), []).append(row["file"])
-    return groups
+def _unquoted(cell: Column) -> Column:
+    inner = F.replace(F.substr(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
+    return F.when(F.startswith(cell, F.lit('"')) & (F.length(cell) > 1), inner).otherwise(cell)
 
 
 def _windows_1252(text: Column) -> Column:
@@ -45,35 +35,32 @@ def _windows_1252(text: Column) -> Column:
 def read_grids(spark: SparkSession, paths: Sequence[str], sheets_in_folders: bool = False) -> DataFrame:
     """(source, sheet, row_no, cells) of CSV files; blank rows are skipped and not numbered.
 
-    Every cell is text and empty cells are NULL; trailing ones are left out. A row that fills the
-    whole schema is an error rather than a silent cut. With ``sheets_in_folders`` the folder is the source
-    and its files are sheets. A quoted cell may span lines, so one task reads a file from start to
-    end and the row id grows in file order; ids of a file start at its smallest one.
+    Every cell is text and empty cells are NULL; trailing ones are left out. A record of any width keeps
+    all its cells: the reader only finds where records end, and their raw text is split here. A file is
+    UTF-8 unless one of its records is not valid UTF-8, then it has one byte per character. With
+    ``sheets_in_folders`` the folder is the source and its files are sheets. A quoted cell may span
+    lines, so one task reads a file from start to end and the row id grows in file order; ids of a
+    file start at its smallest one.
     """
-    parts = []
-    for (encoding, width), files in sorted(_formats(spark, paths).items()):
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-        raw = spark.read.csv(files, schema=schema, header=False, multiLine=True, encoding=encoding, quote='"', escape='"')
-        edge = F.when(F.col(f"c{width - 1}").isNotNull(), F.raise_error(F.lit(f"a row has {width} cells or more"))).cast("string")
-        cells = F.array(*[F.col(f"c{i}") for i in range(width - 1)], edge)
-        text = F.transform(cells, _windows_1252) if encoding != "UTF-8" else cells
-        parts.append(raw.select(F.col("_metadata.file_path").alias("path"), text.alias("cells")))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    last = F.array_max(F.transform("cells", lambda c, i: F.when(c != "", i + 1)))
-    rows = (
-        rows.withColumn("_last", last)
-        .filter("_last is not null")
-        .withColumn("cells", F.transform(F.slice("cells", F.lit(1), F.col("_last")), lambda c: F.nullif(F.translate(c, "\ufeff", ""), F.lit(""))))
-        .drop("_last")
-        .withColumn("_id", F.monotonically_increasing_id())
+    # with a single column every wider record counts as malformed, and its text is kept whole
+    schema = T.StructType([T.StructField("only", T.StringType()), T.StructField("record", T.StringType())])
+    raw = spark.read.csv(
+        list(paths), schema=schema, header=False, multiLine=True, encoding="ISO-8859-1", quote='"', escape='"', columnNameOfCorruptRecord="record", maxCharsPerColumn=-1
     )
-    first = rows.groupBy("path").agg(F.min("_id").alias("_first"))
+    as_bytes = F.encode(F.coalesce("record", "only"), "ISO-8859-1")
+    only, record = (F.regexp_replace(c, "\r$", "").alias(c) for c in ("only", "record"))  # of lines that end in two characters
+    rows = raw.select(F.col("_metadata.file_path").alias("path"), only, record, (~F.is_valid_utf8(as_bytes.cast("string"))).alias("broken"))
+    rows = rows.withColumn("_cells", F.when(F.col("record").isNull(), F.array("only")).otherwise(F.transform(F.regexp_extract_all(F.concat(F.lit(","), "record"), F.lit(CELL), F.lit(1)), _unquoted)))
+    last = F.array_max(F.transform("_cells", lambda c, i: F.when(F.translate(c, BYTE_ORDER_MARK, "") != "", i + 1)))
+    rows = rows.withColumn("_last", last).filter("_last is not null").withColumn("_id", F.monotonically_increasing_id())
+    files = rows.groupBy("path").agg(F.min("_id").alias("_first"), F.max("broken").alias("_one_byte"))
+    rows = rows.join(files, "path")
+    text = F.transform(F.slice("_cells", F.lit(1), F.col("_last")), lambda c: F.when(F.col("_one_byte"), _windows_1252(c)).otherwise(F.encode(c, "ISO-8859-1").cast("string")))
+    rows = rows.withColumn("cells", F.transform(text, lambda c: F.nullif(F.translate(c, "\ufeff", ""), F.lit(""))))
     name = F.element_at(F.split("path", "/"), -1)
     folder = F.element_at(F.split("path", "/"), -2)
     decoded = F.url_decode(F.replace(folder if sheets_in_folders else name, F.lit("+"), F.lit("%2B")))
-    return rows.join(first, "path").select(
+    return rows.select(
         decoded.alias("source"),
         F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("sheet"),
         (F.col("_id") - F.col("_first")).alias("row_no"),

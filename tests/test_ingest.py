@@ -156,6 +156,17 @@ def test_old_layout_and_encoding(spark, folder):
         grids.read_records(spark, [str(folder / "schools.csv")], I.C.ENERGY_ALIASES, I.C.ENERGY_REQUIRED)
 
 
+def test_grids_lose_no_cell(spark, tmp_path):
+    rows = [["a\nb", "", 'say "hi"', *[""] * 4, "", *[str(i) for i in range(12)], "z\n,z"], ["x"], ["", ""], ["é", "", "last", ""], [f"c{i}" for i in range(300)]]
+    write(tmp_path / "wide.csv", rows)
+    write(tmp_path / "old.csv", [["naïve – “q”", "é,é"]], "cp1252")
+    got = {}
+    for r in grids.read_grids(spark, [str(tmp_path / "wide.csv"), str(tmp_path / "old.csv")]).orderBy("row_no").collect():
+        got.setdefault(r["source"], []).append([c or "" for c in r["cells"]])
+    want = [[*row[: max(i for i, c in enumerate(row) if c) + 1]] for row in rows if any(row)]
+    assert got == {"wide.csv": want, "old.csv": [["naïve – “q”", "é,é"]]}
+
+
 def test_overrides_and_decisions(spark, run):
     name = next(r["name"] for r in REPORTS if r["kind"] == "ambiguous")
     key, chosen, schools = run.facilities.filter(F.col("facility_name") == name).first()["facility_key"], SCHOOLS[1][0], run.schools
