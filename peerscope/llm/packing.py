@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.llm.common import crc32_of
-from peerscope.llm.tokens import Encoder
+from peerscope.llm.tokens import encoder
 from peerscope.session import materialize
 
 END = 2
@@ -88,7 +88,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, doc_id: str = "
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, items = Encoder(vocabulary, keeps_space=True), []
+        encode, items = encoder(vocabulary, True), []
         for batch in batches:
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(body.as_py(), END)

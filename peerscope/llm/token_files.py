@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peerscope.llm.common import crc32_of, partitions
-from peerscope.llm.tokens import Encoder
+from peerscope.llm.tokens import encoder
 
 BLOCK, SEGMENT, END = 4096, 1 << 18, 2
 SEGMENTS = pa.schema(
@@ -86,7 +86,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, doc_id: str =
     """
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(vocabulary, keeps_space=False)
+        encode = encoder(vocabulary, False)
         bits = max(1, int(encode.whole.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         part, number, before = TaskContext.get().partitionId(), 0, 0
         ids: list[np.ndarray] = []

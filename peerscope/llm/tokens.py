@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
 #: The white space of Unicode's White_Space property, as the tokenizers' patterns see it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Letters that every normaliser here leaves alone but for their case; words of these, digits and marks are simple.
+#: Letters that every normaliser here leaves alone but for their case; texts of these, ASCII and line breaks are simple.
 LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
-SIMPLE = re.compile(f" ?[{LETTERS}0-9!\"#$%&()*+,\\-./:;<=>?@\\[\\]^_`{{|}}~]+")
+SIMPLE = re.compile(f"[\\t\\n\\r -~{LETTERS}]*")
+#: The word patterns of the two vocabularies' files, for simple texts.
+DROPS_SPACE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\t\\n\\r {LETTERS}0-9]+")
+KEEPS_SPACE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\\t\\n\\r {LETTERS}0-9]+|[\\t\\n\\r ]+(?![^\\t\\n\\r ])|[\\t\\n\\r ]+")
 
 
 def byte_symbols() -> dict[int, str]:
@@ -22,56 +26,66 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Memory:
+    """What a function gives for each distinct word, for the ``limit`` to 2 x ``limit`` words used last."""
+
+    def __init__(self, function, limit: int):
+        self.function, self.limit, self.now, self.before = function, limit, {}, {}
+
+    def __call__(self, words: list[str]) -> map:
+        new = set(words).difference(self.now)
+        if new:
+            if len(self.now) > self.limit:
+                self.before, self.now = self.now, {}
+                new = set(words)
+            now, before = self.now, self.before
+            for word in new:
+                found = before.get(word)
+                now[word] = self.function(word) if found is None else found
+        return map(self.now.__getitem__, words)
+
+
 class Encoder:
-    """Ids of whole texts, equal to the library's, through a bounded memory of words.
+    """Ids of whole texts, equal to the library's.
 
-    A text is cut where its tokenizer always cuts: at blanks, which the vocabulary drops with the case (``keeps_space`` false),
-    or before each run of white space (``keeps_space`` true). Words of Latin letters, digits and marks go straight to the
-    library's merges, others through its whole chain; both are remembered until ``limit`` words are known, then the
-    memory starts anew. Strings of special tokens in a text are ordinary text.
+    A simple text is cut by the vocabulary's own pattern, and each distinct part goes to the library's merges once. Any other text is cut
+    where its tokenizer always cuts, at blanks that the vocabulary drops (``keeps_space`` false) or before each run of white
+    space, and each distinct piece goes through the library's whole chain once. Strings of special tokens in a text are
+    ordinary text.
     """
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 400_000):
+    def __init__(self, path: str, keeps_space: bool, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.merges = self.whole.model
-        self.keeps_space, self.limit, self.known, self.parts = keeps_space, limit, {}, {}
+        self.merges, self.keeps_space = self.whole.model, keeps_space
         symbols = byte_symbols()
         self.symbols = {c: "".join(symbols[b] for b in chr(c).encode()) for c in range(256)}
-        if keeps_space:
-            self.cut = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
-            self.split = re.compile(f" ?[{LETTERS}]+| ?[0-9]+| ?[^ {LETTERS}0-9]+").findall
-        else:
-            self.cut = lambda text: text.split(" ")
-            self.split = re.compile(f"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+").findall
+        self.parts, self.pieces = Memory(self._part, limit), Memory(self._piece, limit // 4)
+        self.split = (KEEPS_SPACE if keeps_space else DROPS_SPACE).findall
+        self.cut = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall if keeps_space else lambda text: text.split(" ")
 
     def _part(self, part: str) -> tuple[int, ...]:
-        ids = self.parts.get(part)
-        if ids is None:
-            symbols = part if part.isascii() and part[0] != " " else part.translate(self.symbols)
-            ids = self.parts[part] = tuple([t.id for t in self.merges.tokenize(symbols)])
-        return ids
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        if not word:
-            return ()
-        if len(word) > 200 or not SIMPLE.fullmatch(word):
-            return tuple(self.whole.encode(word, add_special_tokens=False).ids)
-        return tuple(chain.from_iterable(map(self._part, self.split(word if self.keeps_space else word.lower()))))
+        symbols = part if part.isascii() and part.isalnum() else part.translate(self.symbols)
+        return tuple([t.id for t in self.merges.tokenize(symbols)])
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        return tuple(self.whole.encode(piece, add_special_tokens=False).ids)
 
     def __call__(self, text: str | None, *end: int) -> np.ndarray:
         """The ids of one text (null: empty), and the given end ids."""
-        words = self.cut(text) if text else []
-        known = self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) + len(new) > self.limit or len(self.parts) > self.limit:
-                known.clear()
-                self.parts.clear()
-                new = set(words)
-            for word in new:
-                known[word] = self._word(word)
-        return np.fromiter(chain(chain.from_iterable(map(known.__getitem__, words)), end), np.uint32)
+        if not text:
+            ids = ()
+        elif SIMPLE.fullmatch(text):
+            ids = self.parts(self.split(text if self.keeps_space else text.lower()))
+        else:
+            ids = self.pieces(self.cut(text))
+        return np.fromiter(chain(chain.from_iterable(ids), end), np.uint32)
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, keeps_space: bool) -> Encoder:
+    """One per Python worker, so that later tasks find its words."""
+    return Encoder(path, keeps_space)
