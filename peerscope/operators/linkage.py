@@ -9,6 +9,7 @@ threshold (see ``similar_name_pairs``).
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -62,6 +63,12 @@ def _numbered(parts: Column) -> Column:
     )
 
 
+def _letters(name: str) -> Column:
+    """The characters of a token-sorted name, each with its occurrence's number."""
+    text = sorted_words(F.col(name))
+    return _numbered(F.filter(F.split(text, ""), lambda c: c != ""))
+
+
 def _prefix_tokens(names: DataFrame, threshold: float, split: int) -> DataFrame:
     """(block, name, route, token, need): every token of a name, with the shared count it must reach.
 
@@ -126,15 +133,25 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float) -> D
         .select("block", "route", "token", F.col("name").alias(f"{side}_name"), F.length(sorted_words(F.col("name"))).alias(f"_{side}"))
         for side, rows in sides.items()
     }
+    # lengths of a similar couple differ by (2 - t) / t at most, so its bands are equal or neighbours
+    step = math.log((2 - threshold) / threshold)
+
+    def band(length: str) -> Column:
+        return F.floor(F.log(F.col(length).cast("double")) / step).cast("int")
+
     total = F.col("_left") + F.col("_right")
     shortest = 2 * F.least(F.col("_left"), F.col("_right"))
+    lefts = prefixes["left"].withColumn("band", band("_left"))
+    rights = prefixes["right"].withColumn("band", F.explode(F.sequence(band("_right") - 1, band("_right") + 1)))
     met = (
-        prefixes["left"]
-        .join(prefixes["right"], ["block", "route", "token"])
+        lefts.join(rights, ["block", "route", "token", "band"])
         .filter((shortest >= total * threshold - 1e-9) & F.when(F.col("route") == "char", total < split).otherwise(total >= split))
-        .select("block", "left_name", "right_name")
+        .select("block", "left_name", "right_name", "_left", "_right")
     )
     met = spread(met, "block", "left_name", "right_name").distinct()
+    # couples whose letters, whatever their order, already differ too much are not scored
+    common = F.size(F.array_intersect(_letters("left_name"), _letters("right_name")))
+    met = met.filter(2 * common >= total * threshold - 1e-9).drop("_left", "_right")
     return met.withColumn("score", similarity(F.col("left_name"), F.col("right_name"), threshold)).filter(F.col("score") >= threshold)
 
 

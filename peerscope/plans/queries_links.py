@@ -141,8 +141,13 @@ def _(t):
 
 @query("ud1_similar_name_pairs")
 def _(t):
-    left = t.customer.select(F.col("c_nationkey").cast("string").alias("block"), X.normalize_school_name(F.concat(V.pseudo_word(F.col("c_custkey"), 1, 6), F.lit(" Public School"))).alias("name"))
-    right = t.supplier.select(F.col("s_nationkey").cast("string").alias("block"), X.normalize_school_name(F.concat(V.pseudo_word(F.col("s_suppkey"), 1, 5), F.lit(" Public School"))).alias("name"))
+    def names(key, nation):
+        # two made-up words of varying length; no word that all names share
+        words = F.concat(V.pseudo_word(key, 1, 6), F.lit(" "), F.substr(V.pseudo_word(key % 500, 9, 9), F.lit(1), (4 + key % 5).cast("int")))
+        return F.col(nation).cast("string").alias("block"), X.normalize_school_name(words).alias("name")
+
+    left = t.customer.select(*names(F.col("c_custkey"), "c_nationkey"))
+    right = t.supplier.select(*names(F.col("s_suppkey"), "s_nationkey"))
     return L.similar_name_pairs(left, right, 0.75).withColumn("score", r("score"))
 
 

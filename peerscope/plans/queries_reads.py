@@ -88,9 +88,16 @@ def _(t):
     return bins.withColumn("from", r("from", 9)).withColumn("to", r("to", 9))
 
 
-@query("fl7_map_predicate", VW + " SELECT slug FROM schools WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND school_level IS NOT NULL")
+@query(
+    "fl7_map_predicate",
+    VW + f""" SELECT slug FROM schools JOIN entity_years USING (school_id) JOIN boards USING (board_number)
+      WHERE reporting_year = {YEAR} AND eui IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL""".replace("SELECT slug", "SELECT schools.slug"),
+)
 def _(t):
-    return V.schools(t).dropna(subset=["latitude", "longitude", "school_level"]).select("slug")
+    metrics = _stored_entities(t).select(
+        "school_id", "reporting_year", "eui", F.lit(None).cast("double").alias("eui_percentile"), F.lit(None).cast("int").alias("opportunity_score"), "ghg_intensity"
+    )
+    return D.map_points(V.schools(t), V.boards(t), metrics, YEAR).select("slug")
 
 
 _SC4 = """ SELECT entity_key, school_id, facility_id, reporting_year, facility_count, category AS operation_category, school_level, round(eui, 9) AS eui,
@@ -196,6 +203,14 @@ def _(t):
     return _shown(_list(t, condition))
 
 
+@query("fl5_board_and_region", LIST_SQL + f" SELECT {_SHOWN} FROM l WHERE region = (SELECT min(region) FROM schools) AND board_slug = (SELECT min(board_slug) FROM l WHERE region = (SELECT min(region) FROM schools))")
+def _(t):
+    rows = _list(t)
+    region = V.schools(t).agg(F.min("region")).first()[0]
+    board = rows.filter(F.col("region") == region).agg(F.min("board_slug")).first()[0]
+    return _shown(rows.filter(D.school_filters(board=board, region=region)))
+
+
 @query("lm1_page_ascending", LIST_SQL + f" SELECT {_SHOWN} FROM l ORDER BY opportunity_score ASC NULLS LAST, name, slug LIMIT 40 OFFSET 0")
 def _(t):
     return _shown(D.page(_list(t), "score", False, 1, 40))
