@@ -39,8 +39,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for written tables: in the cluster's shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is used only in local mode
-    when the session names none. Tables stay until the owner of that folder expires them.
+    The folder is the session's ``spark.checkpoint.dir``; only a local session that names none gets a temporary one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -53,8 +52,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> str:
+    """Have a written scratch table removed when the driver ends; nothing can read it any longer then."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing the rows as a table and reading it back.
+    """Cut lineage by writing the rows as a table and reading it back; the table goes when the driver ends.
 
     Used where several steps read the same costly rows, or must see the very same rows (offsets
     computed from a sorted layout and the rows of that layout), so that a lost executor cannot make
@@ -64,4 +70,4 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(drop_at_exit(spark, path))
