@@ -17,10 +17,6 @@ class Pieces:
     log_p: dict[str, float]
     byte_log_p: float
 
-    @property
-    def byte_of(self) -> dict[int, int]:
-        return {i: b for b, i in enumerate(self.byte_ids)}
-
 
 @lru_cache(maxsize=2)
 def load_pieces(path: str) -> Pieces:

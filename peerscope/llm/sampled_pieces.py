@@ -27,11 +27,11 @@ from peerscope.llm.pieces import MARK, Pieces, load_pieces
 LITERAL = "\ud800"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*")
 POINT = 21  # bits of a code point
-UNITS_AT_ONCE = 200_000
+UNITS_AT_ONCE = 100_000
 
 
 class Trie:
-    """The pieces' trie as sorted (node, code point) keys; per node its piece (or -1) and that piece's log weight."""
+    """The pieces' trie: a hash table from (node, code point) to nodes; per node its piece (or -1) and that piece's log weight."""
 
     def __init__(self, pieces: Pieces, alpha: float):
         self.pieces, self.alpha = pieces, alpha
@@ -46,12 +46,34 @@ class Trie:
                     weight.append(0.0)
                 node = to[key]
             piece[node], weight[node] = pieces.ids[text], alpha * log_p
-        self.keys = np.array(sorted(to), dtype=np.int64)
-        self.to = np.array([to[k] for k in self.keys.tolist()], dtype=np.int64)
-        self.piece, self.weight = np.array(piece, dtype=np.int64), np.array(weight)
+        self.slot_bits = (4 * len(to)).bit_length()
+        self.keys, self.to = np.full((1 << self.slot_bits) + 64, -1, dtype=np.int64), np.full((1 << self.slot_bits) + 64, -1, dtype=np.int64)
+        for key, slot in zip(to, self.slots(np.array(list(to), dtype=np.int64)).tolist(), strict=True):
+            while self.keys[slot] >= 0:  # the next free slot; the last ones are in reserve beyond the table
+                slot += 1
+            self.keys[slot], self.to[slot] = key, to[key]
+        self.piece, self.weight = np.array(piece, dtype=np.int32), np.array(weight)
         self.first_byte = len(pieces.texts)  # codes from here on: a character (less this) as its bytes
 
 
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * STEP) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+
+    def go(self, keys: np.ndarray) -> np.ndarray:
+        """The node after each (node, code point), or -1."""
+        slots = self.slots(keys)
+        found = self.keys[slots]
+        out = np.where(found == keys, self.to[slots], -1)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            slots[open_] += 1
+            found = self.keys[slots[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.to[slots[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+
 class Lattices:
     """The filtered lattices of distinct words. Nodes of word w are its character positions plus w; edges are grouped by end node."""
 
@@ -59,32 +81,32 @@ class Lattices:
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         ends = lengths.cumsum()
-        word = np.repeat(np.arange(len(words)), lengths)
-        stop = ends[word]
-        alive = np.arange(len(codes))
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        stop = ends[word].astype(np.int32)
+        alive = np.arange(len(codes), dtype=np.int32)
         state, alone = np.zeros(len(codes), dtype=np.int64), np.zeros(len(codes), dtype=bool)
         found = []
         for k in range(1, 1 + int(lengths.max(initial=0))):
             key = state << POINT | codes[alive + k - 1]
-            at = np.minimum(np.searchsorted(trie.keys, key), len(trie.keys) - 1)
-            on = trie.keys[at] == key
-            alive, state = alive[on], trie.to[at[on]]
+            to = trie.go(key)
+            on = to >= 0
+            alive, state = alive[on], to[on]
             hit = trie.piece[state] >= 0
-            found.append((alive[hit], np.full(int(hit.sum()), k), trie.piece[state[hit]], trie.weight[state[hit]]))
+            found.append((alive[hit], np.full(int(hit.sum()), k, dtype=np.int32), trie.piece[state[hit]], trie.weight[state[hit]]))
             if k == 1:
                 alone[alive[hit]] = True
             more = alive + k < stop[alive]
             alive, state = alive[more], state[more]
             if not len(alive):
                 break
-        rest = np.flatnonzero(~alone)
+        rest = np.flatnonzero(~alone).astype(np.int32)
         points = np.where(codes[rest] == ord(LITERAL), ord(MARK), codes[rest])
-        found.append((rest, np.ones(len(rest), dtype=np.int64), trie.first_byte + points, trie.alpha * trie.pieces.byte_log_p * utf8_length(points)))
+        found.append((rest, np.ones(len(rest), dtype=np.int32), (trie.first_byte + points).astype(np.int32), trie.alpha * trie.pieces.byte_log_p * utf8_length(points)))
         start, length, self.code, weight = (np.concatenate(x) for x in zip(*found, strict=True))
         self.source = start + word[start]
         target = self.source + length
-        level = start + length - (ends - lengths)[word[start]]
-        order = np.lexsort((target, level))
+        level = start + length - (ends - lengths).astype(np.int32)[word[start]]
+        order = np.argsort(level * np.int64(len(codes) + len(words) + 1) + target, kind="stable")
         self.source, self.code, weight, target, level = self.source[order], self.code[order], weight[order], target[order], level[order]
         self.first = np.flatnonzero(np.diff(target, prepend=-1))
         nodes = target[self.first]
@@ -115,7 +137,11 @@ class Lattices:
         while len(alive):
             draw = (mixed(seeds[alive] + np.array([len(steps) + 1], dtype=np.uint64) * STEP) >> np.uint64(11)) * 2.0**-53
             group = self.group[node]
-            edge = np.clip(np.searchsorted(self.running, group + draw, "right"), self.first[group], self.last[group])
+            edge, last, aim = self.first[group], self.last[group], group + draw
+            on = np.flatnonzero((self.running[edge] <= aim) & (edge < last))
+            while len(on):  # a node has few edges
+                edge[on] += 1
+                on = on[(self.running[edge[on]] <= aim[on]) & (edge[on] < last[on])]
             steps.append((alive, self.code[edge]))
             node = self.source[edge]
             on = ~self.is_start[node]
@@ -170,10 +196,17 @@ def sampled(trie: Trie, texts: list[str], keys: list[int]) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in out]
 
 
-def decoded(ids: list[int], pieces: Pieces, byte_of: dict[int, int]) -> str:
+def byte_table(pieces: Pieces) -> list[bytes]:
+    """The bytes that each id stands for."""
+    table = [text.replace(MARK, " ").encode() for text in pieces.texts]
+    for byte, i in enumerate(pieces.byte_ids):
+        table[i] = bytes((byte,))
+    return table
+
+
+def decoded(ids: list[int], table: list[bytes]) -> str:
     """The text that was encoded."""
-    parts = [bytes((byte_of[i],)) if i in byte_of else pieces.texts[i].replace(MARK, " ").encode() for i in ids]
-    return b"".join(parts).decode()[1:]
+    return b"".join([table[i] for i in ids]).decode()[1:]
 
 
 def encode_sampled(docs: DataFrame, model: str, alpha: float = 0.5, seed: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,14 +219,14 @@ def encode_sampled(docs: DataFrame, model: str, alpha: float = 0.5, seed: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(load_pieces(model), alpha)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                keys, bodies = part.column(0).to_pylist(), [x or "" for x in part.column(1).to_pylist()]
-                ids = sampled(trie, bodies, [xxhash.xxh3_64_intdigest(f"{seed}:{key}") for key in keys])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([crc32_of(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.encode()) for x in bodies], pa.int64())],
-                    ["doc_id", "ids", "ids_crc32", "text_crc32"],
-                )
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                bodies = [x or "" for x in part.column(1).to_pylist()]
+                ids = sampled(trie, bodies, [xxhash.xxh3_64_intdigest(f"{seed}:{key}") for key in part.column(0).to_pylist()])
+                ends = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))
+                sums = pa.array([crc32_of(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.encode()) for x in bodies], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, *sums], ["doc_id", "ids", "ids_crc32", "text_crc32"])
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(encode, "doc_id long, ids array<int>, ids_crc32 long, text_crc32 long")
 
@@ -203,10 +236,10 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", text: str = "text")
     kept = [c for c in encoded.columns if c not in (ids, text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load_pieces(model)
-        byte_of = pieces.byte_of
+        table = byte_table(load_pieces(model))
         for batch in batches:
-            texts = [None if x is None else decoded(x, pieces, byte_of) for x in batch.column(len(kept)).to_pylist()]
+            lists = batch.column(len(kept))
+            texts = [decoded(x.values.to_numpy().tolist(), table) if x.is_valid else None for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], [*kept, text])
 
     rows = encoded.select(*kept, ids)
