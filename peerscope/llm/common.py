@@ -66,3 +66,18 @@ def frame(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+HOT = 1000
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """Join (inner or left) with a stored table that has one row per key and the number of its rows.
+
+    The HOT keys with the largest counts, and no more, are broadcast; any other key has at most one HOT-th of all rows, so no
+    task of the sort-merge join gets one that is too large. The table grows with the rows, so it is never broadcast whole.
+    """
+    hot = table.orderBy(F.desc(count), key).limit(HOT)
+    names = F.broadcast(hot.select(key))
+    cold = rows.join(names, key, "left_anti").join(table.join(names, key, "left_anti").hint("merge"), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)

@@ -6,7 +6,8 @@
    ``salts`` places.
 3. The salts' winners are combined. Both groupings are by the whole normalised text beside the digest.
 
-The text of a group is thus moved once per task that read it, whatever the group's size; nothing is collected.
+The commonest digests (a fixed number) are broadcast to the rows, all others meet them by shuffle, so no task gets the rows of
+a large group; nothing is collected.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerscope.llm.common import BLANKS
+from peerscope.llm.common import BLANKS, join_skewed
+from peerscope.session import materialize
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
@@ -26,17 +28,16 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{BLANKS}]+", " ").alias("body"))
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("body"), 256)))
-    repeated = rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    repeated = materialize(rows.groupBy("digest").agg(F.count("*").alias("rows")).filter("rows > 1"))
     salted = (
-        rows.join(repeated, "digest", "left_semi")
+        join_skewed(rows, repeated, "digest", "rows")
         .withColumn("salt", F.spark_partition_id() % salts)
         .groupBy("digest", "body", "salt")
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
     )
     groups = salted.groupBy("digest", "body").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")).drop("body")
     return (
-        rows.drop("body")
-        .join(groups, "digest", "left")
+        join_skewed(rows.drop("body"), materialize(groups), "digest", "group_size", "left")
         .select(
             "doc_id",
             F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
