@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerscope.llm import common, exact_dedup, language, language_model, nearest, ngram_join, packing, piece_counts, sampled_pieces, substring_dedup, token_files
-from peerscope.session import scratch_path
+from peerscope.session import drop_at_exit, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +24,7 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
 def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     token_files.write_token_files(common.documents(spark, folder), path, public_tokenizers.path("word_bpe_49k.json"))
-    return token_files.documents_in(token_files.read_token_files(spark, path))
+    return token_files.documents_in(token_files.read_token_files(spark, drop_at_exit(spark, path)))
 
 
 @query
