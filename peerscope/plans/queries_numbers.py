@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from peerscope.functions import stats as S
-from peerscope.functions import text as X
 from peerscope.functions import units as U
 from peerscope.operators.score import data_confidence, opportunity_score
 from peerscope.plans import views as V
