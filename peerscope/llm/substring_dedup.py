@@ -6,8 +6,8 @@ digests. The document with the smallest id keeps a chunk; in others, runs of nei
 ``shortest_run`` bytes are cut out, and shorter runs (common phrases) stay. Two different chunks that share a digest change
 nothing unless the whole run does.
 
-Shuffles carry a digest with two ids for each distinct chunk of a task, and a digest with its place for each chunk; texts are
-moved only where spans are cut out.
+Shuffles carry a digest with two ids for each distinct chunk of a task, and a digest with its place for each chunk, the commonest
+chunks (a fixed number) apart, which are broadcast; texts are moved only where spans are cut out.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from peerscope.llm.common import join_skewed
+from peerscope.session import materialize
+
 WINDOW = 16
 #: A number for each byte value, from a fixed seed.
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -96,9 +99,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     document. An empty table gives no rows; further columns are ignored.
     """
     found = chunks(docs.filter(F.col(doc_id).isNotNull()), doc_id, text)
-    holders = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
-    repeated = holders.filter(F.col("first_doc_id") < F.col("last")).drop("last")
-    later = found.join(repeated, "digest").filter(F.col("doc_id") > F.col("first_doc_id"))
+    holders = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    repeated = materialize(holders.filter(F.col("first_doc_id") < F.col("last")).drop("last"))
+    later = join_skewed(found, repeated, "digest", "n").filter(F.col("doc_id") > F.col("first_doc_id"))
     later = later.select("doc_id", "start", (F.col("start") + F.col("length")).alias("end"), "first_doc_id")
     in_text = Window.partitionBy("doc_id").orderBy("start", "end")
     new_run = F.coalesce(F.lag("end").over(in_text) < F.col("start"), F.lit(True)).cast("int")
