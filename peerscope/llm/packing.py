@@ -1,19 +1,20 @@
-"""Best-fit packing of token pieces into sequences, by rounds.
+"""Best-fit packing of token pieces into sequences, from counts by length.
 
-Every task cuts its documents into pieces and packs them by best fit, largest first, and emits all bins but the
-``carry`` emptiest. Two bins that are at most half full are always one after best fit, so a task has one such bin at most:
-what merging can still save is among the emptiest. The carried bins are the items of the next round, which runs best fit
-in one ``fan``-th of the tasks, until one task is left. A task of a later round reads at most fan x carry bins.
+Pieces of one length are alike for best fit, so what it does with all pieces of the corpus follows from how many there are of each
+length: at most ``capacity`` numbers. Tasks cut documents and store pieces by length; the driver runs best fit, largest first, over the
+counts, with equal bins as one group; every piece then reads its sequence and offset from its rank among those of its length.
+The sequences are those of one best fit over all pieces, however these are dealt, and no task holds more than a batch.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerscope.llm.common import crc32_of
@@ -21,9 +22,12 @@ from peerscope.llm.tokens import encoder
 from peerscope.session import materialize
 
 END = 2
-PIECE = pa.struct([(k, pa.int64()) for k in ("doc_id", "piece", "start", "length", "ids_crc32", "offset")])
-BIN = pa.schema([("sequence_id", pa.int64()), ("fill", pa.int64()), ("final", pa.bool_()), ("pieces", pa.list_(PIECE))])
-BIN_DDL = "sequence_id long, fill long, final boolean, pieces array<struct<doc_id long, piece long, start long, length long, ids_crc32 long, offset long>>"
+PIECE = pa.struct([(k, pa.int64()) for k in ("doc_id", "piece", "start", "ids_crc32")])
+PILE = pa.schema([("pile", pa.int64()), ("length", pa.int64()), ("n", pa.int64()), ("pieces", pa.list_(PIECE))])
+PILE_DDL = "pile long, length long, n long, pieces array<struct<doc_id long, piece long, start long, ids_crc32 long>>"
+PLACED_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+#: Pieces that a task holds, and that a stored row has, at most.
+HELD, PILED = 50_000, 4_000
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -57,26 +61,44 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _laid(pieces: list[dict]) -> list[dict]:
-    ends = np.cumsum([0, *(p["length"] for p in pieces)]).tolist()
-    return [p | {"offset": at} for p, at in zip(pieces, ends, strict=False)]
+def planned(counts: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
+    """Best fit of so many pieces of each length: for a length, rows (first rank, first sequence, pieces in each sequence, offset).
 
+    Groups of sequences with equal contents are split in three by a length at most, so the plan's size depends on ``capacity`` alone.
+    """
+    groups: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # (first sequence, sequences) by room left
+    some, sequences, plan = 0, 0, {}
+
+    def put(room: int, first: int, n: int) -> None:
+        nonlocal some
+        if room and n:
+            groups[room].append((first, n))
+            some |= 1 << room
 
-def _emit(round_no: int, items: list[tuple[int, list]], capacity: int, carry: int) -> Iterator[pa.RecordBatch]:
-    bins = [(sum(items[i][0] for i in b), b) for b in best_fit([size for size, _ in items], capacity)]
-    bins.sort(key=lambda x: x[0])
-    base = (round_no << 56) | (TaskContext.get().partitionId() << 32)
-    for at in range(0, len(bins), 5000):
-        part = bins[at : at + 5000]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([base + at + i for i in range(len(part))], pa.int64()),
-                pa.array([fill for fill, _ in part], pa.int64()),
-                pa.array([at + i >= carry or fill == capacity for i, (fill, _) in enumerate(part)], pa.bool_()),
-                pa.array([_laid([p for i in b for p in items[i][1]]) for _, b in part], pa.list_(PIECE)),
-            ],
-            schema=BIN,
-        )
+    for size in sorted(counts, reverse=True):
+        left, rank, rows = counts[size], 0, []
+        while left:
+            fitting = some >> size
+            if fitting:
+                room = size + (fitting & -fitting).bit_length() - 1
+                first, n = groups[room].pop()
+                if not groups[room]:
+                    some ^= 1 << room
+            else:
+                room, first, n = capacity, sequences, -(-left // (capacity // size))
+                sequences += n
+            each = room // size
+            full = min(n, left // each)
+            last = left - full * each if full < n else 0  # what goes into one more sequence
+            for at, some_of, pieces in ((first, full, each), (first + full, min(last, 1), last)):
+                if some_of:
+                    rows.append((rank, at, pieces, capacity - room))
+                    put(room - pieces * size, at, some_of)
+                    rank, left = rank + some_of * pieces, left - some_of * pieces
+            taken = full + min(last, 1)
+            put(room, first + taken, n - taken)
+        plan[size] = np.array(rows, dtype=np.int64)
+    return plan
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text", carry: int = 64, fan: int = 16) -> DataFrame:
@@ -85,31 +107,47 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, doc_id: str = "
     A document is the byte-level ids of its whole text (null: empty) and an end id; only longer ones than ``capacity`` are cut,
     and only their first piece may be shorter. Sequences are gapless from offset 0. Each row is a document of its own, so rows
     that repeat (null ids too) are packed as often as they occur. An empty table gives no rows; further columns are ignored.
+    ``carry`` and ``fan`` belonged to packing by rounds; callers may still give them, and they change nothing.
     """
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, items = encoder(vocabulary, True), []
+    def pile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, held, size, row = encoder(vocabulary, True), defaultdict(list), 0, TaskContext.get().partitionId() << 32
+
+        def piled() -> pa.RecordBatch:
+            nonlocal row
+            rows = [(length, found[at : at + PILED]) for length, found in held.items() for at in range(0, len(found), PILED)]
+            row += len(rows)
+            columns = [range(row - len(rows), row), [length for length, _ in rows], [len(found) for _, found in rows], [found for _, found in rows]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PILE, strict=True)], schema=PILE)
+
         for batch in batches:
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(body.as_py(), END)
                 for n, (start, length) in enumerate(cut(len(ids), capacity)):
-                    items.append((length, [{"doc_id": key, "piece": n, "start": start, "length": length, "ids_crc32": crc32_of(ids[start : start + length])}]))
-        yield from _emit(0, items, capacity, carry)
-
-    def again(round_no: int):
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = [(r["fill"], r["pieces"]) for batch in batches for r in batch.to_pylist()]
-            yield from _emit(round_no, items, capacity, carry)
-
-        return merge
-
-    bins = materialize(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(first, BIN_DDL))
-    done = bins.filter("final")
-    tasks = bins.agg(F.count_distinct(F.shiftright("sequence_id", 32))).first()[0]
-    round_no = 0
-    while tasks > 1:
-        tasks, round_no = -(-tasks // fan), round_no + 1
-        bins = materialize(bins.filter("not final").coalesce(tasks).mapInArrow(again(round_no), BIN_DDL))
-        done = done.unionByName(bins.filter("final"))
-    pieces = done.unionByName(bins.filter("not final")).select("sequence_id", F.explode("pieces").alias("p"))
-    return pieces.select("p.doc_id", F.col("p.piece").cast("int").alias("piece"), "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset")
+                    held[length].append({"doc_id": key, "piece": n, "start": start, "ids_crc32": crc32_of(ids[start : start + length])})
+                    size += 1
+                if size >= HELD:
+                    yield piled()
+                    held.clear()
+                    size = 0
+        if size:
+            yield piled()
+
+    piles = materialize(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(pile, PILE_DDL))
+    counts = {r["length"]: r["n"] for r in piles.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    plan = docs.sparkSession.sparkContext.broadcast(planned(counts, capacity))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for length, rank, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                p, rows = pieces.values, plan.value[length]
+                ranks = rank + np.arange(len(p))
+                first_rank, sequence, each, offset = rows[np.searchsorted(rows[:, 0], ranks, "right") - 1].T
+                nth = ranks - first_rank
+                places = [pa.array(sequence + nth // each), pa.array(offset + nth % each * length)]
+                columns = [p.field("doc_id"), p.field("piece").cast(pa.int32()), p.field("start"), pa.array(np.full(len(p), length)), p.field("ids_crc32"), *places]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    before = Window.partitionBy("length").orderBy("pile").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = piles.select("pile", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank"))
+    return piles.join(ranks, "pile").select("length", "rank", "pieces").mapInArrow(place, PLACED_DDL)

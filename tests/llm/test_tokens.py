@@ -104,6 +104,29 @@ def test_packing(docs, no_docs):
     assert packing.pack(no_docs, BYTE_BPE).count() == 0
 
 
+def test_packing_does_not_depend_on_how_documents_are_dealt(spark):
+    draw = random.Random(8)
+    rows = [(i, "a " * (draw.randint(148, 158) if i < 600 else draw.randint(88, 96))) for i in range(1200)]
+    table = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")  # two parts of long texts, two of short ones
+    found = packing.pack(table, BYTE_BPE, capacity=256).collect()
+    assert len(found) == 1200 and {r["piece"] for r in found} == {0}
+    assert len({r["sequence_id"] for r in found}) == len(packing.best_fit([r["length"] for r in found], 256))
+
+
+def test_planned_packing_equals_best_fit():
+    for seed in range(40):
+        draw = random.Random(seed)
+        capacity = draw.choice([1, 7, 64, 1024])
+        sizes = [draw.randint(1, draw.choice([capacity, -(-capacity // 3)])) for _ in range(draw.randint(1, 400))]
+        fills = Counter()
+        for size, n in Counter(sizes).items():
+            rows = packing.planned(Counter(sizes), capacity)[size]
+            for rank in range(n):
+                first, sequence, each, _ = rows[np.searchsorted(rows[:, 0], rank, "right") - 1]
+                fills[sequence + (rank - first) // each] += size
+        assert sorted(fills.values()) == sorted(sum(sizes[i] for i in b) for b in packing.best_fit(sizes, capacity))
+
+
 def test_best_fit_leaves_one_half_empty_bin():
     sizes = [random.Random(5).randint(1, 1024) for _ in range(3000)]
     bins = packing.best_fit(sizes, 1024)
