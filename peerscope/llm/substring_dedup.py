@@ -27,6 +27,8 @@ WINDOW = 16
 #: A number for each byte value, from a fixed seed.
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 MASK_BITS, LONGEST, SHORTEST_RUN = 5, 256, 100
+#: A span moves to a blank over so many bytes at most.
+NEAR = 32
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -111,14 +113,19 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """A text without the given spans (start, length in bytes), each shrunk to whole words."""
+    """A text without the given spans (start, length in bytes), each shrunk to whole words, or to whole characters if no blank is near its end."""
     data, out, at = text.encode(), [], 0
     for start, length in sorted(spans):
-        end, blanks = start + length, [i for i in range(start, start + length) if data[i] in b" \t\n\v\f\r"]
-        if start > 0 and data[start - 1] not in b" \t\n\v\f\r":
-            start = blanks[0] + 1 if blanks else end
-        if end < len(data) and data[end] not in b" \t\n\v\f\r":
-            end = blanks[-1] + 1 if blanks else start
+        end = min(start + length, len(data))
+        blanks = [i for i in (*range(start, min(start + NEAR, end)), *range(max(start, end - NEAR), end)) if data[i] in b" \t\n\v\f\r"]
+        if 0 < start < end and data[start - 1] not in b" \t\n\v\f\r":
+            start = blanks[0] + 1 if blanks and blanks[0] < start + NEAR else start
+            while start < end and data[start] & 0xC0 == 0x80:
+                start += 1
+        if start < end < len(data) and data[end] not in b" \t\n\v\f\r":
+            end = blanks[-1] + 1 if blanks and blanks[-1] >= end - NEAR else end
+            while start < end and data[end] & 0xC0 == 0x80:
+                end -= 1
         if max(start, at) < end:
             out.append(data[at : max(start, at)])
             at = end

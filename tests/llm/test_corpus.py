@@ -163,6 +163,15 @@ def test_repeated_passages(spark, docs, no_docs):
     assert substring_dedup.repeated_spans(no_docs).count() == 0
 
 
+def test_passages_without_blanks_are_cut():
+    before, passage, after = "中文" * 40, "日本語の文章" * 20, "ไทย" * 40
+    at, length = len(before.encode()), len(passage.encode())
+    assert substring_dedup.without(before + passage + after, [(at, length)]) == before + after
+    assert substring_dedup.without(before + passage + after, [(at + 1, length - 2)]) == before + passage[0] + passage[-1] + after  # inside of characters
+    assert substring_dedup.without(f"{before} x{passage}y {after}", [(at + 2, length)]) == f"{before} xy {after}"
+    assert substring_dedup.without("one two three four", [(2, 13)]) == "one four"
+
+
 def test_nearest(spark):
     draw = np.random.default_rng(1)
     x = draw.normal(size=(600, 24)) * draw.uniform(0.5, 2, (600, 1))
