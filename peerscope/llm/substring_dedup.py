@@ -1,13 +1,16 @@
-"""Passages that repeat across documents, found by content-defined chunks.
+"""Passages of whole words that stand in an earlier document too, found by all their windows of 100 bytes.
 
-A gear hash rolls over the bytes of a text; a chunk ends where some of its bits are zero (or at ``longest`` bytes), so cuts depend
-on the last WINDOW bytes only and an insertion moves no cut beyond the next ones. Chunks are compared by their 64-bit
-digests. The document with the smallest id keeps a chunk; in others, runs of neighbouring repeated chunks of at least
-``shortest_run`` bytes are cut out, and shorter runs (common phrases) stay. Two different chunks that share a digest change
-nothing unless the whole run does.
+A window runs from the start of a word to the first end of a word that makes it ``shortest`` bytes long, or to the end of a word from
+the last start that does. A passage of that length consists of such windows, up to its first and last word, and a window counts
+only if a single earlier document holds it whole; windows that lie in one place of that document are one span. Inside
+long strings without blanks, and between wide characters (as in Chinese or Thai), every character starts and ends a word.
 
-Shuffles carry a digest with two ids for each distinct chunk of a task, and a digest with its place for each chunk, the commonest
-chunks (a fixed number) apart, which are broadcast; texts are moved only where spans are cut out.
+Windows of all texts would be too many, so seeds come first: of the grams of ``GRAM`` bytes in any ``shortest`` bytes the one with the
+smallest hash. Equal windows have the same smallest gram, hence only windows whose smallest gram is in two documents are compared.
+Windows and grams are compared by 64-bit hashes.
+
+Shuffles carry a digest with two ids for each distinct gram of a task, a digest with an id for each document's seeds, the commonest
+(a fixed number) apart, which are broadcast, the texts with repeated seeds, and a row for each of their windows.
 """
 
 from __future__ import annotations
@@ -16,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peerscope.llm.common import join_skewed
+from peerscope.llm.common import join_skewed, mixed
 from peerscope.session import materialize
 
 WINDOW = 16
@@ -62,54 +64,160 @@ def chunk_ends(data: np.ndarray, mask_bits: int = MASK_BITS, longest: int = LONG
     return cuts
 
 
-CHUNKS = "doc_id long, start int, length int, digest long"
+#: Random numbers for bytes, and an odd base: a window's hash is the sum of NUMBER[byte] x BASE ^ place.
+NUMBER = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+GRAM, UNBROKEN = 32, 32
+BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
+class Hashes:
+    """64-bit hashes of any stretches of a text's bytes."""
+
+    powers, inverses = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+
+    def __init__(self, data: np.ndarray):
+        if len(Hashes.powers) < len(data):
+            size = max(len(data), min(2 * len(data), 1 << 20))
+            Hashes.powers, Hashes.inverses = (np.cumprod(np.append(np.uint64(1), np.full(size, x, dtype=np.uint64)), dtype=np.uint64) for x in (BASE, INVERSE))
+        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(NUMBER[data] * Hashes.powers[: len(data)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[ends] - self.sums[starts]) * Hashes.inverses[starts] + (ends - starts).astype(np.uint64))
+
+    def grams(self, size: int) -> np.ndarray:
+        """The hash of the ``size`` bytes from each byte on."""
+        n = len(self.sums) - size
+        return mixed((self.sums[size:] - self.sums[:n]) * Hashes.inverses[:n])
+
+
+def lowest(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of ``width`` values from each on, by doubling."""
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        values, span = np.minimum(values[:-step], values[step:]), span + step
+    return values
+
+
+def seeds(data: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the grams that are the smallest in some stretch of ``shortest`` bytes."""
+    gram = min(GRAM, shortest)
+    if len(data) < shortest:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    grams, width = Hashes(data).grams(gram), shortest - gram + 1
+    least = lowest(grams, width)  # of each stretch
+    edge = np.zeros(width - 1, dtype=np.uint64)
+    greatest = ~lowest(~np.concatenate([edge, least, edge]), width)  # of the stretches around each gram
+    places = np.flatnonzero(greatest == grams)
+    return places, grams[places]
+
+
+def edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of words; in long strings and beside wide characters each character's."""
+    n = len(data)
+    blank = BLANK[data]
+    wide = data >= 0xE0  # the first byte of a character of three or four bytes
+    for k, least in ((1, 0xE0), (2, 0xE0), (3, 0xF0)):
+        wide[k:] |= data[:-k] >= least
+    place = np.arange(1, n)
+    last_blank = np.maximum.accumulate(np.where(blank, np.arange(n), -1))[:-1]
+    between = ~blank[1:] & ~blank[:-1] & ((data[1:] & 0xC0) != 0x80) & (wide[1:] | wide[:-1] | (place - last_blank > UNBROKEN))
+    return np.flatnonzero(~blank & np.concatenate([[True], blank[:-1] | between])), np.flatnonzero(~blank & np.concatenate([blank[1:] | between, [True]])) + 1
 
 
-def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per chunk: doc_id, start, length (bytes), digest."""
+def windows(data: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the windows: the shortest ones from each start, and the shortest ones to each end."""
+    starts, ends = edges(data) if len(data) else (np.empty(0, dtype=np.int64),) * 2
+    if not len(starts):
+        return starts, ends
+    to, since = np.searchsorted(ends, starts + shortest), np.searchsorted(starts, ends - shortest, "right") - 1
+    left = np.concatenate([starts[to < len(ends)], starts[since[since >= 0]]])
+    right = np.concatenate([ends[to[to < len(ends)]], ends[since >= 0]])
+    both = np.unique(left * (len(data) + 1) + right)
+    return both // (len(data) + 1), both % (len(data) + 1)
+
+
+def _seed_rows(docs: DataFrame, shortest: int) -> DataFrame:
+    """(doc_id, digest) of each text's distinct seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, [len(x) for x in found]), pa.int64()), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "digest"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, starts, lengths, sums = [], [], [], []
+            keys, found, size = [], [], 0
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = (body.as_py() or "").encode()
-                ends = chunk_ends(np.frombuffer(data, dtype=np.uint8))
-                begins = np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64)
-                digest = xxhash.xxh3_64_intdigest
-                sums += [digest(data[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                keys += [key] * len(ends)
-                starts.append(begins)
-                lengths.append(ends - begins)
-                if len(sums) >= 100_000:
-                    yield rows(keys, starts, lengths, sums)
-                    keys, starts, lengths, sums = [], [], [], []
-            if sums:
-                yield rows(keys, starts, lengths, sums)
-
-    def rows(keys: list, starts: list, lengths: list, sums: list) -> pa.RecordBatch:
-        places = [pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, lengths)]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *places, pa.array(np.array(sums, dtype=np.uint64).view(np.int64))], ["doc_id", "start", "length", "digest"])
-
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(cut, CHUNKS)
+                keys.append(key)
+                found.append(np.unique(seeds(np.frombuffer((body.as_py() or "").encode(), dtype=np.uint8), shortest)[1]))
+                size += len(found[-1])
+                if size >= 100_000:
+                    yield rows()
+                    keys, found, size = [], [], 0
+            if size:
+                yield rows()
+
+    return docs.mapInArrow(run, "doc_id long, digest long")
+
+
+def _window_rows(docs: DataFrame, shortest: int) -> DataFrame:
+    """(window, doc_id, start, end) of the windows whose smallest gram is among the repeated ones of the third column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            hashes, starts, ends = (np.concatenate([x[k] for x in found]) for k in range(3))
+            columns = [pa.array(hashes.view(np.int64)), pa.array(np.repeat(keys, [len(x[0]) for x in found]), pa.int64()), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, ["window", "doc_id", "start", "end"])
+
+        for batch in batches:
+            keys, found, size = [], [], 0
+            for key, body, repeated in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                data = np.frombuffer((body.as_py() or "").encode(), dtype=np.uint8)
+                places, grams = seeds(data, shortest)
+                starts, ends = windows(data, shortest)
+                if not len(places) or not len(starts):
+                    continue
+                low, high = np.searchsorted(places, starts), np.searchsorted(places, ends - min(GRAM, shortest), "right")
+                bounds = np.column_stack([low, high]).reshape(-1)
+                least = np.minimum.reduceat(np.append(grams, np.uint64(0)), bounds)[::2]
+                some = np.isin(least, repeated.values.to_numpy().view(np.uint64))
+                starts, ends = starts[some], ends[some]
+                keys.append(key)
+                found.append((Hashes(data)(starts, ends), starts, ends))
+                size += len(starts)
+                if size >= 100_000:
+                    yield rows()
+                    keys, found, size = [], [], 0
+            if size:
+                yield rows()
+
+    return docs.mapInArrow(run, "window long, doc_id long, start int, end int")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest_run: int = SHORTEST_RUN) -> DataFrame:
     """Spans that repeat an earlier document, one row each: doc_id, start, length (bytes of the text's UTF-8), first_doc_id.
 
-    Of documents that hold a chunk the one with the smallest id keeps it, with all its occurrences; first_doc_id is the smallest of these
-    over the span's chunks. Rows without an id keep their texts, as do null and empty texts; rows that repeat an id are one
+    Each span stands whole in the document first_doc_id: for each of its windows the one with the smallest id that holds it. Spans of different
+    first documents may overlap. Rows without an id keep their texts, as do null and empty texts; rows that repeat an id are one
     document. An empty table gives no rows; further columns are ignored.
     """
-    found = chunks(docs.filter(F.col(doc_id).isNotNull()), doc_id, text)
-    holders = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    repeated = materialize(holders.filter(F.col("first_doc_id") < F.col("last")).drop("last"))
-    later = join_skewed(found, repeated, "digest", "n").filter(F.col("doc_id") > F.col("first_doc_id"))
-    later = later.select("doc_id", "start", (F.col("start") + F.col("length")).alias("end"), "first_doc_id")
-    in_text = Window.partitionBy("doc_id").orderBy("start", "end")
-    new_run = F.coalesce(F.lag("end").over(in_text) < F.col("start"), F.lit(True)).cast("int")
-    runs = later.withColumn("new", new_run).withColumn("run", F.sum("new").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
-    return spans.select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"), "first_doc_id").filter(F.col("length") >= shortest_run)
+    texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = _seed_rows(texts, shortest_run)
+    in_two = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    in_two = materialize(in_two.filter(F.col("first") < F.col("last")).select("digest", "n"))
+    repeated = join_skewed(found, in_two, "digest", "n").groupBy("doc_id").agg(F.collect_set("digest").alias("repeated"))
+    every = materialize(_window_rows(texts.join(repeated, "doc_id"), shortest_run))
+    holders = every.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    holders = materialize(holders.filter(F.col("first.doc_id") < F.col("last")).select("window", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "n"))
+    later = join_skewed(every, holders, "window", "n").filter(F.col("doc_id") > F.col("first_doc_id"))
+    later = later.select("doc_id", "first_doc_id", (F.col("start") - F.col("first_start")).alias("shift"), "start", "end").distinct()
+    in_place = Window.partitionBy("doc_id", "first_doc_id", "shift").orderBy("start", "end")
+    new_run = F.coalesce(F.max("end").over(in_place.rowsBetween(Window.unboundedPreceding, -1)) < F.col("start"), F.lit(True)).cast("int")
+    runs = later.withColumn("new", new_run).withColumn("run", F.sum("new").over(in_place.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("doc_id", "first_doc_id", "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return spans.select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"), "first_doc_id")
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -172,6 +172,31 @@ def test_passages_without_blanks_are_cut():
     assert substring_dedup.without("one two three four", [(2, 13)]) == "one four"
 
 
+def test_phrases_of_different_documents_are_no_passage(spark):
+    draw = random.Random(12)
+    clean = prose(300, draw).split()
+    slices = [f"{prose(20, draw)} {' '.join(clean[i : i + 16])[:99].rsplit(' ', 1)[0]} {prose(20, draw)}" for i in range(0, 300, 4)]
+    table = spark.createDataFrame([*enumerate(slices), (1000, " ".join(clean)), (1001, f"{prose(9, draw)} {' '.join(clean[50:150])}")], "doc_id long, text string")
+    spans = substring_dedup.repeated_spans(table).collect()
+    assert {(r["doc_id"], r["first_doc_id"]) for r in spans} == {(1001, 1000)}
+
+
+def test_spans_stand_whole_in_an_earlier_document(spark):
+    texts = [t or "" for t in TEXTS]
+    spans = substring_dedup.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    whole = {}
+    for r in spans:
+        data = texts[r["doc_id"]].encode()[r["start"] : r["start"] + r["length"]]
+        assert len(data) >= 100 and r["first_doc_id"] < r["doc_id"] and data in texts[r["first_doc_id"]].encode()
+        whole.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["length"]))
+    for i, text in enumerate(texts):  # every window of whole words, by brute force
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)] if text.isascii() and len(text) < 3000 else []
+        for a, _ in words:
+            b = next((e for _, e in words if e - a >= 100), None)
+            if b and any(re.search(rf"(?<!\S){re.escape(text[a:b])}(?!\S)", other) for other in texts[:i]):
+                assert whole.get(i, set()) >= set(range(a, b)), (i, a, b)
+
+
 def test_nearest(spark):
     draw = np.random.default_rng(1)
     x = draw.normal(size=(600, 24)) * draw.uniform(0.5, 2, (600, 1))
