@@ -181,6 +181,22 @@ def test_phrases_of_different_documents_are_no_passage(spark):
     assert {(r["doc_id"], r["first_doc_id"]) for r in spans} == {(1001, 1000)}
 
 
+def test_passages_are_found_to_their_ends(spark):
+    draw = random.Random(13)
+    rows, want = [], {}
+    for n in range(0, 200, 2):
+        passage = prose(draw.randint(35, 50), draw)
+        before, after = prose(draw.randint(1, 30), draw), prose(draw.randint(1, 30), draw)
+        rows += [(n, f"{prose(draw.randint(1, 30), draw)}\n{passage} {prose(9, draw)}"), (n + 1, f"{before} {passage}\t{after}")]
+        want[n + 1] = (len(before) + 1, len(passage), n)
+    spans = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r["doc_id"]: (r["start"], r["length"], r["first_doc_id"]) for r in spans}
+    assert len(spans) == len(want) == 100 and all(len(rows[n + 1][1]) > 100 for n in range(0, 200, 2))
+    for i, (start, length, first) in want.items():
+        at, size, keeper = found[i]
+        assert keeper == first and at <= start and at + size >= start + length and size <= length + 20  # a word next to it may be the same by chance
+
+
 def test_spans_stand_whole_in_an_earlier_document(spark):
     texts = [t or "" for t in TEXTS]
     spans = substring_dedup.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
