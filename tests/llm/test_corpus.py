@@ -288,6 +288,10 @@ def test_scores(docs, no_docs):
     assert {(r["n_known"], r["train_tokens"]) for r in unknown} == {(0, 0)}
 
 
+def test_noise_units_of_a_step():
+    assert language_model.NOISE == 128  # a parameter of the training, not of its speed
+
+
 def test_probabilities_sum_to_one(docs):
     counts = language_model.count_tokens(docs, "text")
     model = language_model.vocabulary(counts, frequent=200, single=40, bands=8)
