@@ -1,20 +1,21 @@
-"""Best-fit packing of token pieces into sequences, from counts by length.
-
-Pieces of one length are alike for best fit, so what it does with all pieces of the corpus follows from how many there are of each
-length: at most ``capacity`` numbers. Tasks cut documents and store pieces by length; the driver runs best fit, largest first, over the
-counts, with equal bins as one group; every piece then reads its sequence and offset from its rank among those of its length.
-The sequences are those of one best fit over all pieces, however these are dealt, and no task holds more than a batch.
+"""Best-fit packing of token pieces into sequences, by hierarchical rounds.
+
+Documents are cut into pieces where they are read. The pieces are dealt over tasks by a hash, so that each task has pieces of all lengths,
+however the documents lie; a task has ``HELD`` items at most and packs them by best fit, largest first. Bins that are at least
+``FULL`` full are sequences. The others go on as items of the next round: ``fan`` tasks are merged into one, underfull bins are packed by best
+fit among each other, and so on up the tree, until one task is left. If so many bins stay underfull that a single task cannot hold
+them (texts whose lengths fit nowhere), rounds go on, dealt anew each time, while at least one bin in ``carry`` goes.
+A row is a bin with the places of its pieces, so bins take their pieces along, and no join is needed at the end.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.llm.common import crc32_of
@@ -22,12 +23,11 @@ from peerscope.llm.tokens import encoder
 from peerscope.session import materialize
 
 END = 2
-PIECE = pa.struct([(k, pa.int64()) for k in ("doc_id", "piece", "start", "ids_crc32")])
-PILE = pa.schema([("pile", pa.int64()), ("length", pa.int64()), ("n", pa.int64()), ("pieces", pa.list_(PIECE))])
-PILE_DDL = "pile long, length long, n long, pieces array<struct<doc_id long, piece long, start long, ids_crc32 long>>"
-PLACED_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-#: Pieces that a task holds, and that a stored row has, at most.
-HELD, PILED = 50_000, 4_000
+PIECE = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
+BIN_DDL = "sequence_id long, fill long, pieces array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
+#: Items that a task packs at most (a million numbers), pieces that are written together, and per cent of the capacity of a finished bin.
+HELD, WRITTEN, FULL = 1 << 17, 20_000, 97
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -61,44 +61,55 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def planned(counts: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
-    """Best fit of so many pieces of each length: for a length, rows (first rank, first sequence, pieces in each sequence, offset).
+def _pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
+    """The pieces of all documents, one row each."""
 
-    Groups of sequences with equal contents are split in three by a length at most, so the plan's size depends on ``capacity`` alone.
-    """
-    groups: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # (first sequence, sequences) by room left
-    some, sequences, plan = 0, 0, {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, found = encoder(vocabulary, True), [[] for _ in PIECE]
 
-    def put(room: int, first: int, n: int) -> None:
-        nonlocal some
-        if room and n:
-            groups[room].append((first, n))
-            some |= 1 << room
+        def rows() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(found, PIECE, strict=True)], [name for name, _ in PIECE])
+            for x in found:
+                x.clear()
+            return batch
 
-    for size in sorted(counts, reverse=True):
-        left, rank, rows = counts[size], 0, []
-        while left:
-            fitting = some >> size
-            if fitting:
-                room = size + (fitting & -fitting).bit_length() - 1
-                first, n = groups[room].pop()
-                if not groups[room]:
-                    some ^= 1 << room
-            else:
-                room, first, n = capacity, sequences, -(-left // (capacity // size))
-                sequences += n
-            each = room // size
-            full = min(n, left // each)
-            last = left - full * each if full < n else 0  # what goes into one more sequence
-            for at, some_of, pieces in ((first, full, each), (first + full, min(last, 1), last)):
-                if some_of:
-                    rows.append((rank, at, pieces, capacity - room))
-                    put(room - pieces * size, at, some_of)
-                    rank, left = rank + some_of * pieces, left - some_of * pieces
-            taken = full + min(last, 1)
-            put(room, first + taken, n - taken)
-        plan[size] = np.array(rows, dtype=np.int64)
-    return plan
+        for batch in batches:
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = encode(body.as_py(), END)
+                for n, (start, length) in enumerate(cut(len(ids), capacity)):
+                    for column, value in zip(found, (key, n, start, length, crc32_of(ids[start : start + length])), strict=True):
+                        column.append(value)
+                if len(found[0]) >= WRITTEN:
+                    yield rows()
+        if found[0]:
+            yield rows()
+
+    return docs.mapInArrow(run, PIECE_DDL)
+
+
+def _binned(items: DataFrame, capacity: int, level: int, tasks: int) -> DataFrame:
+    """One round: the bins (sequence_id, fill, pieces) of items of the same form, packed in so many tasks."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sizes = table.column("fill").to_numpy()
+        bins = best_fit(sizes.tolist(), capacity)
+        order = np.fromiter((item for b in bins for item in b), np.int64, len(sizes))
+        firsts = np.cumsum([0, *map(len, bins)])  # of each bin, among the ordered items
+        taken = sizes[order]
+        upto = np.concatenate([[0], np.cumsum(taken)])
+        places = upto[:-1] - np.repeat(upto[firsts[:-1]], np.diff(firsts))
+        lists = table.column("pieces").combine_chunks().take(pa.array(order))
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
+        offset = flat.field("offset").to_numpy() + np.repeat(places, lengths)
+        members = pa.StructArray.from_arrays([*[flat.field(name) for name, _ in PIECE], pa.array(offset)], [*[name for name, _ in PIECE], "offset"])
+        ends = np.concatenate([[0], np.cumsum(lengths)])[firsts]
+        ids = (level << 56) + (key[0].as_py() << 32) + np.arange(len(bins))
+        fills = np.add.reduceat(taken, firsts[:-1])
+        return pa.table({"sequence_id": pa.array(ids), "fill": pa.array(fills), "pieces": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), members)})
+
+    dealt = items.withColumn("task", F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(tasks)))
+    return dealt.groupBy("task").applyInArrow(run, BIN_DDL)
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text", carry: int = 64, fan: int = 16) -> DataFrame:
@@ -107,47 +118,21 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, doc_id: str = "
     A document is the byte-level ids of its whole text (null: empty) and an end id; only longer ones than ``capacity`` are cut,
     and only their first piece may be shorter. Sequences are gapless from offset 0. Each row is a document of its own, so rows
     that repeat (null ids too) are packed as often as they occur. An empty table gives no rows; further columns are ignored.
-    ``carry`` and ``fan`` belonged to packing by rounds; callers may still give them, and they change nothing.
     """
-
-    def pile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, held, size, row = encoder(vocabulary, True), defaultdict(list), 0, TaskContext.get().partitionId() << 32
-
-        def piled() -> pa.RecordBatch:
-            nonlocal row
-            rows = [(length, found[at : at + PILED]) for length, found in held.items() for at in range(0, len(found), PILED)]
-            row += len(rows)
-            columns = [range(row - len(rows), row), [length for length, _ in rows], [len(found) for _, found in rows], [found for _, found in rows]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PILE, strict=True)], schema=PILE)
-
-        for batch in batches:
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(body.as_py(), END)
-                for n, (start, length) in enumerate(cut(len(ids), capacity)):
-                    held[length].append({"doc_id": key, "piece": n, "start": start, "ids_crc32": crc32_of(ids[start : start + length])})
-                    size += 1
-                if size >= HELD:
-                    yield piled()
-                    held.clear()
-                    size = 0
-        if size:
-            yield piled()
-
-    piles = materialize(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(pile, PILE_DDL))
-    counts = {r["length"]: r["n"] for r in piles.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = docs.sparkSession.sparkContext.broadcast(planned(counts, capacity))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for length, rank, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                p, rows = pieces.values, plan.value[length]
-                ranks = rank + np.arange(len(p))
-                first_rank, sequence, each, offset = rows[np.searchsorted(rows[:, 0], ranks, "right") - 1].T
-                nth = ranks - first_rank
-                places = [pa.array(sequence + nth // each), pa.array(offset + nth % each * length)]
-                columns = [p.field("doc_id"), p.field("piece").cast(pa.int32()), p.field("start"), pa.array(np.full(len(p), length)), p.field("ids_crc32"), *places]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    before = Window.partitionBy("length").orderBy("pile").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = piles.select("pile", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank"))
-    return piles.join(ranks, "pile").select("length", "rank", "pieces").mapInArrow(place, PLACED_DDL)
+    pieces = materialize(_pieces(docs.select(F.col(doc_id).cast("long"), F.col(text)), vocabulary, capacity))
+    one = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
+    items = pieces.select(F.monotonically_increasing_id().alias("sequence_id"), F.col("length").alias("fill"), F.array(one).alias("pieces"))
+    done, level, count = [], 0, pieces.count()
+    tasks = -(-count // HELD) or 1
+    while True:
+        binned = materialize(_binned(items, capacity, level, tasks))
+        finished = F.col("fill") * 100 >= capacity * FULL
+        left = binned.filter(~finished).count() if tasks > 1 else 0
+        fewer = max(-(-tasks // fan), -(-left // HELD), 1)
+        if not left or (fewer >= tasks and (count - left) * carry < count):
+            break
+        done.append(binned.filter(finished))
+        items, count, tasks, level = binned.filter(~finished), left, min(fewer, tasks), level + 1
+    for table in done:
+        binned = binned.unionByName(table)
+    return binned.select("sequence_id", F.explode("pieces").alias("at")).select(*[f"at.{name}" for name, _ in PIECE], "sequence_id", "at.offset")

@@ -113,6 +113,77 @@ def test_packing_does_not_depend_on_how_documents_are_dealt(spark):
     assert len({r["sequence_id"] for r in found}) == len(packing.best_fit([r["length"] for r in found], 256))
 
 
+def planned(counts: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
+    """Best fit of so many pieces of each length: for a length, rows (first rank, first sequence, pieces in each sequence, offset).
+
+    Groups of sequences with equal contents are split in three by a length at most, so the plan's size depends on ``capacity`` alone.
+    """
+    groups: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # (first sequence, sequences) by room left
+    some, sequences, plan = 0, 0, {}
+
+    def put(room: int, first: int, n: int) -> None:
+        nonlocal some
+        if room and n:
+            groups[room].append((first, n))
+            some |= 1 << room
+
+    for size in sorted(counts, reverse=True):
+        left, rank, rows = counts[size], 0, []
+        while left:
+            fitting = some >> size
+            if fitting:
+                room = size + (fitting & -fitting).bit_length() - 1
+                first, n = groups[room].pop()
+                if not groups[room]:
+                    some ^= 1 << room
+            else:
+                room, first, n = capacity, sequences, -(-left // (capacity // size))
+                sequences += n
+            each = room // size
+            full = min(n, left // each)
+            last = left - full * each if full < n else 0  # what goes into one more sequence
+            for at, some_of, pieces in ((first, full, each), (first + full, min(last, 1), last)):
+                if some_of:
+                    rows.append((rank, at, pieces, capacity - room))
+                    put(room - pieces * size, at, some_of)
+                    rank, left = rank + some_of * pieces, left - some_of * pieces
+            taken = full + min(last, 1)
+            put(room, first + taken, n - taken)
+        plan[size] = np.array(rows, dtype=np.int64)
+    return plan
+
+
+def sequences_of_one_best_fit(lengths, capacity):
+    # the last sequence that any group of equal ones reaches
+    last = 0
+    for size, rows in planned(Counter(lengths), capacity).items():
+        ranks = np.append(rows[1:, 0], Counter(lengths)[size]) - rows[:, 0]
+        last = max(last, int((rows[:, 1] + -(-ranks // rows[:, 2])).max()))
+    return last
+
+
+@pytest.mark.parametrize("held", [1 << 17, 1500])
+def test_rounds_come_close_to_one_best_fit(spark, monkeypatch, held):
+    monkeypatch.setattr(packing, "HELD", held)
+    draw = random.Random(18)
+    rows = [(i, "a " * (draw.randint(560, 640) if i < 2500 else draw.randint(340, 400) if i < 5000 else draw.randint(1, 1500))) for i in range(6000)]
+    table = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id long, text string")  # parts of long texts, parts of short ones
+    found = packing.pack(table, BYTE_BPE).collect()
+    fills = Counter()
+    for r in found:
+        fills[r["sequence_id"]] += r["length"]
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in found)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:], strict=False)) and places[0][1] == 0
+    assert max(fills.values()) <= 1024 and len(fills) <= 1.01 * sequences_of_one_best_fit([r["length"] for r in found], 1024) + 1
+
+
+def test_texts_that_fit_nowhere_end_the_rounds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "HELD", 50)
+    table = spark.createDataFrame([(i, "a " * 60) for i in range(600)], "doc_id long, text string")
+    found = packing.pack(table, BYTE_BPE, capacity=100).collect()
+    assert len({r["sequence_id"] for r in found}) == len(found) == 600 * (1 + (found[0]["length"] > 100))
+
+
 def test_planned_packing_equals_best_fit():
     for seed in range(40):
         draw = random.Random(seed)
@@ -120,7 +191,7 @@ def test_planned_packing_equals_best_fit():
         sizes = [draw.randint(1, draw.choice([capacity, -(-capacity // 3)])) for _ in range(draw.randint(1, 400))]
         fills = Counter()
         for size, n in Counter(sizes).items():
-            rows = packing.planned(Counter(sizes), capacity)[size]
+            rows = planned(Counter(sizes), capacity)[size]
             for rank in range(n):
                 first, sequence, each, _ = rows[np.searchsorted(rows[:, 0], rank, "right") - 1]
                 fills[sequence + (rank - first) // each] += size
