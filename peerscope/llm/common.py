@@ -81,3 +81,32 @@ def join_skewed(rows: DataFrame, table: DataFrame, key: str, count: str, how: st
     names = F.broadcast(hot.select(key))
     cold = rows.join(names, key, "left_anti").join(table.join(names, key, "left_anti").hint("merge"), key, how)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
+#: Rows of a common key that one task gets.
+SHARE_BITS = 14
+
+
+def join_salted(rows: DataFrame, table: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+    """Inner join with a stored table that has one row per key and the number of its rows; adds ``salt`` and ``salts``.
+
+    Rows of the HOT commonest keys are dealt over salts by a hash of ``spread``, one for each 2^SHARE_BITS of them, and the table has a copy for each;
+    any other key has at most one HOT-th of all rows. Only those keys are broadcast, HOT at most, and ``rows`` is read once.
+    """
+    hot = table.filter(F.col(count) >= 1 << SHARE_BITS).orderBy(F.desc(count), key).limit(HOT)
+    hot = F.broadcast(hot.select(key, (F.shiftright(count, SHARE_BITS) + 1).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    dealt = rows.join(hot, key, "left").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64(spread), "salts"))
+    copies = table.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    return dealt.join(copies, [key, "salt"])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that the table lacks."""
+    known, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in known:
+            name = f"_{name}"
+        known.add(name.lower())
+        found.append(name)
+    return found

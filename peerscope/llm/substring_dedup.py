@@ -1,16 +1,17 @@
-"""Passages of whole words that stand in an earlier document too, found by all their windows of 100 bytes.
-
-A window runs from the start of a word to the first end of a word that makes it ``shortest`` bytes long, or to the end of a word from
-the last start that does. A passage of that length consists of such windows, up to its first and last word, and a window counts
-only if a single earlier document holds it whole; windows that lie in one place of that document are one span. Inside
-long strings without blanks, and between wide characters (as in Chinese or Thai), every character starts and ends a word.
-
-Windows of all texts would be too many, so seeds come first: of the grams of ``GRAM`` bytes in any ``shortest`` bytes the one with the
-smallest hash. Equal windows have the same smallest gram, hence only windows whose smallest gram is in two documents are compared.
-Windows and grams are compared by 64-bit hashes.
-
-Shuffles carry a digest with two ids for each distinct gram of a task, a digest with an id for each document's seeds, the commonest
-(a fixed number) apart, which are broadcast, the texts with repeated seeds, and a row for each of their windows.
+"""Passages that stand whole in an earlier document too, found by content-defined chunks and extended byte by byte.
+
+1. A gear rolling hash over ``WINDOW`` bytes is taken at each byte; a cut follows the smallest hash of any ``reach`` bytes in a row, at the start
+   of a character; where the same hash is the smallest again and again, as in "at, at, at", only once. Cuts depend on nearby bytes alone, so insertions move them along, and any ``shortest`` bytes that repeat hold the same
+   chunk between two cuts. Chunks are 23 bytes on average; there is a row for each.
+2. Digests (64 bits, of the chunk and ``CONTEXT`` bytes before it) are counted; a chunk whose digest repeats meets the first and the last earlier
+   document that hold it, with the distance of the two places. It goes if the bytes on neither side could make up ``shortest`` bytes
+   (two 16-bit fingerprints in its row tell). Chunks that follow each other in both documents are one run.
+3. A run is extended over ``shortest`` bytes and more to both sides, by comparing the bytes of both documents there, which are cut out of each
+   text once for each place. Runs that then meet are one span; it counts if it is ``shortest`` bytes long.
+
+Shuffled are: a digest for each chunk, twice (once with its place), the texts of documents with runs, and rows for runs. Digests that are
+very common are dealt out by salts, from counts of all rows; nothing is collected, dropped or capped. Each span stands whole in one earlier document.
+A passage is missed only if other documents hold all of its chunks, some of them before and others after every document that holds it whole.
 """
 
 from __future__ import annotations
@@ -22,15 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peerscope.llm.common import join_skewed, mixed
+from peerscope.llm.common import join_salted, mixed, unused
 from peerscope.session import materialize
 
-WINDOW = 16
+WINDOW, CONTEXT = 8, 5
 #: A number for each byte value, from a fixed seed.
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
-MASK_BITS, LONGEST, SHORTEST_RUN = 5, 256, 100
+LONGEST, SHORTEST_RUN = 256, 100
 #: A span moves to a blank over so many bytes at most.
 NEAR = 32
+#: Bytes of text that are chunked together, unless one text is longer.
+BATCH_BYTES = 1 << 20
+#: Places of texts that are written together.
+SEEN = 20_000
+#: Random numbers for byte values (256: beyond the text) and for places in a chunk.
+NUMBER = np.random.default_rng(11).integers(0, 1 << 64, 257, dtype=np.uint64)
+PLACE = np.random.default_rng(13).integers(0, 1 << 64, LONGEST + 4, dtype=np.uint64) | np.uint64(1)
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -43,181 +51,274 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return total
 
 
-def chunk_ends(data: np.ndarray, mask_bits: int = MASK_BITS, longest: int = LONGEST) -> np.ndarray:
-    """Ends of the chunks of a text's UTF-8 bytes, never inside a character; no chunk is longer than ``longest``."""
-    if not len(data):
-        return np.empty(0, dtype=np.int64)
-    inside = np.append((data[1:] & 0xC0) == 0x80, False)  # whether the next byte goes on with a character
-    mask = np.uint32(((1 << mask_bits) - 1) << (WINDOW - mask_bits))
-    ends = np.flatnonzero(((gear_hashes(data) & mask) == 0) & ~inside) + 1
-    ends = np.append(ends, len(data)) if not len(ends) or ends[-1] != len(data) else ends
-    lengths = np.diff(ends, prepend=0)
-    if lengths.max() <= longest:
-        return ends
-    step = longest - 3  # a forced cut moves back by up to three bytes, to the start of a character
-    pieces = np.where(lengths > longest, -(-lengths // step), 1)
-    number = np.arange(pieces.sum()) - np.repeat(pieces.cumsum() - pieces, pieces) + 1
-    cuts = np.minimum(np.repeat(ends - lengths, pieces) + number * step, np.repeat(ends, pieces))
-    cuts[number == np.repeat(pieces, pieces)] = ends
-    for _ in range(3):
-        cuts -= inside[cuts - 1]
-    return cuts
+def lowest(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of ``width`` values from each on, by doubling."""
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        values, span = np.minimum(values[:-step], values[step:]), span + step
+    return values
 
 
-#: Random numbers for bytes, and an odd base: a window's hash is the sum of NUMBER[byte] x BASE ^ place.
-NUMBER = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-GRAM, UNBROKEN = 32, 32
-BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+def cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, reach: int) -> np.ndarray:
+    """Where chunks of the texts data[start:end] end and the next ones begin, never inside a character; no chunk is longer than LONGEST.
 
+    A text's first chunk and its last one, which reach its start and its end, are not bounded by two cuts.
+    """
+    n, text = len(data), np.repeat(np.arange(len(starts)), ends - starts)
+    found = np.empty(0, dtype=np.int64)
+    place = np.arange(n) - starts[text] + 1
+    if n >= reach:
+        hashes = gear_hashes(data) | np.uint32(1)
+        least = lowest(hashes, reach)
+        whole = (place[: len(least)] >= WINDOW) & (text[: len(least)] == text[reach - 1 :])
+        edge = np.zeros(reach - 1, dtype=np.uint32)
+        greatest = ~lowest(~np.concatenate([edge, np.where(whole, least, np.uint32(0)), edge]), reach)
+        found = np.flatnonzero(greatest == hashes)
+        again = (hashes[found[1:]] == hashes[found[:-1]]) & (text[found[1:]] == text[found[:-1]])
+        found = found[np.append(True, ~again)] + 1 if len(found) else found  # text that goes round is cut where it begins
+    inside = np.append((data & 0xC0) == 0x80, False)
+    inside[ends] = False
+    for _ in range(3):
+        found = found - inside[found]
+    cut, edge = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
+    edge[starts] = edge[ends] = True
+    cut[found] = True
+    edges = np.flatnonzero(cut | edge)
+    lengths = np.diff(edges)
+    wide = np.flatnonzero(lengths > LONGEST)
+    if len(wide):
+        step = LONGEST - 3  # a forced cut moves back by up to three bytes, to the start of a character
+        pieces = -(-lengths[wide] // step) - 1
+        number = np.arange(pieces.sum()) - np.repeat(pieces.cumsum() - pieces, pieces) + 1
+        forced = np.repeat(edges[wide], pieces) + number * step
+        for _ in range(3):
+            forced = forced - inside[forced]
+        cut[forced] = True
+    return np.flatnonzero(cut & ~edge)
+
+
+def reach_of(shortest: int) -> int:
+    """The longest reach for which any ``shortest`` bytes hold two cuts with the bytes that decide them."""
+    return max(1, (shortest + 1 - WINDOW) // 2)
+
+
+def chunk_ends(data: np.ndarray, shortest: int = SHORTEST_RUN) -> np.ndarray:
+    """Ends of the chunks of one text's UTF-8 bytes."""
+    if not len(data):
+        return np.empty(0, dtype=np.int64)
+    return np.append(cuts(data, np.zeros(1, dtype=np.int64), np.array([len(data)]), reach_of(shortest)), len(data))
 
-class Hashes:
-    """64-bit hashes of any stretches of a text's bytes."""
 
-    powers, inverses = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+class Near:
+    """Hashes of the bytes near some places of the texts data[low:high]."""
 
     def __init__(self, data: np.ndarray):
-        if len(Hashes.powers) < len(data):
-            size = max(len(data), min(2 * len(data), 1 << 20))
-            Hashes.powers, Hashes.inverses = (np.cumprod(np.append(np.uint64(1), np.full(size, x, dtype=np.uint64)), dtype=np.uint64) for x in (BASE, INVERSE))
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(NUMBER[data] * Hashes.powers[: len(data)], out=self.sums[1:])
+        self.data = data
+        words, span = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64), 1
+        while span < 8:  # the eight bytes from each place on
+            words[:-span] |= words[span:] << np.uint64(8 * span)
+            span *= 2
+        self.words = words
+
+    def __call__(self, at: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
+        """Of ``width`` bytes from each place on; bytes outside of the text's limits are a value of their own."""
+        beside = (at < low) | (at + width > high)
+        found = np.zeros(len(at), dtype=np.uint64)
+        for k in range(0, width, 8):  # the last word overlaps the one before
+            word = self.words[np.where(beside, 0, at + min(k, max(width - 8, 0)))]
+            found = mixed(found ^ (word if width >= 8 else word << np.uint64(8 * (8 - width))))
+        edge = np.flatnonzero(beside)
+        where = at[edge, None] + np.arange(width)
+        values = np.where((where >= low[edge, None]) & (where < high[edge, None]), self.data[np.clip(where, 0, len(self.data) - 1)], 256)
+        found[edge] = mixed((NUMBER[values] * PLACE[:width]).sum(axis=1, dtype=np.uint64))
+        return found
+
+
+def _sides(shortest: int) -> int:
+    """Bytes beside a chunk that agree on one side at least, if it is part of ``shortest`` bytes that repeat."""
+    return max(1, (shortest - reach_of(shortest) - CONTEXT) // 2 + 1)
+
+
+def chunk_rows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, shortest: int) -> tuple[np.ndarray, ...]:
+    """(text, start, size, fingerprints of both sides, digest) of the chunks between two cuts of their text; the start is the context's."""
+    at = cuts(data, starts, ends, reach_of(shortest))
+    text = np.searchsorted(ends, at, "right")
+    both = np.flatnonzero(text[1:] == text[:-1])
+    text, begin, end = text[both], at[both], at[both + 1]
+    if not len(both):
+        return text, begin, begin, begin, begin.astype(np.uint64)
+    bounds = np.column_stack([begin, end]).reshape(-1)
+    low, high = at[0], at[-1]
+    inner = np.arange(low, high) - np.repeat(at[:-1], np.diff(at))
+    terms = NUMBER[data[low:high]] * PLACE[np.minimum(inner, LONGEST + 3)]
+    sums = np.add.reduceat(np.append(terms, np.uint64(0)), bounds - low)[::2]
+    low, high = starts[text], ends[text]
+    size, side, near = end - begin, _sides(shortest), Near(data)
+    digest = mixed(sums + size.astype(np.uint64)) ^ near(begin - CONTEXT, low, high, CONTEXT)
+    around = ((near(begin - CONTEXT - side, low, high, side) & np.uint64(0xFFFF)) << np.uint64(16)) | (near(end, low, high, side) & np.uint64(0xFFFF))
+    first = begin - CONTEXT
+    for _ in range(3):
+        first = first + ((data[first] & 0xC0) == 0x80)
+    return text, first - low, end - first, around.astype(np.int64), mixed(digest)
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * Hashes.inverses[starts] + (ends - starts).astype(np.uint64))
 
-    def grams(self, size: int) -> np.ndarray:
-        """The hash of the ``size`` bytes from each byte on."""
-        n = len(self.sums) - size
-        return mixed((self.sums[size:] - self.sums[:n]) * Hashes.inverses[:n])
+def _chunks(docs: DataFrame, shortest: int) -> DataFrame:
+    """(digest, doc_id, place, size): place holds the start and both fingerprints."""
 
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        body = batch.column(1).cast(pa.large_string())
+        offsets = np.frombuffer(body.buffers()[1], dtype=np.int64, count=len(body) + 1, offset=8 * body.offset)
+        low, high = int(offsets[0]), int(offsets[-1])
+        data = np.frombuffer(body.buffers()[2], dtype=np.uint8)[low:high] if high > low else np.empty(0, dtype=np.uint8)
+        some = np.flatnonzero(offsets[1:] > offsets[:-1])
+        text, start, size, around, digest = chunk_rows(data, offsets[some] - low, offsets[some + 1] - low, shortest)
+        ids = batch.column(0).to_numpy(zero_copy_only=False)[some]
+        columns = [pa.array(digest.view(np.int64)), pa.array(ids[text], pa.int64()), pa.array((start << 32) | around), pa.array(size.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, ["digest", "doc_id", "place", "size"])
 
-def lowest(values: np.ndarray, width: int) -> np.ndarray:
-    """The smallest of ``width`` values from each on, by doubling."""
-    span = 1
-    while span < width:
-        step = min(span, width - span)
-        values, span = np.minimum(values[:-step], values[step:]), span + step
-    return values
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, batch.num_rows * BATCH_BYTES // max(batch.nbytes, BATCH_BYTES))
+            for at in range(0, batch.num_rows, step):
+                yield rows(batch.slice(at, step))
+
+    return docs.mapInArrow(run, "digest long, doc_id long, place long, size int")
+
+
+def _pairs(docs: DataFrame, shortest: int) -> DataFrame:
+    """(doc_id, first_doc_id, shift, start, size) of chunks that an earlier document holds and that may be part of a span."""
+    chunks = _chunks(docs, shortest)
+    counts = materialize(chunks.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"))
+    repeated = materialize(join_salted(chunks, counts, "digest", "n", "doc_id"))
+    holder = F.struct("doc_id", "place")
+    earlier = Window.partitionBy("digest", "salt").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1)
+    held = repeated.select("*", F.min(holder).over(earlier).alias("first"), F.max(holder).over(earlier).alias("last"))
+    # the digests with several salts are a fixed number at most
+    dealt = repeated.filter("salts > 1").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", F.struct("doc_id", "place")).alias("place"))
+    dealt = F.broadcast(materialize(dealt.select("digest", holder.alias("least"))))
+    held = held.join(dealt, "digest", "left").withColumn("first", F.when(F.col("least.doc_id") < F.col("doc_id"), F.col("least")).otherwise(F.col("first")))
+    pairs = held.filter("first is not null").select("doc_id", "place", "size", F.explode(F.array_distinct(F.array_compact(F.array("first", "last")))).alias("at"))
+    apart = F.col("place").bitwiseXOR(F.col("at.place"))
+    may_be = (apart.bitwiseAND(0xFFFF) == 0) | (apart.bitwiseAND(0xFFFF0000) == 0) | (F.col("size") >= shortest - 2 * (_sides(shortest) - 1))
+    start = F.shiftright("place", 32)
+    return pairs.filter(may_be).select("doc_id", F.col("at.doc_id").alias("first_doc_id"), (start - F.shiftright("at.place", 32)).alias("shift"), start.alias("start"), "size")
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """(doc_id, first_doc_id, shift, start, end): rows with the same documents and shift that touch or overlap are one."""
+    in_place = Window.partitionBy("doc_id", "first_doc_id", "shift").orderBy("start", "end")
+    new = F.coalesce(F.max("end").over(in_place.rowsBetween(Window.unboundedPreceding, -1)) < F.col("start"), F.lit(True)).cast("int")
+    runs = rows.withColumn("new", new).withColumn("run", F.sum("new").over(in_place.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "first_doc_id", "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
-def seeds(data: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the grams that are the smallest in some stretch of ``shortest`` bytes."""
-    gram = min(GRAM, shortest)
-    if len(data) < shortest:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    grams, width = Hashes(data).grams(gram), shortest - gram + 1
-    least = lowest(grams, width)  # of each stretch
-    edge = np.zeros(width - 1, dtype=np.uint64)
-    greatest = ~lowest(~np.concatenate([edge, least, edge]), width)  # of the stretches around each gram
-    places = np.flatnonzero(greatest == grams)
-    return places, grams[places]
-
-
-def edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of words; in long strings and beside wide characters each character's."""
-    n = len(data)
-    blank = BLANK[data]
-    wide = data >= 0xE0  # the first byte of a character of three or four bytes
-    for k, least in ((1, 0xE0), (2, 0xE0), (3, 0xF0)):
-        wide[k:] |= data[:-k] >= least
-    place = np.arange(1, n)
-    last_blank = np.maximum.accumulate(np.where(blank, np.arange(n), -1))[:-1]
-    between = ~blank[1:] & ~blank[:-1] & ((data[1:] & 0xC0) != 0x80) & (wide[1:] | wide[:-1] | (place - last_blank > UNBROKEN))
-    return np.flatnonzero(~blank & np.concatenate([[True], blank[:-1] | between])), np.flatnonzero(~blank & np.concatenate([blank[1:] | between, [True]])) + 1
-
-
-def windows(data: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the windows: the shortest ones from each start, and the shortest ones to each end."""
-    starts, ends = edges(data) if len(data) else (np.empty(0, dtype=np.int64),) * 2
-    if not len(starts):
-        return starts, ends
-    to, since = np.searchsorted(ends, starts + shortest), np.searchsorted(starts, ends - shortest, "right") - 1
-    left = np.concatenate([starts[to < len(ends)], starts[since[since >= 0]]])
-    right = np.concatenate([ends[to[to < len(ends)]], ends[since >= 0]])
-    both = np.unique(left * (len(data) + 1) + right)
-    return both // (len(data) + 1), both % (len(data) + 1)
-
-
-def _seed_rows(docs: DataFrame, shortest: int) -> DataFrame:
-    """(doc_id, digest) of each text's distinct seeds."""
+def _sights(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
+    """(place, bytes) for distinct places (doc_id, at, after): the bytes before, or from that byte on, as many as ``width``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, [len(x) for x in found]), pa.int64()), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "digest"])
+        for batch in batches:
+            found = []
+            for key, body, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                data = body.as_py().encode()
+                for at, after in ((x["at"], x["after"]) for x in wanted):
+                    found.append((key, at, after, data[at : at + width] if after else data[max(0, at - width) : at]))
+                if len(found) >= SEEN:
+                    yield rows(found)
+                    found = []
+            if found:
+                yield rows(found)
+
+    def rows(found: list[tuple[int, int, bool, bytes]]) -> pa.RecordBatch:
+        key, at, after, seen = zip(*found, strict=True)
+        place = pa.StructArray.from_arrays([pa.array(key, pa.int64()), pa.array(at, pa.int64()), pa.array(after)], ["doc_id", "at", "after"])
+        return pa.RecordBatch.from_arrays([place, pa.array(seen, pa.binary())], ["place", "bytes"])
+
+    listed = places.groupBy("doc_id").agg(F.collect_set(F.struct("at", "after")).alias("wanted"))
+    return docs.join(listed, "doc_id").mapInArrow(run, "place struct<doc_id:long,at:long,after:boolean>, bytes binary")
+
+
+def same_before(a: bytes, b: bytes) -> int:
+    """How many bytes at the ends of both agree, as whole characters."""
+    n = min(len(a), len(b))
+    if not n:
+        return 0
+    apart = np.flatnonzero(np.frombuffer(a, np.uint8)[len(a) - n :] != np.frombuffer(b, np.uint8)[len(b) - n :])
+    same = n - 1 - int(apart[-1]) if len(apart) else n
+    while same and a[len(a) - same] & 0xC0 == 0x80:
+        same -= 1
+    return same
+
+
+def same_after(a: bytes, b: bytes, width: int) -> int:
+    """How many bytes at the starts of both agree, as whole characters; both hold three bytes more than the ``width`` that counts, or end."""
+    n = min(len(a), len(b), width)
+    if not n:
+        return 0
+    apart = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    same = int(apart[0]) if len(apart) else n
+    while same and same < len(a) and a[same] & 0xC0 == 0x80:
+        same -= 1
+    return same
+
+
+def _extended(runs: DataFrame, docs: DataFrame, shortest: int) -> DataFrame:
+    """The runs with as many bytes more on both sides as agree, up to ``shortest`` ones."""
+    width = shortest + 3
+    ends = runs.select(
+        "*",
+        F.explode(
+            F.array(
+                F.struct(F.lit(False).alias("after"), F.col("start").alias("own"), (F.col("start") - F.col("shift")).alias("other")),
+                F.struct(F.lit(True).alias("after"), F.col("end").alias("own"), (F.col("end") - F.col("shift")).alias("other")),
+            )
+        ).alias("side"),
+    ).select("doc_id", "first_doc_id", "shift", "start", "end", "side.*")
+    place = [F.struct(F.col(d).alias("doc_id"), F.col(at).alias("at"), "after").alias("place") for d, at in (("doc_id", "own"), ("first_doc_id", "other"))]
+    uses = materialize(ends.select(place[0]).unionAll(ends.select(place[1])).groupBy("place").agg(F.count("*").alias("n")))
+    sights = materialize(_sights(docs, uses.select("place.*"), width).join(uses, "place"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found, size = [], [], 0
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys.append(key)
-                found.append(np.unique(seeds(np.frombuffer((body.as_py() or "").encode(), dtype=np.uint8), shortest)[1]))
-                size += len(found[-1])
-                if size >= 100_000:
-                    yield rows()
-                    keys, found, size = [], [], 0
-            if size:
-                yield rows()
+            after, a, b = (batch.column(k).to_pylist() for k in (5, 6, 7))
+            more = [same_after(x, y, shortest) if to else same_before(x, y) for to, x, y in zip(after, a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(after), pa.array(more, pa.int64())], ["doc_id", "first_doc_id", "shift", "start", "end", "after", "more"])
 
-    return docs.mapInArrow(run, "doc_id long, digest long")
+    kept = ["doc_id", "first_doc_id", "shift", "start", "end", "after"]
+    own = join_salted(ends.withColumn("place", place[0]), sights, "place", "n", "start").select(*kept, "other", F.col("bytes").alias("a"))
+    met = join_salted(own.withColumn("place", place[1]), sights, "place", "n", "doc_id").select(*kept, "a", F.col("bytes").alias("b"))
+    found = met.mapInArrow(run, "doc_id long, first_doc_id long, shift long, start long, end long, after boolean, more long")
+    sides = [F.sum(F.when(F.col("after") == to, F.col("more"))).alias(name) for to, name in ((False, "before"), (True, "behind"))]
+    whole = found.groupBy("doc_id", "first_doc_id", "shift", "start", "end").agg(*sides)
+    return whole.select("doc_id", "first_doc_id", "shift", (F.col("start") - F.col("before")).alias("start"), (F.col("end") + F.col("behind")).alias("end"))
 
 
-def _window_rows(docs: DataFrame, shortest: int) -> DataFrame:
-    """(window, doc_id, start, end) of the windows whose smallest gram is among the repeated ones of the third column."""
+def _texts(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(documents with an id and a text, the texts of the ids that repeat): of the texts of one id the smallest counts."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("doc_id is not null")
+    ids = materialize(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    chosen = materialize(rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    return rows.join(ids, "doc_id", "left_anti").unionAll(chosen), chosen
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> pa.RecordBatch:
-            hashes, starts, ends = (np.concatenate([x[k] for x in found]) for k in range(3))
-            columns = [pa.array(hashes.view(np.int64)), pa.array(np.repeat(keys, [len(x[0]) for x in found]), pa.int64()), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))]
-            return pa.RecordBatch.from_arrays(columns, ["window", "doc_id", "start", "end"])
 
-        for batch in batches:
-            keys, found, size = [], [], 0
-            for key, body, repeated in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                data = np.frombuffer((body.as_py() or "").encode(), dtype=np.uint8)
-                places, grams = seeds(data, shortest)
-                starts, ends = windows(data, shortest)
-                if not len(places) or not len(starts):
-                    continue
-                low, high = np.searchsorted(places, starts), np.searchsorted(places, ends - min(GRAM, shortest), "right")
-                bounds = np.column_stack([low, high]).reshape(-1)
-                least = np.minimum.reduceat(np.append(grams, np.uint64(0)), bounds)[::2]
-                some = np.isin(least, repeated.values.to_numpy().view(np.uint64))
-                starts, ends = starts[some], ends[some]
-                keys.append(key)
-                found.append((Hashes(data)(starts, ends), starts, ends))
-                size += len(starts)
-                if size >= 100_000:
-                    yield rows()
-                    keys, found, size = [], [], 0
-            if size:
-                yield rows()
-
-    return docs.mapInArrow(run, "window long, doc_id long, start int, end int")
+def _spans(texts: DataFrame, shortest: int) -> DataFrame:
+    pairs = _pairs(texts, shortest).select("doc_id", "first_doc_id", "shift", "start", (F.col("start") + F.col("size")).alias("end"))
+    runs = materialize(_runs(pairs))
+    spans = _runs(_extended(runs, texts, shortest)).filter(F.col("end") - F.col("start") >= shortest)
+    # one that lies in another one says nothing new; of equal ones the smallest first document stays
+    before = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "first_doc_id", "shift").rowsBetween(Window.unboundedPreceding, -1)
+    new = spans.withColumn("reached", F.max("end").over(before)).filter(F.col("reached").isNull() | (F.col("reached") < F.col("end")))
+    return new.select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"), "first_doc_id")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest_run: int = SHORTEST_RUN) -> DataFrame:
     """Spans that repeat an earlier document, one row each: doc_id, start, length (bytes of the text's UTF-8), first_doc_id.
 
-    Each span stands whole in the document first_doc_id: for each of its windows the one with the smallest id that holds it. Spans of different
-    first documents may overlap. Rows without an id keep their texts, as do null and empty texts; rows that repeat an id are one
-    document. An empty table gives no rows; further columns are ignored.
+    Each span stands whole in the document first_doc_id. Spans of different first documents may overlap, but none lies in another one.
+    Rows without an id keep their texts, as do null and empty texts; rows that repeat an id are one document with the smallest of their
+    texts. An empty table gives no rows; further columns are ignored.
     """
-    texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = _seed_rows(texts, shortest_run)
-    in_two = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    in_two = materialize(in_two.filter(F.col("first") < F.col("last")).select("digest", "n"))
-    repeated = join_skewed(found, in_two, "digest", "n").groupBy("doc_id").agg(F.collect_set("digest").alias("repeated"))
-    every = materialize(_window_rows(texts.join(repeated, "doc_id"), shortest_run))
-    holders = every.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    holders = materialize(holders.filter(F.col("first.doc_id") < F.col("last")).select("window", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "n"))
-    later = join_skewed(every, holders, "window", "n").filter(F.col("doc_id") > F.col("first_doc_id"))
-    later = later.select("doc_id", "first_doc_id", (F.col("start") - F.col("first_start")).alias("shift"), "start", "end").distinct()
-    in_place = Window.partitionBy("doc_id", "first_doc_id", "shift").orderBy("start", "end")
-    new_run = F.coalesce(F.max("end").over(in_place.rowsBetween(Window.unboundedPreceding, -1)) < F.col("start"), F.lit(True)).cast("int")
-    runs = later.withColumn("new", new_run).withColumn("run", F.sum("new").over(in_place.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "first_doc_id", "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return spans.select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"), "first_doc_id")
+    return _spans(_texts(docs, doc_id, text)[0], shortest_run)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -241,16 +342,24 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def cut_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with all their columns, and without the spans that repeat earlier documents."""
-    spans = repeated_spans(docs, doc_id, text).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("__spans"))
-    columns, at = docs.columns, docs.columns.index(text)
+    """The documents, with all their columns, and without the spans that repeat earlier documents.
+
+    Null ids and null texts stay as they are; of rows that repeat an id those with the smallest text are cut. Columns may have any names.
+    """
+    texts, chosen = _texts(docs, doc_id, text)
+    key, spans, least = unused(docs, "key", "spans", "least")
+    listed = _spans(texts, SHORTEST_RUN).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "length")).alias(spans))
+    at, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(len(columns)).to_pylist()
-            texts = batch.column(at).to_pylist()
-            texts = [x if not s or x is None else without(x, [(y["start"], y["length"]) for y in s]) for x, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : len(columns)]], columns)
-
-    joined = docs.join(spans.withColumnRenamed("doc_id", "__id"), F.col(doc_id) == F.col("__id"), "left")
-    return joined.select(*docs.columns, "__spans").mapInArrow(run, docs.schema)
+            columns = [batch.column(k) for k in range(len(names) + 2)]
+            bodies = [
+                body if not found or body is None or (only is not None and only != body) else without(body, [(x["start"], x["length"]) for x in found])
+                for body, found, only in zip(*(columns[k].to_pylist() for k in (at, len(names), len(names) + 1)), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([*columns[:at], pa.array(bodies, pa.string()), *columns[at + 1 : len(names)]], names)
+
+    own = F.col(f"`{doc_id}`").cast("long")
+    joined = docs.join(listed, own == F.col(key), "left").drop(key).join(chosen.select(F.col("doc_id").alias(key), F.col("text").alias(least)), own == F.col(key), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in names], spans, least).mapInArrow(run, docs.schema)
