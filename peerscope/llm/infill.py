@@ -51,8 +51,8 @@ class Marks:
         return self.upto[word] + np.bitwise_count(self.marks[word] & ((np.uint64(1) << inside) - np.uint64(1)))
 
     def after(self, k: np.ndarray) -> np.ndarray:
-        """The byte after the k-th mark, k from 1."""
-        word = np.searchsorted(self.upto, k, "left") - 1
+        """The byte after the k-th mark, k from 1; without so many marks any number."""
+        word = np.minimum(np.searchsorted(self.upto, k, "left") - 1, len(self.marks) - 1)
         left, marks = k - self.upto[word], self.marks[word].copy()
         for step in range(1, 8):
             marks = np.where(left > step, marks & (marks - np.uint64(1)), marks)
