@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from peerscope.functions import units as U
 from peerscope.operators import checks as K
 from peerscope.operators import entities as E
-from peerscope.operators.cohort import STAGES, peer_histograms, peer_statistics, pool_rows, stage_label
+from peerscope.operators.bands import COUNTS, stage_counts
+from peerscope.operators.cohort import STAGES, peer_histograms, peer_statistics, stage_label
 from peerscope.plans import benchmark as B
 from peerscope.plans import profile as P
 from peerscope.plans import reads as D
@@ -35,18 +36,19 @@ def _statistics(t):
     return entities, peer_statistics(entities, U.usable_as_peer(F.col("quality_flags")))
 
 
+def _stage_counts(t):
+    return stage_counts(_stored_entities(t), U.usable_as_peer(F.col("quality_flags")))
+
+
 @query(
     "jn12_peer_candidates",
-    VW + """, c AS (SELECT e.reporting_year, e.category AS operation_category, l.level_key, e.is_t, l.is_target, e.usable FROM
-        (SELECT *, school_level IS NULL AS is_t FROM entity_years WHERE eui IS NOT NULL) e,
-        LATERAL (SELECT coalesce(e.school_level, '*') AS level_key, true AS is_target UNION ALL SELECT '*', false WHERE e.school_level IS NOT NULL AND e.usable) l)
-      SELECT reporting_year, operation_category, level_key, count(*) FILTER (is_target) AS targets, count(*) FILTER (usable) AS peers FROM c GROUP BY ALL""",
+    PM + """, n AS (SELECT entity_key, reporting_year, count(*) FILTER (stage = 0) AS n0, count(*) FILTER (stage = 1) AS n1, count(*) FILTER (stage = 2) AS n2,
+        count(*) FILTER (stage = 3) AS n3, count(*) FILTER (stage = 4) AS n4 FROM staged WHERE fits GROUP BY ALL)
+      SELECT entity_key, reporting_year, CASE WHEN weekly_hours > 0 THEN coalesce(n0, 0) END AS stage0_peers, coalesce(n1, 0) AS stage1_peers, coalesce(n2, 0) AS stage2_peers,
+        coalesce(n3, 0) AS stage3_peers, coalesce(n4, 0) AS stage4_peers FROM entity_years LEFT JOIN n USING (entity_key, reporting_year) WHERE eui IS NOT NULL""",
 )
 def _(t):
-    rows = pool_rows(E.combine_entity_years(V.facility_years(t)), U.usable_as_peer(F.col("quality_flags")))
-    return rows.groupBy("reporting_year", "operation_category", "level_key").agg(
-        F.count_if("is_target").alias("targets"), F.count_if("is_peer").alias("peers")
-    )
+    return _stage_counts(t).select("entity_key", "reporting_year", *COUNTS)
 
 
 @query(
@@ -54,8 +56,7 @@ def _(t):
     PM + f" SELECT entity_key, reporting_year, {STAGE_SQL} AS peer_stage, peer_count FROM peer_metrics WHERE eui IS NOT NULL",
 )
 def _(t):
-    _, s = _statistics(t)
-    return s.select("entity_key", "reporting_year", stage_label(F.col("peer_stage")).alias("peer_stage"), "peer_count")
+    return _stage_counts(t).select("entity_key", "reporting_year", stage_label(F.col("peer_stage")).alias("peer_stage"), "peer_count")
 
 
 @query(

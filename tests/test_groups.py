@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peerscope.operators import cohort, ranking
+from peerscope.operators import bands, cohort, ranking
 from peerscope.plans.benchmark import peer_metrics
 
 
@@ -135,6 +135,48 @@ def test_cohorts_equal_brute_force(spark):
             assert r["ghg_percentile"] is None or r["ghg_percentile"] != r["ghg_percentile"]
 
 
+def area_and_hours_counts(rows, t):
+    pool = [c for c in rows if c[8] and c[0] != t[0] and (t[3] is None or c[3] == t[3])]
+    for _, span, hours in cohort.STAGES:
+        fits = [c for c in pool if span is None or span[0] <= c[4] / t[4] <= span[1]]
+        if hours:
+            known = t[5] is not None and t[5] > 0
+            yield sum(c[5] is not None and abs(c[5] - t[5]) / t[5] <= 0.25 for c in fits) if known else None
+        else:
+            yield len(fits)
+
+
+def test_stage_counts_equal_brute_force(spark):
+    rows = [r[:5] + (random.Random(i).choice([r[5], r[5], 0.0, -3.0]),) + r[6:] for i, r in enumerate(random_entities(180, 6))]
+    chosen = {r["entity_key"]: r for r in cohort.peer_statistics(spark.createDataFrame(rows, SCHEMA), F.col("ok")).collect()}
+    found = bands.stage_counts(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("ok")).collect()
+    assert len(found) == len(rows)
+    for t, r in zip(sorted(rows), sorted(found, key=lambda r: r["entity_key"]), strict=True):
+        assert [r[c] for c in bands.COUNTS] == list(area_and_hours_counts(rows, t))
+        if t[5] is None or t[5] > 0:
+            assert (r["peer_stage"], r["peer_count"]) == (chosen[t[0]]["peer_stage"], chosen[t[0]]["peer_count"])
+    assert bands.stage_counts(spark.createDataFrame([], SCHEMA), F.col("ok")).count() == 0
+
+
+def test_one_large_pool_with_tied_areas_and_distinct_hours(spark):
+    n = 10_000
+    rng = np.random.default_rng(3)
+    area, hours = rng.choice([500.0, 1000.0, 1500.0, 2000.0, 1234.5], n), rng.permutation(n) / 100 + 1  # 10,000 distinct hours
+    rows = [(f"s{i:05}", 2019, "school", "a", float(a), float(h), 1.0, None, bool(i % 7)) for i, (a, h) in enumerate(zip(area, hours, strict=True))]
+    found = sorted(bands.stage_counts(spark.createDataFrame(rows, SCHEMA), F.col("ok")).collect(), key=lambda r: r["entity_key"])
+    usable = np.arange(n) % 7 > 0
+    for i in range(0, n, 101):
+        want = []
+        for _, span, by_hours in cohort.STAGES:
+            fits = usable & (np.arange(n) != i)
+            if span:
+                fits &= (area / area[i] >= span[0]) & (area / area[i] <= span[1])
+            if by_hours:
+                fits &= np.abs(hours - hours[i]) / hours[i] <= 0.25
+            want.append(int(fits.sum()))
+        assert [found[i][c] for c in bands.COUNTS] == want
+
+
 def test_hot_pool_equals_bounded_pool(spark):
     rows = [r[:3] + ("a",) + r[4:] for r in random_entities(90, 8)]
     df = spark.createDataFrame(rows, SCHEMA)
