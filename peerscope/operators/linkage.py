@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,23 +29,79 @@ FUZZY_CANDIDATES = 3
 CONFIDENCE = {"override": 1.0, "exact_name_board": 1.0, "address_board": 0.95, "name_city_board": 0.85, "fuzzy": 0.5}
 
 
-def similarity(left: Column, right: Column, at_least: float = 0.0) -> Column:
-    """Ratcliff-Obershelp ratio of token-sorted texts; argument order is facility, then school.
+#: Cells of pairs of characters that are compared side by side; a longer couple of texts is one step of its own.
+CELLS = 1 << 22
+#: From this length on the ratio leaves out frequent characters of the second text as anchors (a fixed value of its definition).
+FREQUENT_FROM = 200
+
+
+def _coded(texts: list[str], pad: int) -> np.ndarray:
+    """The code points of texts, one row each, filled up with a number that is no character."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.full((len(texts), max(1, int(lengths.max(initial=0)))), pad, dtype=np.int32)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
+    return out
+
+
+def _longest_blocks(same: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """(size, start in a, start in b) of the longest common block of each rectangle (a from, a to, b from, b to); the first in a, then in b."""
+    i, j = np.arange(same.shape[1]), np.arange(same.shape[2])
+    within = (j >= spans[:, 2:3]) & (j < spans[:, 3:4])
+    best, run = np.zeros((len(spans), 3), dtype=np.int64), np.zeros((len(spans), len(j) + 1), dtype=np.int16)
+    for row in i:
+        fits = same[:, row] & within & ((row >= spans[:, 0]) & (row < spans[:, 1]))[:, None]
+        run[:, 1:] = np.where(fits, run[:, :-1] + 1, 0)
+        at = run.argmax(axis=1)
+        size = run[np.arange(len(run)), at]
+        longer = size > best[:, 0]
+        best[longer] = np.column_stack([size, row + 1 - size, at - size])[longer]
+    return best
+
+
+def _matched(a: list[str], b: list[str]) -> np.ndarray:
+    """Characters in common blocks: the longest block of both texts, then the same to its left and to its right, for all couples side by side."""
+    same = _coded(a, -1)[:, :, None] == _coded(b, -2)[:, None, :]
+    pair = np.arange(len(a))
+    spans = np.column_stack([np.zeros_like(pair), [len(x) for x in a], np.zeros_like(pair), [len(x) for x in b]]).astype(np.int64)
+    total = np.zeros(len(a), dtype=np.int64)
+    while len(pair):
+        size, i, j = _longest_blocks(same[pair], spans).T
+        np.add.at(total, pair, size)
+        left, right = spans.copy(), spans.copy()
+        left[:, 1], left[:, 3], right[:, 0], right[:, 2] = i, j, i + size, j + size
+        pair, spans = np.concatenate([pair, pair]), np.concatenate([left, right])
+        open_ones = (np.concatenate([size, size]) > 0) & (spans[:, 0] < spans[:, 1]) & (spans[:, 2] < spans[:, 3])
+        pair, spans = pair[open_ones], spans[open_ones]
+    return total
+
+
+def ratios(a: pd.Series, b: pd.Series, at_least: float = 0.0) -> np.ndarray:
+    """Ratcliff-Obershelp ratios of couples of texts; those below ``at_least`` are 0."""
+    lengths = np.column_stack([a.str.len(), b.str.len()]).astype(np.int64)
+    total, matched = lengths.sum(axis=1), np.zeros(len(a), dtype=np.int64)
+    possible = (2 * lengths.min(axis=1) >= total * at_least) & (lengths.min(axis=1) > 0)
+    usual = np.flatnonzero(possible & (lengths[:, 1] < FREQUENT_FROM))
+    usual = usual[np.argsort(lengths[usual].max(axis=1), kind="stable")]
+    one, two = a.to_numpy(), b.to_numpy()
+    at = 0
+    while at < len(usual):  # as many couples as fit, in the order of their lengths
+        sides = np.maximum.accumulate(lengths[usual[at:]], axis=0)
+        fit = max(1, int(np.searchsorted(sides[:, 0] * sides[:, 1] * np.arange(1, len(sides) + 1), CELLS, "right")))
+        some = usual[at : at + fit]
+        matched[some] = _matched(one[some].tolist(), two[some].tolist())
+        at += fit
+    for k in np.flatnonzero(possible & (lengths[:, 1] >= FREQUENT_FROM)):
+        matched[k] = sum(block.size for block in SequenceMatcher(None, one[k], two[k]).get_matching_blocks())
+    with np.errstate(invalid="ignore", divide="ignore"):
+        found = np.where(total > 0, 2.0 * matched / total, 1.0)
+    return np.where(found >= at_least, found, 0.0)
 
-    Ratios below ``at_least`` come back as 0: two cheap upper bounds of the ratio are tried first.
-    """
+
+def similarity(left: Column, right: Column, at_least: float = 0.0) -> Column:
+    """Ratcliff-Obershelp ratio of token-sorted texts; argument order is facility, then school. Ratios below ``at_least`` are 0."""
 
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        matchers: dict[str, SequenceMatcher] = {}
-        found = []
-        for one, two in zip(a, b):
-            matcher = matchers.get(two)
-            if matcher is None:  # the matcher indexes its second text once
-                matcher = matchers[two] = SequenceMatcher(None, "", two)
-            matcher.set_seq1(one)
-            possible = matcher.real_quick_ratio() >= at_least and matcher.quick_ratio() >= at_least
-            found.append(matcher.ratio() if possible else 0.0)
-        return pd.Series(found, dtype="float64")
+        return pd.Series(ratios(a, b, at_least))
 
     # marked non-deterministic so that a filter on the score is not moved below the distinct of the
     # pairs, where each pair would be scored once per shared token

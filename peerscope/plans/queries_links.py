@@ -125,21 +125,67 @@ def _(t):
     return keyed.join(tier, keys).select("facility_key", F.col("candidate_count").alias("candidates"), "school_number")
 
 
+#: Common blocks of couples (a, b) of texts: the longest one, the first in a and then in b, and the same to its left and right.
+_BLOCKS = """blocks AS (
+    SELECT a AS one, b AS two, a, b, 0::BIGINT AS size FROM (SELECT DISTINCT a, b FROM couples)
+    UNION ALL
+    SELECT one, two, unnest([a[1:block.i - 1], a[block.i + block.n:]]), unnest([b[1:strpos(b, a[block.i:block.i + block.n - 1]) - 1], b[strpos(b, a[block.i:block.i + block.n - 1]) + block.n:]]), unnest([block.n, 0])
+    FROM (SELECT one, two, a, b, list_filter(flatten(list_transform(range(least(length(a), length(b)), 0, -1), lambda n: list_transform(range(1, length(a) - n + 2), lambda i: {'n': n, 'i': i}))),
+        lambda x: contains(b, a[x.i:x.i + x.n - 1]))[1] AS block FROM blocks WHERE a <> '' AND b <> '') WHERE block IS NOT NULL),
+  ratio AS (SELECT one AS a, two AS b, 2.0::DOUBLE * sum(size) / (length(one) + length(two)) AS score FROM blocks GROUP BY one, two)"""
+_SORTED = "array_to_string(list_sort(list_filter(string_split({0}, ' '), lambda w: w <> '')), ' ')"
+
+
+#: Names of facilities and schools that share a board; shorter ones that cannot reach the lower threshold are left out.
+_NAMES = f"""p AS (SELECT DISTINCT board_number, n, a, c, concat_ws('|', board_number, c) AS city FROM f),
+  texts AS (SELECT *, {_SORTED.format('n')} AS t, concat_ws('|', board_number, c) AS city FROM s),
+  named AS (SELECT DISTINCT concat_ws('|', board_number) AS board_number, city, n, {_SORTED.format('n')} AS t FROM p),
+  couples AS (SELECT DISTINCT l.t AS a, r.t AS b FROM named l JOIN (SELECT DISTINCT concat_ws('|', board_number) AS board_number, t FROM texts) r USING (board_number)
+    WHERE l.t <> '' AND r.t <> '' AND 2 * least(length(l.t), length(r.t)) >= 0.75 * (length(l.t) + length(r.t)))"""
+
+
+def _best(name: str, block: str, threshold: float, keep: int, profiles: str = "named") -> str:
+    """SQL: the best schools of each block and name, at most ``keep``, with their position."""
+    return f"""{name} AS (SELECT block, left_name, school_number, score, position FROM (
+      SELECT l.{block} AS block, l.n AS left_name, r.school_number, score, row_number() OVER (PARTITION BY l.{block}, l.n ORDER BY score DESC, r.school_number) AS position
+      FROM (SELECT DISTINCT {block}, n, t FROM {profiles}) l JOIN (SELECT *, row_number() OVER (PARTITION BY {block}, n ORDER BY school_number) AS nth FROM (SELECT * REPLACE (concat_ws('|', board_number) AS board_number) FROM texts)) r
+        ON l.{block} = r.{block} AND r.nth <= {keep} JOIN ratio ON ratio.a = l.t AND ratio.b = r.t WHERE score >= {threshold}) WHERE position <= {keep})"""
+
+
+def _near(name: str, source: str) -> str:
+    """SQL: what the tier of similar names accepts of its best two schools."""
+    return f"""{name} AS (SELECT block, left_name, school_number, score FROM (SELECT *, max(score) OVER w AS best, min(score) OVER w AS second, count(*) OVER w AS k FROM {source} WINDOW w AS (PARTITION BY block, left_name))
+      WHERE best >= 0.9 AND (position = 1 OR (k > 1 AND best - second < 0.05)))"""
+
+
+_LINKED = VW.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _KEYED + ", " + _NAMES + ", " + _BLOCKS
+
+
 def _profiles(t):
     return L.linkage_keys(_facilities(t), "facility_name").select("board_number", "_name", "_address", "_city").distinct()
 
 
-@query("jn9_similar_name_tier")
+@query("jn9_similar_name_tier", _LINKED + ", " + _best("top", "city", 0.85, 2) + ", " + _near("near", "top") + " SELECT block, left_name, school_number, round(score, 6) AS score FROM near")
 def _(t):
     return L.similar_in_city(_profiles(t), L.linkage_keys(V.schools(t), "name")).select("block", "left_name", "school_number", r("score").alias("score"))
 
 
-@query("jn10_fuzzy_tier")
+@query("jn10_fuzzy_tier", _LINKED + ", " + _best("loose", "board_number", 0.75, 3) + " SELECT block, left_name, position, school_number, round(score, 6) AS score FROM loose")
 def _(t):
     return L.fuzzy_in_board(_profiles(t), L.linkage_keys(V.schools(t), "name")).select("block", "left_name", "position", "school_number", r("score").alias("score"))
 
 
-@query("ud1_similar_name_pairs")
+_WORD = "translate(md5(CAST({0} AS VARCHAR)), '0123456789abcdef', 'abcdefghijklmnop')"
+_MADE_UP = sql_school(f"substr({_WORD.format('k')}, 1, 6) || ' ' || substr(substr({_WORD.format('k % 500')}, 9, 9), 1, 4 + k % 5)")
+
+
+@query(
+    "ud1_similar_name_pairs",
+    f"""WITH RECURSIVE l AS (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS block, {_MADE_UP} AS n FROM (SELECT c_custkey AS k, * FROM customer)),
+      r AS (SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS block, {_MADE_UP} AS n FROM (SELECT s_suppkey AS k, * FROM supplier)),
+      met AS (SELECT block, l.n AS left_name, r.n AS right_name, {_SORTED.format('l.n')} AS a, {_SORTED.format('r.n')} AS b FROM l JOIN r USING (block)),
+      couples AS (SELECT a, b FROM met), """ + _BLOCKS + " SELECT block, left_name, right_name, round(score, 6) AS score FROM met JOIN ratio USING (a, b) WHERE score >= 0.75",
+)
 def _(t):
     def names(key, nation):
         # two made-up words of varying length; no word that all names share
@@ -195,13 +241,44 @@ def _(t):
     return matches.filter("match_method = 'override'").select("facility_key", "match_status", "match_method", "match_confidence", "school_number")
 
 
-@query("sc7_match_facilities")
+_CASCADE = (
+    _LINKED + """, known AS (SELECT * FROM p WHERE board_number IS NOT NULL),
+      t1 AS (SELECT k.*, x.school, x.k AS k FROM known k JOIN (SELECT board_number, n, min(school_number) AS school, count(*) AS k FROM s GROUP BY ALL) x USING (board_number, n)),
+      left1 AS (SELECT * FROM known ANTI JOIN t1 USING (board_number, n)),
+      t2 AS (SELECT l.*, x.school, x.k AS k FROM left1 l JOIN (SELECT board_number, a, c, min(school_number) AS school, count(*) AS k FROM s WHERE a <> '' GROUP BY ALL) x USING (board_number, a, c) WHERE a <> ''),
+      left2 AS (SELECT *, """ + _SORTED.format("n") + """ AS t FROM left1 ANTI JOIN t2 USING (board_number, n, a, c)), """
+    + _best("top", "city", 0.85, 2, "left2") + ", " + _near("near", "top") + """,
+      t3 AS (SELECT l.*, x.school, x.k AS k FROM left2 l JOIN (SELECT block, left_name, min(school_number) AS school, count(*) AS k FROM near GROUP BY ALL) x ON x.block = l.city AND x.left_name = l.n),
+      left3 AS (SELECT * FROM left2 ANTI JOIN t3 USING (board_number, n, a, c)), """
+    + _best("loose", "board_number", 0.75, 3, "left3") + """,
+      t4 AS (SELECT l.*, CAST(NULL AS VARCHAR) AS school, x.k AS k FROM left3 l JOIN (SELECT block, left_name, count(*) AS k FROM loose GROUP BY ALL) x ON x.block = l.board_number AND x.left_name = l.n),
+      found AS (SELECT board_number, n, a, c, 'exact_name_board' AS method, 1.0::DOUBLE AS sure, school, k, concat_ws('|', 'exact_name_board', board_number, n) AS g FROM t1
+        UNION ALL SELECT board_number, n, a, c, 'address_board', 0.95, school, k, concat_ws('|', 'address_board', board_number, a, c) FROM t2
+        UNION ALL SELECT board_number, n, a, c, 'name_city_board', 0.85, school, k, concat_ws('|', 'name_city_board', city, n) FROM t3
+        UNION ALL SELECT board_number, n, a, c, 'fuzzy', 0.5, school, k, concat_ws('|', 'fuzzy', board_number, n) FROM t4),
+      held AS (SELECT facility_key, CAST(facility_key AS BIGINT) AS id, method, sure, CASE WHEN k = 1 AND method <> 'fuzzy' THEN school END AS school, k, g FROM f LEFT JOIN found USING (board_number, n, a, c)),
+      matches AS (SELECT facility_key, CASE WHEN id % 25 = 9 THEN CASE WHEN id % 2 = 1 THEN 'matched' ELSE 'rejected' END WHEN method IS NULL THEN 'unmatched' WHEN school IS NOT NULL THEN 'matched' ELSE 'ambiguous' END AS match_status,
+        CASE WHEN id % 25 = 9 THEN 'override' ELSE method END AS match_method, CASE WHEN id % 25 = 9 THEN CASE WHEN id % 2 = 1 THEN 1.0::DOUBLE END ELSE sure END AS match_confidence,
+        CASE WHEN id % 25 = 9 THEN CASE WHEN id % 2 = 1 THEN '1' END ELSE school END AS school_number,
+        CASE WHEN id % 25 <> 9 AND method IS NOT NULL AND school IS NULL THEN g END AS candidate_group, CASE WHEN id % 25 <> 9 AND method IS NOT NULL AND school IS NULL THEN k ELSE 0 END AS candidate_count FROM held)"""
+)
+
+
+@query("sc7_match_facilities", _CASCADE + " SELECT * FROM matches")
 def _(t):
     matches, _ = L.match_facilities(_facilities(t), V.schools(t), _overrides(t))
     return matches
 
 
-@query("sc7_match_candidates")
+@query(
+    "sc7_match_candidates",
+    _CASCADE + """ SELECT candidate_group, school_number, school_name, method, score FROM (
+        SELECT concat_ws('|', 'exact_name_board', s.board_number, n) AS candidate_group, s.school_number, z.name AS school_name, 'exact_name_board' AS method, 1.0::DOUBLE AS score FROM s JOIN schools z USING (school_number)
+        UNION ALL SELECT concat_ws('|', 'address_board', s.board_number, a, c), s.school_number, z.name, 'address_board', 0.95 FROM s JOIN schools z USING (school_number)
+        UNION ALL SELECT concat_ws('|', 'name_city_board', block, left_name), school_number, z.name, 'name_city_board', 0.85 FROM near JOIN schools z USING (school_number)
+        UNION ALL SELECT concat_ws('|', 'fuzzy', block, left_name), school_number, z.name, 'fuzzy', 0.5 FROM loose JOIN schools z USING (school_number))
+      WHERE candidate_group IN (SELECT candidate_group FROM matches WHERE match_status = 'ambiguous')""",
+)
 def _(t):
     _, candidates = L.match_facilities(_facilities(t), V.schools(t), _overrides(t))
     return candidates

@@ -6,13 +6,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from peerscope.functions.text import clean_text, normalize_header
 from peerscope.session import materialize
 
 HEADER_SCAN_ROWS = 15
 CELL = r',("(?:[^"]++|"")*+"|[^,]*+)'
+#: A cell that is not left open, behind its comma.
+COMPLETE_CELL = r',(?:"(?:[^"]++|"")*+"[^,]*+|[^,"][^,]*+|(?=,|$))'
 BYTE_ORDER_MARK = "\u00ef\u00bb\u00bf"  # UTF-8's, as three characters of one byte
 
 
@@ -32,40 +33,86 @@ def _windows_1252(text: Column) -> Column:
     return F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
 
 
+def _reopened(cells: Column) -> Column:
+    """Whether cells, each behind a comma, end inside of a quoted one."""
+    return F.regexp_replace(cells, COMPLETE_CELL, "") != ""
+
+
+def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, block, id, line, starts) of text files in any number of tasks; id ascends in a block of a file, blocks by their place.
+
+    ``starts`` says that a line begins a record, as no quoted cell is open there. What a line does to that state depends on its own text
+    alone: most keep it, the others settle it (whatever it was before) or turn it round. So the state before a line is the last
+    settled one, turned as often as lines did since; both are running values, over the lines of a block and over the blocks of a file.
+    """
+    raw = spark.read.text(list(paths), lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line")
+    )
+    # from outside and from inside of a quoted cell: is one open at the line's end?
+    closed = F.rlike("line", F.lit('^(?:[^"]++|"")*+"'))
+    from_inside = ~closed | _reopened(F.regexp_replace("line", '^(?:[^"]++|"")*+"[^,]*+', ""))
+    quoted = F.contains("line", F.lit('"'))
+    raw = raw.withColumn("_out", quoted & _reopened(F.concat(F.lit(","), "line"))).withColumn("_in", ~quoted | from_inside)
+    lines = materialize(raw.withColumn("id", F.monotonically_increasing_id()))
+    settles, turns = F.col("_out") == F.col("_in"), (F.col("_out") & ~F.col("_in")).cast("long")
+    in_block = Window.partitionBy("path", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    # a settled state is kept with the turns up to there, so that it can be read after any number of further turns
+    local = lines.withColumn("_turns", F.sum(turns).over(in_block))
+    local = local.withColumn("_state", F.last(F.when(settles, F.col("_out").cast("long") + F.col("_turns")), ignorenulls=True).over(in_block))
+    blocks = local.groupBy("path", "block").agg(F.max("_turns").alias("_all"), F.max_by("_state", "id").alias("_last"))
+    of_file = Window.partitionBy("path").orderBy("block")
+    before = of_file.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_turned", F.coalesce(F.sum("_all").over(before), F.lit(0)))
+    blocks = blocks.withColumn("_known", F.coalesce(F.last(F.col("_last") + F.col("_turned"), ignorenulls=True).over(before), F.lit(0)))
+    after = (F.coalesce(F.col("_state") + F.col("_turned"), F.col("_known")) + F.col("_turns") + F.col("_turned")) % 2
+    opened = F.lag("_after").over(Window.partitionBy("path", "block").orderBy("id"))
+    at_block = (F.col("_known") + F.col("_turned")) % 2
+    found = local.join(blocks.select("path", "block", "_turned", "_known"), ["path", "block"]).withColumn("_after", after)
+    return found.withColumn("starts", F.coalesce(opened, at_block) == 0).select("path", "block", "id", "line", "starts")
+
+
+def _records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, block, id, record): lines joined where a quoted cell runs over their end; block and id are the first line's."""
+    lines = _lines(spark, paths)
+    own = F.when(F.col("starts"), F.struct("block", "id"))
+    in_block = Window.partitionBy("path", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("_first", F.last(own, ignorenulls=True).over(in_block)).withColumn("_next", F.lead("starts").over(Window.partitionBy("path", "block").orderBy("id")))
+    # a line between two starts is a record; only the others, and those beside a block's edge, are put together
+    alone = F.col("starts") & F.coalesce("_next", F.lit(False))
+    lines = materialize(lines.withColumn("_alone", alone))
+    parts = lines.filter("not _alone")
+    edges = parts.groupBy("path", "block").agg(F.max("_first").alias("_last"))
+    edges = edges.withColumn("_open", F.last("_last", ignorenulls=True).over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
+    parts = parts.join(edges.select("path", "block", "_open"), ["path", "block"]).withColumn("_first", F.coalesce("_first", "_open"))
+    line = F.struct("block", "id", "line")
+    put = parts.groupBy("path", "_first").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("record"))
+    return lines.filter("_alone").select("path", "block", "id", F.col("line").alias("record")).unionAll(put.select("path", "_first.block", "_first.id", "record"))
+
+
 def read_grids(spark: SparkSession, paths: Sequence[str], sheets_in_folders: bool = False) -> DataFrame:
     """(source, sheet, row_no, cells) of CSV files; blank rows are skipped and not numbered.
 
     Every cell is text and empty cells are NULL; trailing ones are left out. A record of any width keeps
-    all its cells: the reader only finds where records end, and their raw text is split here. A file is
-    UTF-8 unless one of its records is not valid UTF-8, then it has one byte per character. With
+    all its cells. A file is UTF-8 unless one of its records is not valid UTF-8, then it has one byte per character. With
     ``sheets_in_folders`` the folder is the source and its files are sheets. A quoted cell may span
-    lines, so one task reads a file from start to end and the row id grows in file order; ids of a
-    file start at its smallest one.
+    lines; a file of any size is read in blocks by many tasks all the same, and rows are numbered from 0 in file order.
     """
-    # with a single column every wider record counts as malformed, and its text is kept whole
-    schema = T.StructType([T.StructField("only", T.StringType()), T.StructField("record", T.StringType())])
-    raw = spark.read.csv(
-        list(paths), schema=schema, header=False, multiLine=True, encoding="ISO-8859-1", quote='"', escape='"', columnNameOfCorruptRecord="record", maxCharsPerColumn=-1
-    )
-    as_bytes = F.encode(F.coalesce("record", "only"), "ISO-8859-1")
-    only, record = (F.regexp_replace(c, "\r$", "").alias(c) for c in ("only", "record"))  # of lines that end in two characters
-    rows = raw.select(F.col("_metadata.file_path").alias("path"), only, record, (~F.is_valid_utf8(as_bytes.cast("string"))).alias("broken"))
-    rows = rows.withColumn("_cells", F.when(F.col("record").isNull(), F.array("only")).otherwise(F.transform(F.regexp_extract_all(F.concat(F.lit(","), "record"), F.lit(CELL), F.lit(1)), _unquoted)))
+    raw = _records(spark, paths).withColumn("record", F.regexp_replace("record", "\r$", ""))  # of lines that end in two characters
+    rows = raw.withColumn("broken", ~F.is_valid_utf8(F.encode("record", "ISO-8859-1").cast("string")))
+    rows = rows.withColumn("_cells", F.transform(F.regexp_extract_all(F.concat(F.lit(","), "record"), F.lit(CELL), F.lit(1)), _unquoted))
     last = F.array_max(F.transform("_cells", lambda c, i: F.when(F.translate(c, BYTE_ORDER_MARK, "") != "", i + 1)))
-    rows = rows.withColumn("_last", last).filter("_last is not null").withColumn("_id", F.monotonically_increasing_id())
-    files = rows.groupBy("path").agg(F.min("_id").alias("_first"), F.max("broken").alias("_one_byte"))
-    rows = rows.join(files, "path")
+    rows = materialize(rows.drop("record").withColumn("_last", last).filter("_last is not null"))
+    blocks = rows.groupBy("path", "block").agg(F.count("*").alias("_n"), F.max("broken").alias("_broken"))
+    of_file = Window.partitionBy("path").orderBy("block")
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_one_byte", F.max("_broken").over(Window.partitionBy("path")))
+    number = F.row_number().over(Window.partitionBy("path", "block").orderBy("id")) - 1 + F.col("_before")
+    rows = rows.join(blocks.select("path", "block", "_before", "_one_byte"), ["path", "block"]).withColumn("row_no", number.cast("long"))
     text = F.transform(F.slice("_cells", F.lit(1), F.col("_last")), lambda c: F.when(F.col("_one_byte"), _windows_1252(c)).otherwise(F.encode(c, "ISO-8859-1").cast("string")))
     rows = rows.withColumn("cells", F.transform(text, lambda c: F.nullif(F.translate(c, "\ufeff", ""), F.lit(""))))
     name = F.element_at(F.split("path", "/"), -1)
     folder = F.element_at(F.split("path", "/"), -2)
     decoded = F.url_decode(F.replace(folder if sheets_in_folders else name, F.lit("+"), F.lit("%2B")))
-    return rows.select(
-        decoded.alias("source"),
-        F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("sheet"),
-        (F.col("_id") - F.col("_first")).alias("row_no"),
-        "cells",
-    )
+    return rows.select(decoded.alias("source"), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("sheet"), "row_no", "cells")
 
 
 def alias_table(spark: SparkSession, aliases: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -1,9 +1,11 @@
 """Generated files in three layouts through reading, linkage, tables and benchmark; expectations follow from the generator."""
 
 import csv
+import difflib
 import hashlib
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +239,42 @@ def test_file_rules_and_hashes(spark, folder):
     hashes = files.file_hashes(spark, [str(folder / "schools.csv")])
     assert hashes.first()["sha256"] == hashlib.sha256((folder / "schools.csv").read_bytes()).hexdigest()
     assert len(files.source_hash(hashes).first()["source_hash"]) == 64
+
+
+def test_ratios_equal_the_definition():
+    draw = random.Random(77)
+    word = lambda letters, n: "".join(draw.choices(letters, k=n))
+    left = [word("abcde ", draw.randint(0, 30)) for _ in range(1500)] + ["", "a", "x" * 250, word("abc", 220), "é中😀 b", word("ab", 900)]
+    right = [a[:5] + word("abcde ", 3) + a[8:] if i % 2 else word("abcde ", draw.randint(0, 30)) for i, a in enumerate(left[:1500])] + ["", "", "x" * 230, word("abc", 205), "😀中é b", word("ab", 150)]
+    want = [difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)]
+    assert L.ratios(pd.Series(left), pd.Series(right)).tolist() == want
+    assert L.ratios(pd.Series(left), pd.Series(right), 0.75).tolist() == [x if x >= 0.75 else 0 for x in want]
+
+
+@pytest.mark.parametrize("block, ending", [(300, "\n"), (1 << 27, "\r\n")])
+def test_records_run_over_blocks_of_a_file(spark, tmp_path, block, ending):
+    draw = random.Random(5)
+    cell = lambda: "".join(draw.choices(['"', ",", "\n", "a", "bc", "é", " ", '""', 'x,"y'], k=draw.choice([0, 1, 2, 9])))
+    tables = {}
+    for name in ("one.csv", "two.csv"):
+        rows = [[cell() for _ in range(draw.randint(1, 4))] for _ in range(400)] + [["one", "z" * 2000 + "\n" + "q" * 900, ""]] + [[cell(), "end"] for _ in range(30)]
+        with open(tmp_path / name, "w", newline="") as out:
+            csv.writer(out, lineterminator=ending).writerows(rows)
+        kept = []
+        for row in rows:
+            while row and not row[-1]:
+                row = row[:-1]
+            kept += [[c or None for c in row]] if row else []
+        tables[name] = list(enumerate(kept))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        lines = grids._lines(spark, [f"{tmp_path}/*.csv"])
+        assert lines.select("path", "block").distinct().count() > (50 if block == 300 else 0)
+        found = grids.read_grids(spark, [f"{tmp_path}/*.csv"]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name, want in tables.items():
+        assert sorted((r["row_no"], r["cells"]) for r in found if r["source"] == name) == want
