@@ -14,7 +14,7 @@ from peerscope.plans import reads as D
 from peerscope.plans import views as V
 from peerscope.plans.queries_text import ORGANIZATION_SQL, organizations, sql_board_key, sql_fold, sql_query_key, sql_school, sql_expand, sql_words
 from peerscope.plans.registry import joined, query, r
-from peerscope.session import scratch_path
+from peerscope.session import materialize, scratch_folder
 from peerscope.sources import files as FI
 from peerscope.sources import grids as G
 from peerscope.sources import sinks as W
@@ -458,7 +458,7 @@ def _layouts(t):
 
 
 def _written(t):
-    folder = scratch_path(t.spark, "layouts")
+    folder = scratch_folder(t.spark, "layouts")
     for i, (df, encoding) in enumerate(_layouts(t)):
         df.write.csv(f"{folder}/{i}", header=True, escape='"', encoding=encoding)
     return [f"{folder}/{i}/*.csv" for i in range(3)]
@@ -467,22 +467,27 @@ def _written(t):
 _NOTE = "'Étape ' || o_orderstatus || CASE WHEN o_orderkey % 5 = 0 THEN ', \"noted\"' || chr(10) || 'second line' ELSE '' END"
 
 
-@query("src1_read_grids", "SELECT count(*) AS cells_filled FROM (SELECT unnest(range(CASE WHEN year(o_orderdate) <= 1996 THEN 4 WHEN year(o_orderdate) <= 1999 THEN 5 ELSE 3 END)) FROM orders)")
+@query(
+    "src1_read_grids",
+    f"""SELECT CASE WHEN y <= 1996 THEN concat_ws('|', o_orderkey, o_custkey, price, {_NOTE}) WHEN y <= 1999 THEN concat_ws('|', {_NOTE}, o_orderkey, 'x', '$' || format('{{:,.2f}}', price), o_custkey)
+        ELSE concat_ws('|', o_orderkey, o_custkey, price) END AS cells, count(*) AS n FROM (SELECT *, year(o_orderdate) AS y, CAST(o_totalprice AS DECIMAL(18, 2)) AS price FROM orders) GROUP BY ALL""",
+)
 def _(t):
     grids = G.read_grids(t.spark, _written(t))
-    filled = F.size(F.filter("cells", lambda c: c.isNotNull()))
-    return grids.filter("row_no > 0").agg(F.sum(filled).alias("cells_filled"))
+    return grids.filter("row_no > 0").groupBy(joined("cells").alias("cells")).agg(F.count("*").alias("n"))
 
 
-@query("src2_best_sheet", "SELECT CAST(1 AS BIGINT) AS sources, count(*) AS records FROM orders WHERE year(o_orderdate) <= 1996")
+@query("src2_best_sheet", f"SELECT 'year=' || year(o_orderdate) AS source, CAST(o_orderkey AS VARCHAR) AS \"order\", CAST(o_custkey AS VARCHAR) AS customer, {_NOTE} AS note FROM orders")
 def _(t):
-    # one source folder with two sheets: the order sheet names more known fields than the notes
-    folder = scratch_path(t.spark, "sheets") + "/book"
-    orders = _layouts(t)[0][0].drop("Status / Note")
-    orders.coalesce(1).write.csv(folder, header=True, escape='"')
-    t.nation.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("label")).coalesce(1).write.mode("append").csv(folder, header=True)
-    rows = G.read_records(t.spark, [f"{folder}/*.csv"], _ORDER_ALIASES, ["order", "customer"], sheets_in_folders=True)
-    return rows.agg(F.count_distinct("source").alias("sources"), F.count("*").alias("records"))
+    # a source folder a year with two sheets each: the order sheet names more known fields than the notes
+    folder = scratch_folder(t.spark, "sheets") + "/books"
+    note = F.concat(F.lit("Étape "), "o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, F.lit(', "noted"\nsecond line')).otherwise(""))
+    orders = t.orders.select(F.year("o_orderdate").alias("year"), F.col("o_orderkey").cast("string").alias("Order Key"), F.col("o_custkey").cast("string").alias("Customer KEY"), note.alias("Remarks"))
+    orders.repartition("year").write.partitionBy("year").csv(folder, header=True, escape='"')
+    labels = orders.select("year").distinct().join(t.nation.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("label")))
+    labels.repartition("year").write.mode("append").partitionBy("year").csv(folder, header=True)
+    rows = G.read_records(t.spark, [f"{folder}/*/*.csv"], _ORDER_ALIASES, ["order", "customer"], sheets_in_folders=True)
+    return rows.select("source", "order", "customer", "note")
 
 
 @query(
@@ -555,7 +560,7 @@ def _(t):
 
 @query("src8_csv_round_trip", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name || ', \"quoted\"' AS name FROM nation")
 def _(t):
-    path = scratch_path(t.spark, "csv")
+    path = scratch_folder(t.spark, "csv") + "/rows"
     W.write_csv(t.nation.select("n_nationkey", F.concat("n_name", F.lit(', "quoted"')).alias("name")), path)
     return t.spark.read.csv(path, header=True, schema="n_nationkey int, name string", escape='"')
 
@@ -565,7 +570,7 @@ def _(t):
     "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS price, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",
 )
 def _(t):
-    path = scratch_path(t.spark, "json")
+    path = scratch_folder(t.spark, "json") + "/rows"
     price = F.when(F.col("o_orderkey") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
     W.write_json(t.orders.select("o_orderkey", price.alias("price"), F.col("o_orderdate").cast("date").alias("day")), path)
     return t.spark.read.schema("o_orderkey long, price double, day string").json(path)
@@ -573,16 +578,20 @@ def _(t):
 
 @query(
     "snk1_upsert",
-    "SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 1997 THEN 'new' ELSE 'old' END AS version, o_totalprice FROM orders",
+    """SELECT o_orderkey, year(o_orderdate) AS year, CASE WHEN year(o_orderdate) >= 1997 THEN 'new' ELSE 'old' END AS version, o_totalprice, year(o_orderdate) >= 1997 AS rewritten FROM orders""",
 )
 def _(t):
-    folder = scratch_path(t.spark, "upsert")
+    path = scratch_folder(t.spark, "upsert") + "/orders"
     rows = t.orders.withColumn("year", F.year("o_orderdate"))
-    # rows of 1997 and 1998 are stored without a price and then replaced
-    old = rows.filter("year <= 1998").select("o_orderkey", F.lit("old").alias("version"), F.when(F.col("year") < 1997, F.col("o_totalprice")).alias("o_totalprice"))
-    old.write.parquet(f"{folder}/v1")
-    new = rows.filter("year >= 1997").select("o_orderkey", F.lit("new").alias("version"), "o_totalprice")
-    return W.upsert(t.spark, f"{folder}/v1", new, ["o_orderkey"], f"{folder}/v2")
+    # orders of 1997 and 1998 are stored without a price, those of 1999 under a wrong year; the payload replaces and moves them
+    old = rows.filter("year <= 1999").select("o_orderkey", F.lit("old").alias("version"), F.when(F.col("year") < 1997, F.col("o_totalprice")).alias("o_totalprice"), F.when(F.col("year") == 1999, 1890).otherwise(F.col("year")).alias("year"))
+    old.write.partitionBy("year").parquet(path)
+    files = t.spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    before = materialize(files)
+    new = rows.filter("year >= 1997").select("o_orderkey", F.lit("new").alias("version"), "o_totalprice", "year")
+    merged = W.upsert_partitions(t.spark, path, new, ["o_orderkey"], ["year"])
+    kept = merged.select("*", F.col("_metadata.file_path").alias("file")).join(before.withColumn("kept", F.lit(True)), "file", "left")
+    return kept.select("o_orderkey", "year", "version", "o_totalprice", F.col("kept").isNull().alias("rewritten"))
 
 
 @query(
@@ -596,14 +605,15 @@ def _(t):
     return rows.select("facility_id", F.when(F.col("match_status") == "matched", F.col("school_number")).alias("school_number"), "board_slug")
 
 
-@query("snk3_replace_table", "SELECT year(o_orderdate) AS reporting_year, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS keys FROM orders GROUP BY ALL")
+@query("snk3_replace_table", "SELECT o_orderkey, o_custkey, year(o_orderdate) AS reporting_year FROM orders")
 def _(t):
-    path = scratch_path(t.spark, "replace")
+    folder = scratch_folder(t.spark, "replace")
+    table = "replaced_" + folder.rsplit("-", 1)[-1]
     rows = t.orders.select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("reporting_year"))
     # what a full replace must remove: other years and other keys
-    W.replace_table(rows.withColumn("reporting_year", F.col("reporting_year") - F.col("o_orderkey") % 9).withColumn("o_custkey", F.lit(1).cast("long")), path, ["reporting_year"])
-    W.replace_table(rows, path, ["reporting_year"])
-    return t.spark.read.parquet(path).groupBy("reporting_year").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys"))
+    W.replace_table(rows.withColumn("reporting_year", F.col("reporting_year") - F.col("o_orderkey") % 9).withColumn("o_custkey", F.lit(1).cast("long")), table, folder, ["reporting_year"])
+    W.replace_table(rows, table, folder, ["reporting_year"])
+    return t.spark.table(table)
 
 
 @query(
@@ -622,7 +632,7 @@ def _(t):
 def _(t):
     from peerscope.plans.benchmark import peer_metrics
 
-    path = scratch_path(t.spark, "export")
+    path = scratch_folder(t.spark, "export") + "/rows"
     records = V.facility_years(t).drop("reporting_period_end")
     W.write_json(records, path)
     loaded = t.spark.read.schema(records.schema).json(path)
@@ -630,10 +640,17 @@ def _(t):
     return metrics.groupBy("reporting_year").agg(F.count("*").alias("entities"), F.count("eui").alias("with_eui"))
 
 
-@query("snk6_file_hashes")
+@query(
+    "snk6_file_hashes",
+    """WITH h AS (SELECT 'nation=' || c_nationkey AS folder, sha256(string_agg(c_name || '|' || c_custkey, chr(10) ORDER BY c_custkey) || chr(10)) AS sha256 FROM customer GROUP BY c_nationkey)
+      SELECT folder, sha256 FROM h UNION ALL SELECT 'all inputs', sha256(string_agg(sha256, '|' ORDER BY folder)) FROM h""",
+)
 def _(t):
-    hashes = FI.file_hashes(t.spark, [f"{t.folder}/*.parquet"])
-    return hashes.unionByName(FI.source_hash(hashes).select(F.lit("all inputs").alias("file"), F.col("source_hash").alias("sha256")))
+    path = scratch_folder(t.spark, "hashes") + "/customers"
+    lines = t.customer.select(F.col("c_nationkey").alias("nation"), "c_custkey", F.concat_ws("|", "c_name", "c_custkey").alias("line"))
+    lines.repartition("nation").sortWithinPartitions("nation", "c_custkey").select("nation", "line").write.partitionBy("nation").text(path)
+    hashes = FI.hashed(FI.list_files(t.spark, f"{path}/*/*.txt").select("path", F.col("folder").alias("file"))).select("file", "sha256")
+    return hashes.unionByName(FI.source_hash(hashes).select(F.lit("all inputs").alias("file"), F.col("source_hash").alias("sha256"))).withColumnRenamed("file", "folder")
 
 
 @query(

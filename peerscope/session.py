@@ -52,6 +52,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new, empty scratch folder that is removed when the driver ends."""
+    path = scratch_path(spark, name)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(there)
+    return drop_at_exit(spark, path)
+
+
 def drop_at_exit(spark: SparkSession, path: str) -> str:
     """Have a written scratch table removed when the driver ends; nothing can read it any longer then."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -278,3 +278,40 @@ def test_records_run_over_blocks_of_a_file(spark, tmp_path, block, ending):
             spark.conf.set(k, v)
     for name, want in tables.items():
         assert sorted((r["row_no"], r["cells"]) for r in found if r["source"] == name) == want
+
+
+def test_a_failed_replace_leaves_the_old_table(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id", "id % 3 AS part")
+    sinks.replace_table(rows, "held_table", f"{tmp_path}/held", ["part"])
+    broken = rows.selectExpr("id + 1000 AS id", "CASE WHEN id = 99 THEN raise_error('lost') ELSE part END AS part")
+    with pytest.raises(Exception, match="lost"):
+        sinks.replace_table(broken, "held_table", f"{tmp_path}/held", ["part"])
+    assert {r["id"] for r in spark.table("held_table").collect()} == set(range(100))
+    sinks.replace_table(rows.filter("id < 5"), "held_table", f"{tmp_path}/held")
+    assert {(r["id"], r["part"]) for r in spark.table("held_table").collect()} == {(i, i % 3) for i in range(5)}
+    spark.sql("DROP VIEW held_table")
+
+
+def test_upsert_rewrites_touched_partitions_only(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    spark.range(40).selectExpr("id", "id % 4 AS year", "'old' AS v").write.partitionBy("year").parquet(path)
+    stored = lambda: {f.name for f in (tmp_path / "table").rglob("*.parquet")}
+    before = stored()
+    payload = spark.createDataFrame([(2, 2, "new"), (100, 2, "new"), (3, 9, "moved")] + [(i, 9, "moved") for i in range(7, 40, 4)], "id long, year int, v string")
+    found = sinks.upsert_partitions(spark, path, payload, ["id"], ["year"]).collect()
+    want = {i: (i % 4, "old") for i in range(40)} | {i: (9, "moved") for i in range(3, 40, 4)} | {2: (2, "new"), 100: (2, "new")}
+    assert {r["id"]: (r["year"], r["v"]) for r in found} == want and len(found) == len(want)
+    assert not (tmp_path / "table" / "year=3").exists()  # all of its rows moved
+    untouched = {f.name for y in (0, 1) for f in (tmp_path / "table" / f"year={y}").glob("*.parquet")}
+    assert untouched <= before and len(stored() & before) == len(untouched)
+    with pytest.raises(ValueError):
+        sinks.upsert_partitions(spark, path, payload.union(payload), ["id"], ["year"])
+
+
+def test_large_files_are_hashed_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "BUFFER", 1000)
+    bodies = {"tiny": b"\n", "small one, 100 %": b"x" * 999, "large": random.Random(2).randbytes(300_001)}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    found = {r["file"]: r["sha256"] for r in files.file_hashes(spark, [str(tmp_path)]).collect()}
+    assert found == {k: hashlib.sha256(v).hexdigest() for k, v in bodies.items()}
