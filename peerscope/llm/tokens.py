@@ -50,8 +50,8 @@ class Encoder:
 
     A simple text is cut by the vocabulary's own pattern, and each distinct part goes to the library's merges once. Any other text is cut
     where its tokenizer always cuts, at blanks that the vocabulary drops (``keeps_space`` false) or before each run of white
-    space, and each distinct piece goes through the library's whole chain once. Strings of special tokens in a text are
-    ordinary text.
+    space, and each distinct piece goes through the library's whole chain once. A text that holds the string of an added
+    token, in any case, goes through the library whole, which decides what it is.
     """
 
     def __init__(self, path: str, keeps_space: bool, limit: int = 250_000):
@@ -59,8 +59,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.merges, self.keeps_space = self.whole.model, keeps_space
+        added = [token.content for token in self.whole.get_added_tokens_decoder().values()]
+        self.adds = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE).search
+        # what all of them begin with besides letters is looked for first: most texts do not hold it
+        self.openings = {re.match(r"[\W_]*", x)[0] for x in added}
         symbols = byte_symbols()
         self.symbols = {c: "".join(symbols[b] for b in chr(c).encode()) for c in range(256)}
         self.parts, self.pieces = Memory(self._part, limit), Memory(self._piece, limit // 4)
@@ -78,6 +81,8 @@ class Encoder:
         """The ids of one text (null: empty), and the given end ids."""
         if not text:
             ids = ()
+        elif any(x in text for x in self.openings) and self.adds(text):
+            ids = (self.whole.encode(text, add_special_tokens=False).ids,)
         elif SIMPLE.fullmatch(text):
             ids = self.parts(self.split(text if self.keeps_space else text.lower()))
         else:
