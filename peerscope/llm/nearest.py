@@ -82,27 +82,29 @@ class CrossPolytope:
         return best
 
 
-def fitted_probes(index: CrossPolytope, sample: np.ndarray, total: int, k: int, recall: float) -> int:
-    """The fewest probes a table with which a sample finds ``recall`` of its neighbours.
+def fitted_probes(index: CrossPolytope, sample: np.ndarray, total: int, k: int, recall: float) -> tuple[int, float]:
+    """The fewest probes a table with which a sample finds ``recall`` of its neighbours, or the most, and the share found with them.
 
     Of ``total`` vectors' k nearest, a sample of s holds k s / total on average: so many of each sampled query's nearest are looked for.
+    A neighbour that no probe reaches is a miss. With one axis all buckets may be probed, and nothing is missed.
     """
     queries = sample[:SAMPLE_QUERIES]
     wanted = max(1, min(len(sample) - 1, round(k * len(sample) / max(1, total))))
     if len(sample) < 2:
-        return 1
+        return 1, 1.0
     near = queries @ sample.T
     near[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
     best = np.argsort(-near, axis=1)[:, :wanted]
     codes = index.codes(sample)
-    most = min(MOST_PROBES, (2 * index.width) ** index.axes)
-    first = np.full(best.shape, most)
+    most = 2 * index.width if index.axes == 1 else min(MOST_PROBES, (2 * index.width) ** index.axes)
+    first = np.full(best.shape, most + 1)  # beyond the last probe: a miss
     for t in range(index.tables):
         for at in range(0, len(queries), 32):
             probes = index.probes(queries[at : at + 32], t, most)
             hit = probes[:, None, :] == codes[best[at : at + 32], t][:, :, None]
-            first[at : at + 32] = np.minimum(first[at : at + 32], np.where(hit.any(2), hit.argmax(2) + 1, most))
-    return int(np.sort(first.reshape(-1))[min(first.size - 1, math.ceil(recall * first.size) - 1)])
+            first[at : at + 32] = np.minimum(first[at : at + 32], np.where(hit.any(2), hit.argmax(2) + 1, most + 1))
+    probes = min(most, int(np.sort(first.reshape(-1))[min(first.size - 1, math.ceil(recall * first.size) - 1)]))
+    return probes, float((first <= probes).mean())
 
 
 def _vectors(values: list) -> np.ndarray:
@@ -110,7 +112,7 @@ def _vectors(values: list) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.97, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """One row per query and neighbour: query_id, rank (from 1), vec_id, score.
+    """One row per query and neighbour: query_id, rank (from 1), vec_id, score, fitted_recall (the share found of a sample's neighbours).
 
     Queries are the rows whose id is divisible by ``every``; candidates are all other ids. Nearest first by inner product, ties to the smaller id.
     Rows without an id, and vectors that are null, empty, zero or hold null or non-finite numbers, take no part; shorter vectors are filled up with
@@ -121,7 +123,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.
     usable = F.col(vec_id).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.filter(usable).select(F.col(vec_id).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
     dims = rows.agg(F.max(F.size("v"))).first()[0]
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, fitted_recall double"
     if dims is None:
         return spark.createDataFrame([], schema)
 
@@ -168,8 +170,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.
     axes = 1  # so many that a bucket holds 2 x BLOCK vectors on average at most
     while total > 2 * BLOCK * (2 * width) ** axes:
         axes += 1
-    index = CrossPolytope(dims, high, lift, axes)
-    probes = fitted_probes(index, sample, total, k, recall)
+    while True:  # fewer axes make larger buckets, until the probes reach the recall; one axis always does
+        index = CrossPolytope(dims, high, lift, axes)
+        probes, reached = fitted_probes(index, sample, total, k, recall)
+        if reached >= recall or axes == 1:
+            break
+        axes -= 1
     shared = spark.sparkContext.broadcast(index)
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +218,15 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.
             nonlocal matrix
             if matrix is None:
                 matrix = _vectors(values)
-            scores = _vectors(queries) @ matrix.T
+            asked = _vectors(queries)
+            scores = asked @ matrix.T
             most = min(k + 1, scores.shape[1])
             best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-            edge = np.take_along_axis(scores, best, 1).min(1)
+            # a matrix product's last bits depend on its shape: candidates within them are kept, and each score is summed anew in one fixed order
+            slack = 1e-12 * np.sqrt((asked**2).sum(1)) * high
+            edge = np.take_along_axis(scores, best, 1).min(1) - slack
             rows_at, columns = np.nonzero(scores >= edge[:, None])
-            found = scores[rows_at, columns]
+            found = (asked[rows_at] * matrix[columns]).sum(axis=1)
             of_query, of_vector = pa.array(asked_by, type=PLACE), pa.array(names, type=PLACE)
             return pa.RecordBatch.from_arrays([of_query.take(pa.array(rows_at)), of_vector.take(pa.array(columns)), pa.array(found)], ["q", "c", "score"])
 
@@ -249,7 +258,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.
     listed = listed.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "id"))), 1, k + 1).alias("near"))
     answer = asked.join(listed, asked["c"] == listed["q"]).select("vec_id", F.slice(F.filter("near", lambda x: x["id"] != F.col("vec_id")), 1, k).alias("near"))
     answer = answer.select(F.col("vec_id").alias("query_id"), F.posexplode("near").alias("at", "n"))
-    return answer.select("query_id", (F.col("at") + 1).alias("rank"), F.col("n.id").alias("vec_id"), (-F.col("n.far")).alias("score"))
+    return answer.select("query_id", (F.col("at") + 1).alias("rank"), F.col("n.id").alias("vec_id"), (-F.col("n.far")).alias("score"), F.lit(reached).alias("fitted_recall"))
 
 
 PLACE = pa.struct([("c", pa.int64()), ("h", pa.int64())])
