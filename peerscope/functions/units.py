@@ -69,9 +69,14 @@ def to_float(value: Column) -> Column:
     return let(F.when(text.rlike(_NUMBER), text).try_cast("double"), finite)
 
 
+def unit_factor(unit: Column, factors: Mapping[str, float]) -> Column:
+    """The factor of a unit's label; NULL if it is unknown. Usual labels are keys as they stand and skip the normalisation."""
+    table = F.create_map(*[F.lit(part) for pair in factors.items() for part in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(unit)), F.try_element_at(table, normalize_header(unit)))
+
+
 def convert_quantity(quantity: Column, unit: Column, factors: Mapping[str, float]) -> Column:
     """STRUCT(value, recognized). Zero needs no unit; an unknown unit gives (NULL, false)."""
-    table = F.create_map(*[F.lit(part) for pair in factors.items() for part in pair])
 
     def converted(q: Column) -> Column:
         amount, factor = q["amount"], q["factor"]
@@ -80,9 +85,7 @@ def convert_quantity(quantity: Column, unit: Column, factors: Mapping[str, float
             (amount.isNull() | (amount == 0) | factor.isNotNull()).alias("recognized"),
         )
 
-    # usual labels are keys as they stand, so most rows skip the normalisation
-    factor = F.coalesce(F.try_element_at(table, F.lower(unit)), F.try_element_at(table, normalize_header(unit)))
-    return let(F.struct(to_float(quantity).alias("amount"), factor.alias("factor")), converted)
+    return let(F.struct(to_float(quantity).alias("amount"), unit_factor(unit, factors).alias("factor")), converted)
 
 
 def gas_quantities(reported_gj: Column, quantity: Column, unit: Column) -> Column:

@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerscope.functions.text import let, normalize_query
+from peerscope.operators.ranking import running_sum
 from peerscope.session import materialize, spread
 
 FUZZY_THRESHOLD = 0.6
 PER_KIND = 6
+#: Words of a sorted dictionary that are joined together.
+PAGE = 64
 
 
 def _document(kind: str, label: Column, sublabel: Column, href: Column) -> list[Column]:
@@ -89,16 +92,32 @@ def score_document(query: Column, asked: Column, folded: Column, words: Column)
     )
 
 
+def starting_words(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(asked, word) of distinct known words that start with a distinct asked one.
+
+    In a sorted dictionary those are a range, from the asked word up to its last possible continuation. Both ends are laid among the
+    words by one running sum, and ranges meet words by pages of ``PAGE`` words, so there is a row per word and per page of a range.
+    """
+    rows = known.select(F.col("word").alias("text"), F.lit(1).alias("kind"), F.lit(1).cast("long").alias("one"))
+    ends = F.explode(F.array(F.struct(F.col("asked").alias("text"), F.lit(0).alias("kind")), F.struct(F.concat("asked", F.lit("\U0010ffff")).alias("text"), F.lit(2).alias("kind"))))
+    asked_ends = asked.select("asked", ends.alias("end")).select("asked", "end.*")
+    laid = rows.withColumn("asked", F.lit(None).cast("string")).unionByName(asked_ends.withColumn("one", F.lit(0).cast("long")))
+    placed = running_sum(laid, [], ["text", "kind"], "one", "place")
+    placed = materialize(placed.select("text", "asked", "kind", "place"))
+    words = placed.filter("kind = 1").select(F.col("text").alias("word"), (F.col("place") - 1).alias("place")).withColumn("page", F.floor(F.col("place") / PAGE))
+    at = [F.max(F.when(F.col("kind") == kind, F.col("place"))).alias(name) for kind, name in ((0, "first"), (2, "past"))]
+    ranges = placed.filter("kind <> 1").groupBy("asked").agg(*at).filter("first < past")
+    paged = ranges.withColumn("page", F.explode(F.sequence(F.floor(F.col("first") / PAGE), F.floor((F.col("past") - 1) / PAGE))))
+    return paged.join(words, "page").filter("place >= first and place < past").select("asked", "word")
+
+
 def similar_words(asked: DataFrame, known: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """(asked, word) couples that may reach the threshold, plus words that start with the asked one.
 
     Sets with Dice >= t share at least t/(2-t) of either set, so both have one of the rarest
     |set| - need + 1 bigrams in common.
     """
-    prefixes = known.select(
-        "word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr("word", F.lit(1), i))).alias("asked")
-    )
-    starting = prefixes.join(asked.select("asked"), "asked").select("asked", "word")
+    starting = starting_words(asked.select("asked"), known.select("word"))
     grams = known.select("word", F.explode(bigrams(F.col("word"))).alias("gram"))
     frequency = grams.groupBy("gram").agg(F.count("*").alias("_f"))  # bounded by the alphabet squared
 

@@ -38,10 +38,10 @@ def _per_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def ranked_values(df: DataFrame, keys: Sequence[str], value: Column, weight: Column | None = None) -> DataFrame:
-    """Distinct finite values per key: keys, ``_v``, ``_c`` (rows with it), ``_to`` (rows up to it)."""
+    """Distinct finite values per key: keys, ``_v``, ``_c`` (rows with it), ``_to`` (rows up to it); a stored table, as it is read several times."""
     rows = df.select(*keys, finite(value).alias("_v"), (F.lit(1) if weight is None else weight).alias("_w")).filter("_v is not null")
     counted = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"))
-    return running_sum(counted, keys, ["_v"], "_c", "_to")
+    return materialize(running_sum(counted, keys, ["_v"], "_c", "_to"))
 
 
 def quantiles_of(ranked: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float], interpolate: bool = True) -> DataFrame:
@@ -78,7 +78,7 @@ def exact_mad(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     """Median, median absolute deviation and mean absolute deviation per key."""
     keys = list(keys)
     ranked = ranked_values(df, keys, value)
-    centers = quantiles_of(ranked, keys, {"median": 0.5})
+    centers = materialize(quantiles_of(ranked, keys, {"median": 0.5}))
     distance = _per_key(ranked.select(*keys, "_v", "_c"), centers, keys).withColumn("_d", F.abs(F.col("_v") - F.col("median")))
     mads = exact_deviations(distance, keys)
     return _per_key(centers, mads, keys)

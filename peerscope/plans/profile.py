@@ -77,6 +77,32 @@ def profile_views(
     )
 
 
+def school_profiles(schools: DataFrame, boards: DataFrame, facilities: DataFrame, series: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One row per school with its board: facilities (by id), series (by year), metrics (by year) and the latest metric.
+
+    Each part is combined to one row per school where it is read; a school has few facilities and a row a year. Schools
+    without a part have an empty array.
+    """
+    facility = F.struct("facility_id", "facility_name", "operation_type", "match_method", "match_confidence")
+    year = F.struct("year", *[c for c in series.columns if c not in ("school_id", "year")])
+    metric = F.struct(*_METRIC)
+    parts = {
+        "facilities": facilities.filter("school_id is not null").groupBy("school_id").agg(F.collect_list(facility).alias("facilities")),
+        "series": series.groupBy("school_id").agg(F.collect_list(year).alias("series")),
+        "metrics": metrics.filter("school_id is not null").groupBy("school_id").agg(F.collect_list(metric).alias("metrics")),
+    }
+
+    def ordered(name: str, key: str) -> Column:
+        return F.array_sort(name, lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0))
+
+    keys = {"facilities": "facility_id", "series": "year", "metrics": "reporting_year"}
+    rows = schools.join(boards.select("board_number", F.col("name").alias("board_name"), F.col("slug").alias("board_slug")), "board_number")
+    for name, part in parts.items():
+        kind = part.schema[name].dataType.simpleString()
+        rows = rows.join(part.withColumn(name, ordered(name, keys[name])), "school_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    return rows.withColumn("latest", F.try_element_at("metrics", F.lit(-1)))
+
+
 def _score_text() -> Column:
     metric = F.col("metric")
     shown = F.concat(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from peerscope.functions import units as U
+from peerscope.operators.quantities import convert_quantities
 from peerscope.operators.score import data_confidence, opportunity_score
 from peerscope.plans import views as V
 from peerscope.plans.registry import joined, query, r
@@ -40,8 +41,7 @@ def _(t):
 )
 def _(t):
     unit = F.when(F.col("l_returnflag") == "A", "Square feet").when(F.col("l_returnflag") == "N", "Mètres carrés").otherwise("Hectares")
-    got = U.convert_quantity(F.col("l_quantity").cast("string"), unit, U.AREA_TO_M2)
-    return t.lineitem.select(*_KEYS, got.alias("q")).select(*_KEYS, "q.*")
+    return convert_quantities(t.lineitem, F.col("l_quantity").cast("string"), unit, U.AREA_TO_M2).select(*_KEYS, "value", "recognized")
 
 
 @query(

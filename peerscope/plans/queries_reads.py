@@ -217,6 +217,11 @@ def _(t):
     return _shown(D.page(_list(t), "score", False, 1, 40))
 
 
+@query("lm1_deep_page", LIST_SQL + f" SELECT {_SHOWN} FROM l ORDER BY eui DESC NULLS LAST, name, slug LIMIT 30 OFFSET 240")
+def _(t):
+    return _shown(D.PageIndex(_list(t), "eui", True).page(9, 30))
+
+
 @query("lm1_total", LIST_SQL + " SELECT count(*) AS total, count(eui) AS reported FROM l WHERE active")
 def _(t):
     return _list(t, D.school_filters(active=True)).agg(F.count("*").alias("total"), F.count("eui").alias("reported"))
@@ -233,17 +238,80 @@ def _(t):
     return D.latest_run(runs).drop("started_at")
 
 
+def _profiles(t):
+    series = P.yearly_series(V.energy_records(t), V.facilities(t), V.DISRUPTED_YEARS)
+    return P.school_profiles(V.schools(t), V.boards(t), V.facilities(t), series, _metrics(t))
+
+
 @query(
     "rp2_school_profile",
-    VW + YEARLY_SQL + """ SELECT s.slug, s.name, b.name AS board_name, y.year, round(y.total, 4) AS total, round(y.eui, 9) AS eui, y.facility_count, f.n AS facilities
-      FROM schools s JOIN boards b USING (board_number) JOIN (SELECT school_id, count(*) AS n FROM facilities WHERE school_id IS NOT NULL GROUP BY ALL) f USING (school_id) LEFT JOIN series y USING (school_id)""",
+    PM + YEARLY_SQL + """ SELECT s.slug, s.name, b.name AS board_name, b.slug AS board_slug, coalesce(f.n, 0) AS facilities, coalesce(y.n, 0) AS years, round(y.total, 4) AS total, round(y.eui, 6) AS eui,
+        coalesce(m.n, 0) AS metrics, m.latest_year, m.opportunity_score, round(m.eui_percentile, 6) AS eui_percentile
+      FROM schools s JOIN boards b USING (board_number) LEFT JOIN (SELECT school_id, count(*) AS n FROM facilities GROUP BY ALL) f USING (school_id)
+        LEFT JOIN (SELECT school_id, count(*) AS n, sum(total) AS total, sum(eui) AS eui FROM series GROUP BY ALL) y USING (school_id)
+        LEFT JOIN (SELECT school_id, count(*) AS n, max(reporting_year) AS latest_year, arg_max(opportunity_score, reporting_year) AS opportunity_score, arg_max(eui_percentile, reporting_year) AS eui_percentile
+          FROM (SELECT * REPLACE (coalesce(opportunity_score, -1) AS opportunity_score, coalesce(eui_percentile, -1) AS eui_percentile) FROM peer_metrics) GROUP BY ALL) m USING (school_id)""",
 )
 def _(t):
-    series = P.yearly_series(V.energy_records(t), V.facilities(t), V.DISRUPTED_YEARS)
-    count = V.facilities(t).filter("school_id is not null").groupBy("school_id").agg(F.count("*").alias("facilities"))
-    names = V.boards(t).select("board_number", F.col("name").alias("board_name"))
-    rows = V.schools(t).join(names, "board_number").join(count, "school_id").join(series, "school_id", "left")
-    return rows.select("slug", "name", "board_name", "year", r("total_site_energy_gj", 4).alias("total"), r("eui", 9).alias("eui"), "facility_count", "facilities")
+    total = lambda name: F.aggregate(F.filter(F.transform("series", lambda y: y[name]), lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v)
+    some = lambda name: F.when(F.exists("series", lambda y: y[name].isNotNull()), total(name))
+    known = F.col("latest.reporting_year").isNotNull()
+    return _profiles(t).select(
+        "slug", "name", "board_name", "board_slug", F.size("facilities").alias("facilities"), F.size("series").alias("years"), r(some("total_site_energy_gj"), 4).alias("total"),
+        r(some("eui"), 6).alias("eui"), F.size("metrics").alias("metrics"), F.col("latest.reporting_year").alias("latest_year"),
+        F.when(known, F.coalesce("latest.opportunity_score", F.lit(-1))).alias("opportunity_score"), r(F.when(known, F.coalesce("latest.eui_percentile", F.lit(-1.0)))).alias("eui_percentile"),
+    )
+
+
+@query("rp2_profile_facilities", VW + " SELECT s.slug, f.facility_id, f.facility_name, f.operation_type, f.match_method, f.match_confidence FROM schools s JOIN boards USING (board_number) JOIN facilities f USING (school_id)")
+def _(t):
+    return _profiles(t).select("slug", F.inline("facilities"))
+
+
+@query(
+    "rp2_profile_history",
+    PM + """ SELECT s.slug, reporting_year, peer_count, round(eui_percentile, 6) AS eui_percentile, opportunity_score, score_confidence, round(energy_gap_gj, 4) AS energy_gap_gj
+      FROM schools s JOIN boards USING (board_number) JOIN peer_metrics USING (school_id)""",
+)
+def _(t):
+    rows = _profiles(t).select("slug", F.inline("metrics"))
+    return rows.select("slug", "reporting_year", "peer_count", r("eui_percentile").alias("eui_percentile"), "opportunity_score", "score_confidence", r("energy_gap_gj", 4).alias("energy_gap_gj"))
+
+
+def _sql_number(x: str, digits: int = 0) -> str:
+    return f"(CASE WHEN {x} < 0 THEN '−' ELSE '' END || format('{{:,.{digits}f}}', CAST(round(CAST(abs({x}) AS DECIMAL(38, 12)), {digits}) AS DOUBLE)))"
+
+
+def _sql_unit(x: str, unit: str, digits: int | None = 0) -> str:
+    """A number with its unit; without digits one is shown below 100."""
+    text = _sql_number(x, digits) if digits is not None else f"CASE WHEN abs({x}) < 100 THEN {_sql_number(x, 1)} ELSE {_sql_number(x)} END"
+    return f"coalesce({text} || ' {unit}', '—')"
+
+
+def _sql_trend(x: str) -> str:
+    rounded = f"round(CAST({x} AS DECIMAL(38, 12)), 1)"
+    return f"coalesce(CASE WHEN {rounded} > 0 THEN '+' WHEN {rounded} < 0 THEN '−' ELSE '' END || format('{{:,.1f}}', CAST(abs({rounded}) AS DOUBLE)) || '%/yr', '—')"
+
+
+_SQL_NTH = """CAST(floor({0} + 0.5) AS BIGINT) || CASE WHEN CAST(floor({0} + 0.5) AS BIGINT) % 100 BETWEEN 11 AND 13 THEN 'th' WHEN CAST(floor({0} + 0.5) AS BIGINT) % 10 = 1 THEN 'st'
+  WHEN CAST(floor({0} + 0.5) AS BIGINT) % 10 = 2 THEN 'nd' WHEN CAST(floor({0} + 0.5) AS BIGINT) % 10 = 3 THEN 'rd' ELSE 'th' END || ' percentile'"""
+#: The percentile in the operator's order of operations, share times 100: they differ in the last bit, which decides halves.
+_SQL_PERCENTILE = "(round(eui_percentile * peer_count / 50) / 2 / peer_count * 100)"
+_SQL_LEVEL = "CASE school_level WHEN 'elementary' THEN 'Elementary school' WHEN 'secondary' THEN 'Secondary school' WHEN 'combined' THEN 'Elementary and secondary school' ELSE coalesce(school_level, 'School level not reported') END"
+#: The comparison's measures in SQL, in their order.
+_COMPARED = {
+    "School level": _SQL_LEVEL,
+    "Latest reporting year": "coalesce(CAST(latest_year AS VARCHAR), '—')",
+    "Energy Use Intensity": _sql_unit("eui", "GJ/m²", 2),
+    "GHG intensity": _sql_unit("ghg_intensity", "kg CO₂e/m²", 1),
+    "Peer percentile (EUI)": f"CASE WHEN peer_count >= 10 THEN coalesce({_SQL_NTH.format(_SQL_PERCENTILE)}, '—') ELSE '—' END",
+    "Opportunity score": "coalesce(opportunity_score || ' (' || score_confidence || ')', '—')",
+    "5-year trend": _sql_trend("trend5"),
+    "Total site energy": _sql_unit("total", "GJ", None),
+    "Floor area": _sql_unit("area", "m²"),
+    "Data confidence": "CASE WHEN latest_year IS NOT NULL THEN level ELSE 'No energy data' END",
+}
+_COMPARED_SQL = PROFILE_SQL + " , compared AS (" + " UNION ALL ".join(f"SELECT slug, {i} AS row, '{label}' AS label, {text} AS value FROM profiles" for i, (label, text) in enumerate(_COMPARED.items())) + ")"
 
 
 @query(
@@ -263,16 +331,41 @@ def _(t):
     )
 
 
-@query("rp3_report_texts")
+_REPORTED = PROFILE_SQL + """, span AS (SELECT school_id, min(year) AS a, max(year) AS z FROM series GROUP BY ALL),
+  rep AS (SELECT p.*, b.name AS board_name, CASE WHEN span.a IS NULL THEN '—' WHEN a = z THEN CAST(a AS VARCHAR) ELSE a || '–' || z END AS years
+    FROM profiles p JOIN boards b USING (board_number) LEFT JOIN span USING (school_id))"""
+
+
+@query(
+    "rp3_report_texts",
+    _REPORTED + f""" SELECT slug, name, board_name || ' · ' || {_SQL_LEVEL} || ' · ' || coalesce(city, '') AS subtitle, coalesce(CAST(latest_year AS VARCHAR), '—') AS latest_year, latest_year IS NOT NULL AS has_energy_data,
+      {_sql_unit('total', 'GJ', None)} AS total_energy, {_sql_unit('eui', 'GJ/m²', 2)} AS eui, {_sql_unit('ghg_intensity', 'kg CO₂e/m²', 1)} AS ghg_intensity, {_sql_unit('area', 'm²')} AS floor_area,
+      CASE WHEN opportunity_score IS NOT NULL THEN opportunity_score || ' / 100 — ' || score_confidence || ' confidence. ' || coalesce({_SQL_NTH.format(_SQL_PERCENTILE)}, '—') || ' for energy intensity among ' || {_sql_number('peer_count')} || ' comparable facilities.' ELSE 'Not shown' END AS score,
+      years, {_sql_trend('trend3')} AS trend3, {_sql_trend('trend5')} AS trend5,
+      CASE WHEN energy_gap_gj IS NULL THEN 'Not available for this school.' WHEN energy_gap_gj > 0 THEN 'Approximately ' || {_sql_unit('energy_gap_gj', 'GJ', None)} || ' per year.'
+        ELSE 'Energy intensity is at or below the peer median; the modeled gap is zero.' END AS gap, level AS data_confidence FROM rep""",
+)
 def _(t):
-    return P.school_reports(_views(t), V.boards(t))
+    reports = P.school_reports(_views(t), V.boards(t)).drop("peer_group", "data_notes", "sources")
+    return reports.withColumn("score", F.when(F.col("score").startswith("Not shown"), "Not shown").otherwise(F.col("score")))
 
 
-@query("rp4_compare")
+@query("rp4_compare", _COMPARED_SQL + " SELECT slug, CAST(row AS BIGINT) AS row, label, value FROM compared")
 def _(t):
     return P.comparison_values(_views(t))
 
 
+@query(
+    "rp4_compare_table",
+    _COMPARED_SQL + """, three AS (SELECT slug, row_number() OVER (ORDER BY slug) AS nth FROM (SELECT DISTINCT slug FROM schools) ORDER BY slug LIMIT 3)
+      SELECT label, max(value) FILTER (nth = 1) AS first, max(value) FILTER (nth = 2) AS second, max(value) FILTER (nth = 3) AS third FROM compared JOIN three USING (slug) GROUP BY label""",
+)
+def _(t):
+    slugs = [row["slug"] for row in V.schools(t).select("slug").distinct().orderBy("slug").limit(3).collect()]
+    wide = P.compare(_views(t), slugs)
+    return wide.select("label", *[F.col(f"`{slug}`").alias(name) for slug, name in zip(slugs, ("first", "second", "third"), strict=True)])
+
+
 @query(
     "rp4_compare_by_year",
     VW + YEARLY_SQL + """ SELECT y.year, round(max(y.eui) FILTER (s.slug = a), 9) AS first, round(max(y.eui) FILTER (s.slug = b), 9) AS second

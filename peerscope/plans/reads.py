@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.functions.text import filter_fold, fold
 from peerscope.functions.units import plausible
 from peerscope.operators.ranking import exact_quantiles
+from peerscope.session import scratch_folder
 
 SORTS = {"name": "name", "eui": "eui", "score": "opportunity_score", "percentile": "eui_percentile", "year": "latest_year"}
 METRICS = ("eui", "percentile", "score", "ghg_intensity")
@@ -97,6 +101,34 @@ def page(rows: DataFrame, sort: str = "name", descending: bool = False, number:
     return in_order(rows, sort, descending).offset((number - 1) * size).limit(size)
 
 
+class PageIndex:
+    """A list laid out in order, so that any page of it is read from the parts that hold it.
+
+    Parts are ranges of the order, written as partitions of a table, with their row counts; a page skips all others, however deep it lies,
+    and sorts one or two parts. Equal values are dealt over parts by name and slug, so a common value is no single part.
+    """
+
+    def __init__(self, rows: DataFrame, sort: str = "name", descending: bool = False):
+        column = F.col(SORTS[sort])
+        self.order = [column.desc_nulls_last() if descending else column.asc_nulls_last(), F.col("name").asc(), F.col("slug").asc()]
+        spark = rows.sparkSession
+        path = scratch_folder(spark, "pages") + "/rows"
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number given is not merged again
+        laid = rows.repartitionByRange(parts, *self.order).withColumn("_part", F.spark_partition_id())
+        laid.write.partitionBy("_part").parquet(path)
+        self.rows = spark.read.schema(laid.schema).parquet(path)
+        counts = self.rows.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()  # one number a partition
+        self.parts, self.ends = [r["_part"] for r in counts], list(accumulate(r["n"] for r in counts))
+
+    def page(self, number: int = 1, size: int = 25) -> DataFrame:
+        """One page, numbered from 1; the same rows as ``page`` gives."""
+        first = (number - 1) * size
+        begin, end = bisect_right(self.ends, first), bisect_right(self.ends, first + size - 1)
+        skipped = self.ends[begin - 1] if begin else 0
+        held = self.rows.filter(F.col("_part").isin(self.parts[begin : end + 1])).drop("_part")
+        return held.orderBy(*self.order).offset(first - skipped).limit(size)
+
+
 def _excluded() -> Column:
     return ~plausible(F.col("data_quality_flags"))
 

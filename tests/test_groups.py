@@ -1,6 +1,7 @@
 """Order statistics and cohorts against brute force, on small fixtures with hot groups."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -255,3 +256,30 @@ def test_entity_combination(spark):
             assert r[column] == (None if None in parts else pytest.approx(sum(parts)))
         assert ("multiple_facilities_combined" in r["quality_flags"]) == (len(members) > 1)
         assert (r["school_id"] is None) == (members[0][1] is None)
+
+
+def test_pages_of_an_index_are_those_of_the_list(spark):
+    from peerscope.plans import reads
+
+    draw = random.Random(3)
+    rows = [(f"n{draw.randrange(50)}", f"s{i}", draw.choice([None, 1.0, 1.0, 2.0, draw.random()]), None, None, None) for i in range(300)]
+    df = spark.createDataFrame(rows, "name string, slug string, eui double, opportunity_score int, eui_percentile double, latest_year int").repartition(4)
+    for descending in (False, True):
+        index = reads.PageIndex(df, "eui", descending)
+        whole = [r["slug"] for r in reads.in_order(df, "eui", descending).collect()]
+        for number, size in ((1, 25), (4, 37), (12, 25), (13, 25), (1, 300), (2, 299)):
+            assert [r["slug"] for r in index.page(number, size).collect()] == whole[(number - 1) * size : number * size]
+    part = index.page(6, 25)._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*_part", part) and len(index.parts) > 1
+    assert reads.PageIndex(df.filter("false")).page().collect() == []
+
+
+def test_labels_are_converted_once(spark):
+    from peerscope.functions import units
+    from peerscope.operators.quantities import convert_quantities
+
+    rows = [("1,000", "Square feet"), ("2", "m2"), ("3", "Mètres  Carrés"), ("4", "acres"), ("0", None), (None, "ft2"), ("x", None), ("5", None)]
+    df = spark.createDataFrame(rows, "amount string, unit string")
+    got = convert_quantities(df, F.col("amount"), F.col("unit"), units.AREA_TO_M2).collect()
+    want = df.select("*", units.convert_quantity(F.col("amount"), F.col("unit"), units.AREA_TO_M2).alias("q")).select("amount", "unit", "q.*").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == len(rows)
