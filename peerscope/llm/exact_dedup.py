@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerscope.llm.common import BLANKS, join_skewed
+from peerscope.llm.common import BLANKS, join_skewed, unused
 from peerscope.session import materialize
 
 
@@ -49,7 +49,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    digest = F.lower(F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{BLANKS}]+", " "), 256))
-    dropped = exact_duplicates(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
-    return docs.join(dropped, (digest == F.col("__digest")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
+    """The documents that stay, with all their columns, whatever their names. Null counts as empty; rows that repeat an id and a text stay or go together."""
+    id_key, digest_key = unused(docs, "id", "digest")
+    digest = F.lower(F.sha2(F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), f"[{BLANKS}]+", " "), 256))
+    dropped = exact_duplicates(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias(id_key), F.col("text_sha256").alias(digest_key)).distinct()
+    return docs.join(dropped, (digest == F.col(digest_key)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(id_key)), "left_anti")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peerscope.llm.common import STEP, mixed
+from peerscope.llm.common import STEP, mixed, numbered
 from peerscope.session import materialize
 
 SIZES = (3, 4)  # letters of an n-gram, word ends included
@@ -131,13 +131,17 @@ def identify(docs: DataFrame, filters: Filters, doc_id: str = "doc_id", text: st
 
 
 def keep_identified(docs: DataFrame, filters: Filters, least: float, text: str = "text") -> DataFrame:
-    """The documents whose text is in a learned language with a score of ``least`` at least, with all their columns."""
+    """The documents whose text is in a learned language with a score of ``least`` at least, with all their columns, whatever their names.
+
+    Null and empty texts, and those without letters, go; rows that repeat stay or go together; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    at = docs.columns.index(text)
+    names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.predict(body.as_py()) for body in batch.column(at)]
-            yield batch.filter(pa.array([name != "und" and score >= least for name, score in found], pa.bool_()))
+            kept = pa.array([name != "und" and score >= least for name, score in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.filter(kept).columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered(docs).mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peerscope.llm.common import join_salted, mixed, unused
+from peerscope.llm.common import join_salted, mixed, numbered, unused
 from peerscope.session import materialize
 
 WINDOW, CONTEXT = 8, 5
@@ -362,4 +362,4 @@ def cut_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     own = F.col(f"`{doc_id}`").cast("long")
     joined = docs.join(listed, own == F.col(key), "left").drop(key).join(chosen.select(F.col("doc_id").alias(key), F.col("text").alias(least)), own == F.col(key), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in names], spans, least).mapInArrow(run, docs.schema)
+    return numbered(joined.select(*[F.col(f"`{c}`") for c in names], spans, least)).mapInArrow(run, docs.schema)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from peerscope.llm import components, exact_dedup, language, language_model, nearest, ngram_join, substring_dedup
@@ -328,3 +329,55 @@ def test_pipeline_keeps_what_is_new(spark):
     assert ids == {r["doc_id"] for r in identified.collect()}
     exact = {r["doc_id"] for r in exact_dedup.exact_duplicates(table).filter("kept").collect()}
     assert ids <= exact
+
+
+def test_stages_allow_any_column_names(spark):
+    names = ["doc_id", "text", "a.b", "__id", "__digest", "__dropped", "__spans", "key", "spans", "least", "dropped", "digest", "id", "block", "n"]
+    passage = prose(70)
+    rows = [(i, t, *[f"{i}-{k}" for k in range(len(names) - 2)]) for i, t in enumerate([f"{prose(30)} {passage}", f"{passage} {prose(30)}", "same", "same", None, "", prose(9)])]
+    rows.append((None, "same", *rows[0][2:]))
+    table = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    filters = language.train(table.withColumn("lang", F.lit("en")), F.lit(True))
+    kept = {
+        "language": language.keep_identified(table, filters, 0.2),
+        "exact": exact_dedup.drop_exact_duplicates(table),
+        "near": ngram_join.drop_similar(table),
+        "substrings": substring_dedup.cut_repeated(table),
+    }
+    for stage, out in kept.items():
+        assert out.columns == names, stage
+        for r in out.collect():
+            assert r["doc_id"] is None or tuple(r)[2:] == rows[r["doc_id"]][2:], stage
+    after = {r["doc_id"]: r["text"] for r in kept["substrings"].collect()}
+    assert after[0] == rows[0][1] and passage not in after[1] and after[1] in rows[1][1]
+
+
+def test_rows_that_repeat_an_id_are_cut_by_their_smallest_text(spark):
+    passage, other = prose(60), prose(60)
+    smallest, larger = f"a {passage}", f"z {other} {passage}"
+    table = spark.createDataFrame([(1, passage), (2, larger), (2, smallest), (2, smallest), (3, other)], "doc_id long, text string")
+    assert {(r["doc_id"], r["first_doc_id"]) for r in substring_dedup.repeated_spans(table).collect()} == {(2, 1)}
+    assert Counter(r["text"] for r in substring_dedup.cut_repeated(table).collect() if r["doc_id"] == 2) == Counter([larger, "a ", "a "])
+
+
+def test_chunks_resist_insertions():
+    draw = random.Random(21)
+    body = prose(400, draw).encode()
+    for at in (0, 700, len(body) // 2):
+        changed = body[:at] + b" inserted words " + body[at:]
+        chunks = []
+        for data in (body, changed):
+            ends = substring_dedup.chunk_ends(np.frombuffer(data, dtype=np.uint8)).tolist()
+            chunks.append({data[a:b] for a, b in zip([0, *ends], ends, strict=False)})
+        assert len(chunks[0] - chunks[1]) <= 6 and len(chunks[0]) > 60
+
+
+def test_every_passage_of_the_least_length_holds_a_chunk():
+    draw = np.random.default_rng(5)
+    for _ in range(300):
+        passage = draw.integers(97, 123, 100, dtype=np.uint8)
+        digests = []
+        for _ in range(2):
+            data = np.concatenate([draw.integers(97, 123, draw.integers(0, 80), dtype=np.uint8), passage, draw.integers(97, 123, draw.integers(0, 80), dtype=np.uint8)])
+            digests.append(set(substring_dedup.chunk_rows(data, np.array([0]), np.array([len(data)]), 100)[4].tolist()))
+        assert digests[0] & digests[1]
