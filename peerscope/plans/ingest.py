@@ -16,6 +16,7 @@ from peerscope.operators.slugs import unique_slugs
 from peerscope.plans import columns as C
 from peerscope.session import materialize
 from peerscope.sources.grids import read_records
+from peerscope.sources.sinks import dead_letters, write_csv, write_json
 
 MEASURES = [
     "electricity_kwh", "electricity_gj", "natural_gas_m3", "natural_gas_gj", "fuel_oil_gj", "other_energy_gj",
@@ -341,6 +342,26 @@ def review_candidates(review: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.join(groups, "candidate_group", "left_semi").select("candidate_group", "school_number", "school_name").distinct()
 
 
+REVIEW_COLUMNS = ["facility_key", "status", "organization_name", "facility_name", "operation_type", "street", "city", "board_number", "latest_year", "candidates"]
+
+
+def review_file(review: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The rows of the review file, newest first: each facility with its candidates as one text, "number name; number name"."""
+    number = F.col("school_number").try_cast("long")
+    school = F.struct(number.alias("order"), F.col("school_number"), F.concat_ws(" ", "school_number", "school_name").alias("text"))
+    texts = candidates.groupBy("candidate_group").agg(F.array_join(F.transform(F.array_sort(F.collect_set(school)), lambda x: x["text"]), "; ").alias("candidates"))
+    return review.join(texts, "candidate_group", "left").withColumn("candidates", F.coalesce("candidates", F.lit(""))).select(*REVIEW_COLUMNS).orderBy(F.desc("latest_year"), "facility_key")
+
+
+def write_reports(folder: str, review: DataFrame, candidates: DataFrame, rejected: DataFrame, summary: DataFrame) -> dict[str, str]:
+    """Write the review list and the rejected rows as CSV, and the run's counters as JSON; returns their paths."""
+    paths = {name: f"{folder}/{name}" for name in ("match-review", "rejected-rows", "ingestion-summary")}
+    write_csv(review_file(review, candidates), paths["match-review"])
+    write_csv(dead_letters(rejected), paths["rejected-rows"])
+    write_json(summary, paths["ingestion-summary"])
+    return paths
+
+
 def list_unresolved(
     review: DataFrame, status: str | None = None, board: str | None = None, all_years: bool = False, limit: int = 50
 ) -> DataFrame:

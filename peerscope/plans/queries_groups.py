@@ -243,6 +243,33 @@ def _(t):
     return missing_share(rows, ["a", "b"])
 
 
+_SOURCE = """src AS (SELECT o_orderkey AS row, o_orderstatus AS sector, 'board ' || o_custkey % 97 AS organization, CASE WHEN o_orderkey % 5 > 0 THEN 'kind ' || year(o_orderdate) END AS operation,
+    CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE 'u' || o_custkey % 13 END AS area_unit, o_orderstatus <> 'O' AS member FROM orders)"""
+
+
+@query(
+    "ag14_source_profile",
+    f"""WITH {_SOURCE}, m AS (SELECT * FROM src WHERE member),
+      v AS (SELECT 'sectors' AS section, 'sector' AS "column", sector AS value, count(*) AS n, 25 AS most FROM src GROUP BY ALL
+        UNION ALL SELECT 'operation types', 'operation', operation, count(*), 30 FROM m GROUP BY ALL UNION ALL SELECT 'units', 'area_unit', area_unit, count(*), 10 FROM m GROUP BY ALL),
+      s AS (SELECT *, row_number() OVER (ORDER BY row) AS nth FROM m ORDER BY row LIMIT 2)
+      SELECT section, "column", value, CAST(n AS DOUBLE) AS n FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, value NULLS FIRST) AS at_place FROM v) WHERE at_place <= most
+      UNION ALL SELECT 'rows', NULL, NULL, count(*) FROM src UNION ALL SELECT 'sector rows', NULL, NULL, count(*) FROM m UNION ALL SELECT 'sector organizations', 'organization', NULL, count(DISTINCT organization) FROM m
+      UNION ALL SELECT 'missing per cent', c, NULL, round(avg(CASE WHEN v IS NULL THEN 1 ELSE 0 END) * 100, 1) FROM (SELECT unnest(['sector', 'organization', 'operation', 'area_unit']) AS c, unnest([sector, organization, operation, area_unit]) AS v FROM m) GROUP BY c
+      UNION ALL SELECT 'sample ' || nth, unnest(['sector', 'organization', 'operation', 'area_unit']), unnest([sector, organization, operation, area_unit]), NULL FROM s""",
+)
+def _(t):
+    from peerscope.sources.grids import source_profile
+
+    key = F.col("o_orderkey")
+    rows = t.orders.select(
+        key.alias("row"), F.col("o_orderstatus").alias("sector"), F.concat(F.lit("board "), (F.col("o_custkey") % 97).cast("string")).alias("organization"),
+        F.when(key % 5 > 0, F.concat(F.lit("kind "), F.year("o_orderdate").cast("string"))).alias("operation"),
+        F.when(F.col("o_custkey") % 4 != 0, F.concat(F.lit("u"), (F.col("o_custkey") % 13).cast("string"))).alias("area_unit"),
+    )
+    return source_profile(rows, F.col("sector") != "O", "sector", "organization", "operation", "row")
+
+
 def histogram_sql(source: str, bins: int) -> str:
     return f"""v AS (SELECT v FROM ({source}) WHERE v >= 0),
       s AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n, max(v) OVER () AS m FROM v),

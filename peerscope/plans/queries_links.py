@@ -565,6 +565,28 @@ def _(t):
     return t.spark.read.csv(path, header=True, schema="n_nationkey int, name string", escape='"')
 
 
+@query(
+    "src8_report_files",
+    VW + """, c AS (SELECT board_number, string_agg(school_number || ' ' || name, '; ' ORDER BY CAST(school_number AS BIGINT)) AS candidates FROM schools GROUP BY ALL)
+      SELECT 'review' AS file, sha256(CAST(facility_id AS VARCHAR)) AS key, match_status || '|' || (2000 + facility_id % 3) || '|' || CASE WHEN match_status = 'ambiguous' THEN coalesce(candidates, '') ELSE '' END AS line
+        FROM facilities LEFT JOIN c USING (board_number) WHERE match_status IN ('ambiguous', 'unmatched')
+      UNION ALL SELECT 'rejected', CAST(o_orderkey AS VARCHAR), 'unknown_reporting_year|{"id":"' || o_orderkey || '"}' FROM orders WHERE o_orderkey % 7 = 0
+      UNION ALL SELECT 'summary', 'status ' || match_status, CAST(count(*) AS VARCHAR) FROM facilities GROUP BY match_status""",
+)
+def _(t):
+    candidates = V.schools(t).select(F.col("board_number").alias("candidate_group"), "school_number", F.col("name").alias("school_name"))
+    bad = t.orders.filter("o_orderkey % 7 = 0").select(
+        F.lit("orders").alias("source"), F.col("o_orderkey").alias("data_row"), F.lit("unknown_reporting_year").alias("reject_reason"), F.create_map(F.lit("id"), F.col("o_orderkey").cast("string")).alias("raw")
+    )
+    counts = V.facilities(t).groupBy(F.col("match_status").alias("label")).agg(F.count("*").alias("n")).select(F.lit("status").alias("section"), "label", "n")
+    paths = I.write_reports(scratch_folder(t.spark, "reports"), _review(t), candidates, bad, counts)
+    read = lambda name: t.spark.read.csv(paths[name], header=True, escape='"', multiLine=True)
+    review = read("match-review").select(F.lit("review").alias("file"), F.col("facility_key").alias("key"), F.concat_ws("|", "status", "latest_year", F.coalesce("candidates", F.lit(""))).alias("line"))
+    rejected = read("rejected-rows").select(F.lit("rejected").alias("file"), F.col("data_row").alias("key"), F.concat_ws("|", "reason", "row_json").alias("line"))
+    summary = t.spark.read.schema("section string, label string, n long").json(paths["ingestion-summary"])
+    return review.unionByName(rejected).unionByName(summary.select(F.lit("summary").alias("file"), F.concat_ws(" ", "section", "label").alias("key"), F.col("n").cast("string").alias("line")))
+
+
 @query(
     "src9_json_export",
     "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS price, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",

@@ -258,3 +258,38 @@ def missing_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m_{c}").alias("missing_pct"), F.col(f"d_{c}").alias("distinct_values")) for c in columns])
     return stats.select(F.explode(pairs).alias("_p")).select("_p.*")
+
+
+def source_profile(df: DataFrame, in_sector: Column, sector: str, organization: str, operation: str, order: str, samples: int = 2) -> DataFrame:
+    """What a source holds: (section, column, value, n).
+
+    Sections: all rows and the sector's rows and organizations; the commonest 25 sectors, and of the sector's rows the commonest 30 operation types and 10
+    units of every column that names one; the per cent of missing cells; the first ``samples`` rows by ``order``. Values are
+    counted in one pass over all rows, and only the leading ones of each column are ranked.
+    """
+    columns = [c for c in df.columns if c != order]
+    units = [c for c in columns if "unit" in c.lower()]
+    rows = df.withColumn("_in", F.coalesce(in_sector, F.lit(False)))
+    tops = {"sectors": 25, "operation types": 30, "units": 10}
+    wanted = [("sectors", sector, F.lit(True)), ("operation types", operation, F.col("_in")), *[("units", c, F.col("_in")) for c in units]]
+    cells = F.array(*[F.when(given, F.struct(F.lit(section).alias("section"), F.lit(c).alias("column"), clean_text(F.col(f"`{c}`").cast("string")).alias("value"))) for section, c, given in wanted])
+    counted = rows.select(F.explode(F.array_compact(cells)).alias("c")).groupBy("c.section", "c.column", "c.value").agg(F.count("*").alias("n"))
+    leading = Window.partitionBy("section", "column").orderBy(F.desc("n"), F.col("value").asc_nulls_first())
+    most = F.create_map(*[F.lit(x) for pair in tops.items() for x in pair])[F.col("section")]
+    values = counted.withColumn("at", F.row_number().over(leading)).filter((F.col("at") <= max(tops.values())) & (F.col("at") <= most)).drop("at")
+
+    def line(section: str, column: str | None, n: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.lit(column).cast("string").alias("column"), F.lit(None).cast("string").alias("value"), n.cast("double").alias("n"))
+
+    missing = [F.round(F.avg(F.when(F.col("_in"), F.col(f"`{c}`").isNull().cast("int"))) * 100, 1) for c in columns]
+    totals = rows.agg(F.count("*").alias("all"), F.count_if("_in").alias("members"), F.count_distinct(F.when(F.col("_in"), F.col(f"`{organization}`"))).alias("named"), *[m.alias(f"missing{k}") for k, m in enumerate(missing)])
+    lines = [line("rows", None, F.col("all")), line("sector rows", None, F.col("members")), line("sector organizations", organization, F.col("named"))]
+    lines += [line("missing per cent", c, F.col(f"missing{k}")) for k, c in enumerate(columns)]
+    first = rows.filter("_in").orderBy(order).limit(samples).withColumn("_nth", F.row_number().over(Window.orderBy(order)))  # two rows
+    shown = F.array(*[F.struct(F.lit(c).alias("column"), clean_text(F.col(f"`{c}`").cast("string")).alias("value")) for c in columns])
+    examples = first.select(F.concat(F.lit("sample "), F.col("_nth").cast("string")).alias("section"), F.explode(shown).alias("c"))
+    return (
+        totals.select(F.explode(F.array(*lines)).alias("l")).select("l.*")
+        .unionByName(values.withColumn("n", F.col("n").cast("double")))
+        .unionByName(examples.select("section", "c.column", "c.value", F.lit(None).cast("double").alias("n")))
+    )
