@@ -8,7 +8,7 @@
    reversed, so slot i takes the source that owns the van der Corput point of i; any stretch of slots has each source's share to within a
    few blocks, and over all slots exactly. The rank of a slot among its source's is counted by arithmetic on the bits, as how many
    earlier slots' points lie below a bound has a closed form; rank r takes the source's block r.
-4. Slots and blocks of documents meet by (source, block): every key has one slot and the documents of ``block_words`` words, so a source of any size is spread.
+4. Slots and blocks of documents meet by (source, block) in a shuffled join, as both grow with the input: every key has one slot and the documents of ``block_words`` words, so a source of any size is spread.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from peerscope.llm.common import BLANKS, join_skewed
 from peerscope.operators.ranking import running_sum
-from peerscope.session import materialize
+from peerscope.session import materialize, spread
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 1024
 #: Slots of a source that are listed by one row at most.
-LISTED = 1 << 14
+LISTED = 1 << 10
 
 
 def source_key(source: Column) -> Column:
@@ -38,17 +38,21 @@ def reversed_bits(x: Column, bits: int) -> Column:
     return F.conv(F.reverse(F.lpad(F.bin(x), bits, "0")), 2, 10).cast("long") if bits else x
 
 
-def points_below(slots: Column, bound: Column, bits: int) -> Column:
-    """How many of the first ``slots`` slots have a point below ``bound``.
-
-    The points below are those that agree with the bound up to one of its set bits and have a zero there: for that bit, every 2^p-th slot.
-    """
-    found = F.when(bound >= 1 << bits, slots).otherwise(F.lit(0).cast("long"))
+def steps_below(bound: Column, bits: int) -> Column:
+    """For each set bit of a bound, (first, apart): the points that agree with the bound up to this bit and have a zero here are every ``apart``-th slot from ``first`` on."""
+    steps = []
     for p in range(1, bits + 1):
         first = reversed_bits(F.shiftright(bound, bits - p + 1).bitwiseAND((1 << (p - 1)) - 1), p - 1)
-        those = F.shiftright(F.greatest(slots - first + ((1 << p) - 1), F.lit(0).cast("long")), p)
-        found = found + F.when((bound < 1 << bits) & (F.shiftright(bound, bits - p).bitwiseAND(1) == 1), those).otherwise(F.lit(0).cast("long"))
-    return found
+        here = (bound < 1 << bits) & (F.shiftright(bound, bits - p).bitwiseAND(1) == 1)
+        steps.append(F.when(here, F.struct(first.alias("first"), F.lit(1 << p).cast("long").alias("apart"))))
+    every = F.when(bound >= 1 << bits, F.struct(F.lit(0).cast("long").alias("first"), F.lit(1).cast("long").alias("apart")))
+    return F.array_compact(F.array(every, *steps))
+
+
+def points_below(slots: Column, steps: Column) -> Column:
+    """How many of the first ``slots`` slots have a point below the bound of the steps."""
+    those = lambda step: F.call_function("div", F.greatest(slots - step["first"] + step["apart"] - 1, F.lit(0).cast("long")), step["apart"])
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda found, step: found + those(step))
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -79,11 +83,13 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     owned = materialize(running_sum(sized, [], ["source"], "blocks", "to"))
     count = owned.agg(F.max("to")).first()[0] or 0
     bits = max(int(count) - 1, 0).bit_length()
-    parts = owned.select("source", (F.col("to") - F.col("blocks")).alias("from"), "to", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / LISTED))).alias("part"))
+    begin = F.col("to") - F.col("blocks")
+    bounded = owned.select("source", "blocks", begin.alias("from"), "to", steps_below(begin, bits).alias("below_from"), steps_below(F.col("to"), bits).alias("below_to"))
+    parts = spread(bounded.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / LISTED)))), "source", "part")
     low = F.col("from") + F.col("part") * LISTED
-    dealt = parts.repartition("source", "part")
-    slots = dealt.select("source", "from", "to", F.explode(F.sequence(low, F.least(low + (LISTED - 1), F.col("to") - 1))).alias("x")).withColumn("slot", reversed_bits(F.col("x"), bits))
-    return slots.select("slot", "source", (points_below(F.col("slot"), F.col("to"), bits) - points_below(F.col("slot"), F.col("from"), bits)).alias("block"))
+    slots = parts.select("source", "below_from", "below_to", F.explode(F.sequence(low, F.least(low + (LISTED - 1), F.col("to") - 1))).alias("x"))
+    slots = slots.withColumn("slot", reversed_bits(F.col("x"), bits))
+    return slots.select("slot", "source", (points_below(F.col("slot"), F.col("below_to")) - points_below(F.col("slot"), F.col("below_from"))).alias("block"))
 
 
 def words_in(text: Column) -> Column:
@@ -103,7 +109,7 @@ def _placed(docs: DataFrame, weights: Sequence[float], share: float, most: float
 
 def _taken(placed: DataFrame, sources: DataFrame, block_words: int) -> DataFrame:
     """The rows with their source's figures, in parts of (pass, block, from_word, n_words); a row without a part has a block below 0."""
-    spread = F.pmod(F.col("row"), F.lit(1 << 12))  # rows that the mix does not take meet no slot; they are dealt out
+    dealt = F.pmod(F.col("row"), F.lit(1 << 12))  # rows that the mix does not take meet no slot; they are dealt out
     rows = join_skewed(placed, sources, "source", "documents")
 
     def listed_in(k: int) -> Column:
@@ -113,7 +119,7 @@ def _taken(placed: DataFrame, sources: DataFrame, block_words: int) -> DataFrame
         return F.when(high > low, F.transform(blocks, lambda b: F.struct(F.lit(k).alias("pass"), low.alias("low"), high.alias("high"), b.alias("block"))))
 
     empty = "array<struct<pass:int,low:bigint,high:bigint,block:bigint>>"
-    none = F.array(F.struct(F.lit(0).alias("pass"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), (-1 - spread).alias("block"))).cast(empty)
+    none = F.array(F.struct(F.lit(0).alias("pass"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), (-1 - dealt).alias("block"))).cast(empty)
     listed = F.concat(*[F.coalesce(listed_in(k).cast(empty), F.array().cast(empty)) for k in (0, 1)])
     cut = rows.withColumn("part", F.explode(F.when(F.size(listed) > 0, listed).otherwise(none))).select("*", "part.*").drop("part")
     start = F.greatest("low", F.col("block") * block_words)
@@ -131,7 +137,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     """
     placed, sources = _placed(docs, weights, share, most, seed, doc_id, text, source)
     parts = _taken(placed, sources, block_words).filter("block >= 0")
-    met = parts.join(schedule(sources, block_words), ["source", "block"])
+    met = parts.join(schedule(sources, block_words).hint("merge"), ["source", "block"])
     name = F.when(F.col("source") != ">", F.substring("source", 2, 1 << 30)).alias("source")
     place = F.col("low") + F.col("from_word") - F.col("block") * block_words
     return met.select("slot", "block", "pass", "doc_id", name, "from_word", "n_words", place.alias("place"))
@@ -140,7 +146,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS, seed: int = 11, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: doc_id, size, source_size, target (its source's), taken (its words in the mix, repeats counted); rules as in ``mix``."""
     placed, sources = _placed(docs, weights, share, most, seed, doc_id, text, source)
-    met = _taken(placed, sources, block_words).join(schedule(sources, block_words), ["source", "block"], "left")
+    met = _taken(placed, sources, block_words).join(schedule(sources, block_words).hint("merge"), ["source", "block"], "left")
     taken = F.sum(F.when(F.col("slot").isNotNull(), F.col("n_words")).otherwise(0)).alias("taken")
     same = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
     return met.groupBy("row").agg(*same, taken).drop("row")
