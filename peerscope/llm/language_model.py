@@ -22,32 +22,33 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peerscope.llm.common import WordHashes, words_of
+from peerscope.llm.common import words_by_text
 from peerscope.session import materialize
 
 END = 0  # fixed value: the end token's place among hashes; a word's hash is made odd, so none meets it
 FREQUENT, SINGLE, BANDS, WIDTH, BATCH, NOISE, RATE = 65_536, 383, 64, 16, 4096, 128, 0.1
 
 
-def hashes_of(words: list[str], known: WordHashes) -> np.ndarray:
-    """The tokens of a text: hashes of its words, then the end."""
-    return np.append(known(words) | np.uint64(1), np.uint64(END))
+def tokens_of(column: pa.Array) -> Iterator[np.ndarray]:
+    """The token hashes of each text: its words, then the end."""
+    for hashes in words_by_text(body.as_py() for body in column):
+        yield np.append(hashes | np.uint64(1), np.uint64(END))
 
 
 def count_tokens(docs: DataFrame, text: str) -> DataFrame:
     """(token, c) of all texts, stored."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, waiting, size = WordHashes(), [], 0
+        waiting, size = [], 0
 
         def counted() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(waiting), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n, pa.int64())], ["token", "c"])
 
         for batch in batches:
-            for body in batch.column(0):
-                waiting.append(hashes_of(words_of(body.as_py()), known))
-                size += len(waiting[-1])
+            for hashes in tokens_of(batch.column(0)):
+                waiting.append(hashes)
+                size += len(hashes)
                 if size >= 4_000_000:
                     yield counted()
                     waiting, size = [], 0
@@ -174,8 +175,8 @@ def train(docs: DataFrame, text: str, model: Model) -> dict[str, np.ndarray]:
         random = np.random.default_rng(1 + TaskContext.get().partitionId())
         frequency = np.exp(model.log_units)
         frequency /= frequency.sum()
-        known, seen, end_unit = WordHashes(), 0, int(model.units(np.array([END], dtype=np.uint64))[0])
-        for units, starts in batched(batches, model, known):
+        seen, end_unit = 0, int(model.units(np.array([END], dtype=np.uint64))[0])
+        for units, starts in batched(batches, model):
             last, before = contexts(units, starts, end_unit)
             order = random.permutation(len(units))
             noise = random.choice(len(frequency), size=(-(-len(units) // BATCH), NOISE), p=frequency)
@@ -212,13 +213,13 @@ def train(docs: DataFrame, text: str, model: Model) -> dict[str, np.ndarray]:
     return out
 
 
-def batched(batches: Iterator[pa.RecordBatch], model: Model, known: WordHashes, tokens: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def batched(batches: Iterator[pa.RecordBatch], model: Model, tokens: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(units, starts of texts) of whole texts, some 200,000 tokens at a time."""
     waiting, size = [], 0
     for batch in batches:
-        for body in batch.column(0):
-            waiting.append(hashes_of(words_of(body.as_py()), known))
-            size += len(waiting[-1])
+        for hashes in tokens_of(batch.column(0)):
+            waiting.append(hashes)
+            size += len(hashes)
             if size >= tokens:
                 yield model.units(np.concatenate(waiting)), np.cumsum([0, *map(len, waiting[:-1])])
                 waiting, size = [], 0
@@ -267,7 +268,7 @@ def score(docs: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, WordHashes()
+        model = shared.value
         scorer, end_unit = Scorer(model), int(model.units(np.array([END], dtype=np.uint64))[0])
         base = np.log10((model.counts + 1.0) / (model.total + model.distinct + 1))
         row = TaskContext.get().partitionId() << 33
@@ -299,10 +300,10 @@ def score(docs: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str
 
         keys, hashes, size = [], [], 0
         for batch in batches:
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for key, found in zip(batch.column(0).to_pylist(), tokens_of(batch.column(1)), strict=True):
                 keys.append(key)
-                hashes.append(hashes_of(words_of(body.as_py()), known))
-                size += len(hashes[-1])
+                hashes.append(found)
+                size += len(found)
                 if size >= 200_000:
                     yield scored(keys, hashes)
                     keys, hashes, size = [], [], 0
