@@ -2,21 +2,19 @@
 
 Tiers run from certain to loose and stop at the first with candidates; one candidate is a match,
 several are listed for review. Work happens once per distinct (board, name, address, city), not per
-facility. The similarity tiers never form all pairs of a block: names are paired only when they
-share one of their rarest tokens, with prefix lengths that provably keep every pair above the
-threshold (see ``similar_name_pairs``).
+facility. The similarity tiers score only couples of names that provable bounds of the ratio leave
+open; those bounds are compared by bits, tile by tile, and no couple below the threshold is ever a
+row (see ``similar_name_pairs``).
 """
 
 from __future__ import annotations
 
-import math
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from peerscope.functions.text import board_key, fold, normalize_address, normalize_school_name
 from peerscope.session import materialize, spread
@@ -97,110 +95,185 @@ def ratios(a: pd.Series, b: pd.Series, at_least: float = 0.0) -> np.ndarray:
     return np.where(found >= at_least, found, 0.0)
 
 
-def similarity(left: Column, right: Column, at_least: float = 0.0) -> Column:
-    """Ratcliff-Obershelp ratio of token-sorted texts; argument order is facility, then school. Ratios below ``at_least`` are 0."""
+def sorted_words(name: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(name, " "), lambda w: w != "")), " ")
 
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(ratios(a, b, at_least))
 
-    # marked non-deterministic so that a filter on the score is not moved below the distinct of the
-    # pairs, where each pair would be scored once per shared token
-    scored = F.pandas_udf(score, T.DoubleType()).asNondeterministic()
-    return scored(sorted_words(left), sorted_words(right))
+#: Names of a block that meet as many others in one task; a larger block is cut into tiles, and every tile meets every other side's tile.
+TILE = 8192
+#: Bits that stand for the characters, and for the pairs of adjacent characters, of a name.
+CHARACTER_BITS, PAIR_BITS = 128, 512
+#: Classes of characters that common subsequences tell apart.
+CLASSES = 255
+SLACK = 1e-9
+PAIRS_SCHEMA = "block string, left_name string, right_name string, score double"
 
 
-def sorted_words(name: Column) -> Column:
-    return F.array_join(F.array_sort(F.filter(F.split(name, " "), lambda w: w != "")), " ")
+def _numbered(codes: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token) of all runs of ``width`` characters; repeated ones of a row are told apart by their number, so that sets behave like multisets."""
+    row, at = np.nonzero(np.arange(codes.shape[1]) < lengths[:, None] - (width - 1))
+    token = codes[row, at].astype(np.int64)
+    for k in range(1, width):
+        token = (token << 21) | codes[row, at + k]
+    order = np.lexsort((token, row))
+    row, token = row[order], token[order]
+    first = np.ones(len(row), dtype=bool)
+    first[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
+    number = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
+    return row, (token << 21) | np.minimum(number, (1 << 21) - 1)
 
 
-def _numbered(parts: Column) -> Column:
-    """Tag repeated items with their occurrence, so that sets behave like multisets."""
-    return F.transform(
-        parts, lambda p, i: F.concat(p, F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda o: o == p)).cast("string"))
-    )
+def _masks(sides: list[tuple[np.ndarray, np.ndarray]], width: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per side (bits of each name's tokens, tokens that share a bit with another one of the name); frequent tokens have bits of their own.
 
+    Two names share no more tokens than bits, plus the tokens that either name lost to shared bits.
+    """
+    listed = [_numbered(codes, lengths, width) for codes, lengths in sides]
+    _, token, count = np.unique(np.concatenate([tokens for _, tokens in listed]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), dtype=np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+    bit, masks, start = rank[token] % bits, [], 0
+    for (codes, _), (row, _) in zip(sides, listed, strict=True):
+        flags = np.zeros((len(codes), bits), dtype=bool)
+        flags[row, bit[start : start + len(row)]] = True
+        start += len(row)
+        lost = np.bincount(row, minlength=len(codes)) - flags.sum(axis=1)
+        masks.append((np.packbits(flags, axis=1).view(np.uint64), lost))
+    return masks
+
+
+class _Subsequences:
+    """Upper bounds of the longest common subsequences of a left and a right text, bit by bit of the right one (64 characters at most).
+
+    Characters beyond the ``CLASSES`` most frequent ones share a class with others, which only raises the bound.
+    """
+
+    def __init__(self, sides: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        (a, one), (b, two) = sides
+        known, count = np.unique(np.concatenate([a.ravel(), b.ravel()]), return_counts=True)
+        rank = np.empty(len(known), dtype=np.int64)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(known))
+        classes = min(CLASSES, len(known))
+        self.rows, self.of = len(b), np.where(np.arange(a.shape[1]) < one[:, None], rank[np.searchsorted(known, a)] % classes, classes)
+        masks = np.zeros((classes + 1, len(b)), dtype=np.uint64)  # the last class is that of no character
+        for at in range(min(64, b.shape[1])):
+            row = np.flatnonzero(at < two)
+            masks[rank[np.searchsorted(known, b[row, at])] % classes, row] |= np.uint64(1 << at)
+        self.masks = masks.ravel()
+
+    def bound(self, i: np.ndarray, j: np.ndarray, length: int) -> np.ndarray:
+        bits = np.full(len(i), ~np.uint64(0))
+        for at in range(length):
+            met = bits & self.masks[self.of[i, at] * self.rows + j]
+            bits = (bits + met) | (bits - met)
+        return np.bitwise_count(~bits).astype(np.int64)
+
+
+def _possible(left: list[str], right: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of all couples that bounds of their ratio do not rule out, and a bound of each one's ratio.
+
+    Two texts of lengths a + b = S with ratio >= t match M >= tS/2 characters, in order, in at most S - 2M + 1 blocks. So they share
+    tS/2 characters and 1.5tS - S - 1 adjacent pairs of them, and have a common subsequence of tS/2.
+    """
+    sides = [(_coded(texts, 0), np.fromiter(map(len, texts), np.int64, len(texts))) for texts in (left, right)]
+    one, two = sides[0][1], sides[1][1]
+    (a_bits, a_lost), (b_bits, b_lost) = _masks(sides, 1, CHARACTER_BITS)
+    (a_pairs, a_gone), (b_pairs, b_gone) = _masks(sides, 2, PAIR_BITS)
+    ordered_by = np.argsort(two, kind="stable")
+    ordered, b_bits, b_lost = two[ordered_by], b_bits[ordered_by], b_lost[ordered_by]
+    subsequences = _Subsequences(sides)
+    found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+    for length in np.unique(one):
+        group = np.flatnonzero(one == length)
+        # 2 min(a, b) >= t (a + b)
+        low = np.searchsorted(ordered, length * threshold / (2 - threshold) - SLACK, "left")
+        high = np.searchsorted(ordered, length * (2 - threshold) / threshold + SLACK, "right")
+        if low == high:
+            continue
+        need = np.ceil((length + ordered[low:high]) * (threshold / 2) - SLACK).astype(np.int64) - b_lost[low:high]
+        need = np.clip(need, 0, 255).astype(np.uint8)  # more than all bits cannot be met
+        step = max(1, CELLS // 16 // int(high - low))
+        for at in range(0, len(group), step):
+            some = group[at : at + step]
+            shared = np.bitwise_count(a_bits[some, 0, None] & b_bits[None, low:high, 0])
+            for word in range(1, a_bits.shape[1]):
+                shared += np.bitwise_count(a_bits[some, word, None] & b_bits[None, low:high, word])
+            i, j = np.nonzero(shared >= need)
+            i, j = some[i], ordered_by[low + j]
+            pairs = np.bitwise_count(a_pairs[i] & b_pairs[j]).sum(axis=1, dtype=np.uint16) + np.minimum(a_gone[i], b_gone[j])
+            kept = pairs >= (length + two[j]) * (1.5 * threshold - 1) - 1 - SLACK
+            i, j = i[kept], j[kept]
+            most = 2 * np.where(two[j] <= 64, subsequences.bound(i, j, int(length)), np.minimum(length, two[j])) / (length + two[j])
+            kept = most >= threshold - SLACK
+            found.append((i[kept], j[kept], most[kept]))
+    i, j, most = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j, most
+
+
+def _best_so_far(i: np.ndarray, score: np.ndarray, best: int, size: int) -> np.ndarray:
+    """The ``best``-th score of each left text, 0 with fewer."""
+    order = np.lexsort((-score, i))
+    nth = np.arange(len(i)) - np.searchsorted(i[order], i[order], "left")
+    found = np.zeros(size)
+    found[i[order][nth == best - 1]] = score[order][nth == best - 1]
+    return found
+
+
+def _compared(threshold: float, best: int | None):
+    def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=["block", "left_name", "right_name", "score"])
+        one, two = left["text"], right["text"]
+
+        def scored(i, j):
+            return ratios(one.iloc[i].reset_index(drop=True), two.iloc[j].reset_index(drop=True), threshold)
+
+        i, j, most = _possible(one.tolist(), two.tolist(), threshold)
+        if best is None:
+            score = scored(i, j)
+        else:  # first the couples with the greatest bounds, then those whose bounds reach the best scores among them
+            order = np.lexsort((-most, i))
+            i, j, most = i[order], j[order], most[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i, "left") < best
+            score = np.zeros(len(i))
+            score[first] = scored(i[first], j[first])
+            later = ~first & (most >= _best_so_far(i, score, best, len(left))[i] - SLACK)
+            score[later] = scored(i[later], j[later])
+            score[score < _best_so_far(i, score, best, len(left))[i]] = 0.0
+        kept = score >= threshold
+        return pd.DataFrame({"block": key[0], "left_name": left["name"].to_numpy()[i[kept]], "right_name": right["name"].to_numpy()[j[kept]], "score": score[kept]})
+
+    return compare
+
+
+def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float, best: int | None = None, tile: int = TILE) -> DataFrame:
+    """All (block, left_name, right_name, score) with score >= threshold inside equal blocks.
 
-def _prefix_tokens(names: DataFrame, threshold: float, split: int) -> DataFrame:
-    """(block, name, route, token, need): every token of a name, with the shared count it must reach.
+    ``best`` leaves out couples with a smaller score than that many others of their left name; equal scores stay.
 
-    Two texts of lengths a + b = S with ratio >= t match M >= tS/2 characters in at most S - 2M + 1
-    blocks, so they share at least 1.5tS - S - 1 adjacent pairs of characters. That bound is useful
-    from S = ``split`` on; shorter couples are paired by single characters, of which they share tS/2.
+    Inputs have columns block and name (normalised). Couples are never rows of a table: names of a block meet in tiles of about ``tile``
+    names a side, each pair of tiles is a group of its own, and bounds of the ratio (``_possible``) rule out nearly all couples by bits.
     """
-    t = threshold
-    text = F.col("_text")
-    length = F.length(text)
-    least, most = length * (2 / (2 - t)), length * (2 / t)  # S for the shortest and longest partner
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(2)))
-    chars = F.transform(F.sequence(F.lit(1), F.greatest(length, F.lit(1))), lambda i: F.substr(text, i, F.lit(1)))
-    size = F.greatest(least, F.lit(float(split)))
-    slack = 1e-9
-    routes = F.array_compact(
-        F.array(
-            F.when(
-                most >= split - slack,
-                F.struct(
-                    F.lit("pair").alias("route"),
-                    _numbered(pairs).alias("tokens"),
-                    F.greatest(F.lit(1), F.ceil(size * (1.5 * t - 1) - 1 - slack)).cast("int").alias("need"),
-                ),
-            ),
-            F.when(
-                least < split,
-                F.struct(
-                    F.lit("char").alias("route"),
-                    _numbered(chars).alias("tokens"),
-                    F.greatest(F.lit(1), F.ceil(least * t / 2 - slack)).cast("int").alias("need"),
-                ),
-            ),
-        )
-    )
-    return (
-        names.withColumn("_text", sorted_words(F.col("name")))
-        .filter(F.length("_text") > 0)
-        .select("block", "name", F.explode(routes).alias("_r"))
-        .select("block", "name", "_r.route", F.size("_r.tokens").alias("total"), "_r.need", F.explode("_r.tokens").alias("token"))
-    )
 
+    def names(side: DataFrame) -> DataFrame:
+        known = side.select("block", "name").filter("block is not null").distinct()
+        return known.withColumn("text", sorted_words(F.col("name"))).filter(F.length("text") > 0)
 
-def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """All (block, left_name, right_name, score) with score >= threshold inside equal blocks.
+    lefts, rights = materialize(names(left)), materialize(names(right))
+    # blocks with several tiles: at most rows / tile of them
+    counts = lefts.select("block", F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(rights.select("block", F.lit(0), F.lit(1)))
+    tiles = counts.groupBy("block").agg(*[F.ceil(F.sum(c) / tile).cast("int").alias(c) for c in ("l", "r")]).filter("l > 1 or r > 1")
+    tiles = F.broadcast(materialize(tiles))
 
-    Inputs have columns block and name (normalised). Two texts sharing ``need`` tokens must meet in
-    the ``total - need + 1`` rarest tokens of each, so only those are joined. Token frequencies come
-    from a table whose size is bounded by the alphabet, not by the data.
-    """
-    split = int(2 / (1.5 * threshold - 1)) + 1 if threshold > 2 / 3 else 10**6
-    sides = {
-        "left": _prefix_tokens(left.select("block", "name").distinct(), threshold, split),
-        "right": _prefix_tokens(right.select("block", "name").distinct(), threshold, split),
-    }
-    frequency = sides["right"].groupBy("route", "token").agg(F.count("*").alias("_f"))
-    rarest = Window.partitionBy("block", "name", "route").orderBy(F.coalesce("_f", F.lit(0)), "token")
-    prefixes = {
-        side: rows.join(frequency, ["route", "token"], "left")
-        .withColumn("_at", F.row_number().over(rarest))
-        .filter(F.col("_at") <= F.col("total") - F.col("need") + 1)
-        .select("block", "route", "token", F.col("name").alias(f"{side}_name"), F.length(sorted_words(F.col("name"))).alias(f"_{side}"))
-        for side, rows in sides.items()
-    }
-    # lengths of a similar couple differ by (2 - t) / t at most, so its bands are equal or neighbours
-    step = math.log((2 - threshold) / threshold)
-
-    def band(length: str) -> Column:
-        return F.floor(F.log(F.col(length).cast("double")) / step).cast("int")
-
-    total = F.col("_left") + F.col("_right")
-    shortest = 2 * F.least(F.col("_left"), F.col("_right"))
-    lefts = prefixes["left"].withColumn("band", band("_left"))
-    rights = prefixes["right"].withColumn("band", F.explode(F.sequence(band("_right") - 1, band("_right") + 1)))
-    met = (
-        lefts.join(rights, ["block", "route", "token", "band"])
-        .filter((shortest >= total * threshold - 1e-9) & F.when(F.col("route") == "char", total < split).otherwise(total >= split))
-        .select("block", "left_name", "right_name")
-    )
-    met = spread(met, "block", "left_name", "right_name").distinct()
-    return met.withColumn("score", similarity(F.col("left_name"), F.col("right_name"), threshold)).filter(F.col("score") >= threshold)
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        of = lambda c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1))
+        placed = side.join(tiles, "block", "left").withColumn(f"_{own}", F.pmod(F.xxhash64("name"), of(own)).cast("int"))
+        copies = placed.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), of(other) - 1)))
+        return spread(copies.select("block", "name", "text", "_l", "_r"), "block", "_l", "_r")
+
+    keys = ["block", "_l", "_r"]
+    met = dealt(lefts, "l", "r").groupBy(*keys).cogroup(dealt(rights, "r", "l").groupBy(*keys))
+    return met.applyInPandas(_compared(threshold, best), PAIRS_SCHEMA)
 
 
 def board_lookup(boards: DataFrame) -> DataFrame:
@@ -261,6 +334,7 @@ def _ranked(profiles: DataFrame, directory: DataFrame, keys: list[str], threshol
         profiles.select(block.alias("block"), F.col("_name").alias("name")),
         directory.select(block.alias("block"), F.col("_name").alias("name")),
         threshold,
+        keep,
     )
     schools = _first_schools(directory.withColumn("block", block), ["block", "_name"], keep).select(
         "block", F.col("_name").alias("right_name"), "school_number", F.col("name").alias("school_name")

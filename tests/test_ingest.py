@@ -315,3 +315,26 @@ def test_large_files_are_hashed_in_parts(spark, tmp_path, monkeypatch):
         (tmp_path / name).write_bytes(body)
     found = {r["file"]: r["sha256"] for r in files.file_hashes(spark, [str(tmp_path)]).collect()}
     assert found == {k: hashlib.sha256(v).hexdigest() for k, v in bodies.items()}
+
+
+@pytest.mark.parametrize("tile", [40, 10_000])
+def test_couples_of_random_letters_are_ruled_out_before_they_are_rows(spark, tile):
+    draw = random.Random(9)
+    word = lambda n: "".join(draw.choices("abcdefgh", k=n))
+    left = [f"{word(7)} {word(6)}" for _ in range(120)] + ["a", "é中 😀b", word(70), word(230), "  "]
+    right = [x[:4] + x[5:] if i % 3 else x[8:] + " " + x[:7] for i, x in enumerate(left[:60])] + [f"{word(6)} {word(7)}" for _ in range(60)] + ["a", "é中 😀c", left[122][3:], left[123][5:], ""]
+    key = lambda x: " ".join(sorted(x.split()))
+    ratio = lambda x, y: difflib.SequenceMatcher(None, key(x), key(y)).ratio()
+    frames = [spark.createDataFrame([(b, x) for b in ("one", "two") for x in side] + [(None, "a")], "block string, name string") for side in (left, right)]
+    for threshold in (0.5, 0.75, 0.85):
+        want = {(x, y): ratio(x, y) for x in set(left) for y in set(right) if key(x) and key(y) and ratio(x, y) >= threshold}
+        got = L.similar_name_pairs(*frames, threshold, tile=tile).collect()
+        assert len(got) == 2 * len(want) and {(r["left_name"], r["right_name"]): r["score"] for r in got if r["block"] == "one"} == want
+        top = L.similar_name_pairs(*frames, threshold, best=2, tile=tile).collect()
+        for x in {x for x, _ in want}:
+            second = sorted((v for (a, _), v in want.items() if a == x), reverse=True)[:2][-1]
+            got = {r["right_name"]: r["score"] for r in top if r["left_name"] == x and r["block"] == "two"}
+            assert {y: v for (a, y), v in want.items() if a == x and v >= second}.items() <= got.items() <= {y: v for (a, y), v in want.items() if a == x}.items()
+    i, j, _ = L._possible([key(x) for x in left[:120]], [key(x) for x in right[60:120]], 0.75)
+    close = sum(ratio(x, y) >= 0.75 for x in left[:120] for y in right[60:120])
+    assert len(i) <= close + 120 * 60 // 100  # the rarest-token join let nearly all of them through
