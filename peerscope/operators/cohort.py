@@ -12,8 +12,12 @@ through ``operators.hot_pools``, which cuts them into slices that are spread ove
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +35,8 @@ STAGES = (
 HOURS_TOLERANCE = 0.25
 POOL_KEYS = ["reporting_year", "operation_category", "level_key"]
 POOL_LIMIT = 1_000_000
-BATCH_PEERS = 2_000_000  # peers answered together; bounds the memory of a task
+BATCH_PEERS = 1 << 17  # peers of several distinct hours that are answered together
+BATCH_TARGETS = 1 << 16  # targets answered together; with the peers in few bytes each, this bounds the memory of a task
 
 RESULT_SCHEMA = (
     "entity_key string, reporting_year int, peer_stage int, peer_count long, eui_percentile double, "
@@ -39,24 +44,42 @@ RESULT_SCHEMA = (
 )
 
 
+class _Zeros:
+    """How many zeros stand before a position of a sequence of bits: a word of bits and a running count for every 64 of them."""
+
+    def __init__(self, ones: np.ndarray) -> None:
+        packed = np.zeros((len(ones) // 64 + 1) * 8, dtype=np.uint8)
+        bits = np.packbits(~ones, bitorder="little")  # bits behind the last one stay zero
+        packed[: len(bits)] = bits
+        if len(ones) % 8:
+            packed[len(bits) - 1] &= (1 << len(ones) % 8) - 1
+        self.words = packed.view(np.uint64)
+        self.before = np.zeros(len(self.words), dtype=np.int64)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
+        self.total = int(self.before[-1] + np.bitwise_count(self.words[-1]))
+
+    def __getitem__(self, position: np.ndarray) -> np.ndarray:
+        word = position >> 6
+        below = (np.uint64(1) << (position & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & below)
+
+
 class RangeRanks:
-    """Rank and select over any contiguous range of a value sequence (a wavelet matrix)."""
+    """Rank and select over any contiguous range of a value sequence (a wavelet matrix of a bit and a few per value and level)."""
 
     def __init__(self, values: np.ndarray) -> None:
         self.n = len(values)
         order = np.argsort(values, kind="stable")
         self.sorted = values[order]
-        rank = np.empty(self.n, dtype=np.int64)
-        rank[order] = np.arange(self.n)
+        rank = np.empty(self.n, dtype=np.int32)
+        rank[order] = np.arange(self.n, dtype=np.int32)
         self.rank = rank
-        self.levels: list[tuple[int, np.ndarray]] = []
+        self.levels: list[tuple[int, _Zeros]] = []
         current = rank
         for bit in range(max(1, int(self.n - 1).bit_length()) - 1, -1, -1):
-            ones = (current >> bit) & 1
-            zeros = np.zeros(self.n + 1, dtype=np.int64)
-            np.cumsum(1 - ones, out=zeros[1:])
-            self.levels.append((bit, zeros))
-            current = np.concatenate([current[ones == 0], current[ones == 1]])
+            ones = ((current >> bit) & 1).astype(bool)
+            self.levels.append((bit, _Zeros(ones)))
+            current = np.concatenate([current[~ones], current[ones]])
 
     def select(self, left: np.ndarray, right: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Rank of the k-th smallest (from 0) element at positions [left, right)."""
@@ -65,7 +88,7 @@ class RangeRanks:
             zl, zr = zeros[left], zeros[right]
             up = k >= zr - zl
             k = np.where(up, k - (zr - zl), k)
-            left, right = np.where(up, zeros[-1] + left - zl, zl), np.where(up, zeros[-1] + right - zr, zr)
+            left, right = np.where(up, zeros.total + left - zl, zl), np.where(up, zeros.total + right - zr, zr)
             found |= up.astype(np.int64) << bit
         return found
 
@@ -77,7 +100,7 @@ class RangeRanks:
             zl, zr = zeros[left], zeros[right]
             up = ((rank >> bit) & 1) == 1
             total = total + np.where(up & inner, zr - zl, 0)
-            left, right = np.where(up, zeros[-1] + left - zl, zl), np.where(up, zeros[-1] + right - zr, zr)
+            left, right = np.where(up, zeros.total + left - zl, zl), np.where(up, zeros.total + right - zr, zr)
         return total
 
 
@@ -164,42 +187,48 @@ def choose_stage(counts: np.ndarray) -> np.ndarray:
     return stage
 
 
-def _statistics(eui, ghg, value, own_ghg, left, right, own) -> dict[str, np.ndarray]:
+class _Answers:
     """Statistics of several targets; ``eui`` and ``ghg`` list the peers in area order."""
-    cohort = Cohorts(RangeRanks(eui), left, right, own)
-    median = cohort.quantile(0.5)
-    mad = cohort.median_deviation(median)
-    z = np.full(len(value), np.nan)
-    spread = mad > 0
-    z[spread] = MAD_SCALE * (value[spread] - median[spread]) / mad[spread]
-    for center in np.unique(median[~spread]):  # more than half of the peers share one value
-        i = np.flatnonzero(~spread & (median == center))
-        distance = np.abs(eui - center)
-        totals = np.concatenate([[0.0], np.cumsum(distance)])
-        nonzero = np.concatenate([[0], np.cumsum(distance > 0)])
-        off = value[i] - center
-        others = nonzero[right[i]] - nonzero[left[i]] - (cohort.inside[i] & (off != 0))
-        mean_ad = (totals[right[i]] - totals[left[i]] - cohort.inside[i] * np.abs(off)) / cohort.size[i]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            z[i] = np.where(others > 0, off / (MEAN_AD_SCALE * mean_ad), np.where(off == 0, 0.0, np.nan))
-    # peers that report emissions form a shorter sequence in the same area order
-    known = ~np.isnan(ghg)
-    percentile = np.full(len(value), np.nan)
-    if known.any():
-        shift = np.concatenate([[0], np.cumsum(known)])
-        reports = (own >= 0) & known[np.clip(own, 0, None)]
-        emitters = Cohorts(RangeRanks(ghg[known]), shift[left], shift[right], np.where(reports, shift[np.clip(own, 0, None)], -1))
-        enough = ~np.isnan(own_ghg) & (emitters.size >= MIN_PEERS)
-        percentile = np.where(enough, emitters.percentile_rank(np.nan_to_num(own_ghg)), np.nan)
-    return {
-        "peer_count": cohort.size,
-        "eui_percentile": cohort.percentile_rank(value),
-        "ghg_percentile": percentile,
-        "peer_q25_eui": cohort.quantile(0.25),
-        "peer_median_eui": median,
-        "peer_q75_eui": cohort.quantile(0.75),
-        "eui_robust_z": z,
-    }
+
+    def __init__(self, eui: np.ndarray, ghg: np.ndarray) -> None:
+        self.eui, self.ranks = eui, RangeRanks(eui)
+        # peers that report emissions form a shorter sequence in the same area order
+        self.known = ~np.isnan(ghg)
+        self.emitters = RangeRanks(ghg[self.known]) if self.known.any() else None
+        self.shift = np.concatenate([[0], np.cumsum(self.known, dtype=np.int32)])
+
+    def statistics(self, value, own_ghg, left, right, own) -> dict[str, np.ndarray]:
+        cohort = Cohorts(self.ranks, left, right, own)
+        median = cohort.quantile(0.5)
+        mad = cohort.median_deviation(median)
+        z = np.full(len(value), np.nan)
+        spread = mad > 0
+        z[spread] = MAD_SCALE * (value[spread] - median[spread]) / mad[spread]
+        for center in np.unique(median[~spread]):  # more than half of the peers share one value
+            i = np.flatnonzero(~spread & (median == center))
+            distance = np.abs(self.eui - center)
+            totals = np.concatenate([[0.0], np.cumsum(distance)])
+            nonzero = np.concatenate([[0], np.cumsum(distance > 0)])
+            off = value[i] - center
+            others = nonzero[right[i]] - nonzero[left[i]] - (cohort.inside[i] & (off != 0))
+            mean_ad = (totals[right[i]] - totals[left[i]] - cohort.inside[i] * np.abs(off)) / cohort.size[i]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                z[i] = np.where(others > 0, off / (MEAN_AD_SCALE * mean_ad), np.where(off == 0, 0.0, np.nan))
+        percentile = np.full(len(value), np.nan)
+        if self.emitters is not None:
+            reports = (own >= 0) & self.known[np.clip(own, 0, None)]
+            emitters = Cohorts(self.emitters, self.shift[left], self.shift[right], np.where(reports, self.shift[np.clip(own, 0, None)], -1))
+            enough = ~np.isnan(own_ghg) & (emitters.size >= MIN_PEERS)
+            percentile = np.where(enough, emitters.percentile_rank(np.nan_to_num(own_ghg)), np.nan)
+        return {
+            "peer_count": cohort.size,
+            "eui_percentile": cohort.percentile_rank(value),
+            "ghg_percentile": percentile,
+            "peer_q25_eui": cohort.quantile(0.25),
+            "peer_median_eui": median,
+            "peer_q75_eui": cohort.quantile(0.75),
+            "eui_robust_z": z,
+        }
 
 
 class _Batch:
@@ -224,77 +253,122 @@ def cohort_batches(peers: pd.DataFrame, targets: pd.DataFrame, own: np.ndarray):
     n, m = len(peers), len(targets)
     area, size = peers["floor_area_m2"].to_numpy(), targets["floor_area_m2"].to_numpy()
     hours, wanted = peers["weekly_hours"].to_numpy(), targets["weekly_hours"].to_numpy()
-    bounds = [None if span is None else _area_bounds(area, size, *span) for _, span, _ in STAGES]
-    bounds[-1] = (np.zeros(m, dtype=np.int64), np.full(m, n, dtype=np.int64))
-    counts = np.zeros((len(STAGES), m), dtype=np.int64)
-    for s, (left, right) in enumerate(bounds):
-        counts[s] = right - left - ((own >= left) & (own < right))
+
+    def bounds(s: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        span = STAGES[s][1]
+        if span is None:
+            return np.zeros(len(some), dtype=np.int64), np.full(len(some), n, dtype=np.int64)
+        return _area_bounds(area, size[some], *span)
+
     # the hours stage looks at the sub-sequence with compatible hours, once per distinct hours value
-    counts[0] = 0
+    by_hours = np.argsort(wanted, kind="stable")
+    values, first = np.unique(wanted[by_hours], return_index=True)
+    groups = {value: by_hours[start:stop] for value, start, stop in zip(values, first, [*first[1:], m]) if value > 0}
 
-    def compatible(value: float):
-        with np.errstate(invalid="ignore"):
-            fits = np.abs(hours - value) / value <= HOURS_TOLERANCE
-        group = np.flatnonzero(wanted == value)
-        shift = np.concatenate([[0], np.cumsum(fits)])
+    def compatible(value: float, group: np.ndarray, fits: np.ndarray, shift: np.ndarray):
+        left, right = bounds(0, group)
         mine = np.where(own[group] >= 0, shift[np.clip(own[group], 0, None)], -1)
-        return fits, group, shift[bounds[0][0][group]], shift[bounds[0][1][group]], mine
+        return shift[left], shift[right], mine
 
-    values = np.unique(wanted[wanted > 0])
-    for value in values:
-        _, group, left, right, mine = compatible(value)
-        counts[0][group] = right - left - ((mine >= left) & (mine < right))
-    stage = choose_stage(counts)
+    def fitting(value: float) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(invalid="ignore"):
+            fits = np.abs(hours - value) / value <= HOURS_TOLERANCE
+        return fits, np.concatenate([[0], np.cumsum(fits, dtype=np.int32)])
+
+    def tiles(some: np.ndarray):
+        return (some[at : at + BATCH_TARGETS] for at in range(0, len(some), BATCH_TARGETS))
+
+    with_hours = np.zeros(m, dtype=np.int32)
+    for value, group in groups.items():
+        fits, shift = fitting(value)
+        for some in tiles(group):
+            left, right, mine = compatible(value, some, fits, shift)
+            with_hours[some] = right - left - ((mine >= left) & (mine < right))
+    stage = np.empty(m, dtype=np.int8)
+    for some in tiles(np.arange(m)):
+        counts = np.zeros((len(STAGES), len(some)), dtype=np.int64)
+        counts[0] = with_hours[some]
+        for s in range(1, len(STAGES)):
+            left, right = bounds(s, some)
+            counts[s] = right - left - ((own[some] >= left) & (own[some] < right))
+        stage[some] = choose_stage(counts)
+    del with_hours
 
     def batches():
         batch = _Batch()
-        for value in values:
-            fits, group, left, right, mine = compatible(value)
-            use = stage[group] == 0
-            if use.any():
-                batch.add(np.flatnonzero(fits), group[use], left[use], right[use], mine[use])
+        for value, group in groups.items():
+            group = group[stage[group] == 0]
+            if len(group):
+                fits, shift = fitting(value)
+                batch.add(np.flatnonzero(fits), group, *compatible(value, group, fits, shift))
             if batch.length > BATCH_PEERS:
                 yield batch.take()
                 batch = _Batch()
+        if batch.parts:
+            yield batch.take()
+            batch = _Batch()
         later = np.flatnonzero(stage >= 1)
         if len(later):
-            left = np.choose(stage[later] - 1, [b[0][later] for b in bounds[1:]])
-            right = np.choose(stage[later] - 1, [b[1][later] for b in bounds[1:]])
+            left, right = np.empty(len(later), dtype=np.int64), np.empty(len(later), dtype=np.int64)
+            for s in range(1, len(STAGES)):
+                here = np.flatnonzero(stage[later] == s)
+                left[here], right[here] = bounds(s, later[here])
             batch.add(np.arange(n), later, left, right, own[later])
-        if batch.parts:
             yield batch.take()
 
     return stage, batches()
 
 
-def split_pool(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    """Peers in area order, targets, and each target's own position among the peers (-1 if none)."""
-    rows = rows.sort_values(["floor_area_m2", "entity_key"], kind="stable").reset_index(drop=True)
-    is_peer, is_target = rows["is_peer"].to_numpy(), rows["is_target"].to_numpy()
-    own = np.where(is_peer, np.cumsum(is_peer) - 1, -1)[is_target]
-    return rows[is_peer].reset_index(drop=True), rows[is_target].reset_index(drop=True), own
+MEASURES = ["floor_area_m2", "weekly_hours", "eui", "ghg_intensity"]
+
+
+def split_pool(batches: Iterator[pa.RecordBatch]) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, pa.Table]:
+    """Measures of the peers in area order, measures of the targets, each target's own position among the peers (-1 if none), the targets' keys."""
+    rows = pa.Table.from_batches([batch.select(["entity_key", "reporting_year", *MEASURES, "is_peer", "is_target"]) for batch in batches])
+    order = pc.sort_indices(rows, [("floor_area_m2", "ascending"), ("entity_key", "ascending")]).to_numpy()
+    is_peer, is_target = (rows[c].to_numpy()[order] for c in ("is_peer", "is_target"))
+    own = np.where(is_peer, np.cumsum(is_peer, dtype=np.int64) - 1, -1)[is_target]
+    keys = rows.select(["entity_key", "reporting_year"]).combine_chunks().take(order[is_target])
+    peers, targets = {}, {}
+    for c in MEASURES:
+        values = rows[c].cast(pa.float64()).to_numpy()
+        rows = rows.drop_columns([c])
+        peers[c], targets[c] = values[order[is_peer]], values[order[is_target]]
+    return pd.DataFrame(peers), pd.DataFrame(targets), own, keys
 
 
 def _names(schema: str) -> list[str]:
     return [c.split()[0].strip("`") for c in schema.split(", ")]
 
 
-def benchmark_pool(rows: pd.DataFrame) -> pd.DataFrame:
-    """Stage and statistics for every target of one pool of bounded size."""
-    peers, targets, own = split_pool(rows)
+def _tiles(where: np.ndarray, *columns: np.ndarray, size: int = BATCH_TARGETS) -> Iterator[tuple[np.ndarray, ...]]:
+    for at in range(0, len(where), size):
+        yield tuple(column[at : at + size] for column in (where, *columns))
+
+
+def benchmark_pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stage and statistics for every target of one pool of bounded size, some targets at a time."""
+    peers, targets, own, keys = split_pool(batches)
     if not len(targets):  # nobody compares with this pool
-        return pd.DataFrame(columns=_names(RESULT_SCHEMA))
-    stage, batches = cohort_batches(peers, targets, own)
+        return
+    stage, cohorts = cohort_batches(peers, targets, own)
     eui, ghg = peers["eui"].to_numpy(), peers["ghg_intensity"].to_numpy()
     value, own_ghg = targets["eui"].to_numpy(), targets["ghg_intensity"].to_numpy()
     columns = _names(RESULT_SCHEMA)
-    result = {c: np.full(len(targets), np.nan) for c in columns[4:]}
-    result["peer_count"] = np.zeros(len(targets), dtype=np.int64)
-    for at, where, left, right, mine in batches:
-        for column, found in _statistics(eui[at], ghg[at], value[where], own_ghg[where], left, right, mine).items():
-            result[column][where] = found
-    keys = {"entity_key": targets["entity_key"], "reporting_year": targets["reporting_year"], "peer_stage": stage}
-    return pd.DataFrame({**keys, **result})[columns]
+
+    def result(where: np.ndarray, found: dict[str, np.ndarray]) -> pa.RecordBatch:
+        named = keys.take(where).combine_chunks()
+        arrays = [named[c].combine_chunks().cast(kind) for c, kind in zip(columns, (pa.string(), pa.int32()))]
+        arrays += [pa.array(stage[where], pa.int32()), pa.array(found["peer_count"], pa.int64())]
+        return pa.RecordBatch.from_arrays([*arrays, *(pa.array(found[c], pa.float64(), from_pandas=True) for c in columns[4:])], columns)
+
+    alone = np.flatnonzero(stage < 0)
+    for (where,) in _tiles(alone):
+        yield result(where, {"peer_count": np.zeros(len(where), dtype=np.int64)} | {c: np.full(len(where), np.nan) for c in columns[4:]})
+    for at, *asked in cohorts:
+        answers = _Answers(eui[at], ghg[at])
+        for where, left, right, mine in _tiles(*asked):
+            yield result(where, answers.statistics(value[where], own_ghg[where], left, right, mine))
 
 
 HISTOGRAM_SCHEMA = "entity_key string, reporting_year int, bin int, `from` double, `to` double, count long, open_ended boolean"
@@ -358,24 +432,27 @@ def histogram_rows(keys: pd.DataFrame, value, size, ceiling, top, below, upto) -
     )
 
 
-def histogram_pool(rows: pd.DataFrame) -> pd.DataFrame:
-    """Histogram bins for every target of one pool of bounded size."""
-    peers, targets, own = split_pool(rows)
+def histogram_pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Histogram bins for every target of one pool of bounded size, some targets at a time."""
+    peers, targets, own, keys = split_pool(batches)
     if not len(targets):
-        return pd.DataFrame(columns=_names(HISTOGRAM_SCHEMA))
-    _, batches = cohort_batches(peers, targets, own)
+        return
+    _, cohorts = cohort_batches(peers, targets, own)
     eui, value = peers["eui"].to_numpy(), targets["eui"].to_numpy()
-    parts = []
-    for at, where, left, right, mine in batches:
-        cohort, v = Cohorts(RangeRanks(eui[at]), left, right, mine), value[where]
-        position, (smaller, _) = clipped_position(cohort.size), cohort.counts(v)
-        ceiling = np.where(position == smaller, v, cohort.value_at(position - (position > smaller)))
-        top = np.maximum(v, cohort.value_at(cohort.size - 1))
-        edges = bin_thresholds(ceiling)
-        below = np.column_stack([cohort.counts(edges[:, j])[0] for j in range(edges.shape[1])])
-        under, equal = cohort.counts(ceiling)
-        parts.append(histogram_rows(targets.iloc[where], v, cohort.size, ceiling, top, below, under + equal))
-    return pd.concat(parts) if parts else pd.DataFrame(columns=_names(HISTOGRAM_SCHEMA))
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
+    schema = pa.schema(list(zip(_names(HISTOGRAM_SCHEMA), kinds, strict=True)))
+    for at, *asked in cohorts:
+        ranks = RangeRanks(eui[at])
+        for where, left, right, mine in _tiles(*asked, size=BATCH_TARGETS // HISTOGRAM_BINS):
+            cohort, v = Cohorts(ranks, left, right, mine), value[where]
+            position, (smaller, _) = clipped_position(cohort.size), cohort.counts(v)
+            ceiling = np.where(position == smaller, v, cohort.value_at(position - (position > smaller)))
+            top = np.maximum(v, cohort.value_at(cohort.size - 1))
+            edges = bin_thresholds(ceiling)
+            below = np.column_stack([cohort.counts(edges[:, j])[0] for j in range(edges.shape[1])])
+            under, equal = cohort.counts(ceiling)
+            bins = histogram_rows(keys.take(where).to_pandas(), v, cohort.size, ceiling, top, below, under + equal)
+            yield pa.RecordBatch.from_pandas(bins, schema, preserve_index=False)
 
 
 def pool_rows(entities: DataFrame, usable: Column) -> DataFrame:
@@ -410,7 +487,7 @@ def _per_pool(entities: DataFrame, usable: Column, pool_limit: int, bounded_pool
     oversized = sizes.filter(F.col("_n") > pool_limit)
     listed = oversized.collect()  # at most rows / limit
     bounded = rows.join(F.broadcast(oversized.select(*POOL_KEYS)), POOL_KEYS, "left_anti") if listed else rows
-    result = spread(bounded, *POOL_KEYS).groupBy(*POOL_KEYS).applyInPandas(bounded_pool, schema)
+    result = spread(bounded, *POOL_KEYS).groupBy(*POOL_KEYS).applyInArrow(bounded_pool, schema)
     for year, category, level in [tuple(p)[:3] for p in listed if p["_used"]]:
         one = rows.filter((F.col("reporting_year") == year) & (F.col("operation_category") == category) & (F.col("level_key") == level))
         result = result.unionByName(hot_pool(one, pool_limit))

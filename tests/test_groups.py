@@ -283,3 +283,36 @@ def test_labels_are_converted_once(spark):
     got = convert_quantities(df, F.col("amount"), F.col("unit"), units.AREA_TO_M2).collect()
     want = df.select("*", units.convert_quantity(F.col("amount"), F.col("unit"), units.AREA_TO_M2).alias("q")).select("amount", "unit", "q.*").collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == len(rows)
+
+
+def pool_batches(n, seed):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    columns = {
+        "entity_key": [f"s{i:07}" for i in range(n)], "reporting_year": pa.array(np.full(n, 2019), pa.int32()), "floor_area_m2": rng.uniform(500, 5000, n).round(1),
+        "weekly_hours": pa.array(rng.integers(28, 70, n).astype(float), mask=rng.random(n) < 0.2), "eui": rng.uniform(0.1, 3, n).round(3),
+        "ghg_intensity": pa.array(rng.uniform(1, 60, n), mask=rng.random(n) < 0.3), "is_peer": rng.random(n) < 0.9, "is_target": rng.random(n) < 0.9,
+    }
+    return pa.table(columns).to_batches(max_chunksize=1000)
+
+
+@pytest.mark.parametrize("answer", ["benchmark_pool", "histogram_pool"])
+def test_memory_of_a_pool_does_not_grow_with_targets_times_columns(monkeypatch, answer):
+    import tracemalloc
+
+    import pandas as pd
+
+    order = ["entity_key", *(["bin"] if answer == "histogram_pool" else [])]
+    whole = pd.concat(b.to_pandas() for b in getattr(cohort, answer)(iter(pool_batches(600, 3)))).sort_values(order, ignore_index=True)
+    monkeypatch.setattr(cohort, "BATCH_TARGETS", 90)
+    tiles = pd.concat(b.to_pandas() for b in getattr(cohort, answer)(iter(pool_batches(600, 3)))).sort_values(order, ignore_index=True)
+    pd.testing.assert_frame_equal(whole, tiles)
+    monkeypatch.setattr(cohort, "BATCH_TARGETS", 1 << 12)
+    batches = pool_batches(60_000, 4)
+    tracemalloc.start()
+    for _ in getattr(cohort, answer)(iter(batches)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000 * 600  # 6,309 and 6,501 bytes a row when all targets were answered together
