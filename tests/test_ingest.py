@@ -338,3 +338,20 @@ def test_couples_of_random_letters_are_ruled_out_before_they_are_rows(spark, til
     i, j, _ = L._possible([key(x) for x in left[:120]], [key(x) for x in right[60:120]], 0.75)
     close = sum(ratio(x, y) >= 0.75 for x in left[:120] for y in right[60:120])
     assert len(i) <= close + 120 * 60 // 100  # the rarest-token join let nearly all of them through
+
+
+def test_report_files_hold_candidates_once_a_group(spark, tmp_path):
+    key = F.col("id").cast("string")
+    facilities = spark.range(200).select(
+        F.sha2(key, 256).alias("facility_key"), F.when(F.col("id") % 4 == 0, "unmatched").otherwise("ambiguous").alias("match_status"), F.lit("Board").alias("organization_name"), key.alias("facility_name"),
+        F.lit("School").alias("operation_type"), F.lit("1 Street").alias("street"), F.lit("City").alias("city"), F.lit("1").alias("board_number"), F.lit(2020).alias("latest_year"),
+        F.lit(2).alias("candidate_count"), F.when(F.col("id") % 4 > 0, F.when(F.col("id") == 1, "none").otherwise("one")).alias("candidate_group"),
+    )
+    candidates = spark.range(300).select(F.lit("one").alias("candidate_group"), key.alias("school_number"), F.concat(F.lit('"Maple"; school '), key).alias("school_name"))
+    rejected = spark.createDataFrame([], "source string, data_row long, reject_reason string, raw map<string,string>")
+    paths = I.write_reports(str(tmp_path), I.review_list(facilities), candidates, rejected, spark.createDataFrame([("a", "b", 1)], "section string, label string, n long"))
+    assert sum(x.stat().st_size for x in tmp_path.rglob("*.csv")) < 100_000  # 150 facilities x 300 candidates are more than 900,000 bytes
+    read = lambda name: spark.read.csv(paths[name], header=True, escape='"', multiLine=True)
+    rows = I.with_candidates(read("match-review"), read("match-candidates")).collect()
+    whole = "; ".join(f'{i} "Maple"; school {i}' for i in range(300))
+    assert len(rows) == 200 and {(r["candidate_group"], r["candidates"]) for r in rows} == {("one", whole), ("none", ""), (None, "")}
