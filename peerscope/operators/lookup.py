@@ -170,10 +170,15 @@ def lookup_scores(queries: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def lookup(queries: DataFrame, documents: DataFrame, per_kind: int = PER_KIND) -> DataFrame:
-    """The best ``per_kind`` documents per query and kind: score, then label, then link."""
+    """The best ``per_kind`` documents per query and kind: score, then label, then link.
+
+    Documents with the same text have the same score, so only the first ``per_kind`` of each kind meet the queries.
+    """
+    same = Window.partitionBy("folded", "kind").orderBy("label", "href")
+    first = documents.withColumn("_nth", F.row_number().over(same)).filter(F.col("_nth") <= per_kind).drop("_nth")
     order = Window.partitionBy("query", "kind").orderBy(F.desc("score"), "folded", "label", "href")
     return (
-        lookup_scores(queries, documents)
+        lookup_scores(queries, materialize(first))
         .withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= per_kind)
         .select("query", "kind", "position", "label", "sublabel", "href", "score")

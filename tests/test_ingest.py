@@ -355,3 +355,18 @@ def test_report_files_hold_candidates_once_a_group(spark, tmp_path):
     rows = I.with_candidates(read("match-review"), read("match-candidates")).collect()
     whole = "; ".join(f'{i} "Maple"; school {i}' for i in range(300))
     assert len(rows) == 200 and {(r["candidate_group"], r["candidates"]) for r in rows} == {("one", whole), ("none", ""), (None, "")}
+
+
+def test_lookup_meets_only_the_first_documents_of_equal_text(spark, monkeypatch):
+    school = lambda i: ("Maple Grove School", f"maple-{i:03}", "Ottawa", "Board")
+    schools = spark.createDataFrame([school(i) for i in range(300)] + [("Maple Ridge School", "ridge", "Ottawa", "Board")], "name string, slug string, city string, board_name string")
+    documents = S.search_documents(schools, spark.createDataFrame([("Maple Grove School", "board")], "name string, slug string"))
+    queries = spark.createDataFrame([("maple",), ("grove",), ("ridge",)], "text string")
+    met = []
+    scores = S.lookup_scores
+    monkeypatch.setattr(S, "lookup_scores", lambda q, d: met.append(d.count()) or scores(q, d))
+    rows = S.lookup(queries, documents).collect()
+    assert met == [6 + 1 + 1 + 1]  # of 300 equal schools, one other, a board and a city
+    found = {q: [(r["kind"], r["position"], r["href"]) for r in sorted(rows, key=lambda r: (r["kind"], r["position"])) if r["query"] == q] for q in ("maple", "grove", "ridge")}
+    equal = [("school", i + 1, f"/schools/maple-{i:03}") for i in range(6)]
+    assert found["maple"] == found["grove"] == [("board", 1, "/boards/board"), *equal] and found["ridge"] == [("school", 1, "/schools/ridge")]
