@@ -337,7 +337,7 @@ def test_couples_of_random_letters_are_ruled_out_before_they_are_rows(spark, til
             assert {y: v for (a, y), v in want.items() if a == x and v >= second}.items() <= got.items() <= {y: v for (a, y), v in want.items() if a == x}.items()
     i, j, _ = L._possible([key(x) for x in left[:120]], [key(x) for x in right[60:120]], 0.75)
     close = sum(ratio(x, y) >= 0.75 for x in left[:120] for y in right[60:120])
-    assert len(i) <= close + 120 * 60 // 100  # the rarest-token join let nearly all of them through
+    assert len(i) <= close + 120 * 60 // 100
 
 
 def test_report_files_hold_candidates_once_a_group(spark, tmp_path):
