@@ -34,7 +34,8 @@ STAGES = (
 )
 HOURS_TOLERANCE = 0.25
 POOL_KEYS = ["reporting_year", "operation_category", "level_key"]
-POOL_LIMIT = 1_000_000
+POOL_LIMIT = 2_000_000  # rows that one task answers
+SLICE_LIMIT = 1 << 18  # peers and targets that a task of a larger pool takes as data frames, which need many times the bytes
 BATCH_PEERS = 1 << 17  # peers of several distinct hours that are answered together
 BATCH_TARGETS = 1 << 16  # targets answered together; with the peers in few bytes each, this bounds the memory of a task
 
@@ -490,7 +491,7 @@ def _per_pool(entities: DataFrame, usable: Column, pool_limit: int, bounded_pool
     result = spread(bounded, *POOL_KEYS).groupBy(*POOL_KEYS).applyInArrow(bounded_pool, schema)
     for year, category, level in [tuple(p)[:3] for p in listed if p["_used"]]:
         one = rows.filter((F.col("reporting_year") == year) & (F.col("operation_category") == category) & (F.col("level_key") == level))
-        result = result.unionByName(hot_pool(one, pool_limit))
+        result = result.unionByName(hot_pool(one, min(pool_limit, SLICE_LIMIT)))
     return result
 
 

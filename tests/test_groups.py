@@ -194,6 +194,22 @@ def test_hot_pool_equals_bounded_pool(spark):
     assert (whole["count"] >= 0).all()
 
 
+def test_tasks_of_a_hot_pool_take_slices_smaller_than_a_pool(spark, monkeypatch):
+    from peerscope.operators import hot_pools
+
+    limits, make = [], hot_pools._Slices.__init__
+    monkeypatch.setattr(hot_pools._Slices, "__init__", lambda self, peers, limit: limits.append(limit) or make(self, peers, limit))
+    monkeypatch.setattr(cohort, "SLICE_LIMIT", 30)
+    df = spark.createDataFrame([r[:3] + ("a",) + r[4:] for r in random_entities(90, 8)], SCHEMA)
+    names = cohort._names(cohort.RESULT_SCHEMA)
+    bounded = {r["entity_key"]: r for r in cohort.peer_statistics(df, F.col("ok")).select(names).collect()}
+    assert not limits
+    sliced = {r["entity_key"]: r for r in cohort.peer_statistics(df, F.col("ok"), pool_limit=80).select(names).collect()}
+    assert limits == [30] and sliced.keys() == bounded.keys()
+    for key, row in bounded.items():
+        assert list(sliced[key]) == pytest.approx(list(row), nan_ok=True)
+
+
 RECORD = (
     "facility_id long, school_id long, reporting_year int, operation_type string, school_level string, match_confidence double, "
     "total_site_energy_gj double, floor_area_m2 double, ghg_kg_co2e double, electricity_kwh double, weekly_hours double, quality_flags array<string>"
