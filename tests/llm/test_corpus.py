@@ -111,6 +111,12 @@ def test_ngram_join(docs, no_docs, monkeypatch, chunk):
         assert left == {i for i, _, c in brute_components() if i is None or c == i}
 
 
+def test_ngrams_that_meet_by_few_bits_are_compared_whole(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MEETING_BITS", 6)  # some sixteen different keys among the prefixes: nearly all n-grams meet wrong ones
+    rows = ngram_join.similar_components(docs).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == brute_components()
+
+
 def test_trie_links_equal_brute_force():
     draw = np.random.default_rng(4)
     for _ in range(60):
