@@ -9,6 +9,7 @@ row (see ``similar_name_pairs``).
 
 from __future__ import annotations
 
+import os
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -29,6 +30,8 @@ CONFIDENCE = {"override": 1.0, "exact_name_board": 1.0, "address_board": 0.95, "
 
 #: Cells of pairs of characters that are compared side by side; a longer couple of texts is one step of its own.
 CELLS = 1 << 22
+#: Characters of a text that are bits of one number.
+BITS = 64
 #: From this length on the ratio leaves out frequent characters of the second text as anchors (a fixed value of its definition).
 FREQUENT_FROM = 200
 
@@ -73,9 +76,53 @@ def _matched(a: list[str], b: list[str]) -> np.ndarray:
     return total
 
 
+def _longest_runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``_longest_blocks`` for whole rectangles whose rows are bits of b: runs grow by one character a step, all at once."""
+    size, i, j = (np.zeros(len(rows), dtype=np.int64) for _ in range(3))
+    live, ends, one = np.flatnonzero(rows.any(axis=1)), rows, rows.dtype.type(1)
+    rows = ends = rows[live]
+    k = 0
+    while len(live):
+        k += 1
+        longer = np.zeros_like(ends)
+        np.bitwise_and(ends[:, :-1] << one, rows[:, 1:], out=longer[:, 1:])
+        goes_on = longer.any(axis=1)
+        over, last = live[~goes_on], ends[~goes_on]
+        at = (last != 0).argmax(axis=1)
+        bits = last[np.arange(len(last)), at]
+        size[over], i[over], j[over] = k, at - (k - 1), np.bitwise_count((bits & (~bits + one)) - one).astype(np.int64) - (k - 1)
+        live, rows, ends = live[goes_on], rows[goes_on], longer[goes_on]
+    return size, i, j
+
+
+def _matched_in_bits(a: list[str], b: list[str]) -> np.ndarray:
+    """``_matched`` for texts b of ``BITS`` characters at most: a row of a rectangle is a number."""
+    one, two = _coded(a, -1), _coded(b, -2)
+    width = 32 if two.shape[1] <= 32 else 64
+    kind = np.uint32 if width == 32 else np.uint64
+    same = np.zeros((len(a), one.shape[1], width), dtype=bool)
+    np.equal(one[:, :, None], two[:, None, :], out=same[:, :, : two.shape[1]])
+    same = np.packbits(same, axis=2, bitorder="little").view(kind)[:, :, 0]
+    pair, total, full = np.arange(len(a)), np.zeros(len(a), dtype=np.int64), ~kind(0)
+    i0, i1, j0, j1 = np.zeros_like(pair), np.fromiter(map(len, a), np.int64, len(a)), np.zeros_like(pair), np.fromiter(map(len, b), np.int64, len(b))
+    while len(pair):
+        within = (full >> (width - j1).astype(kind)) & (full << j0.astype(kind))  # 0 <= j0 < j1 <= width
+        at = i0[:, None] + np.arange((i1 - i0).max())
+        rows = np.where(at < i1[:, None], same[pair[:, None], np.minimum(at, same.shape[1] - 1)] & within[:, None], kind(0))
+        size, i, j = _longest_runs(rows)
+        i += i0
+        np.add.at(total, pair, size)
+        found = size > 0
+        pair, size, i, j, i0, i1, j0, j1 = (x[found] for x in (pair, size, i, j, i0, i1, j0, j1))
+        pair, i0, i1, j0, j1 = (np.concatenate(x) for x in ((pair, pair), (i0, i + size), (i, i1), (j0, j + size), (j, j1)))
+        wide = (i0 < i1) & (j0 < j1)
+        pair, i0, i1, j0, j1 = (x[wide] for x in (pair, i0, i1, j0, j1))
+    return total
+
+
 def ratios(a: pd.Series, b: pd.Series, at_least: float = 0.0) -> np.ndarray:
     """Ratcliff-Obershelp ratios of couples of texts; those below ``at_least`` are 0."""
-    lengths = np.column_stack([a.str.len(), b.str.len()]).astype(np.int64)
+    lengths = np.column_stack([np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b)])
     total, matched = lengths.sum(axis=1), np.zeros(len(a), dtype=np.int64)
     possible = (2 * lengths.min(axis=1) >= total * at_least) & (lengths.min(axis=1) > 0)
     usual = np.flatnonzero(possible & (lengths[:, 1] < FREQUENT_FROM))
@@ -86,7 +133,8 @@ def ratios(a: pd.Series, b: pd.Series, at_least: float = 0.0) -> np.ndarray:
         sides = np.maximum.accumulate(lengths[usual[at:]], axis=0)
         fit = max(1, int(np.searchsorted(sides[:, 0] * sides[:, 1] * np.arange(1, len(sides) + 1), CELLS, "right")))
         some = usual[at : at + fit]
-        matched[some] = _matched(one[some].tolist(), two[some].tolist())
+        by = _matched_in_bits if lengths[some, 1].max() <= BITS else _matched
+        matched[some] = by(one[some].tolist(), two[some].tolist())
         at += fit
     for k in np.flatnonzero(possible & (lengths[:, 1] >= FREQUENT_FROM)):
         matched[k] = sum(block.size for block in SequenceMatcher(None, one[k], two[k]).get_matching_blocks())
@@ -95,16 +143,23 @@ def ratios(a: pd.Series, b: pd.Series, at_least: float = 0.0) -> np.ndarray:
     return np.where(found >= at_least, found, 0.0)
 
 
-def sorted_words(name: Column) -> Column:
-    return F.array_join(F.array_sort(F.filter(F.split(name, " "), lambda w: w != "")), " ")
+def _with_words(names: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(the sorted words of each name that has any, as one text; these names)."""
+    names = names.dropna().to_numpy()
+    texts = np.array([" ".join(sorted(filter(None, name.split(" ")))) for name in names], dtype=object)
+    return texts[texts != ""], names[texts != ""]
 
 
-#: Names of a block that meet as many others in one task; a larger block is cut into tiles, and every tile meets every other side's tile.
-TILE = 8192
-#: Bits that stand for the characters, and for the pairs of adjacent characters, of a name.
-CHARACTER_BITS, PAIR_BITS = 128, 512
+#: Left names of a block that meet eight times as many right ones in one task; a larger block is cut into tiles, and every tile meets every other side's tile.
+TILE = 1 << 14
+#: Left names that are compared before their couples are scored, right names whose states are side by side, couples of a name that are scored first.
+BATCH, CHUNK, HEAD = 128, 1 << 16, 32
+#: Bits that stand for the pairs of adjacent characters of a name.
+PAIR_BITS = 512
 #: Classes of characters that common subsequences tell apart.
-CLASSES = 255
+CLASSES = 64
+#: More characters than two texts share, in a table of short ones (8 bits).
+NEVER = 180
 SLACK = 1e-9
 PAIRS_SCHEMA = "block string, left_name string, right_name string, score double"
 
@@ -143,71 +198,162 @@ def _masks(sides: list[tuple[np.ndarray, np.ndarray]], width: int, bits: int) ->
 
 
 class _Subsequences:
-    """Upper bounds of the longest common subsequences of a left and a right text, bit by bit of the right one (64 characters at most).
+    """Upper bounds of the longest common subsequences of left texts with all right texts, bit by bit of the right ones, side by side.
 
-    Characters beyond the ``CLASSES`` most frequent ones share a class with others, which only raises the bound.
+    Texts are read from their ends, in the order of their reversed characters. A left text goes on from the state after the characters that it
+    shares with the text before it, and what ends all right texts of a chunk, and the left one, is met at once and takes no bits. Characters
+    beyond the ``CLASSES`` most frequent ones share a class with others, and those beyond ``BITS`` are taken as met: both only raise the bound.
     """
 
-    def __init__(self, sides: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        (a, one), (b, two) = sides
-        known, count = np.unique(np.concatenate([a.ravel(), b.ravel()]), return_counts=True)
+    def __init__(self, right: list[str]) -> None:
+        turned = [text[::-1] for text in right]
+        self.order = np.array(sorted(range(len(right)), key=turned.__getitem__), dtype=np.int64)
+        turned = [turned[k] for k in self.order]
+        self.lengths = np.fromiter(map(len, turned), np.int64, len(turned))
+        self.distinct, self.needs = np.unique(self.lengths), {}
+        self.kind = np.uint8 if int(self.lengths.max(initial=0)) + BITS < NEVER else np.int32
+        known, count = np.unique(np.frombuffer("".join(turned).encode("utf-32-le", "surrogatepass"), dtype=np.int32), return_counts=True)
         rank = np.empty(len(known), dtype=np.int64)
         rank[np.argsort(-count, kind="stable")] = np.arange(len(known))
-        classes = min(CLASSES, len(known))
-        self.rows, self.of = len(b), np.where(np.arange(a.shape[1]) < one[:, None], rank[np.searchsorted(known, a)] % classes, classes)
-        masks = np.zeros((classes + 1, len(b)), dtype=np.uint64)  # the last class is that of no character
-        for at in range(min(64, b.shape[1])):
-            row = np.flatnonzero(at < two)
-            masks[rank[np.searchsorted(known, b[row, at])] % classes, row] |= np.uint64(1 << at)
-        self.masks = masks.ravel()
-
-    def bound(self, i: np.ndarray, j: np.ndarray, length: int) -> np.ndarray:
-        bits = np.full(len(i), ~np.uint64(0))
-        for at in range(length):
-            met = bits & self.masks[self.of[i, at] * self.rows + j]
-            bits = (bits + met) | (bits - met)
-        return np.bitwise_count(~bits).astype(np.int64)
-
-
-def _possible(left: list[str], right: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of all couples that bounds of their ratio do not rule out, and a bound of each one's ratio.
-
-    Two texts of lengths a + b = S with ratio >= t match M >= tS/2 characters, in order, in at most S - 2M + 1 blocks. So they share
-    tS/2 characters and 1.5tS - S - 1 adjacent pairs of them, and have a common subsequence of tS/2.
+        self.class_of = {chr(c): int(k) for c, k in zip(known, rank % CLASSES, strict=True)}
+        self.classes = min(CLASSES, len(known))
+        self.known, self.rank = known, rank % CLASSES
+        self.chunks = []
+        for start in range(0, len(turned), CHUNK):
+            some = turned[start : start + CHUNK]
+            ending = os.path.commonprefix([some[0], some[-1]])  # of all between, as they are in order
+            self.chunks.append((start, some, ending, {}))
+
+    def _masks(self, some: list[str], skip: int) -> tuple[np.ndarray, int, np.ndarray | None]:
+        """(bits of each class in the texts without their last ``skip`` characters, bits, characters of each text that have no bit)."""
+        lengths = np.fromiter(map(len, some), np.int64, len(some)) - skip
+        codes = _coded([text[skip : skip + BITS] for text in some], 0)
+        width = min(BITS, int(lengths.max(initial=0)))
+        kind = np.uint16 if width <= 16 else np.uint32 if width <= 32 else np.uint64
+        masks = np.zeros((self.classes, len(some)), dtype=kind)
+        for at in range(width):
+            row = np.flatnonzero(at < lengths)
+            masks[self.rank[np.searchsorted(self.known, codes[row, at])], row] |= kind(1 << at)
+        beyond = np.maximum(lengths - BITS, 0)
+        return masks, width, beyond if beyond.any() else None
+
+    def common(self, turned: list[str], wanted: list[np.ndarray]) -> np.ndarray:
+        """For each reversed left text (in order) and each right text in ``order``: a bound of their common subsequence.
+
+        ``wanted`` are the lengths of right texts that each left text asks about; a chunk without any stays 0.
+        """
+        found = np.zeros((len(turned), -(-len(self.order) // 8) * 8), dtype=self.kind)
+        for start, some, ending, kept in self.chunks:
+            stacks, lengths = {}, set(self.lengths[start : start + len(some)].tolist())
+            for row, text in enumerate(turned):
+                if lengths.isdisjoint(wanted[row].tolist()):
+                    continue
+                skip = len(ending) if text.startswith(ending) else 0
+                if skip not in kept:
+                    kept[skip] = self._masks(some, skip)
+                masks, width, beyond = kept[skip]
+                met = [self.class_of[c] for c in text[skip:] if c in self.class_of]
+                if skip not in stacks:
+                    stacks[skip] = [], [np.full(len(some), ~masks.dtype.type(0))], np.empty_like(masks[0])
+                before, states, rest = stacks[skip]
+                depth = len(os.path.commonprefix([before, met]))
+                for at in range(depth, len(met)):
+                    if len(states) == at + 1:
+                        states.append(np.empty_like(rest))
+                    bits, after, mask = states[at], states[at + 1], masks[met[at]]
+                    np.bitwise_and(bits, mask, after)
+                    np.subtract(bits, after, rest)
+                    np.add(bits, after, after)
+                    np.bitwise_or(after, rest, after)
+                stacks[skip] = met, states, rest
+                out = found[row, start : start + len(some)]
+                np.subtract(skip + masks.dtype.itemsize * 8, np.bitwise_count(states[len(met)]), out, casting="unsafe")
+                if beyond is not None:
+                    out += beyond.astype(out.dtype)
+        return found
+
+
+class _OpenCouples:
+    """Couples of some left texts, and all right ones, whose bound of the ratio reaches a threshold or more.
+
+    Two texts of lengths a + b = S with ratio >= t match tS/2 characters in order, so they have a common subsequence as long.
     """
+
+    def __init__(self, table: _Subsequences, left: list[str], threshold: float) -> None:
+        self.table, self.threshold, self.lengths = table, threshold, [len(text) for text in left]
+        self.common = table.common([text[::-1] for text in left], [self._needs(length)[1] for length in self.lengths])
+
+    def _needs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(characters to share with each right text, lengths of right texts that are possible at all, characters to share with those)."""
+        table = self.table
+        if length not in table.needs:
+            two, t = table.distinct, self.threshold
+            least = np.maximum(np.ceil((length + two) * (t / 2) - SLACK).astype(np.int64), 0)
+            possible = 2 * np.minimum(two, length) >= t * (length + two) - SLACK
+            every = np.full(-(-len(table.order) // 8) * 8, NEVER, dtype=table.kind)
+            every[: len(table.order)] = np.where(possible, least, NEVER)[np.searchsorted(two, table.lengths)]
+            table.needs[length] = every, two[possible], least[possible]
+        return table.needs[length]
+
+    def beyond(self, row: int, ratio: float) -> int:
+        """How many characters more than for the threshold a ratio takes, at least."""
+        _, two, least = self._needs(self.lengths[row])
+        more = np.ceil((self.lengths[row] + two) * (ratio / 2) - SLACK).astype(np.int64) - least
+        return min(NEVER // 4, max(0, int(more.min(initial=NEVER))))
+
+    def opened(self, row: int, more: int) -> np.ndarray:
+        """Which right texts, by their places in the table's order, share ``more`` characters than they must, or still more."""
+        return self.common[row] >= self._needs(self.lengths[row])[0] + self.table.kind(more)
+
+    def listed(self, row: int, opened: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, right text, bound of the ratio) of what is opened."""
+        eights = np.flatnonzero(opened.view(np.uint64))
+        at, inner = np.nonzero(opened.reshape(-1, 8)[eights])
+        at = eights[at] * 8 + inner
+        length = self.lengths[row]
+        most = 2 * np.minimum(self.common[row][at].astype(np.int64), length) / (length + self.table.lengths[at])
+        return np.full(len(at), row), self.table.order[at], most
+
+    def couples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _joined([self.listed(row, self.opened(row, 0)) for row in range(len(self.lengths))])
+
+
+def _joined(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    none = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(none, *found, strict=True))
+
+
+def _open_couples(left: list[str], right: list[str], threshold: float):
+    """(positions of some left texts, their couples), batch by batch."""
+    if left and right:
+        table = _Subsequences(right)
+        order = np.array(sorted(range(len(left)), key=[text[::-1] for text in left].__getitem__))
+        for start in range(0, len(order), BATCH):
+            some = order[start : start + BATCH]
+            yield some, _OpenCouples(table, [left[k] for k in some], threshold)
+
+
+def _share_pairs(left: list[str], right: list[str], threshold: float):
+    """Which couples share enough adjacent pairs of characters: M matched ones are in at most S - 2M + 1 blocks, so 1.5tS - S - 1 pairs."""
     sides = [(_coded(texts, 0), np.fromiter(map(len, texts), np.int64, len(texts))) for texts in (left, right)]
     one, two = sides[0][1], sides[1][1]
-    (a_bits, a_lost), (b_bits, b_lost) = _masks(sides, 1, CHARACTER_BITS)
     (a_pairs, a_gone), (b_pairs, b_gone) = _masks(sides, 2, PAIR_BITS)
-    ordered_by = np.argsort(two, kind="stable")
-    ordered, b_bits, b_lost = two[ordered_by], b_bits[ordered_by], b_lost[ordered_by]
-    subsequences = _Subsequences(sides)
-    found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
-    for length in np.unique(one):
-        group = np.flatnonzero(one == length)
-        # 2 min(a, b) >= t (a + b)
-        low = np.searchsorted(ordered, length * threshold / (2 - threshold) - SLACK, "left")
-        high = np.searchsorted(ordered, length * (2 - threshold) / threshold + SLACK, "right")
-        if low == high:
-            continue
-        need = np.ceil((length + ordered[low:high]) * (threshold / 2) - SLACK).astype(np.int64) - b_lost[low:high]
-        need = np.clip(need, 0, 255).astype(np.uint8)  # more than all bits cannot be met
-        step = max(1, CELLS // 16 // int(high - low))
-        for at in range(0, len(group), step):
-            some = group[at : at + step]
-            shared = np.bitwise_count(a_bits[some, 0, None] & b_bits[None, low:high, 0])
-            for word in range(1, a_bits.shape[1]):
-                shared += np.bitwise_count(a_bits[some, word, None] & b_bits[None, low:high, word])
-            i, j = np.nonzero(shared >= need)
-            i, j = some[i], ordered_by[low + j]
-            pairs = np.bitwise_count(a_pairs[i] & b_pairs[j]).sum(axis=1, dtype=np.uint16) + np.minimum(a_gone[i], b_gone[j])
-            kept = pairs >= (length + two[j]) * (1.5 * threshold - 1) - 1 - SLACK
-            i, j = i[kept], j[kept]
-            most = 2 * np.where(two[j] <= 64, subsequences.bound(i, j, int(length)), np.minimum(length, two[j])) / (length + two[j])
-            kept = most >= threshold - SLACK
-            found.append((i[kept], j[kept], most[kept]))
-    i, j, most = (np.concatenate(x) for x in zip(*found, strict=True))
-    return i, j, most
+
+    def enough(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        pairs = np.bitwise_count(a_pairs[i] & b_pairs[j]).sum(axis=1, dtype=np.uint16) + np.minimum(a_gone[i], b_gone[j])
+        return pairs >= (one[i] + two[j]) * (1.5 * threshold - 1) - 1 - SLACK
+
+    return enough
+
+
+def _possible(left: list[str], right: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of all couples that bounds of their ratio do not rule out, and a bound of each one's ratio."""
+    enough, found = _share_pairs(left, right, threshold), []
+    for some, table in _open_couples(left, right, threshold):
+        i, j, most = table.couples()
+        kept = enough(some[i], j)
+        found.append((some[i[kept]], j[kept], most[kept]))
+    return _joined(found)
 
 
 def _best_so_far(i: np.ndarray, score: np.ndarray, best: int, size: int) -> np.ndarray:
@@ -219,29 +365,72 @@ def _best_so_far(i: np.ndarray, score: np.ndarray, best: int, size: int) -> np.n
     return found
 
 
+def _best_couples(table: _OpenCouples, scored, best: int, more: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, score) of the couples that reach the ``best``-th score of their left text.
+
+    Those with the greatest bounds are scored first, the others only if their bounds reach the best scores so far. ``more`` holds the
+    characters beyond the threshold that left enough couples before.
+    """
+    rows = range(len(table.lengths))
+    reached, found = [], []
+    for row in rows:
+        at, opened = more[0], table.opened(row, more[0])
+        count = np.count_nonzero(opened)
+        while at and count < HEAD:
+            at -= 1
+            opened = table.opened(row, at)
+            count = np.count_nonzero(opened)
+        more[0] = min(at + (count > 4 * HEAD), NEVER // 4)
+        reached.append(at)
+        found.append(table.listed(row, opened))
+    i, j, most = _joined(found)
+    order = np.lexsort((-most, i))
+    i, j, most = i[order], j[order], most[order]
+    score = np.zeros(len(i))
+    first = np.arange(len(i)) - np.searchsorted(i, i, "left") <= 2 * best
+    score[first] = scored(i[first], j[first])
+    least = _best_so_far(i[first], score[first], best, len(rows))
+    later = ~first & (most >= least[i] - SLACK)
+    score[later] = scored(i[later], j[later])
+    known = first | later
+    least = _best_so_far(i[known], score[known], best, len(rows))
+    found = [(i[known], j[known], score[known])]
+    again = []
+    for row in rows:
+        at = table.beyond(row, least[row])
+        if at < reached[row]:
+            x, y, bound = table.listed(row, table.opened(row, at))
+            new = (bound >= least[row] - SLACK) & ~np.isin(y, j[known & (i == row)])
+            again.append((x[new], y[new], bound[new]))
+    x, y, _ = _joined(again)
+    found.append((x, y, scored(x, y)))
+    i, j, score = _joined(found)
+    kept = score >= _best_so_far(i, score, best, len(rows))[i]
+    return i[kept], j[kept], score[kept]
+
+
 def _compared(threshold: float, best: int | None):
     def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=["block", "left_name", "right_name", "score"])
-        one, two = left["text"], right["text"]
-
-        def scored(i, j):
-            return ratios(one.iloc[i].reset_index(drop=True), two.iloc[j].reset_index(drop=True), threshold)
-
-        i, j, most = _possible(one.tolist(), two.tolist(), threshold)
-        if best is None:
-            score = scored(i, j)
-        else:  # first the couples with the greatest bounds, then those whose bounds reach the best scores among them
-            order = np.lexsort((-most, i))
-            i, j, most = i[order], j[order], most[order]
-            first = np.arange(len(i)) - np.searchsorted(i, i, "left") < best
-            score = np.zeros(len(i))
-            score[first] = scored(i[first], j[first])
-            later = ~first & (most >= _best_so_far(i, score, best, len(left))[i] - SLACK)
-            score[later] = scored(i[later], j[later])
-            score[score < _best_so_far(i, score, best, len(left))[i]] = 0.0
-        kept = score >= threshold
-        return pd.DataFrame({"block": key[0], "left_name": left["name"].to_numpy()[i[kept]], "right_name": right["name"].to_numpy()[j[kept]], "score": score[kept]})
+        found = [pd.DataFrame(columns=["block", "left_name", "right_name", "score"])]
+        (one, left_names), (two, right_names) = (_with_words(side["name"]) for side in (left, right))
+        more, enough = [0], _share_pairs(list(one), list(two), threshold) if best is None and len(one) and len(two) else None
+
+        def scored(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return ratios(pd.Series(one[i]), pd.Series(two[j]), threshold)
+
+        for some, table in _open_couples(list(one), list(two), threshold):
+            if best is None:
+                i, j, _ = table.couples()
+                kept = enough(some[i], j)
+                i, j = some[i[kept]], j[kept]
+                score = scored(i, j)
+            else:
+                i, j, score = _best_couples(table, lambda i, j, some=some: scored(some[i], j), best, more)
+                i = some[i]
+            kept = score >= threshold
+            found.append(pd.DataFrame({"block": key[0], "left_name": left_names[i[kept]], "right_name": right_names[j[kept]], "score": score[kept]}))
+        found = [x for x in found if len(x)] or found
+        return pd.concat(found, ignore_index=True)
 
     return compare
 
@@ -251,25 +440,22 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float, best
 
     ``best`` leaves out couples with a smaller score than that many others of their left name; equal scores stay.
 
-    Inputs have columns block and name (normalised). Couples are never rows of a table: names of a block meet in tiles of about ``tile``
-    names a side, each pair of tiles is a group of its own, and bounds of the ratio (``_possible``) rule out nearly all couples by bits.
+    Inputs have columns block and name (normalised). Couples are never rows of a table: names of a block meet in tiles of about ``tile`` left
+    and eight times as many right ones, each pair of tiles is a group of its own, and bounds of the ratio (``_open_couples``) rule out nearly all couples by bits.
     """
 
-    def names(side: DataFrame) -> DataFrame:
-        known = side.select("block", "name").filter("block is not null").distinct()
-        return known.withColumn("text", sorted_words(F.col("name"))).filter(F.length("text") > 0)
-
-    lefts, rights = materialize(names(left)), materialize(names(right))
+    # names without words are left out where they are compared: a filter here would be moved to where the names are made, and make them twice
+    lefts, rights = (materialize(side.select("block", "name").filter("block is not null").distinct()) for side in (left, right))
     # blocks with several tiles: at most rows / tile of them
     counts = lefts.select("block", F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(rights.select("block", F.lit(0), F.lit(1)))
-    tiles = counts.groupBy("block").agg(*[F.ceil(F.sum(c) / tile).cast("int").alias(c) for c in ("l", "r")]).filter("l > 1 or r > 1")
+    tiles = counts.groupBy("block").agg(*[F.ceil(F.sum(c) / n).cast("int").alias(c) for c, n in (("l", tile), ("r", 8 * tile))]).filter("l > 1 or r > 1")
     tiles = F.broadcast(materialize(tiles))
 
     def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
         of = lambda c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1))
         placed = side.join(tiles, "block", "left").withColumn(f"_{own}", F.pmod(F.xxhash64("name"), of(own)).cast("int"))
         copies = placed.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), of(other) - 1)))
-        return spread(copies.select("block", "name", "text", "_l", "_r"), "block", "_l", "_r")
+        return spread(copies.select("block", "name", "_l", "_r"), "block", "_l", "_r")
 
     keys = ["block", "_l", "_r"]
     met = dealt(lefts, "l", "r").groupBy(*keys).cogroup(dealt(rights, "r", "l").groupBy(*keys))
@@ -303,7 +489,8 @@ def resolve_boards(organizations: DataFrame, boards: DataFrame, aliases: DataFra
 
 def linkage_keys(df: DataFrame, name: str) -> DataFrame:
     return (
-        df.withColumn("_name", normalize_school_name(F.col(name)))
+        spread(df, *df.columns)  # the texts are costly, and a few small files would be a few tasks
+        .withColumn("_name", normalize_school_name(F.col(name)))
         .withColumn("_address", normalize_address(F.col("street")))
         .withColumn("_city", fold(F.col("city")))
     )

@@ -370,3 +370,38 @@ def test_lookup_meets_only_the_first_documents_of_equal_text(spark, monkeypatch)
     found = {q: [(r["kind"], r["position"], r["href"]) for r in sorted(rows, key=lambda r: (r["kind"], r["position"])) if r["query"] == q] for q in ("maple", "grove", "ridge")}
     equal = [("school", i + 1, f"/schools/maple-{i:03}") for i in range(6)]
     assert found["maple"] == found["grove"] == [("board", 1, "/boards/board"), *equal] and found["ridge"] == [("school", 1, "/schools/ridge")]
+
+
+def test_names_that_end_alike_are_compared_without_their_ending(monkeypatch):
+    draw = random.Random(12)
+    word = lambda n: "".join(draw.choices("abcdefghij", k=n))
+    right = [f"{word(7)} {word(draw.randint(5, 7))} public school" for _ in range(700)]
+    left = [x[:4] + x[5:] if i % 3 else f"{word(7)} {word(6)} public school" for i, x in enumerate(right[:250])] + ["abcd centre", "", " ", None, "é中 public school", word(90), word(230), right[0]]
+    right += ["é中😀 public school", "", None, word(60) + " public school", left[-2][7:]]
+    key = lambda x: " ".join(sorted((x or "").split()))
+    frame = lambda names: pd.DataFrame({"block": "b", "name": names, "text": [key(x) for x in names]})
+    monkeypatch.setattr(L, "CHUNK", 128, raising=False)
+    monkeypatch.setattr(L, "HEAD", 6, raising=False)
+    asked = []
+    ratios = L.ratios
+    monkeypatch.setattr(L, "ratios", lambda a, b, t: asked.append(len(a)) or ratios(a, b, t))
+    for threshold, best in ((0.75, 3), (0.85, 2), (0.6, 1)):
+        asked.clear()
+        got = L._compared(threshold, best)(("b",), frame(left), frame(right))
+        found = {(x, y): s for x, y, s in got[["left_name", "right_name", "score"]].itertuples(index=False)}
+        assert len(found) == len(got)
+        for x in left:
+            scores = {y: difflib.SequenceMatcher(None, key(x), key(y)).ratio() for y in right if key(x) and key(y)}
+            scores = {y: s for y, s in scores.items() if s >= threshold}
+            least = sorted(scores.values(), reverse=True)[:best][-1] if scores else 0
+            assert {y: s for (a, y), s in found.items() if a == x} == {y: s for y, s in scores.items() if s >= least}
+        assert sum(asked) < len(left) * len(right) // 10
+    table = L._Subsequences([x for x in right[:700] if x])
+    assert all(ending.startswith("loohcs cilbup ") and table._masks(some, len(ending))[0].itemsize == 2 for _, some, ending, _ in table.chunks)
+
+
+def test_names_are_made_by_all_tasks(spark):
+    rows = spark.createDataFrame([(f"School {k}", "1 Main St.", "Ottawa") for k in range(50)], "name string, street string, city string").coalesce(1)
+    keyed = L.linkage_keys(rows, "name")
+    assert keyed.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r["name"], r["_name"]) for r in keyed.collect()} == {(f"School {k}", f"school {k}") for k in range(50)}
